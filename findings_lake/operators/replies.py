@@ -56,7 +56,10 @@ def object_elements(parsed: DataFrame) -> DataFrame:
     """One row per element that is a JSON object; ``finding_pos`` is the
     element's position in the reply (stable sort key)."""
     keep = [c for c in parsed.columns if c not in ("elements", "raw", "text")]
-    return (parsed.select(*keep, F.posexplode("elements").alias("finding_pos", "e"))
+    # The outer form keeps Spark from inferring a ``size(elements) > 0``
+    # filter, which would be pushed below the projection and evaluate the
+    # whole parse twice; empty replies drop out on the kind test below.
+    return (parsed.select(*keep, F.posexplode_outer("elements").alias("finding_pos", "e"))
             .where(text.json_kind(F.col("e")) == F.lit("OBJECT"))
             .withColumn("finding_pos", F.col("finding_pos").cast("int")))
 
@@ -73,15 +76,17 @@ def validate_elements(elements: DataFrame) -> DataFrame:
     Rows the reference would crash on (``confidence`` not a number, JSON
     null, ``references`` null or not a list/string) get a
     ``quarantine_reason`` instead; callers split on it.
+
+    Each member is extracted once into its own column first, so the
+    normalising expressions below reference columns, not re-parsed paths.
     """
-    sev_text = text.py_str(_field("severity"), "LOW")
-    conf_v = _field("confidence")
-    conf_num = F.try_variant_get(F.col("e"), "$.confidence", "double")
-    conf = F.when(conf_v.isNull(), F.lit(DEFAULT_CONFIDENCE)).otherwise(conf_num)
-    conf_ok = conf_v.isNull() | conf_num.isNotNull()
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf))
-
-    refs_v = _field("references")
+    keep = [c for c in elements.columns if c != "e"]
+    fields = ["cwe_id", *TEXT_FIELDS, "severity", "confidence", "references"]
+    step = elements.select(*keep, *[_field(f).alias(f"_v_{f}") for f in fields])
+
+    conf_v = F.col("_v_confidence")
+    conf_num = F.try_variant_get(conf_v, "$", "double")
+    refs_v = F.col("_v_references")
     refs_kind = text.json_kind(refs_v)
     refs = (F.when(refs_v.isNull(), F.array().cast("array<string>"))
             .when(refs_kind == "ARRAY",
@@ -89,19 +94,24 @@ def validate_elements(elements: DataFrame) -> DataFrame:
                               lambda x: text.py_str(x, None)))
             .when(refs_kind == "STRING",
                   F.array(F.try_variant_get(refs_v, "$", "string"))))
-    reason = (F.when(~conf_ok, F.lit("confidence is not a number"))
-              .when(refs.isNull(), F.lit("references is not a list")))
-
-    out = elements.select(
-        *[c for c in elements.columns if c != "e"],
-        text.py_str(_field("cwe_id"), DEFAULT_CWE_ID).alias("cwe_id"),
-        *[text.py_str(_field(f), "").alias(f) for f in TEXT_FIELDS],
-        sev_text.alias("severity_text"),
-        severity.normalise(sev_text).alias("severity"),
+    step = step.select(
+        *keep,
+        text.py_str(F.col("_v_cwe_id"), DEFAULT_CWE_ID).alias("cwe_id"),
+        *[text.py_str(F.col(f"_v_{f}"), "").alias(f) for f in TEXT_FIELDS],
+        text.py_str(F.col("_v_severity"), "LOW").alias("severity_text"),
+        F.when(conf_v.isNull(), F.lit(DEFAULT_CONFIDENCE)).otherwise(conf_num).alias("_conf"),
+        (conf_v.isNull() | conf_num.isNotNull()).alias("_conf_ok"),
+        refs.alias("references"))
+
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_conf")))
+    reason = (F.when(~F.col("_conf_ok"), F.lit("confidence is not a number"))
+              .when(F.col("references").isNull(), F.lit("references is not a list")))
+    return step.select(
+        *keep, "cwe_id", *TEXT_FIELDS, "severity_text",
+        severity.normalise(F.col("severity_text")).alias("severity"),
         rounding.round2(clamped).alias("confidence"),
-        refs.alias("references"),
+        "references",
         reason.alias("quarantine_reason"))
-    return out
 
 
 def findings_from_replies(replies: DataFrame, keep_quarantine: bool = False) -> DataFrame:

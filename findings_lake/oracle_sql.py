@@ -215,4 +215,94 @@ SELECT file || '#' || CAST(fn_ord AS VARCHAR) AS request_id, file, fn_ord,
        CASE WHEN failed THEN 'timeout after 120s' END AS error
 FROM fnames""")
 
+    _retrieval(q)
     return q
+
+
+KB_CTE = f"""
+kb AS (
+  SELECT CASE WHEN vec_id % 3 = 0 THEN 'CVE' ELSE 'CWE' END AS source,
+         vec_id AS chunk_pos,
+         CASE WHEN vec_id % 3 <> 0 THEN 'CWE-' || CAST(vec_id % 97 AS VARCHAR) || '-c'
+              || CAST(vec_id AS VARCHAR) END AS chunk_id,
+         CASE WHEN vec_id % 3 = 0 THEN 'CVE-2024-' || CAST(vec_id AS VARCHAR) END AS cve_id,
+         CASE WHEN vec_id % 3 = 0 THEN 'CWE-' || CAST(label * 7 + 20 AS VARCHAR) END AS cwe_id,
+         CASE WHEN vec_id % 3 = 0 THEN {_case('label % 6', B.CVSS_BY_LABEL6)} END AS cvss_severity,
+         CASE WHEN vec_id % 3 = 0 THEN (vec_id % 100) / 10.0 END AS cvss_score,
+         'chunk ' || CAST(vec_id AS VARCHAR) || ' label ' || CAST(label AS VARCHAR) AS chunk_text,
+         CAST(embedding AS DOUBLE[]) AS emb
+  FROM embeddings
+),
+qv AS (
+  SELECT CAST(vec_id AS VARCHAR) AS query_id,
+         list_transform(CAST(embedding AS DOUBLE[]),
+           lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS q
+  FROM embeddings
+)
+"""
+
+
+def _scores(min_rank: int | None) -> str:
+    filt = "" if min_rank is None else f"WHERE source = 'CWE' OR {rank('cvss_severity')} >= {min_rank}"
+    return f"""
+elig AS (SELECT * FROM kb {filt}),
+sc AS (SELECT qv.query_id, elig.*, list_dot_product(qv.q, elig.emb) AS score FROM qv, elig),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, source
+                                    ORDER BY score DESC, chunk_pos DESC) AS rn FROM sc)
+"""
+
+
+RETRIEVE_CTE = _scores(1).rstrip() + """,
+top AS (SELECT * FROM rk WHERE rn <= 4),
+lens AS (SELECT query_id, least(count(*) FILTER (WHERE source = 'CWE'),
+                                count(*) FILTER (WHERE source = 'CVE')) AS m
+         FROM top GROUP BY query_id),
+hits AS (
+  SELECT t.*, CAST(2 * (rn - 1) + CASE WHEN source = 'CVE' THEN 1 ELSE 0 END AS INTEGER) AS pos
+  FROM top t JOIN lens USING (query_id) WHERE rn <= m
+),
+hits6 AS (SELECT * FROM hits WHERE pos < 6)
+"""
+
+
+def _retrieval(q: dict[str, str]) -> None:
+    w = "WITH " + KB_CTE.strip()
+    q["kb_scan"] = w + """
+SELECT source, chunk_pos, chunk_id, cve_id, cwe_id, cvss_severity, cvss_score, chunk_text,
+       CAST(len(emb) AS INTEGER) AS dim FROM kb"""
+    q["kb_attach_embeddings"] = w + """
+SELECT source, chunk_pos, CAST(len(emb) AS INTEGER) AS dim, round(list_sum(emb), 4) AS component_sum
+FROM kb"""
+    q["kb_profile"] = w + """
+SELECT source, count(*) AS n_chunks, CAST(max(len(emb)) AS INTEGER) AS embed_dim,
+       'nomic-ai/nomic-embed-text-v2-moe' AS embed_model
+FROM kb GROUP BY source"""
+    q["query_normalize"] = w + """
+SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(len(embedding) AS INTEGER) AS dim,
+       round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))), 6) AS norm_in,
+       round(sqrt(list_sum(list_transform(q, lambda y: y * y))), 6) AS norm_out
+FROM embeddings JOIN qv ON CAST(vec_id AS VARCHAR) = qv.query_id"""
+    for key, lvl in (("kb_similarity", None), ("kb_similarity_filtered", 2)):
+        q[key] = w + "," + _scores(lvl).rstrip() + """
+SELECT query_id, source, CAST((SELECT count(*) FROM elig e WHERE e.source = rk.source) AS BIGINT)
+       AS n_scored, round(score, 4) AS max_score, chunk_pos AS best_chunk_pos
+FROM rk WHERE rn = 1"""
+    q["kb_topn_per_source"] = w + "," + _scores(1).rstrip() + """
+SELECT query_id, source, CAST(rn AS INTEGER) AS rn, chunk_pos, round(score, 4) AS score
+FROM rk WHERE rn <= 4"""
+    q["kb_retrieve"] = w + "," + RETRIEVE_CTE.rstrip() + """
+SELECT query_id, pos, source, chunk_pos, round(score, 4) AS score, chunk_id, cve_id, cvss_severity
+FROM hits6"""
+    q["rag_context"] = w + "," + RETRIEVE_CTE.rstrip() + """,
+blocks AS (
+  SELECT query_id, pos,
+         CASE WHEN source = 'CWE'
+              THEN '[Ref ' || CAST(pos + 1 AS VARCHAR) || ' | ' || coalesce(chunk_id, '')
+                   || ' | relevance ' || printf('%.2f', score) || ']'
+              ELSE '[Ref ' || CAST(pos + 1 AS VARCHAR) || ' | ' || coalesce(cve_id, '') || ' | CVSS '
+                   || coalesce(CAST(cvss_score AS VARCHAR), '?') || ' ' || coalesce(cvss_severity, '?')
+                   || ' | ' || coalesce(cwe_id, '') || ' | relevance ' || printf('%.2f', score) || ']'
+         END || chr(10) || chunk_text AS b
+  FROM hits6
+)
+SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY pos) AS context FROM blocks GROUP BY query_id"""

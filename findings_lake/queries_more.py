@@ -1,3 +1,89 @@
-"""Registered queries beyond the reply/findings slice (filled in stages)."""
+"""Registered queries beyond the reply/findings slice."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import bindings as B
+from .operators import retrieve as R
+from .queries import register
+from .sources import kb as KB
+
+
+# ---------------------------------------------------------------------------
+# Knowledge base and retrieval
+# ---------------------------------------------------------------------------
+def _kb(spark, sf_dir):
+    return B.kb_chunks(spark, sf_dir)
+
+
+def _kb_queries(spark, sf_dir):
+    return R.normalise_vectors(B.kb_query_vectors(spark, sf_dir))
+
+
+@register("kb_scan")
+def kb_scan(spark, sf_dir):
+    return _kb(spark, sf_dir).select(
+        "source", "chunk_pos", "chunk_id", "cve_id", "cwe_id", "cvss_severity", "cvss_score",
+        "chunk_text", F.size("embedding").cast("int").alias("dim"))
+
+
+@register("kb_attach_embeddings")
+def kb_attach_embeddings(spark, sf_dir):
+    kb = _kb(spark, sf_dir)
+    chunks = kb.drop("embedding")
+    vectors = kb.select("chunk_pos", "embedding")
+    out = KB.attach_embeddings(chunks, vectors, check=False)
+    return out.select("source", "chunk_pos", F.size("embedding").cast("int").alias("dim"),
+                      F.round(F.aggregate("embedding", F.lit(0.0),
+                                          lambda a, x: a + x.cast("double")), 4)
+                      .alias("component_sum"))
+
+
+@register("kb_profile")
+def kb_profile(spark, sf_dir):
+    return KB.profile(_kb(spark, sf_dir), manifest=None)
+
+
+@register("query_normalize")
+def query_normalize(spark, sf_dir):
+    raw = B.kb_query_vectors(spark, sf_dir)
+
+    def norm(c):
+        return F.round(F.sqrt(F.aggregate(c, F.lit(0.0),
+                                          lambda a, x: a + x.cast("double") * x.cast("double"))), 6)
+    n = R.normalise_vectors(raw.withColumn("norm_in", norm("embedding")))
+    return n.select(F.col("query_id").cast("string").alias("query_id"),
+                    F.size("embedding").cast("int").alias("dim"), "norm_in",
+                    norm("embedding").alias("norm_out"))
+
+
+@register("kb_similarity")
+def kb_similarity(spark, sf_dir):
+    p = R.similarity_profile(_kb_queries(spark, sf_dir), _kb(spark, sf_dir))
+    return p.withColumn("max_score", F.round("max_score", 4))
+
+
+@register("kb_similarity_filtered")
+def kb_similarity_filtered(spark, sf_dir):
+    p = R.similarity_profile(_kb_queries(spark, sf_dir), _kb(spark, sf_dir), min_severity="MEDIUM")
+    return p.withColumn("max_score", F.round("max_score", 4))
+
+
+@register("kb_topn_per_source")
+def kb_topn_per_source(spark, sf_dir):
+    t = R.top_n_per_source(_kb_queries(spark, sf_dir), _kb(spark, sf_dir), top_k=6)
+    return t.withColumn("score", F.round("score", 4))
+
+
+@register("kb_retrieve")
+def kb_retrieve(spark, sf_dir):
+    h = R.retrieve(_kb_queries(spark, sf_dir), _kb(spark, sf_dir), top_k=6)
+    return h.select("query_id", "pos", "source", "chunk_pos", F.round("score", 4).alias("score"),
+                    "chunk_id", "cve_id", "cvss_severity")
+
+
+@register("rag_context")
+def rag_context(spark, sf_dir):
+    h = R.retrieve(_kb_queries(spark, sf_dir), _kb(spark, sf_dir), top_k=6)
+    return R.context_text(h)

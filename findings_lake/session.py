@@ -59,6 +59,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("FL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.ansi.enabled", "true")
