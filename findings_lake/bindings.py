@@ -250,3 +250,44 @@ def corpus_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_partkey") % DEFS_PER_MODULE).cast("int").alias("fn_ord"),
         "p_partkey")
     return vector_for(keys, "p_partkey", spark, sf_dir).drop("p_partkey")
+
+
+# ---------------------------------------------------------------------------
+# Fuzzer output files (events)
+# ---------------------------------------------------------------------------
+def fuzz_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """b_fuzz_files: one ffuf output document per (CWE, event type, block of
+    1000 event ids), results in event order.
+
+    status by event_id % 5: 200, 301, 403, 404, 500; ``input`` omitted when
+    event_id % 9 == 0; ``config`` omitted for k % 13 == 7; the files of
+    k % 13 == 5 and event type ``error`` are cut in half (corrupt).
+    """
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type", _k().alias("k"))
+    k13 = F.col("k") % 13
+    cwe = F.coalesce(_pick(k13, [c for c, _ in CWE_BY_K13]), F.lit("CWE-Unknown"))
+    status = _pick(F.col("event_id") % 5, ["200", "301", "403", "404", "500"])
+    inp = F.when(F.col("event_id") % 9 == 0, F.lit("")).otherwise(
+        F.concat(F.lit(', "input": {"FUZZ": "p'), F.col("event_id").cast("string"), F.lit('"}')))
+    res = F.concat(
+        F.lit('{"url": "http://t.example/u/'), F.col("user_id").cast("string"), F.lit('", '),
+        F.lit('"status": '), status, F.lit(', "length": '), (F.col("k") * 10).cast("string"),
+        F.lit(', "words": '), F.col("k").cast("string"), inp, F.lit("}"))
+    blk = F.floor(F.col("event_id") / FUZZ_FILE_SPAN).cast("long")
+    name = F.concat(F.lit("ffuf_"), F.replace(cwe, F.lit("-"), F.lit("_")), F.lit("_"),
+                    F.col("event_type"), F.lit("-"), blk.cast("string"), F.lit(".json"))
+    rows = ev.select(name.alias("name"), k13.alias("k13"), "event_type", "event_id",
+                     res.alias("res"))
+    per_file = (rows.groupBy("name", "k13", "event_type")
+                .agg(F.array_sort(F.collect_list(F.struct("event_id", "res"))).alias("rs")))
+    results = F.array_join(F.transform("rs", lambda x: x["res"]), ", ")
+    config = F.when(F.col("k13") == 7, F.lit("")).otherwise(F.concat(
+        F.lit('"config": {"wordlist": "/SecLists/list-'), F.col("k13").cast("string"),
+        F.lit('.txt", "url": "http://t.example/FUZZ"}, ')))
+    doc = F.concat(F.lit("{"), config, F.lit('"results": ['), results, F.lit("]}"))
+    corrupt = (F.col("k13") == 5) & (F.col("event_type") == "error")
+    return per_file.select(
+        F.concat(F.lit("/results/"), F.col("name")).alias("file"),
+        F.when(corrupt, F.substring(doc, 1, F.floor(F.length(doc) / 2).cast("int")))
+        .otherwise(doc).alias("text"))

@@ -216,6 +216,8 @@ SELECT file || '#' || CAST(fn_ord AS VARCHAR) AS request_id, file, fn_ord,
 FROM fnames""")
 
     _retrieval(q)
+    _plan(q)
+    _hits(q)
     return q
 
 
@@ -306,3 +308,122 @@ blocks AS (
   FROM hits6
 )
 SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY pos) AS context FROM blocks GROUP BY query_id"""
+
+
+def _wordlist_values() -> str:
+    from .sources.wordlists import DEFAULT_WORDLIST_MAP
+    rows = []
+    for cwe, lists in DEFAULT_WORDLIST_MAP.items():
+        for i, w in enumerate(lists):
+            rows.append(f"('{cwe}', {i}, '{w}')")
+    return "wl(cwe_id, wl_pos, wordlist) AS (VALUES " + ", ".join(rows) + ")"
+
+
+PLAN_CTE = f"""
+dd AS (
+  SELECT file, cwe_id, cwe_name, severity, sev_rank, fn_ord, rank_pos,
+         row_number() OVER (PARTITION BY file, cwe_id ORDER BY sev_rank DESC, fn_ord, rank_pos) AS r
+  FROM ranked WHERE cwe_id <> ''
+),
+cw AS (
+  SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY sev_rank DESC, fn_ord, rank_pos) - 1
+                    AS INTEGER) AS plan_pos, cwe_id, cwe_name, severity
+  FROM dd WHERE r = 1
+),
+{_wordlist_values()},
+tg AS (
+  SELECT DISTINCT file,
+         CASE WHEN CAST(regexp_extract(file, 'app_(\\d+)\\.py', 1) AS BIGINT) % 7 = 3
+              THEN 'http://t.example/' || file || '/user'
+              ELSE 'http://t.example/' || file || '/user/FUZZ' END AS target_url
+  FROM fnames
+),
+tv AS (SELECT file, target_url, contains(target_url, 'FUZZ') AS valid FROM tg)
+"""
+
+
+def _jobs_sql(cap: int) -> str:
+    return f"""
+SELECT c.file, c.plan_pos, CAST(w.wl_pos AS INTEGER) AS job_pos, c.cwe_id, c.cwe_name, w.wordlist,
+       '/results/ffuf_' || replace(c.cwe_id, '-', '_') || '_'
+         || regexp_replace(regexp_extract(w.wordlist, '[^/]*$', 0), '\\.[^.]+$', '') || '.json' AS out_path,
+       '/SecLists/' || w.wordlist AS wordlist_path, t.target_url, '200' AS match_codes,
+       20 AS workers, 10 AS timeout_s, true AS url_encode
+FROM cw c JOIN tv t ON t.file = c.file AND t.valid
+JOIN wl w ON w.cwe_id = CASE WHEN c.cwe_id IN (SELECT cwe_id FROM wl) THEN c.cwe_id ELSE '_default' END
+WHERE w.wl_pos < {cap}"""
+
+
+def _plan(q: dict[str, str]) -> None:
+    w = "WITH " + FINDINGS_CTE.strip() + "," + PLAN_CTE.rstrip()
+    q["plan_cwe_dedupe"] = w + "\nSELECT * FROM cw"
+    q["plan_wordlists"] = w + """
+SELECT c.file, c.cwe_id, CAST(w.wl_pos AS INTEGER) AS job_pos, w.wordlist
+FROM cw c JOIN wl w ON w.cwe_id = CASE WHEN c.cwe_id IN (SELECT cwe_id FROM wl)
+                                      THEN c.cwe_id ELSE '_default' END
+WHERE w.wl_pos < 2"""
+    q["fuzz_plan_jobs"] = w + _jobs_sql(1)
+    q["plan_target_check"] = w + "\nSELECT file, target_url, valid FROM tv"
+    q["plan_summary"] = w + f""",
+jobs AS ({_jobs_sql(1)})
+SELECT t.file, CAST((SELECT count(*) FROM jobs j WHERE j.file = t.file) AS BIGINT) AS n_jobs,
+       CAST((SELECT count(*) FROM cw c WHERE c.file = t.file) AS BIGINT) AS n_cwes,
+       coalesce((SELECT string_agg(cwe_id, ', ' ORDER BY plan_pos) FROM cw c WHERE c.file = t.file),
+                'none') AS cwe_list
+FROM tv t WHERE t.valid"""
+    q["plan_collisions"] = w + f""",
+jobs AS ({_jobs_sql(4)})
+SELECT file, out_path, count(*) AS n_jobs FROM jobs GROUP BY file, out_path HAVING count(*) > 1"""
+
+
+HITS_CTE = f"""
+ev AS (
+  SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  FROM events
+),
+fz AS (
+  SELECT *, '/results/ffuf_' || replace(cwe, '-', '_') || '_' || event_type || '-'
+              || CAST(event_id // 1000 AS VARCHAR) || '.json' AS file
+  FROM (SELECT ev.*, k % 13 AS k13,
+               coalesce({_case('k % 13', [c for c, _ in B.CWE_BY_K13])}, 'CWE-Unknown') AS cwe,
+               CASE event_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 403
+                                 WHEN 3 THEN 404 ELSE 500 END AS status,
+               (k % 13 = 5 AND event_type = 'error') AS corrupt
+        FROM ev)
+),
+jobs AS (
+  SELECT file, k13, corrupt,
+         count(*) FILTER (WHERE status IN (200, 403)) AS n_hits,
+         string_split(regexp_replace(regexp_extract(file, '[^/]*$', 0), '\\.[^.]+$', ''), '_') AS parts
+  FROM fz GROUP BY file, k13, corrupt
+),
+jr AS (
+  SELECT file,
+         CASE WHEN corrupt THEN NULL WHEN len(parts) >= 3 AND parts[1] = 'ffuf'
+              THEN parts[2] || '-' || parts[3] END AS cwe_id,
+         CASE WHEN corrupt THEN NULL WHEN k13 = 7 THEN 'unknown'
+              ELSE '/SecLists/list-' || CAST(k13 AS VARCHAR) || '.txt' END AS wordlist,
+         CASE WHEN corrupt THEN NULL WHEN k13 = 7 THEN 'unknown' ELSE 'http://t.example/FUZZ' END AS target,
+         CAST(CASE WHEN corrupt THEN 0 ELSE n_hits END AS BIGINT) AS hit_count,
+         CASE WHEN corrupt THEN 'not a JSON object' END AS error
+  FROM jobs
+)
+"""
+
+
+def _hits(q: dict[str, str]) -> None:
+    w = "WITH " + HITS_CTE.strip()
+    q["fuzz_job_parse"] = w + "\nSELECT * FROM jr"
+    q["fuzz_hits"] = w + """
+SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY event_id) - 1 AS INTEGER) AS hit_pos,
+       'http://t.example/u/' || CAST(user_id AS VARCHAR) AS url, CAST(status AS INTEGER) AS status,
+       CAST(k * 10 AS BIGINT) AS length, CAST(k AS BIGINT) AS words,
+       CASE WHEN event_id % 9 = 0 THEN '' ELSE 'p' || CAST(event_id AS VARCHAR) END AS input
+FROM fz WHERE status IN (200, 403) AND NOT corrupt"""
+    q["fuzz_job_errors"] = w + "\nSELECT file, error FROM jr WHERE error IS NOT NULL"
+    q["fuzz_report"] = w + """
+SELECT 'ok' AS status, count(*) AS n_jobs, count(error) AS n_errors,
+       CAST(sum(hit_count) AS BIGINT) AS total_hits FROM jr"""
+    q["hits_by_cwe"] = w + """
+SELECT cwe_id, count(*) AS n_jobs, CAST(sum(hit_count) AS BIGINT) AS total_hits
+FROM jr WHERE error IS NULL GROUP BY cwe_id"""

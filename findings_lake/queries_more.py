@@ -87,3 +87,94 @@ def kb_retrieve(spark, sf_dir):
 def rag_context(spark, sf_dir):
     h = R.retrieve(_kb_queries(spark, sf_dir), _kb(spark, sf_dir), top_k=6)
     return R.context_text(h)
+
+
+# ---------------------------------------------------------------------------
+# Fuzz planning
+# ---------------------------------------------------------------------------
+from .operators import hits as H  # noqa: E402
+from .operators import plan as P  # noqa: E402
+from .queries import ranked  # noqa: E402
+from .sources import wordlists as WL  # noqa: E402
+
+
+def _plan_inputs(spark, sf_dir):
+    findings = ranked(spark, sf_dir)
+    targets = B.app_targets(B.app_functions(spark, sf_dir))
+    return findings, targets, WL.map_table(spark)
+
+
+@register("plan_cwe_dedupe")
+def plan_cwe_dedupe(spark, sf_dir):
+    return P.dedupe_cwes(ranked(spark, sf_dir))
+
+
+@register("plan_wordlists")
+def plan_wordlists(spark, sf_dir):
+    cwes = P.dedupe_cwes(ranked(spark, sf_dir))
+    return P.lookup_wordlists(cwes, WL.map_table(spark), max_wordlists=2).select(
+        "file", "cwe_id", "job_pos", "wordlist")
+
+
+@register("fuzz_plan_jobs")
+def fuzz_plan_jobs(spark, sf_dir):
+    f, t, m = _plan_inputs(spark, sf_dir)
+    return P.plan_jobs(f, t, m).select(
+        "file", "plan_pos", "job_pos", "cwe_id", "cwe_name", "wordlist", "out_path",
+        "wordlist_path", "target_url", "match_codes", "workers", "timeout_s", "url_encode")
+
+
+@register("plan_target_check")
+def plan_target_check(spark, sf_dir):
+    return P.check_targets(B.app_targets(B.app_functions(spark, sf_dir)))
+
+
+@register("plan_summary")
+def plan_summary(spark, sf_dir):
+    f, t, m = _plan_inputs(spark, sf_dir)
+    valid = P.check_targets(t).where("valid").select("file")
+    cwes = P.dedupe_cwes(f).join(valid, "file", "left_semi")
+    jobs = P.plan_jobs(f, t, m)
+    return P.plan_summary(valid, cwes, jobs)
+
+
+@register("plan_collisions")
+def plan_collisions(spark, sf_dir):
+    f, t, m = _plan_inputs(spark, sf_dir)
+    return P.output_collisions(P.plan_jobs(f, t, m, max_wordlists=4))
+
+
+# ---------------------------------------------------------------------------
+# Fuzz results
+# ---------------------------------------------------------------------------
+MATCH_CODES = "200, 403"
+
+
+def _jobs(spark, sf_dir):
+    return H.parse_files(B.fuzz_files(spark, sf_dir), MATCH_CODES)
+
+
+@register("fuzz_job_parse")
+def fuzz_job_parse(spark, sf_dir):
+    return _jobs(spark, sf_dir).select("file", "cwe_id", "wordlist", "target", "hit_count", "error")
+
+
+@register("fuzz_hits")
+def fuzz_hits(spark, sf_dir):
+    return H.explode_hits(_jobs(spark, sf_dir)).select(
+        "file", "hit_pos", "url", "status", "length", "words", "input")
+
+
+@register("fuzz_job_errors")
+def fuzz_job_errors(spark, sf_dir):
+    return _jobs(spark, sf_dir).where(F.col("error").isNotNull()).select("file", "error")
+
+
+@register("fuzz_report")
+def fuzz_report(spark, sf_dir):
+    return H.report_totals(_jobs(spark, sf_dir))
+
+
+@register("hits_by_cwe")
+def hits_by_cwe(spark, sf_dir):
+    return H.hits_by_cwe(_jobs(spark, sf_dir))
