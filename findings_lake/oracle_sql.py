@@ -218,6 +218,8 @@ FROM fnames""")
     _retrieval(q)
     _plan(q)
     _hits(q)
+    from . import oracle_more
+    oracle_more.corpus(q)
     return q
 
 

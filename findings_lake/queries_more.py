@@ -178,3 +178,55 @@ def fuzz_report(spark, sf_dir):
 @register("hits_by_cwe")
 def hits_by_cwe(spark, sf_dir):
     return H.hits_by_cwe(_jobs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Python corpus, query texts, scan prompts
+# ---------------------------------------------------------------------------
+from .operators import catalog as C  # noqa: E402
+from .operators import prompts as PR  # noqa: E402
+
+
+def corpus_catalog(spark, sf_dir):
+    return C.catalog(B.source_files(spark, sf_dir))
+
+
+@register("function_catalog")
+def function_catalog(spark, sf_dir):
+    return C.functions(corpus_catalog(spark, sf_dir)).select(
+        "file", "fn_ord", "name", "lineno", "end_lineno",
+        F.array_join("args", ", ").alias("args_text"), "docstring", "source")
+
+
+@register("function_parse_errors")
+def function_parse_errors(spark, sf_dir):
+    return C.file_status(corpus_catalog(spark, sf_dir)).select("file", "parse_ok", "n_functions")
+
+
+@register("rag_query_scan")
+def rag_query_scan(spark, sf_dir):
+    return C.scan_query_text(C.functions(corpus_catalog(spark, sf_dir))).select(
+        "file", "fn_ord", "query_text")
+
+
+@register("rag_query_tool")
+def rag_query_tool(spark, sf_dir):
+    return C.tool_query_text(C.functions(corpus_catalog(spark, sf_dir))).select(
+        "file", "fn_ord", "query_text")
+
+
+def corpus_contexts(spark, sf_dir, top_k: int = 6):
+    qv = B.corpus_query_vectors(spark, sf_dir).select(
+        F.concat("file", F.lit("#"), F.col("fn_ord").cast("string")).alias("query_id"),
+        "embedding")
+    hits = R.retrieve(R.normalise_vectors(qv), _kb(spark, sf_dir), top_k=top_k)
+    ctx = R.context_text(hits)
+    parts = F.split("query_id", "#", 2)
+    return ctx.select(F.get(parts, 0).alias("file"), F.get(parts, 1).cast("int").alias("fn_ord"),
+                      "context")
+
+
+@register("scan_prompts")
+def scan_prompts(spark, sf_dir):
+    fns = C.functions(corpus_catalog(spark, sf_dir))
+    return PR.scan_prompts(fns, corpus_contexts(spark, sf_dir))
