@@ -291,3 +291,47 @@ def fuzz_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/results/"), F.col("name")).alias("file"),
         F.when(corrupt, F.substring(doc, 1, F.floor(F.length(doc) / 2).cast("int")))
         .otherwise(doc).alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# Mitigation replies and mitigation query vectors (events, embeddings)
+# ---------------------------------------------------------------------------
+def _mitigation_object(fixed_code_json: Column) -> Column:
+    k = F.col("k").cast("string")
+    return F.concat(
+        F.lit('{"cwe_id": "'), F.coalesce("cwe_id", F.lit("CWE-Unknown")), F.lit('", '),
+        F.lit('"explanation": "unsafe '), F.col("event_type"), F.lit(' handling reaches a sink", '),
+        F.lit('"fixed_code": '), fixed_code_json, F.lit(", "),
+        F.lit('"hardening": ["Validate input '), k, F.lit('", "Use least privilege"], '),
+        F.lit('"references": ["CVE-2024-'), k, F.lit('"]}'))
+
+
+def mitigation_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """b_mitigation_replies: one reply per finding, keyed like its prompt.
+
+    Form by event_id % 4: 0 plain object, 1 fenced, 2 ``fixed_code`` as a
+    triple-quoted two-line block with quotes inside, 3 cut in half.
+    """
+    rows = finding_rows(spark, sf_dir)
+    k = F.col("k").cast("string")
+    plain = _mitigation_object(F.concat(F.lit('"x = '), k, F.lit('"')))
+    triple = _mitigation_object(F.concat(F.lit('"""x = "'), k, F.lit('"\nreturn x"""')))
+    form = F.col("event_id") % 4
+    raw = (F.when(form == 0, plain)
+           .when(form == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```")))
+           .when(form == 2, triple)
+           .otherwise(F.substring(plain, 1, F.floor(F.length(plain) / 2).cast("int"))))
+    return rows.select(
+        F.concat_ws("#", "file", F.col("fn_ord").cast("string"),
+                    F.col("finding_pos").cast("string")).alias("request_id"),
+        raw.alias("raw"), F.lit(None).cast("string").alias("error"))
+
+
+def mitigation_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector of each mitigation query text: embedding ``k % n`` (the text
+    is a function of the finding's k)."""
+    rows = finding_rows(spark, sf_dir)
+    qt = F.concat(F.coalesce("cwe_id", F.lit("CWE-Unknown")), F.lit(" "), F.col("cwe_name"),
+                  F.lit(" mitigation fix secure code. "), F.col("evidence"))
+    keys = rows.select(qt.alias("query_text"), F.col("k").cast("long").alias("k")).distinct()
+    return vector_for(keys, "k", spark, sf_dir).drop("k")

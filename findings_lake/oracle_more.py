@@ -68,3 +68,92 @@ SELECT file, fn_ord, 'Python function ''' || name || ''' vulnerability. Args: '
 SELECT f.file, f.fn_ord, f.file || '#' || CAST(f.fn_ord AS VARCHAR) AS request_id, {prompt} AS prompt
 FROM fcat f JOIN ctx c
   ON c.query_id = CAST(f.p_partkey % (SELECT count(*) FROM embeddings) AS VARCHAR)""")
+
+
+MITIGATION_CTE = """
+cand AS (
+  SELECT r.*, n.name AS function, 'MEDIUM' AS min_severity_filter
+  FROM ranked r JOIN fnames n USING (file, fn_ord)
+  WHERE r.sev_rank >= 2
+),
+byname AS (
+  SELECT file, name, arg_min(source, fn_ord) AS fn_source, count(*) > 1 AS name_ambiguous
+  FROM fnames GROUP BY file, name
+),
+cs AS (
+  SELECT c.*, b.fn_source, b.name_ambiguous,
+         c.cwe_id || ' ' || c.cwe_name || ' mitigation fix secure code. ' || c.evidence AS query_text,
+         CAST(c.k % (SELECT count(*) FROM embeddings) AS VARCHAR) AS vec_key,
+         '{"cwe_id": "' || c.cwe_id || '", "explanation": "unsafe ' || c.event_type
+           || ' handling reaches a sink", "fixed_code": ' AS obj_head,
+         ', "hardening": ["Validate input ' || CAST(c.k AS VARCHAR)
+           || '", "Use least privilege"], "references": ["CVE-2024-' || CAST(c.k AS VARCHAR) || '"]}'
+           AS obj_tail,
+         c.event_id % 4 AS mform
+  FROM cand c JOIN byname b ON b.file = c.file AND b.name = c.function
+),
+cr AS (
+  SELECT *, obj_head || '"x = ' || CAST(k AS VARCHAR) || '"' || obj_tail AS plain FROM cs
+)
+"""
+
+
+def mitigations(q: dict[str, str]) -> None:
+    w = "WITH " + FINDINGS_CTE.strip() + "," + MITIGATION_CTE.strip()
+    wk = w + "," + KB_CTE.strip() + "," + RETRIEVE_CTE.strip() + "," + CONTEXT_BLOCKS.strip()
+    q["mitigation_candidates"] = w + """
+SELECT file, fn_ord, finding_pos, severity, min_severity_filter FROM cand"""
+    q["mitigation_source"] = w + """
+SELECT file, fn_ord, finding_pos, function, fn_source, name_ambiguous FROM cs"""
+    q["rag_query_mitigation"] = w + """
+SELECT file, fn_ord, finding_pos, query_text FROM cs"""
+    q["mitigation_context"] = wk + """
+SELECT DISTINCT cs.query_text, ctx.context FROM cs JOIN ctx ON ctx.query_id = cs.vec_key"""
+    prompt = render_sql(MITIGATION_TEMPLATE, MITIGATION_SYSTEM_PROMPT, {
+        "cwe_id": "cs.cwe_id", "cwe_name": "cs.cwe_name", "severity": "cs.severity",
+        "description": "cs.description", "evidence": "cs.evidence",
+        "fn_source": "cs.fn_source", "context": "ctx.context"})
+    q["mitigation_prompts"] = wk + f"""
+SELECT cs.file, cs.fn_ord, cs.finding_pos,
+       cs.file || '#' || CAST(cs.fn_ord AS VARCHAR) || '#' || CAST(cs.finding_pos AS VARCHAR) AS request_id,
+       {prompt} AS prompt
+FROM cs JOIN ctx ON ctx.query_id = cs.vec_key"""
+    q["mitigation_repair"] = w + """
+SELECT file, fn_ord, finding_pos,
+       CASE WHEN mform IN (0, 1) THEN plain
+            WHEN mform = 2 THEN obj_head || '"x = \\"' || CAST(k AS VARCHAR) || '\\"\\nreturn x"' || obj_tail
+            ELSE rtrim(substring(plain, 1, length(plain) // 2)) END AS repaired,
+       mform <> 3 AS parse_ok
+FROM cr"""
+    parsed = """
+SELECT file, fn_ord, finding_pos, function, cwe_id, severity, mform, min_severity_filter,
+       CASE WHEN mform <> 3 THEN 'unsafe ' || event_type || ' handling reaches a sink' END AS explanation,
+       CASE WHEN mform IN (0, 1) THEN 'x = ' || CAST(k AS VARCHAR)
+            WHEN mform = 2 THEN 'x = "' || CAST(k AS VARCHAR) || '"' || chr(10) || 'return x' END AS fixed_code,
+       CASE WHEN mform <> 3 THEN 'Validate input ' || CAST(k AS VARCHAR) || ' | Use least privilege' END
+         AS hardening_text,
+       CASE WHEN mform <> 3 THEN 'CVE-2024-' || CAST(k AS VARCHAR) END AS references_text,
+       CASE WHEN mform = 3 THEN substring(plain, 1, length(plain) // 2) END AS raw_response,
+       CASE WHEN mform = 3 THEN 'Could not parse LLM response as JSON' END AS error
+FROM cr"""
+    q["mitigation_parse"] = w + f"""
+SELECT file, fn_ord, finding_pos, function, cwe_id, severity, explanation, fixed_code,
+       hardening_text, references_text, raw_response, error FROM ({parsed})"""
+    q["mitigation_report"] = w + f"""
+SELECT file, 'ok' AS status, count(*) AS total, count(error) AS n_errors,
+       any_value(min_severity_filter) AS min_severity_filter
+FROM ({parsed}) GROUP BY file"""
+    q["mitigation_preview"] = w + f"""
+SELECT file, fn_ord, finding_pos, function, cwe_id, severity, substring(explanation, 1, 200) AS why,
+       hardening_text AS hardening_preview, fixed_code AS code_preview,
+       references_text AS references_preview
+FROM ({parsed}) WHERE error IS NULL"""
+    q["combined_report"] = w + f"""
+SELECT s.file AS target, 'ok' AS analysis_status, s.functions_scanned,
+       CAST(coalesce(t.total, 0) AS BIGINT) AS total_findings, CAST(NULL AS VARCHAR) AS fuzzing,
+       CAST(coalesce(m.total, 0) AS BIGINT) AS mitigations_total,
+       CAST(coalesce(m.n_errors, 0) AS BIGINT) AS mitigation_errors
+FROM (SELECT file, count(*) AS functions_scanned FROM fnames GROUP BY file) s
+LEFT JOIN (SELECT file, count(*) AS total FROM ranked GROUP BY file) t USING (file)
+LEFT JOIN (SELECT file, count(*) AS total, count(error) AS n_errors FROM ({parsed}) GROUP BY file) m
+  USING (file)"""

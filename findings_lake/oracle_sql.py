@@ -220,6 +220,7 @@ FROM fnames""")
     _hits(q)
     from . import oracle_more
     oracle_more.corpus(q)
+    oracle_more.mitigations(q)
     return q
 
 

@@ -230,3 +230,102 @@ def corpus_contexts(spark, sf_dir, top_k: int = 6):
 def scan_prompts(spark, sf_dir):
     fns = C.functions(corpus_catalog(spark, sf_dir))
     return PR.scan_prompts(fns, corpus_contexts(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Mitigations
+# ---------------------------------------------------------------------------
+from .operators import findings as A  # noqa: E402
+from .operators import mitigations as M  # noqa: E402
+from .queries import app_functions_with_status  # noqa: E402
+
+MITIGATION_MIN_SEVERITY = "LOW"  # floored to MEDIUM (V5)
+
+
+def _candidates(spark, sf_dir):
+    fns = B.app_functions(spark, sf_dir)
+    named = ranked(spark, sf_dir).join(
+        fns.select("file", "fn_ord", F.col("name").alias("function")), ["file", "fn_ord"])
+    c = M.candidates(named, MITIGATION_MIN_SEVERITY)
+    return M.query_text(M.attach_source(c, fns))
+
+
+def _with_context(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    ctx = M.contexts(c, B.mitigation_query_vectors(spark, sf_dir), _kb(spark, sf_dir))
+    return c.join(ctx, "query_text", "left")
+
+
+def _mitigation_rows(spark, sf_dir):
+    prompts = PR.mitigation_prompts(_with_context(spark, sf_dir)).withColumn(
+        "request_id", M.request_id())
+    return M.mitigation_rows(prompts, B.mitigation_replies(spark, sf_dir))
+
+
+@register("mitigation_candidates")
+def mitigation_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("file", "fn_ord", "finding_pos", "severity",
+                                             "min_severity_filter")
+
+
+@register("mitigation_source")
+def mitigation_source(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("file", "fn_ord", "finding_pos", "function",
+                                             "fn_source", "name_ambiguous")
+
+
+@register("rag_query_mitigation")
+def rag_query_mitigation(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("file", "fn_ord", "finding_pos", "query_text")
+
+
+@register("mitigation_context")
+def mitigation_context(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    return M.contexts(c, B.mitigation_query_vectors(spark, sf_dir), _kb(spark, sf_dir))
+
+
+@register("mitigation_prompts")
+def mitigation_prompts(spark, sf_dir):
+    p = PR.mitigation_prompts(_with_context(spark, sf_dir))
+    return p.select("file", "fn_ord", "finding_pos", M.request_id().alias("request_id"), "prompt")
+
+
+@register("mitigation_repair")
+def mitigation_repair(spark, sf_dir):
+    c = _candidates(spark, sf_dir).withColumn("request_id", M.request_id())
+    r = B.mitigation_replies(spark, sf_dir)
+    j = c.select("file", "fn_ord", "finding_pos", "request_id").join(r, "request_id")
+    rep = M.repair(j).withColumn("parse_ok", text_ok("repaired"))
+    return rep.select("file", "fn_ord", "finding_pos", "repaired", "parse_ok")
+
+
+def text_ok(c):
+    from .functions import text as T
+    return T.parse_json_object(c).isNotNull()
+
+
+@register("mitigation_parse")
+def mitigation_parse(spark, sf_dir):
+    m = _mitigation_rows(spark, sf_dir)
+    return m.select("file", "fn_ord", "finding_pos", "function", "cwe_id", "severity",
+                    "explanation", "fixed_code",
+                    F.array_join("hardening", " | ").alias("hardening_text"),
+                    F.array_join("references", ", ").alias("references_text"),
+                    "raw_response", "error")
+
+
+@register("mitigation_report")
+def mitigation_report(spark, sf_dir):
+    return M.report(_mitigation_rows(spark, sf_dir))
+
+
+@register("mitigation_preview")
+def mitigation_preview(spark, sf_dir):
+    return M.preview(_mitigation_rows(spark, sf_dir))
+
+
+@register("combined_report")
+def combined_report(spark, sf_dir):
+    analysis = A.analyze_result(B.app_functions(spark, sf_dir), ranked(spark, sf_dir))
+    return M.combined(analysis, M.report(_mitigation_rows(spark, sf_dir)))
