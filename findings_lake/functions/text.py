@@ -13,7 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's str.isspace() / re ``\s`` accept.
+# The characters Python's str.isspace() / re ``\s`` accept,
+# as a literal set and as a Java regex class.
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
 PY_WS = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\xA0\\x{1680}\\x{2000}-\\x{200A}"
          "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
 
@@ -31,16 +35,20 @@ def _col(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()``: Python whitespace at both ends."""
-    return F.regexp_replace(_col(c), f"^{PY_WS}+|{PY_WS}+\\z", "")
+    """``str.strip()``: Python whitespace at both ends (a character-set
+    trim, no regex scan)."""
+    return F.trim(_col(c), F.lit(PY_WS_CHARS))
 
 
 def strip_fences(c) -> Column:
-    """Strip, drop opening/closing markdown fences on any line, strip."""
+    """Strip, drop opening/closing markdown fences on any line, strip.
+
+    Both fence patterns need a backtick run, so texts without one skip the
+    regex passes.
+    """
     t = py_strip(c)
-    t = F.regexp_replace(t, FENCE_OPEN, "")
-    t = F.regexp_replace(t, FENCE_CLOSE, "")
-    return py_strip(t)
+    fenced = F.regexp_replace(F.regexp_replace(t, FENCE_OPEN, ""), FENCE_CLOSE, "")
+    return py_strip(F.when(t.contains("```"), fenced).otherwise(t))
 
 
 def _whole_value(t: Column) -> Column:
@@ -58,7 +66,8 @@ def _whole_value(t: Column) -> Column:
 
 def json_kind(v: Column) -> Column:
     """Top-level kind of a variant: ARRAY, OBJECT, STRING, VOID, BIGINT, ..."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    s = F.schema_of_variant(v)
+    return F.substring_index(F.substring_index(s, "<", 1), "(", 1)
 
 
 def parse_json_array(c) -> Column:

@@ -27,6 +27,9 @@ SCALE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Many small fuzz-output / report files: pack them into fewer splits.
     "spark.sql.files.openCostInBytes": str(1 << 20),
+    # Parsing after a shuffle is CPU-bound: do not coalesce small shuffles
+    # below one task per core.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 << 10),
 }
 
 
