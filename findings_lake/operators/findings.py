@@ -28,15 +28,32 @@ def filter_min_severity(findings: DataFrame, min_severity: str = sev.DEFAULT_MIN
     return findings.where(sev.at_least("severity", min_severity))
 
 
+def report_findings(findings: DataFrame, min_severity: str = sev.DEFAULT_MIN_SEVERITY) -> DataFrame:
+    """V2 + V3 without a shuffle: filter and add ``sev_rank``.
+
+    The report order inside a function is the stable sort by rank desc, i.e.
+    the key ``(-sev_rank, finding_pos)`` (``order_key``); every consumer
+    sorts or takes minima by that key, so no dense position is needed and
+    the findings never have to be shuffled by function just to be numbered.
+    """
+    return (filter_min_severity(findings, min_severity)
+            .withColumn("sev_rank", sev.rank("severity")))
+
+
+def order_key():
+    """Position of a finding in its function's report list, as a sort key."""
+    return F.struct((-F.col("sev_rank")).alias("neg_rank"), F.col("finding_pos"))
+
+
 def rank_within_function(findings: DataFrame, min_severity: str = sev.DEFAULT_MIN_SEVERITY) -> DataFrame:
-    """V2 + V3: filter, then ``rank_pos`` = stable order by rank desc.
+    """V3 with an explicit dense ``rank_pos`` (0, 1, ...) per function.
 
-    The window is partitioned by function, so a task only ever sorts one
-    reply's findings.
+    Only for outputs that must show the number: it costs a shuffle by
+    function (a partition is one model reply's findings, bounded by the
+    reply length).
     """
     w = Window.partitionBy(*FN_KEY).orderBy(F.desc("sev_rank"), F.asc("finding_pos"))
-    return (filter_min_severity(findings, min_severity)
-            .withColumn("sev_rank", sev.rank("severity"))
+    return (report_findings(findings, min_severity)
             .withColumn("rank_pos", (F.row_number().over(w) - 1).cast("int")))
 
 
@@ -48,7 +65,7 @@ def nest_findings(functions: DataFrame, ranked: DataFrame) -> DataFrame:
     """
     per_fn = (ranked.groupBy(*FN_KEY)
               .agg(F.array_sort(F.collect_list(
-                  F.struct("rank_pos", *FINDING_FIELDS))).alias("_f")))
+                  F.struct(order_key().alias("_k"), *FINDING_FIELDS))).alias("_f")))
     per_fn = per_fn.select(*FN_KEY, F.transform(
         "_f", lambda x: F.struct(*[x[c].alias(c) for c in FINDING_FIELDS])).alias("findings"))
     cols = ["file", "fn_ord", F.col("name").alias("function"),
@@ -130,11 +147,13 @@ def analyze_result(functions: DataFrame, ranked: DataFrame) -> DataFrame:
 
     ``summary`` is the sparse count map in first-appearance order of the
     flattened findings (function order, then report order), like a Python
-    ``Counter`` turned into a dict.
+    ``Counter`` turned into a dict. Within one function all findings of a
+    level share a rank, so the first one by ``(fn_ord, order_key)`` is the
+    first in the flattened list.
     """
     first = (ranked.groupBy("file", "severity")
              .agg(F.count(F.lit(1)).alias("n"),
-                  F.min(F.struct("fn_ord", "rank_pos")).alias("first_at")))
+                  F.min(F.struct("fn_ord", order_key().alias("k"))).alias("first_at")))
     per_file = first.groupBy("file").agg(
         F.array_sort(F.collect_list(F.struct("first_at", "severity", "n"))).alias("_s"),
         F.sum("n").alias("total_findings"))

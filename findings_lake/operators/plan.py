@@ -1,7 +1,9 @@
 """Fuzz-job planning.
 
-Input: report-ordered findings per target file (``file, fn_ord, rank_pos,
-cwe_id, cwe_name, severity``). Output: a job table, not a shell script.
+Input: report findings per target file (``file, fn_ord, cwe_id, cwe_name,
+severity`` and either ``rank_pos`` - the position in a report read back - or
+``finding_pos``, the reply position; within one function and one rank both
+give the report order). Output: a job table, not a shell script.
 
 Scale notes: the CWE dedupe is an aggregation (``min`` of an order struct)
 so a CWE that holds a third of all findings is absorbed by map-side partial
@@ -36,7 +38,8 @@ def dedupe_cwes(findings: DataFrame) -> DataFrame:
     A missing severity counts as LOW, an unknown one as rank 0.
     """
     r = sev.rank(F.coalesce(F.col("severity"), F.lit("LOW")))
-    key = F.struct((-r).alias("neg_rank"), F.col("fn_ord"), F.col("rank_pos"))
+    pos = "rank_pos" if "rank_pos" in findings.columns else "finding_pos"
+    key = F.struct((-r).alias("neg_rank"), F.col("fn_ord"), F.col(pos).alias("pos"))
     firsts = (findings.where(F.coalesce(F.col("cwe_id"), F.lit("")) != "")
               .groupBy("file", "cwe_id")
               .agg(F.min(F.struct(key.alias("k"), F.col("cwe_name"), F.col("severity")))

@@ -78,7 +78,7 @@ def scan_results(functions: DataFrame, replies: DataFrame,
                          .alias("request_id")), replies)
     fns = functions.join(status.select("file", "fn_ord", "error"), ["file", "fn_ord"], "left")
     allv = J.findings_from_replies(replies, keep_quarantine=True)
-    ranked = A.rank_within_function(allv.where(F.col("quarantine_reason").isNull()), min_severity)
+    ranked = A.report_findings(allv.where(F.col("quarantine_reason").isNull()), min_severity)
     files = fns.select("file").distinct()
     return ScanResult(
         findings=ranked,
@@ -93,7 +93,7 @@ def plan_jobs(findings: DataFrame, targets: DataFrame, wordlist_map: DataFrame,
               max_wordlists: int = P.DEFAULT_MAX_WORDLISTS,
               match_codes: str = P.DEFAULT_MATCH_CODES, url_encode: bool = True) -> DataFrame:
     """The fuzz job table. ``findings`` need ``function`` order keys
-    (``fn_ord``, ``rank_pos``); ``targets``: ``file, target_url``."""
+    (``fn_ord`` and ``rank_pos`` or ``finding_pos``); ``targets``: ``file, target_url``."""
     return P.plan_jobs(findings, targets, wordlist_map, max_wordlists, match_codes, url_encode)
 
 

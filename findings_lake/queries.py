@@ -48,7 +48,8 @@ def validated(spark, sf_dir) -> DataFrame:
 
 
 def ranked(spark, sf_dir, min_severity: str = sev.DEFAULT_MIN_SEVERITY) -> DataFrame:
-    return A.rank_within_function(validated(spark, sf_dir), min_severity)
+    """Report findings (filtered, ``sev_rank``), no shuffle."""
+    return A.report_findings(validated(spark, sf_dir), min_severity)
 
 
 # ---------------------------------------------------------------------------
@@ -115,7 +116,8 @@ def findings_min_severity(spark, sf_dir):
 
 @register("findings_ranked")
 def findings_ranked(spark, sf_dir):
-    return ranked(spark, sf_dir).select("file", "fn_ord", "finding_pos", "severity", "rank_pos")
+    return A.rank_within_function(validated(spark, sf_dir)).select(
+        "file", "fn_ord", "finding_pos", "severity", "rank_pos")
 
 
 @register("findings_flatten")
