@@ -157,3 +157,38 @@ FROM (SELECT file, count(*) AS functions_scanned FROM fnames GROUP BY file) s
 LEFT JOIN (SELECT file, count(*) AS total FROM ranked GROUP BY file) t USING (file)
 LEFT JOIN (SELECT file, count(*) AS total, count(error) AS n_errors FROM ({parsed}) GROUP BY file) m
   USING (file)"""
+
+
+REPLY_TEXT_CTE = """
+el AS (
+  SELECT fn_id, finding_pos,
+         CASE WHEN is_object THEN
+           '{' || (CASE WHEN cwe_raw IS NULL THEN '' ELSE '"cwe_id": "' || cwe_raw || '", ' END)
+           || '"cwe_name": "' || cwe_name || '", '
+           || (CASE WHEN NOT severity_null THEN '"severity": "' || severity_raw || '", '
+                    WHEN k % 2 = 0 THEN '"severity": null, ' ELSE '' END)
+           || '"confidence": ' || conf_text || ', "line_hint": "' || line_hint
+           || '", "description": "' || description || '", "evidence": "' || evidence
+           || '", "solution": "' || solution || '", "references": ['
+           || array_to_string(list_transform(refs, lambda r: '"' || r || '"'), ', ') || ']}'
+         ELSE '"see above"' END AS elem
+  FROM bf
+),
+arrs AS (
+  SELECT fn_id, '[' || string_agg(elem, ', ' ORDER BY finding_pos) || ']' AS arr
+  FROM el GROUP BY fn_id
+)
+"""
+
+
+def replies_text(q: dict[str, str]) -> None:
+    w = "WITH " + FINDINGS_CTE.strip() + "," + REPLY_TEXT_CTE.strip()
+    q["reply_fence_strip"] = w + """
+SELECT f.file, f.fn_ord,
+       CASE WHEN f.fn_id % 11 = 10 THEN NULL
+            WHEN f.fn_id % 5 IN (0, 1) THEN a.arr
+            WHEN f.fn_id % 5 = 2 THEN 'Here are the findings:' || chr(10) || a.arr || chr(10)
+                                      || 'Let me know if you need more.'
+            WHEN f.fn_id % 5 = 3 THEN '{"findings": ' || a.arr || '}'
+            ELSE trim(substring(a.arr, 1, length(a.arr) // 2)) END AS text
+FROM fns f JOIN arrs a USING (fn_id)"""

@@ -221,6 +221,7 @@ FROM fnames""")
     from . import oracle_more
     oracle_more.corpus(q)
     oracle_more.mitigations(q)
+    oracle_more.replies_text(q)
     return q
 
 
