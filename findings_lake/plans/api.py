@@ -30,6 +30,7 @@ from ..operators import plan as P
 from ..operators import prompts as PR
 from ..operators import replies as J
 from ..operators import retrieve as R
+from ..session import materialize
 
 retrieve = R.retrieve
 
@@ -70,14 +71,21 @@ class ScanResult:
 
 
 def scan_results(functions: DataFrame, replies: DataFrame,
-                 min_severity: str = sev.DEFAULT_MIN_SEVERITY) -> ScanResult:
-    """Replies -> findings and report tables."""
+                 min_severity: str = sev.DEFAULT_MIN_SEVERITY,
+                 checkpoint: bool = True) -> ScanResult:
+    """Replies -> findings and report tables.
+
+    The validated findings feed six outputs; with ``checkpoint`` they are
+    parsed once and written to the shared checkpoint folder.
+    """
     status = J.pair_replies(
         functions.select("file", "fn_ord",
                          F.concat("file", F.lit("#"), F.col("fn_ord").cast("string"))
                          .alias("request_id")), replies)
     fns = functions.join(status.select("file", "fn_ord", "error"), ["file", "fn_ord"], "left")
     allv = J.findings_from_replies(replies, keep_quarantine=True)
+    if checkpoint:
+        allv = materialize(allv)
     ranked = A.report_findings(allv.where(F.col("quarantine_reason").isNull()), min_severity)
     files = fns.select("file").distinct()
     return ScanResult(

@@ -56,6 +56,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint
+    folder (never a local, executor-held copy): a lost executor then costs
+    a re-read, not a recomputation from the sources."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "findings_lake") -> SparkSession:
     builder = (

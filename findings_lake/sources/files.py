@@ -56,10 +56,10 @@ REPORT_SCHEMA = T.StructType([
 
 def whole_text(spark: SparkSession, path: str, glob: str | None = None,
                recursive: bool = False) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = reader.text(path)
+    # text()'s own wholetext argument defaults to False and would override
+    # an .option("wholetext", ...), so it is passed here.
+    df = spark.read.text(path, wholetext=True, pathGlobFilter=glob,
+                         recursiveFileLookup=recursive)
     return df.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
@@ -82,6 +82,20 @@ def read_scan_reports(spark: SparkSession, path: str) -> DataFrame:
         T.ArrayType(RESULT_STRUCT))))
 
 
+def read_scan_results(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Result rows written by ``sinks.write_scan_reports`` (one per
+    function, ``findings`` nested)."""
+    return spark.read.schema(RESULT_STRUCT).json(f"{out_dir}/results")
+
+
+def results_findings(results: DataFrame) -> DataFrame:
+    """A1 over written result rows: functions x findings in report order."""
+    return (results.select("file", "fn_ord", "function",
+                           F.posexplode(F.coalesce("findings", F.array().cast(
+                               T.ArrayType(FINDING_STRUCT)))).alias("rank_pos", "f"))
+            .select("file", "fn_ord", "function", F.col("rank_pos").cast("int"), "f.*"))
+
+
 def report_findings(reports: DataFrame) -> DataFrame:
     """A1 over report documents: results x findings in order."""
     r = reports.select(F.col("meta.target").alias("target"),

@@ -1,11 +1,9 @@
 """Report sinks.
 
 Every writer is a distributed Spark write; nothing is assembled on the
-driver. A scan report is one JSON document per target file (its results
-array is bounded by the functions of one source file). Reports whose size
-grows with the whole corpus (fuzz jobs, mitigations) are written as a
-summary document plus JSON-lines rows, so no single row or task holds the
-whole corpus.
+driver. A report whose size grows with the data (scan results of a target,
+fuzz jobs, mitigations) is written as a small summary document plus
+JSON-lines rows, so no single row or task holds a whole target or corpus.
 """
 
 from __future__ import annotations
@@ -23,25 +21,17 @@ def scan_date() -> F.Column:
     return F.concat(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
 
 
-def scan_documents(nested: DataFrame, ranked: DataFrame, model: str = "llama3",
+def scan_summaries(nested: DataFrame, ranked: DataFrame, model: str = "llama3",
                    duration_s: float = 0.0) -> DataFrame:
-    """S9 input: one row per target file shaped like the reference's report
-    (``meta``, ``summary`` with a zero-filled ``by_severity``, ``results``)."""
-    per_file = (nested.groupBy("file").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "fn_ord", "function", F.col("file").alias("file_"), "line_start", "line_end",
-            *([F.col("error")] if "error" in nested.columns else []), "findings"))).alias("_r"),
+    """S9 header rows: per target file, ``meta`` and ``summary`` (with a
+    zero-filled ``by_severity``), from aggregations only."""
+    per_file = nested.groupBy("file").agg(
         F.count(F.lit(1)).alias("total_functions"),
         F.count_if(F.size("findings") > 0).alias("functions_with_findings"),
-        F.sum(F.size("findings")).cast("long").alias("total_findings")))
+        F.sum(F.size("findings")).cast("long").alias("total_findings"))
     counts = ranked.groupBy("file").agg(
         *[F.count_if(F.col("severity") == s).alias(s) for s in sev.SEVERITY_LEVELS])
     j = per_file.join(counts, "file", "left").fillna(0, subset=sev.SEVERITY_LEVELS)
-    results = F.transform("_r", lambda r: F.struct(
-        r["function"].alias("function"), r["file_"].alias("file"),
-        r["line_start"].alias("line_start"), r["line_end"].alias("line_end"),
-        r["findings"].alias("findings"),
-        *([r["error"].alias("error")] if "error" in nested.columns else [])))
     return j.select(
         "file",
         F.struct(F.lit(A.REPORT_TOOL).alias("tool"), F.lit(A.REPORT_VERSION).alias("version"),
@@ -50,14 +40,28 @@ def scan_documents(nested: DataFrame, ranked: DataFrame, model: str = "llama3",
                  rounding.round2(F.lit(float(duration_s))).alias("duration_s")).alias("meta"),
         F.struct("total_functions", "functions_with_findings", "total_findings",
                  F.struct(*[F.col(s) for s in sev.SEVERITY_LEVELS]).alias("by_severity"))
-        .alias("summary"),
-        results.alias("results"))
-
-
-def write_scan_reports(docs: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    """JSON documents, one directory per target file."""
-    (docs.withColumn("target", F.col("file")).drop("file")
-     .write.mode(mode).partitionBy("target").json(out_dir))
+        .alias("summary"))
+
+
+def scan_results(nested: DataFrame) -> DataFrame:
+    """S9 result rows: one per function, in report order by ``fn_ord``."""
+    cols = ["file", "fn_ord", "function", "line_start", "line_end", "findings"]
+    if "error" in nested.columns:
+        cols.append("error")
+    return nested.select(*cols)
+
+
+def write_scan_reports(nested: DataFrame, ranked: DataFrame, out_dir: str,
+                       model: str = "llama3", duration_s: float = 0.0,
+                       mode: str = "overwrite") -> None:
+    """Per target file a ``summary`` document (meta + summary) and the
+    ``results`` as JSON lines, both partitioned by target. No row ever holds
+    more than one function, so a file with a huge share of the corpus is
+    still written by many tasks."""
+    (scan_summaries(nested, ranked, model, duration_s).withColumnRenamed("file", "target")
+     .write.mode(mode).partitionBy("target").json(f"{out_dir}/summary"))
+    (scan_results(nested).withColumn("target", F.col("file"))
+     .write.mode(mode).partitionBy("target").json(f"{out_dir}/results"))
 
 
 def write_fuzz_report(jobs: DataFrame, out_dir: str, mode: str = "overwrite") -> None:

@@ -58,7 +58,7 @@ def map_from_text(text_df: DataFrame, col: str = "value") -> DataFrame:
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     """Read a map file (whole text) into the map table."""
-    return map_from_text(spark.read.text(path, wholetext=True))
+    return map_from_text(spark.read.text(path, wholetext=True))  # one row per file
 
 
 def map_table(spark: SparkSession, mapping: dict | None = None) -> DataFrame:

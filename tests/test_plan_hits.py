@@ -57,7 +57,7 @@ def test_fuzz_files_from_directory(spark, tmp_path):
         "config": {"wordlist": "w", "url": "u"},
         "results": [{"url": "a", "status": 200, "length": 1, "words": 2, "input": {"FUZZ": "p"}},
                     {"url": "b", "status": 404}, {"url": "c", "status": 403}]}))
-    (d / "ffuf_CWE_89.json").write_text(json.dumps({"results": [{"url": "n", "status": 200}]}))
+    (d / "ffuf_CWE_89.json").write_text(json.dumps({"results": [{"url": "n", "status": 200}]}, indent=2))
     (d / "ffuf_x.json").write_text('{"results": [')
     (d / "other.json").write_text("{}")
     jobs = H.parse_files(FS.read_fuzz_outputs(spark, str(d)), "200, 403")

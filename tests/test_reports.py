@@ -16,19 +16,31 @@ def test_scan_report_round_trip(spark, tmp_path):
     fns = Q.app_functions_with_status(spark, SF001)
     ranked = Q.ranked(spark, SF001)
     nested = A.nest_findings(fns, ranked)
-    docs = S.scan_documents(nested, ranked, duration_s=12.345)
     out = str(tmp_path / "reports")
-    S.write_scan_reports(docs, out)
-    one = [p for p in os.listdir(out) if p.startswith("target=")][0]
-    part = [p for p in os.listdir(os.path.join(out, one)) if p.endswith(".json")][0]
-    doc = json.loads(open(os.path.join(out, one, part)).readline())
-    assert doc["meta"]["tool"] == "vuln_scanner" and doc["meta"]["scan_date"].endswith("Z")
-    assert doc["meta"]["duration_s"] == 12.35 or doc["meta"]["duration_s"] == round(12.345, 2)
-    assert set(doc["summary"]["by_severity"]) == {"CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"}
-    back = FS.report_findings(FS.read_scan_reports(spark, out))
+    S.write_scan_reports(nested, ranked, out, duration_s=12.345)
+    head = spark.read.json(f"{out}/summary").orderBy("target").first()
+    assert head.meta.tool == "vuln_scanner" and head.meta.scan_date.endswith("Z")
+    assert head.meta.duration_s == round(12.345, 2)
+    assert set(head.summary.by_severity.asDict()) == {"CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"}
+    back = FS.results_findings(FS.read_scan_results(spark, out))
     assert back.count() == ranked.count()
-    flat = A.flatten_findings(nested)
-    assert flat.count() == ranked.count()
+    a = sorted((r.file, r.fn_ord, r.rank_pos, r.cwe_id) for r in back.collect())
+    b = sorted((r.file, r.fn_ord, r.rank_pos, r.cwe_id) for r in A.flatten_findings(nested).collect())
+    assert a == b
+
+
+def test_reference_report_document(spark, tmp_path):
+    doc = {"meta": {"tool": "vuln_scanner", "target": "/x/t.py"},
+           "summary": {"total_functions": 2},
+           "results": [{"function": "f", "line_start": 1, "line_end": 3,
+                        "findings": [{"cwe_id": "CWE-89", "severity": "HIGH", "references": []}]},
+                       {"function": "g", "findings": []}]}
+    p = tmp_path / "vuln_report.json"
+    p.write_text(json.dumps(doc, indent=2))
+    rows = FS.report_findings(FS.read_scan_reports(spark, str(p))).collect()
+    assert [(r.function, r.cwe_id, r.rank_pos) for r in rows] == [("f", "CWE-89", 0)]
+    (tmp_path / "empty.json").write_text('{"meta": {}}')
+    assert FS.report_findings(FS.read_scan_reports(spark, str(tmp_path / "empty.json"))).count() == 0
 
 
 def test_invariants(spark):
