@@ -50,8 +50,20 @@ FUZZ_FILE_SPAN = 1000    # event ids per fuzzer output file
 TARGET_BASE = "http://t.example"
 
 
+_SPLITS: dict[str, int] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table. One that arrives in fewer splits than the cluster has
+    cores (a single small row group) is spread round-robin first, because
+    the bindings do CPU-heavy text building per row; a large, many-split
+    table is read as it is (no extra shuffle)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if path not in _SPLITS:
+        _SPLITS[path] = df.rdd.getNumPartitions()
+    return df.repartition(cores) if _SPLITS[path] < cores else df
 
 
 def _k() -> Column:
