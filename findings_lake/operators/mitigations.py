@@ -34,8 +34,9 @@ def candidates(findings: DataFrame, min_severity: str = sev.DEFAULT_MITIGATION_S
     ``apply_floor`` the threshold is first floored to MEDIUM (HIGH and
     CRITICAL pass), as the orchestrating client does."""
     level = sev.mitigation_floor(min_severity) if apply_floor else min_severity
-    return findings.where(sev.at_least("severity", level)).withColumn(
+    out = findings.where(sev.at_least("severity", level)).withColumn(
         "min_severity_filter", F.lit(level))
+    return out.drop("request_id")  # a scan reply id is not a mitigation request id
 
 
 def attach_source(cands: DataFrame, functions: DataFrame) -> DataFrame:
@@ -122,13 +123,16 @@ def parse(repaired: DataFrame) -> DataFrame:
         .when(~ok, F.lit(PARSE_ERROR)).alias("error"))
 
 
-def mitigation_rows(prompts: DataFrame, replies: DataFrame) -> DataFrame:
-    """P3 for mitigations: prompts left-join replies on ``request_id``,
-    then repair and parse."""
+def mitigation_rows(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """P3 for mitigations: the requested findings (candidates or their
+    prompts, with ``request_id``) left-join the replies, then repair and
+    parse. The prompt text itself is not needed to read a reply back."""
     keep = [c for c in ("file", "fn_ord", "finding_pos", "function", "cwe_id", "severity",
-                        "min_severity_filter", "request_id") if c in prompts.columns]
+                        "min_severity_filter") if c in requests.columns]
+    requests = requests.withColumn("request_id", request_id())  # one request per finding
+    keep.append("request_id")
     r = replies.select("request_id", "raw", F.col("error").alias("call_error"))
-    return parse(repair(prompts.select(*keep).join(r, "request_id", "left")))
+    return parse(repair(requests.select(*keep).join(r, "request_id", "left")))
 
 
 def report(rows: DataFrame) -> DataFrame:

@@ -257,9 +257,7 @@ def _with_context(spark, sf_dir):
 
 
 def _mitigation_rows(spark, sf_dir):
-    prompts = PR.mitigation_prompts(_with_context(spark, sf_dir)).withColumn(
-        "request_id", M.request_id())
-    return M.mitigation_rows(prompts, B.mitigation_replies(spark, sf_dir))
+    return M.mitigation_rows(_candidates(spark, sf_dir), B.mitigation_replies(spark, sf_dir))
 
 
 @register("mitigation_candidates")
