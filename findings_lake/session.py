@@ -43,13 +43,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names; a private
-    folder is only made when the setting is absent (tests, local runs).
+    On a cluster this is whatever ``spark.checkpoint.dir`` names (leaving it
+    unset there is an error); a private folder is only made in local mode
+    when the setting is absent (tests).
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="findings-lake-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        d = tempfile.mkdtemp(prefix="findings-lake-ckpt-")  # local mode only (tests)
         sc.setCheckpointDir(d)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
