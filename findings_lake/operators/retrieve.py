@@ -35,6 +35,7 @@ QUERY_PREFIX = "search_query: "
 SOURCES = ("CWE", "CVE")
 MAX_BLOCK_BYTES = 256 << 20          # per broadcast KB block
 MAX_BROADCAST_ATTR_BYTES = 64 << 20  # hydrate join: broadcast the KB rows below this
+MAX_SCORE_BYTES = 64 << 20           # per-task score matrix (query slice x block rows)
 
 TOPN_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType()),
@@ -135,12 +136,15 @@ def _topn_batch(qids, scores, pos, src_codes, n, top_k):
 def _block_scorer(bc, n: int, top_k: int):
     def score(batches):
         pos, src_codes, mat = bc.value
+        # Queries are scored in slices so the score matrix stays under
+        # MAX_SCORE_BYTES whatever the Arrow batch size and block size.
+        step = max(1, MAX_SCORE_BYTES // max(1, mat.shape[0] * 8))
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            s = q @ mat.T
-            yield _topn_batch(pdf["query_id"].astype(str).to_numpy(), s, pos, src_codes, n, top_k)
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo:lo + step]
+                q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                yield _topn_batch(part["query_id"].astype(str).to_numpy(), q @ mat.T,
+                                  pos, src_codes, n, top_k)
     return score
 
 
@@ -162,11 +166,18 @@ def kb_blocks(chunks: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> list
 
 def _collect_block(block: DataFrame):
     """Driver copy of one size-checked block, to broadcast."""
-    tbl = block.select("chunk_pos", "source", "embedding").toArrow()
+    tbl = block.select("chunk_pos", (F.col("source") == "CVE").cast("byte").alias("src"),
+                       "embedding").toArrow()
     pos = tbl.column("chunk_pos").to_numpy()
-    src = np.array([SOURCES.index(s) for s in tbl.column("source").to_pylist()], dtype=np.int8)
-    emb = tbl.column("embedding").to_pylist()
-    mat = np.asarray(emb, dtype=np.float64) if emb else np.zeros((0, 0))
+    src = tbl.column("src").to_numpy().astype(np.int8)
+    emb = tbl.column("embedding").combine_chunks()
+    lengths = emb.value_lengths().to_numpy(zero_copy_only=False) if len(emb) else np.zeros(0)
+    if len(emb) and (lengths == lengths[0]).all():
+        # fixed dimension: one contiguous buffer, no per-row Python objects
+        mat = emb.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(emb), -1)
+    else:
+        rows = emb.to_pylist()
+        mat = np.asarray(rows, dtype=np.float64) if rows else np.zeros((0, 0))
     return pos, src, mat
 
 

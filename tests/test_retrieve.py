@@ -113,3 +113,11 @@ def test_context_headers(spark):
     first, second = ctx.split("\n\n")
     assert first.startswith("[Ref 1 | c5 | relevance ")
     assert second.startswith("[Ref 2 | CVE-104 | CVSS 5.0 HIGH | CWE-1 | relevance 1.00]")
+
+
+def test_sliced_scoring_equals_batch(spark, monkeypatch):
+    kb, qs = _bench_inputs(spark)
+    base = sorted(map(tuple, R.top_n_per_source(qs, kb, top_k=4).collect()))
+    monkeypatch.setattr(R, "MAX_SCORE_BYTES", 1000)  # one query per slice
+    sliced = sorted(map(tuple, R.top_n_per_source(qs, kb, top_k=4).collect()))
+    assert base == sliced
