@@ -165,9 +165,3 @@ def analyze_result(functions: DataFrame, ranked: DataFrame) -> DataFrame:
                     F.coalesce(summary, F.lit("")).alias("summary"),
                     F.coalesce("total_findings", F.lit(0)).cast("long").alias("total_findings"),
                     "functions_scanned"))
-
-
-def report_meta(target: str | None = None, model: str = "llama3") -> list:
-    """A10: report meta columns (date and duration filled at write time)."""
-    return [F.lit(REPORT_TOOL).alias("tool"), F.lit(REPORT_VERSION).alias("version"),
-            F.lit(model).alias("model")]

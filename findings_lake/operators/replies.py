@@ -1,9 +1,9 @@
 """Model replies -> validated findings.
 
 Input ``replies``: ``request_id, file, fn_ord, raw, error`` (one row per
-model call). All work is narrow (per reply row) except nothing: parsing,
-exploding and validating never shuffle, so this stage scales with the number
-of replies and keeps each reply's elements together in one task.
+model call). Parsing, exploding and validating are narrow (per reply row):
+they never shuffle, so this stage scales with the number of replies and
+keeps each reply's elements together in one task.
 """
 
 from __future__ import annotations
@@ -18,9 +18,6 @@ DEFAULT_CWE_ID = "CWE-Unknown"
 DEFAULT_CONFIDENCE = 0.5
 TEXT_FIELDS = ["cwe_name", "line_hint", "description", "evidence", "solution"]
 
-FINDING_COLUMNS = ["file", "fn_ord", "finding_pos", "cwe_id", "cwe_name", "severity",
-                   "confidence", "line_hint", "description", "evidence", "solution",
-                   "references"]
 
 
 def strip_reply(replies: DataFrame) -> DataFrame:

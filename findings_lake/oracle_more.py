@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle_sql import FINDINGS_CTE, KB_CTE, RETRIEVE_CTE, _scores, rank, round2
+from .oracle_sql import FINDINGS_CTE, KB_CTE, RETRIEVE_CTE
 from .operators.prompts import (MITIGATION_SYSTEM_PROMPT, MITIGATION_TEMPLATE, SCAN_TEMPLATE,
                                 SYSTEM_PROMPT, render_sql)
 

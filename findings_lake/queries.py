@@ -169,7 +169,7 @@ def scan_report(spark, sf_dir):
         F.array_join(F.transform("findings", lambda f: F.concat(f["cwe_id"], F.lit(":"),
                                                                    f["severity"])), "|")
         .alias("findings_text"),
-        "error", *A.report_meta()[:2])
+        "error", F.lit(A.REPORT_TOOL).alias("tool"), F.lit(A.REPORT_VERSION).alias("version"))
 
 
 @register("analyze_result")

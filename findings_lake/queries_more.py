@@ -237,7 +237,6 @@ def scan_prompts(spark, sf_dir):
 # ---------------------------------------------------------------------------
 from .operators import findings as A  # noqa: E402
 from .operators import mitigations as M  # noqa: E402
-from .queries import app_functions_with_status  # noqa: E402
 
 MITIGATION_MIN_SEVERITY = "LOW"  # floored to MEDIUM (V5)
 
