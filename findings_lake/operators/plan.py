@@ -61,8 +61,11 @@ def lookup_wordlists(cwes: DataFrame, wordlist_map: DataFrame,
     j = (cwes.join(m, "cwe_id", "left")
          .withColumn("_dk", F.lit(WL.DEFAULT_KEY))
          .join(d, "_dk", "left"))
-    lists = F.slice(F.coalesce("_own", "_def", F.array().cast("array<string>")), 1,
-                    max(0, max_wordlists)) if max_wordlists > 0 else F.array().cast("array<string>")
+    full = F.coalesce("_own", "_def", F.array().cast("array<string>"))
+    # ``lists[:n]`` with Python's meaning of a negative n (drop from the end)
+    keep = F.lit(max_wordlists) if max_wordlists >= 0 else \
+        F.greatest(F.size(full) + max_wordlists, F.lit(0))
+    lists = F.slice(full, 1, keep)
     return (j.select(*cwes.columns, F.posexplode(lists).alias("job_pos", "wordlist"))
             .withColumn("job_pos", F.col("job_pos").cast("int")))
 

@@ -85,3 +85,11 @@ def test_file_name_rule(spark):
                                "file string")
     assert [r[0] for r in df.select(H.cwe_from_name(df.file)).collect()] == ["CWE-89", "CWE-89", None]
     assert H.match_code_set("200, 403") == [200, 403]
+
+
+def test_wordlist_cap_python_slice(spark):
+    f = findings_df(spark, [("CWE-79", "HIGH")])
+    cw = P.dedupe_cwes(f)
+    m = WL.map_table(spark)
+    n = {cap: P.lookup_wordlists(cw, m, cap).count() for cap in (0, 1, 2, 10, -1, -5)}
+    assert n == {0: 0, 1: 1, 2: 2, 10: 4, -1: 3, -5: 0}
