@@ -49,3 +49,44 @@ def test_triple_quote_repair(spark):
     assert got[1] == rows[1]
     assert got[2] == 'x "1" y "2" z'
     assert df.select(F.lit(1)).count() == 3
+
+
+def _py_repair(s):
+    """Plain-Python statement of the triple-quote repair rule."""
+    import re
+
+    def esc(m):
+        x = m.group(1)
+        for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            x = x.replace(a, b)
+        return '"' + x + '"'
+    return re.sub(r'"""(.*?)"""', esc, s, flags=re.S)
+
+
+def test_triple_quote_repair_matches_python(spark):
+    rng = random.Random(11)
+    alphabet = ['"', '"', '"', "a", "b", "\n", "\\", "\t", " ", "x"]
+    rows = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
+    got = {r.i: r.o for r in df.select("i", text.repair_triple_quotes("t").alias("o")).collect()}
+    for i, r in enumerate(rows):
+        assert got[i] == _py_repair(r), repr(r)
+
+
+def test_fixed_code_lift_matches_python(spark):
+    import re
+    from findings_lake.operators.mitigations import FIXED_CODE_LIFT
+    py = re.compile(r'"fixed_code"\s*:\s*"(.*?)"(?=\s*,\s*"|\s*})', re.S)
+    rng = random.Random(5)
+    parts = ['"fixed_code"', ": ", ':', '"', "x", "\\n", ", ", '"h"', "}", "\n", " ", "{"]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(800)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
+    sel = df.select("i", F.regexp_extract("t", FIXED_CODE_LIFT, 1).alias("pre"),
+                    F.regexp_extract("t", FIXED_CODE_LIFT, 2).alias("code"))
+    got = {r.i: (r.pre, r.code) for r in sel.collect()}
+    for i, r in enumerate(rows):
+        m = py.search(r)
+        if m:
+            assert got[i] == (r[:m.start(1)], m.group(1)), repr(r)
+        else:
+            assert got[i][0] == "", repr(r)
