@@ -39,15 +39,27 @@ def candidates(findings: DataFrame, min_severity: str = sev.DEFAULT_MITIGATION_S
     return out.drop("request_id")  # a scan reply id is not a mitigation request id
 
 
-def attach_source(cands: DataFrame, functions: DataFrame) -> DataFrame:
+UNAVAILABLE_SOURCE = "# source unavailable for "
+
+
+def attach_source(cands: DataFrame, functions: DataFrame,
+                  file_status: DataFrame | None = None) -> DataFrame:
     """M1: source of the first function (pre-order) with the finding's
     function name in the same file; ``name_ambiguous`` marks names that
-    occur more than once (the reference silently takes the first)."""
+    occur more than once (the reference silently takes the first). With a
+    ``file_status`` table (``file, parse_ok``), a target that no longer
+    parses gets the ``# source unavailable for <name>`` comment."""
     by_name = functions.groupBy("file", F.col("name").alias("function")).agg(
         F.min_by("source", "fn_ord").alias("fn_source"),
         (F.count(F.lit(1)) > 1).alias("name_ambiguous"))
-    return (cands.join(by_name, ["file", "function"], "left")
-            .withColumn("fn_source", F.coalesce("fn_source", F.lit("")))
+    out = cands.join(by_name, ["file", "function"], "left")
+    missing = F.lit("")
+    if file_status is not None:
+        out = out.join(file_status.select("file", F.col("parse_ok").alias("_ok")), "file", "left")
+        missing = F.when(F.col("_ok") == F.lit(False),
+                         F.concat(F.lit(UNAVAILABLE_SOURCE), F.col("function"))).otherwise(missing)
+        out = out.withColumn("fn_source", F.coalesce("fn_source", missing)).drop("_ok")
+    return (out.withColumn("fn_source", F.coalesce("fn_source", F.lit("")))
             .withColumn("name_ambiguous", F.coalesce("name_ambiguous", F.lit(False))))
 
 

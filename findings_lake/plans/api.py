@@ -112,11 +112,14 @@ def parse_results(files: DataFrame, match_codes: str = H.DEFAULT_MATCH_CODES) ->
 
 def mitigation_prompts(findings: DataFrame, functions: DataFrame, query_vectors: DataFrame,
                        kb: DataFrame, min_severity: str = sev.DEFAULT_MITIGATION_SEVERITY,
-                       top_k: int = R.DEFAULT_TOP_K, apply_floor: bool = False) -> DataFrame:
+                       top_k: int = R.DEFAULT_TOP_K, apply_floor: bool = False,
+                       file_status: DataFrame | None = None) -> DataFrame:
     """One prompt per finding at or above the
     threshold. ``findings`` need ``function`` (the name); ``query_vectors``:
-    ``query_text, embedding``."""
-    c = M.query_text(M.attach_source(M.candidates(findings, min_severity, apply_floor), functions))
+    ``query_text, embedding``; ``file_status`` (from ``scan_queries``) marks
+    targets that no longer parse."""
+    c = M.query_text(M.attach_source(M.candidates(findings, min_severity, apply_floor),
+                                     functions, file_status))
     ctx = M.contexts(c, query_vectors, kb, top_k)
     p = PR.mitigation_prompts(c.join(ctx, "query_text", "left"))
     return p.withColumn("request_id", M.request_id())

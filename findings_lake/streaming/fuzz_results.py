@@ -51,15 +51,25 @@ def start_jobs_sink(jobs: DataFrame, out_dir: str, checkpoint: str | None = None
     return w.start()
 
 
-def start_cwe_totals(jobs: DataFrame, table: str, checkpoint: str | None = None,
-                     available_now: bool = True) -> StreamingQuery:
-    """Running H7/H8 totals per CWE, rewritten each batch into ``table``
-    (an in-memory table for inspection, or swap the sink)."""
-    totals = (jobs.groupBy("cwe_id")
-              .agg(F.count(F.lit(1)).alias("n_jobs"),
-                   F.count_if(F.col("error").isNotNull()).alias("n_errors"),
-                   F.sum("hit_count").cast("long").alias("total_hits")))
-    w = (totals.writeStream.format("memory").queryName(table).outputMode("complete")
-         .option("checkpointLocation", _ckpt(jobs.sparkSession, f"cwe_totals_{table}", checkpoint)))
+def cwe_totals(jobs: DataFrame) -> DataFrame:
+    """H7/H8 per CWE as a streaming aggregation (state: one row per CWE)."""
+    return (jobs.groupBy("cwe_id")
+            .agg(F.count(F.lit(1)).alias("n_jobs"),
+                 F.count_if(F.col("error").isNotNull()).alias("n_errors"),
+                 F.sum("hit_count").cast("long").alias("total_hits")))
+
+
+def start_cwe_totals(jobs: DataFrame, out: str, checkpoint: str | None = None,
+                     available_now: bool = True, in_memory: bool = False) -> StreamingQuery:
+    """Running totals per CWE. Each batch rewrites the parquet table at
+    ``out`` with the complete (small, one row per CWE) result; with
+    ``in_memory`` the result goes to a memory table named ``out`` instead,
+    for interactive inspection only (it lives on the driver)."""
+    ck = _ckpt(jobs.sparkSession, f"cwe_totals_{os.path.basename(out.rstrip('/'))}", checkpoint)
+    w = cwe_totals(jobs).writeStream.outputMode("complete").option("checkpointLocation", ck)
+    if in_memory:
+        w = w.format("memory").queryName(out)
+    else:
+        w = w.foreachBatch(lambda df, _epoch: df.write.mode("overwrite").parquet(out))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

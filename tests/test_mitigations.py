@@ -38,3 +38,11 @@ def test_source_backfill_first_name(spark):
                               "file string, fn_ord int, function string")
     got = {(r.file, r.fn_ord): (r.fn_source, r.name_ambiguous) for r in M.attach_source(c, fns).collect()}
     assert got == {("f.py", 2): ("A0", True), ("f.py", 1): ("B1", False), ("g.py", 0): ("", False)}
+
+
+def test_source_unavailable_for_broken_target(spark):
+    fns = spark.createDataFrame([("f.py", 0, "a", "A0")], "file string, fn_ord int, name string, source string")
+    st = spark.createDataFrame([("f.py", True), ("b.py", False)], "file string, parse_ok boolean")
+    c = spark.createDataFrame([("f.py", 0, "a"), ("b.py", 0, "x")], "file string, fn_ord int, function string")
+    got = {r.file: r.fn_source for r in M.attach_source(c, fns, st).collect()}
+    assert got == {"f.py": "A0", "b.py": "# source unavailable for x"}

@@ -73,13 +73,17 @@ def test_streaming_fuzz_results(spark, tmp_path):
             {"results": [{"url": "u", "status": 200}] * (i + 1)}))
     jobs = ST.job_stream(spark, str(d), "200")
     q1 = ST.start_jobs_sink(jobs, str(tmp_path / "out"), str(tmp_path / "ck1"))
-    q2 = ST.start_cwe_totals(jobs, "fuzz_totals_test", str(tmp_path / "ck2"))
+    q2 = ST.start_cwe_totals(jobs, str(tmp_path / "totals"), str(tmp_path / "ck2"))
     q1.awaitTermination(120)
     q2.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.agg(F.sum("hit_count")).first()[0] == 6
-    tot = {r.cwe_id: r.total_hits for r in spark.table("fuzz_totals_test").collect()}
+    tot = {r.cwe_id: r.total_hits for r in spark.read.parquet(str(tmp_path / "totals")).collect()}
     assert tot == {"CWE-0": 1, "CWE-1": 2, "CWE-2": 3}
+    (d / "ffuf_CWE_0_v.json").write_text(json.dumps({"results": [{"url": "u", "status": 200}]}))
+    ST.start_cwe_totals(jobs, str(tmp_path / "totals"), str(tmp_path / "ck2")).awaitTermination(120)
+    tot = {r.cwe_id: r.total_hits for r in spark.read.parquet(str(tmp_path / "totals")).collect()}
+    assert tot == {"CWE-0": 2, "CWE-1": 2, "CWE-2": 3}  # state resumed from the checkpoint
 
 
 def test_driver_contract(spark):
