@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import bindings as B
 from .operators import retrieve as R
 from .queries import register
+from .session import materialize
 from .sources import kb as KB
 
 
@@ -241,9 +242,10 @@ from .operators import mitigations as M  # noqa: E402
 MITIGATION_MIN_SEVERITY = "LOW"  # floored to MEDIUM (V5)
 
 
-def _candidates(spark, sf_dir):
+def _candidates(spark, sf_dir, findings=None):
     fns = B.app_functions(spark, sf_dir)
-    named = ranked(spark, sf_dir).join(
+    findings = ranked(spark, sf_dir) if findings is None else findings
+    named = findings.join(
         fns.select("file", "fn_ord", F.col("name").alias("function")), ["file", "fn_ord"])
     c = M.candidates(named, MITIGATION_MIN_SEVERITY)
     return M.query_text(M.attach_source(c, fns))
@@ -255,8 +257,9 @@ def _with_context(spark, sf_dir):
     return c.join(ctx, "query_text", "left")
 
 
-def _mitigation_rows(spark, sf_dir):
-    return M.mitigation_rows(_candidates(spark, sf_dir), B.mitigation_replies(spark, sf_dir))
+def _mitigation_rows(spark, sf_dir, findings=None):
+    return M.mitigation_rows(_candidates(spark, sf_dir, findings),
+                             B.mitigation_replies(spark, sf_dir))
 
 
 @register("mitigation_candidates")
@@ -324,5 +327,7 @@ def mitigation_preview(spark, sf_dir):
 
 @register("combined_report")
 def combined_report(spark, sf_dir):
-    analysis = A.analyze_result(B.app_functions(spark, sf_dir), ranked(spark, sf_dir))
-    return M.combined(analysis, M.report(_mitigation_rows(spark, sf_dir)))
+    # The findings feed both parts: parse them once into the checkpoint folder.
+    findings = materialize(ranked(spark, sf_dir))
+    analysis = A.analyze_result(B.app_functions(spark, sf_dir), findings)
+    return M.combined(analysis, M.report(_mitigation_rows(spark, sf_dir, findings)))
