@@ -77,9 +77,9 @@ def contexts(query_texts: DataFrame, query_vectors: DataFrame, kb: DataFrame,
     qs = (query_texts.select("query_text").distinct()
           .join(query_vectors.select("query_text", "embedding"), "query_text")
           .select(F.col("query_text").alias("query_id"), "embedding"))
-    hits = R.retrieve(R.normalise_vectors(qs), kb, top_k=top_k,
-                      min_severity=sev.DEFAULT_MIN_SEVERITY)
-    return R.context_text(hits).withColumnRenamed("query_id", "query_text")
+    ctx = R.retrieve_context(R.normalise_vectors(qs), kb, top_k=top_k,
+                             min_severity=sev.DEFAULT_MIN_SEVERITY)
+    return ctx.withColumnRenamed("query_id", "query_text")
 
 
 def request_id() -> "F.Column":

@@ -36,6 +36,8 @@ SOURCES = ("CWE", "CVE")
 MAX_BLOCK_BYTES = 256 << 20          # per broadcast KB block
 MAX_BROADCAST_ATTR_BYTES = 64 << 20  # hydrate join: broadcast the KB rows below this
 MAX_SCORE_BYTES = 64 << 20           # per-task score matrix (query slice x block rows)
+MAX_CONTEXT_TEXT_BYTES = 128 << 20   # KB header + chunk text broadcast for in-task contexts
+TEXT_COLS = ["chunk_id", "cve_id", "cwe_id", "cvss_score", "cvss_severity", "chunk_text"]
 
 TOPN_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType()),
@@ -135,7 +137,7 @@ def _topn_batch(qids, scores, pos, src_codes, n, top_k):
 
 def _block_scorer(bc, n: int, top_k: int):
     def score(batches):
-        pos, src_codes, mat = bc.value
+        pos, src_codes, mat, _ = bc.value
         # Queries are scored in slices so the score matrix stays under
         # MAX_SCORE_BYTES whatever the Arrow batch size and block size.
         step = max(1, MAX_SCORE_BYTES // max(1, mat.shape[0] * 8))
@@ -164,10 +166,13 @@ def kb_blocks(chunks: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> list
     return [chunks.where(F.pmod(F.col("chunk_pos"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
 
 
-def _collect_block(block: DataFrame):
-    """Driver copy of one size-checked block, to broadcast."""
+def _collect_block(block: DataFrame, with_text: bool = False):
+    """Driver copy of one size-checked block, to broadcast:
+    ``(pos, src, matrix, texts)``; ``texts`` (only when asked) holds, per
+    chunk, the header middle and the ``]`` + newline + chunk text tail."""
+    cols = [c for c in TEXT_COLS if c in block.columns] if with_text else []
     tbl = block.select("chunk_pos", (F.col("source") == "CVE").cast("byte").alias("src"),
-                       "embedding").toArrow()
+                       "embedding", *cols).toArrow()
     pos = tbl.column("chunk_pos").to_numpy()
     src = tbl.column("src").to_numpy().astype(np.int8)
     emb = tbl.column("embedding").combine_chunks()
@@ -178,7 +183,24 @@ def _collect_block(block: DataFrame):
     else:
         rows = emb.to_pylist()
         mat = np.asarray(rows, dtype=np.float64) if rows else np.zeros((0, 0))
-    return pos, src, mat
+    texts = None
+    if with_text:
+        col = {c: (tbl.column(c).to_pylist() if c in cols else [None] * len(pos)) for c in TEXT_COLS}
+
+        def txt(v, default):
+            return default if v is None else str(v)
+        mids, tails = [], []
+        for j in range(len(pos)):
+            if src[j] == 0:
+                mid = " | " + txt(col["chunk_id"][j], "") + " | relevance "
+            else:
+                mid = (" | " + txt(col["cve_id"][j], "") + " | CVSS " + txt(col["cvss_score"][j], "?")
+                       + " " + txt(col["cvss_severity"][j], "?") + " | " + txt(col["cwe_id"][j], "")
+                       + " | relevance ")
+            mids.append(mid)
+            tails.append("]\n" + txt(col["chunk_text"][j], ""))
+        texts = (mids, tails)
+    return pos, src, mat, texts
 
 
 # The knowledge base is loaded once per process in the reference; here its
@@ -201,12 +223,29 @@ def _kb_key(kb: DataFrame, *params) -> tuple:
     return (id(kb.sparkSession.sparkContext), plan.semanticHash(), plan.toString(), params)
 
 
-def _kb_broadcasts(kb: DataFrame, min_severity: str, max_block_bytes: int) -> list:
-    key = _kb_key(kb, "blocks", min_severity, max_block_bytes)
+def _text_bytes(chunks: DataFrame) -> int:
+    cols = [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0))
+            for c in TEXT_COLS if c in chunks.columns]
+    expr = cols[0] if cols else F.lit(0)
+    for c in cols[1:]:
+        expr = expr + c
+    return int(chunks.agg(F.sum(expr + 64)).first()[0] or 0)
+
+
+def _kb_broadcasts(kb: DataFrame, min_severity: str, max_block_bytes: int,
+                   with_text: bool = False) -> list:
+    """Broadcast blocks of the eligible KB (cached per session). With
+    ``with_text`` a single block also carries the context texts, when their
+    total size is under ``MAX_CONTEXT_TEXT_BYTES``; otherwise the entry is
+    the plain blocks and callers take the Spark path."""
+    key = _kb_key(kb, "blocks", min_severity, max_block_bytes, with_text)
     if key not in _KB_CACHE:
         sc = kb.sparkSession.sparkContext
-        _KB_CACHE[key] = [sc.broadcast(_collect_block(b))
-                          for b in kb_blocks(eligible_chunks(kb, min_severity), max_block_bytes)]
+        chunks = eligible_chunks(kb, min_severity)
+        blocks = kb_blocks(chunks, max_block_bytes)
+        texts = with_text and len(blocks) == 1 and _text_bytes(chunks) <= MAX_CONTEXT_TEXT_BYTES
+        _KB_CACHE[key] = [sc.broadcast(_collect_block(b, texts)) for b in blocks]
+        _KB_CACHE[key + ("texts",)] = bool(texts)
     return _KB_CACHE[key]
 
 
@@ -319,6 +358,52 @@ def context_text(hits: DataFrame) -> DataFrame:
                         .alias("context"))
 
 
+CONTEXT_SCHEMA = "query_id string, context string"
+
+
+def _context_scorer(bc, n: int, top_k: int):
+    def run(batches):
+        pos, src_codes, mat, (mids, tails) = bc.value
+        row_of = {int(p): j for j, p in enumerate(pos)}
+        step = max(1, MAX_SCORE_BYTES // max(1, mat.shape[0] * 8))
+        for pdf in batches:
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo:lo + step]
+                q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                hits = _topn_batch(part["query_id"].astype(str).to_numpy(), q @ mat.T,
+                                   pos, src_codes, n, top_k)
+                hits = hits[hits["pos"].notna()].sort_values(["query_id", "pos"])
+                out_q, out_c = [], []
+                for qid, g in hits.groupby("query_id", sort=False):
+                    blocks = []
+                    for p, cp, sc in zip(g["pos"].astype(int), g["chunk_pos"], g["score"]):
+                        j = row_of[int(cp)]
+                        blocks.append(f"[Ref {p + 1}{mids[j]}{sc:.2f}{tails[j]}")
+                    out_q.append(qid)
+                    out_c.append("\n\n".join(blocks))
+                yield pd.DataFrame({"query_id": out_q, "context": out_c})
+    return run
+
+
+def retrieve_context(queries: DataFrame, kb: DataFrame, top_k: int = DEFAULT_TOP_K,
+                     min_severity: str = sev.DEFAULT_MIN_SEVERITY,
+                     max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """R5-R10 in one step: ``(query_id, context)``.
+
+    When the eligible KB is one block and its texts fit
+    ``MAX_CONTEXT_TEXT_BYTES``, the scoring task formats the context itself
+    (Python's ``f"{score:.2f}"``): no hydration join and no shuffle of chunk
+    texts. Otherwise: ``retrieve`` + ``context_text`` (one shuffle by query).
+    Queries without hits get no row in either path.
+    """
+    bcs = _kb_broadcasts(kb, min_severity, max_block_bytes, with_text=True)
+    key = _kb_key(kb, "blocks", min_severity, max_block_bytes, True) + ("texts",)
+    if len(bcs) == 1 and _KB_CACHE.get(key):
+        q = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+        return q.mapInPandas(_context_scorer(bcs[0], per_source_n(top_k), top_k), CONTEXT_SCHEMA)
+    return context_text(retrieve(queries, kb, top_k, min_severity, max_block_bytes))
+
+
 def similarity_profile(queries: DataFrame, kb: DataFrame,
                        min_severity: str | None = None) -> DataFrame:
     """R5 summary without materialising pairs: per query and source, how

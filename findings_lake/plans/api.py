@@ -53,7 +53,7 @@ def scan_prompts(functions: DataFrame, query_vectors: DataFrame, kb: DataFrame,
     qv = query_vectors.select(
         F.concat("file", F.lit("#"), F.col("fn_ord").cast("string")).alias("query_id"),
         "embedding")
-    ctx = R.context_text(R.retrieve(R.normalise_vectors(qv), kb, top_k, min_severity))
+    ctx = R.retrieve_context(R.normalise_vectors(qv), kb, top_k, min_severity)
     parts = F.split("query_id", "#", 2)
     ctx = ctx.select(F.get(parts, 0).alias("file"), F.get(parts, 1).cast("int").alias("fn_ord"),
                      "context")

@@ -86,8 +86,7 @@ def kb_retrieve(spark, sf_dir):
 
 @register("rag_context")
 def rag_context(spark, sf_dir):
-    h = R.retrieve(_kb_queries(spark, sf_dir), _kb(spark, sf_dir), top_k=6)
-    return R.context_text(h)
+    return R.retrieve_context(_kb_queries(spark, sf_dir), _kb(spark, sf_dir), top_k=6)
 
 
 # ---------------------------------------------------------------------------
@@ -220,8 +219,7 @@ def corpus_contexts(spark, sf_dir, top_k: int = 6):
     qv = B.corpus_query_vectors(spark, sf_dir).select(
         F.concat("file", F.lit("#"), F.col("fn_ord").cast("string")).alias("query_id"),
         "embedding")
-    hits = R.retrieve(R.normalise_vectors(qv), _kb(spark, sf_dir), top_k=top_k)
-    ctx = R.context_text(hits)
+    ctx = R.retrieve_context(R.normalise_vectors(qv), _kb(spark, sf_dir), top_k=top_k)
     parts = F.split("query_id", "#", 2)
     return ctx.select(F.get(parts, 0).alias("file"), F.get(parts, 1).cast("int").alias("fn_ord"),
                       "context")

@@ -37,3 +37,8 @@ def test_scans_are_pruned(spark):
 def test_cwe_dedupe_is_an_aggregation(spark):
     p = plan(spark, "plan_cwe_dedupe")
     assert re.search(r"functions=\[partial_min\(", p)
+
+
+def test_context_built_in_task(spark):
+    p = plan(spark, "rag_context")
+    assert "MapInPandas" in p and "Exchange hashpartitioning" not in p and "Join" not in p

@@ -123,3 +123,13 @@ def test_sliced_scoring_equals_batch(spark, monkeypatch):
     base = run()
     monkeypatch.setattr(R, "MAX_SCORE_BYTES", 1000)  # one query per slice
     assert run() == base
+
+
+def test_in_task_context_equals_spark_path(spark, monkeypatch):
+    kb, qs = _bench_inputs(spark)
+    fast = sorted(map(tuple, R.retrieve_context(qs, kb, top_k=6).collect()))
+    R.clear_kb_cache()
+    monkeypatch.setattr(R, "MAX_CONTEXT_TEXT_BYTES", 0)  # force the join + group path
+    slow = sorted(map(tuple, R.retrieve_context(qs, kb, top_k=6).collect()))
+    R.clear_kb_cache()
+    assert fast == slow and len(fast) == qs.count()
