@@ -220,7 +220,8 @@ def clear_kb_cache() -> None:
 
 def _kb_key(kb: DataFrame, *params) -> tuple:
     plan = kb._jdf.queryExecution().analyzed()
-    return (id(kb.sparkSession.sparkContext), plan.semanticHash(), plan.toString(), params)
+    app = kb.sparkSession.sparkContext.applicationId  # unique per context, never reused
+    return (app, plan.semanticHash(), plan.toString(), params)
 
 
 def _text_bytes(chunks: DataFrame) -> int:
