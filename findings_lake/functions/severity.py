@@ -32,6 +32,15 @@ def rank(sev) -> Column:
     return F.coalesce(expr, F.lit(0))
 
 
+def level_of(rank_col) -> Column:
+    """Inverse of ``rank`` for validated levels (rank -> level name)."""
+    r = _col(rank_col)
+    expr = F.lit(None).cast("string")
+    for name, v in SEVERITY_RANK.items():
+        expr = F.when(r == F.lit(v), F.lit(name)).otherwise(expr)
+    return expr
+
+
 def rank_of(level: str | None) -> int:
     """Driver-side rank of a parameter (unknown -> 0, as in the reference)."""
     return SEVERITY_RANK.get(level, 0)

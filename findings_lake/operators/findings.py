@@ -120,14 +120,16 @@ def function_severity_text(functions: DataFrame, ranked: DataFrame) -> DataFrame
     counts = ranked.groupBy(*FN_KEY).agg(
         F.count(F.lit(1)).alias("n_findings"),
         *[F.count_if(F.col("severity") == s).alias(f"_{s}") for s in sev.SEVERITY_LEVELS],
-        F.max_by("severity", F.struct("sev_rank", F.negative("finding_pos"))).alias("top_severity"))
+        # validated levels map one-to-one to ranks, so the top level follows
+        # from the max rank: a fixed-width buffer (hash aggregation)
+        F.max("sev_rank").alias("_top_rank"))
     text = sev.severity_map_text({s: F.col(f"_{s}") for s in sev.SEVERITY_LEVELS})
     j = functions.select(*FN_KEY).join(counts, FN_KEY, "left")
     return j.select(*FN_KEY,
                     F.coalesce("n_findings", F.lit(0)).cast("long").alias("n_findings"),
                     F.when(F.col("n_findings") > 0, text).otherwise(F.lit("clean"))
                     .alias("severity_text"),
-                    "top_severity")
+                    sev.level_of("_top_rank").alias("top_severity"))
 
 
 def references_preview(findings: DataFrame, n: int = 5) -> DataFrame:
@@ -147,15 +149,19 @@ def analyze_result(functions: DataFrame, ranked: DataFrame) -> DataFrame:
 
     ``summary`` is the sparse count map in first-appearance order of the
     flattened findings (function order, then report order), like a Python
-    ``Counter`` turned into a dict. Within one function all findings of a
-    level share a rank, so the first one by ``(fn_ord, order_key)`` is the
-    first in the flattened list.
+    ``Counter`` turned into a dict: levels are ordered by where they first
+    appear, ``(fn_ord, -rank, finding_pos)``.
     """
+    # Inside one (file, level) every finding has the same rank, so the first
+    # is the least (fn_ord, finding_pos), packed exactly into one long
+    # (both are non-negative ints) to keep the buffer fixed-width.
+    packed = F.col("fn_ord").cast("long") * F.lit(1 << 32) + F.col("finding_pos").cast("long")
     first = (ranked.groupBy("file", "severity")
-             .agg(F.count(F.lit(1)).alias("n"),
-                  F.min(F.struct("fn_ord", order_key().alias("k"))).alias("first_at")))
+             .agg(F.count(F.lit(1)).alias("n"), F.min(packed).alias("_first")))
+    at = F.struct(F.shiftright("_first", 32).alias("fn_ord"), (-sev.rank("severity")).alias("neg_rank"),
+                  F.col("_first").bitwiseAND(F.lit((1 << 32) - 1)).alias("finding_pos"))
     per_file = first.groupBy("file").agg(
-        F.array_sort(F.collect_list(F.struct("first_at", "severity", "n"))).alias("_s"),
+        F.array_sort(F.collect_list(F.struct(at.alias("first_at"), "severity", "n"))).alias("_s"),
         F.sum("n").alias("total_findings"))
     summary = F.array_join(F.transform(
         "_s", lambda x: F.concat(x["severity"], F.lit("="), x["n"].cast("string"))), ", ")

@@ -22,6 +22,7 @@ def test_report_counts_need_no_window(spark):
     for name in ["severity_counts_full", "scan_summary", "function_severity_text", "analyze_result"]:
         p = plan(spark, name)
         assert "Window" not in p, name
+        assert "SortAggregate" not in p, name  # fixed-width buffers: hash aggregation
         assert re.search(r"HashAggregate\(keys=\[.*\], functions=\[partial_", p), name
 
 
