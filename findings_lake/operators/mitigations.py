@@ -149,11 +149,10 @@ def mitigation_rows(requests: DataFrame, replies: DataFrame) -> DataFrame:
 
 def report(rows: DataFrame) -> DataFrame:
     """M2: per target file, number of mitigations, errors, threshold."""
-    return rows.groupBy("file").agg(
+    return rows.groupBy("file", "min_severity_filter").agg(
         F.lit("ok").alias("status"),
         F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("error").isNotNull()).alias("n_errors"),
-        F.first("min_severity_filter").alias("min_severity_filter"))
+        F.count_if(F.col("error").isNotNull()).alias("n_errors"))
 
 
 def preview(rows: DataFrame) -> DataFrame:

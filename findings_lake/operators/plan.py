@@ -58,8 +58,10 @@ def lookup_wordlists(cwes: DataFrame, wordlist_map: DataFrame,
     m = F.broadcast(wordlist_map.select("cwe_id", F.col("wordlists").alias("_own")))
     d = F.broadcast(wordlist_map.where(F.col("cwe_id") == WL.DEFAULT_KEY)
                     .select(F.col("cwe_id").alias("_dk"), F.col("wordlists").alias("_def")))
+    # The default list is looked up only for CWEs without their own entry;
+    # the key depends on the row, so this stays an equi (hash) join.
     j = (cwes.join(m, "cwe_id", "left")
-         .withColumn("_dk", F.lit(WL.DEFAULT_KEY))
+         .withColumn("_dk", F.when(F.col("_own").isNull(), F.lit(WL.DEFAULT_KEY)))
          .join(d, "_dk", "left"))
     full = F.coalesce("_own", "_def", F.array().cast("array<string>"))
     # ``lists[:n]`` with Python's meaning of a negative n (drop from the end)

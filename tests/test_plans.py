@@ -43,3 +43,10 @@ def test_cwe_dedupe_is_an_aggregation(spark):
 def test_context_built_in_task(spark):
     p = plan(spark, "rag_context")
     assert "MapInPandas" in p and "Exchange hashpartitioning" not in p and "Join" not in p
+
+
+def test_no_nested_loop_or_cartesian_joins(spark):
+    for name in ["plan_wordlists", "fuzz_plan_jobs", "plan_summary", "plan_collisions",
+                 "mitigation_report", "scan_prompts", "combined_report"]:
+        p = plan(spark, name)
+        assert "NestedLoopJoin" not in p and "CartesianProduct" not in p, name
