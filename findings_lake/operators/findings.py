@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import severity as sev
 
 FN_KEY = ["file", "fn_ord"]
+# The tool name and version written into a report's meta.
 REPORT_TOOL = "vuln_scanner"
 REPORT_VERSION = "1.0.0"
 FINDING_FIELDS = ["cwe_id", "cwe_name", "severity", "confidence", "line_hint",
