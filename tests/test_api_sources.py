@@ -82,3 +82,14 @@ def test_api_end_to_end(spark, tmp_path):
     assert rows.count() == named.where(F.col("severity").isin("HIGH", "CRITICAL")).count()
     assert report.agg(F.sum("total")).first()[0] == rows.count()
     assert rows.where(F.col("error") == M.PARSE_ERROR).count() > 0
+
+
+def test_api_scan_prompts(spark):
+    fns, status = api.scan_queries(B.source_files(spark, SF001))
+    qv = B.corpus_query_vectors(spark, SF001)
+    prompts = api.scan_prompts(fns, qv, B.kb_chunks(spark, SF001))
+    n = fns.count()
+    assert prompts.count() == n > 0
+    p = prompts.orderBy("file", "fn_ord").first().prompt
+    assert "--- FUNCTION: f_" in p and "[Ref 1 | " in p and p.endswith("<|end_header_id|>\n\n")
+    assert status.where("NOT parse_ok").count() == 0  # sf0.001 has 5 modules, none at index 13
