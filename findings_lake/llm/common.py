@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
@@ -43,3 +44,27 @@ def byte_list(column) -> list[bytes]:
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
         column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
     return [x or b"" for x in column.to_pylist()]
+
+
+def running_start(df: DataFrame, group: list[str], part: str, block: str, order: list[str],
+                  value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the same
+    ``group`` that come before, ordered by ``part``, ``block``, ``order``.
+
+    Sums of blocks and of parts are combined before they are shuffled and
+    only they are summed along a group, so a group with a third of all rows
+    is spread over as many tasks as it has blocks.
+    """
+    def before(rows, keys, along, sums):
+        over = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+        return F.sum(sums).over(over) - F.col(sums)
+
+    blocks = df.groupBy(*group, part, block).agg(F.sum(value).alias("__block"))
+    parts = blocks.groupBy(*group, part).agg(F.sum("__block").alias("__part"))
+    parts = parts.select(*group, part, before(parts, group, part, "__part").alias("__p"))
+    blocks = blocks.select(*group, part, block, before(blocks, [*group, part], block, "__block").alias("__b"))
+    starts = blocks.join(parts, [*group, part]).select(*group, part, block, (F.col("__p") + F.col("__b")).alias("__start"))
+    inner = Window.partitionBy(*group, part, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("__inner", F.sum(value).over(inner) - F.col(value))
+    return (rows.join(starts, [*group, part, block])
+            .withColumn(name, F.col("__start") + F.col("__inner")).drop("__start", "__inner"))
