@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .licenses import license_scan
 from .mixing import mix, taken
 from .packing import pack
 from .simhash import simhash_groups
@@ -37,10 +38,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and rule labels of every document."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE token count of every document, limit 512."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_packing, op5_token_counts)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_packing, op4_license_scan, op5_token_counts)}
