@@ -11,6 +11,7 @@ from .common import table
 from .licenses import license_scan
 from .mixing import mix, taken
 from .packing import pack
+from .quality import quality
 from .simhash import simhash_groups
 from .token_counts import token_counts
 
@@ -48,5 +49,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance and resampling decision of every document."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_packing, op4_license_scan, op5_token_counts)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_packing, op4_license_scan, op5_token_counts, op6_quality_resampling)}

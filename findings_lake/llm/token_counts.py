@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, stash
 from .words import LONGEST, ChunkLengths, chunk_lengths
 
 #: Entries of the broadcast table and of a worker's cache.
@@ -29,12 +29,18 @@ TABLE_SHARE = 64
 
 
 def frequent_chunks(docs: DataFrame, text_col: str, table_size: int, share: int) -> list[str]:
-    """The most frequent chunks, at most ``table_size`` of bounded length."""
+    """The most frequent chunks, at most ``table_size`` of bounded length
+    (those of a count either all or none)."""
     chosen = docs.select(F.col(text_col).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0)
-    rows = (chosen.select(F.explode(F.split("t", " ")).alias("chunk"))
-            .where(F.length("chunk").between(1, LONGEST))
-            .groupBy("chunk").count()
-            .orderBy(F.desc("count"), "chunk").limit(table_size).select("chunk").collect())
+    counts = stash(chosen.select(F.explode(F.split("t", " ")).alias("chunk"))
+                   .where(F.length("chunk").between(1, LONGEST)).groupBy("chunk").count(), "chunks")
+    least, room = 0, table_size
+    for r in counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).toLocalIterator():
+        room -= r.n
+        if room < 0:
+            least = r["count"]
+            break
+    rows = counts.where(F.col("count") > least).select("chunk").collect()
     return [r.chunk for r in rows]
 
 
