@@ -15,6 +15,7 @@ from .quality import quality
 from .simhash import simhash_groups
 from .token_counts import token_counts
 from .topk import top_k
+from .vector_dedup import vector_groups
 
 
 def tokenizer_file(name: str) -> str:
@@ -55,10 +56,15 @@ def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors within their labels (cosine 0.93)."""
+    return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest integer inner products of every 100th vector."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_packing, op4_license_scan, op5_token_counts, op6_quality_resampling, op8_exact_top_k)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_packing, op4_license_scan, op5_token_counts, op6_quality_resampling, op7_embedding_near_dedup, op8_exact_top_k)}
