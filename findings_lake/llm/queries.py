@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .licenses import license_scan
+from .lm import lm_scores
 from .mixing import mix, taken
 from .packing import pack
 from .quality import quality
@@ -66,5 +67,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and model log10 probability of every document."""
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_packing, op4_license_scan, op5_token_counts, op6_quality_resampling, op7_embedding_near_dedup, op8_exact_top_k)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_packing, op4_license_scan, op5_token_counts, op6_quality_resampling, op7_embedding_near_dedup, op8_exact_top_k, op9_lm_scores)}
