@@ -14,6 +14,7 @@ from .mixing import mix, taken
 from .packing import pack
 from .quality import quality
 from .simhash import simhash_groups
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .topk import top_k
 from .vector_dedup import vector_groups
@@ -72,5 +73,10 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document inside 200-byte strings that occur elsewhere."""
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_packing, op4_license_scan, op5_token_counts, op6_quality_resampling, op7_embedding_near_dedup, op8_exact_top_k, op9_lm_scores)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_packing, op4_license_scan, op5_token_counts, op6_quality_resampling, op7_embedding_near_dedup, op8_exact_top_k, op9_lm_scores, op10_suffix_dedup)}
