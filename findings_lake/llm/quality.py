@@ -5,7 +5,9 @@ the target text (documents labelled clean). The ratio of the two generative
 models gives each n-gram a log weight; a document's importance is read off
 the weights of its n-grams, by family: words, 4- and 5-byte word beginnings,
 word pairs, and the marks and case around words. A bounded sample of labelled
-rows sets the scale of the families (logistic regression) and the cut; then
+rows sets the scale of the families (logistic regression) and the cut; a
+labelled document is always weighed by a target model of the other half of
+the sample, since a model looks kindly on its own text. Then
 ``k`` documents are drawn without replacement by Gumbel top-k: log weight
 plus Gumbel noise of a small ``temperature`` seeded by the row's content, the
 ``k`` largest stay. ``k`` is the number of documents on the clean side of the cut.
@@ -31,6 +33,8 @@ FIT_ROWS = 20_000
 #: Added to both counts of an n-gram, and the log weight from which an n-gram counts as alien.
 SMOOTHING, ALIEN = 2.0, 0.5
 TEMPERATURE = 0.05
+#: A clean document lost counts as much as so many others let through (shares of either kind).
+CLEAN_WEIGHT = 3
 #: Text that one vectorised step looks at.
 SLICE = 4 << 20
 FEATURES = 2 * FAMILIES + 1
@@ -98,31 +102,34 @@ def ngrams(parts: list[bytes]):
     return [(p, (h >> np.uint64(48)).astype(np.int64) + k * BUCKETS) for k, (p, h) in enumerate(families)]
 
 
-def model_counts(rows: DataFrame, clean) -> DataFrame:
-    """``bucket, raw, target``: n-gram counts over all rows (``id, text``) and
-    over those whose id is in the broadcast set ``clean``."""
+def model_counts(rows: DataFrame, known) -> DataFrame:
+    """``bucket, raw, first, second``: n-gram counts over all rows (``doc,
+    text``) and over the clean ones of either half of the broadcast
+    ``known`` (id: half, clean)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        raw, target = (np.zeros(FAMILIES * BUCKETS, dtype=np.int64) for _ in range(2))
+        counts = np.zeros((3, FAMILIES * BUCKETS), dtype=np.int64)
         for batch in batches:
-            chosen = np.array([x in clean.value for x in batch.column(0).to_pylist()], dtype=bool)
+            half = np.array([h if clean else -1 for h, clean in (known.value.get(x, (-1, False)) for x in batch.column(0).to_pylist())],
+                            dtype=np.int64)
             for numbers, parts in _slices(byte_list(batch.column(1))):
-                own = chosen[numbers]
+                own = half[numbers]
                 for part, bucket in ngrams(parts):
-                    raw += np.bincount(bucket, minlength=len(raw))
-                    if own.any():
-                        target += np.bincount(bucket[own[part]], minlength=len(raw))
-        found = np.flatnonzero(raw)
+                    counts[0] += np.bincount(bucket, minlength=counts.shape[1])
+                    for k in (0, 1):
+                        if (own == k).any():
+                            counts[k + 1] += np.bincount(bucket[own[part] == k], minlength=counts.shape[1])
+        found = np.flatnonzero(counts[0])
         for i in range(0, len(found), 1 << 15):
             k = found[i:i + (1 << 15)]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(raw[k]), pa.array(target[k])],
-                                             ["bucket", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *(pa.array(c[k]) for c in counts)],
+                                             ["bucket", "raw", "first", "second"])
 
-    counts = rows.mapInArrow(run, "bucket int, raw long, target long")
-    return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = rows.mapInArrow(run, "bucket int, raw long, first long, second long")
+    return counts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "first", "second")])
 
 
 def log_ratios(raw, target):
@@ -137,9 +144,10 @@ def log_ratios(raw, target):
     return out
 
 
-def document_weights(rows: DataFrame, weights) -> DataFrame:
-    """``id, h, n_words, log_weight, x`` of every row of ``id, h, text``: the
-    sum of log weights and the features (mean and alien weight by family)."""
+def document_weights(rows: DataFrame, known, weights) -> DataFrame:
+    """``id, h, n_words, log_weight, x`` of every row of ``id, h, text, doc``:
+    the sum of log weights and the features (mean and alien weight by family).
+    ``weights``: log weights of the model of all, without the first and without the second half."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -150,14 +158,16 @@ def document_weights(rows: DataFrame, weights) -> DataFrame:
         alien = np.minimum(ratio + ALIEN, 0)
         for batch in batches:
             n = batch.num_rows
+            model = np.array([1 + known.value[x][0] if x in known.value else 0 for x in batch.column(3).to_pylist()], dtype=np.int64)
             count, total, bad = (np.zeros((n, FAMILIES)) for _ in range(3))
             for numbers, parts in _slices(byte_list(batch.column(2))):
                 numbers = np.array(numbers)
                 for k, (part, bucket) in enumerate(ngrams(parts)):
                     m = len(parts)  # a number may repeat over slices, never within one
+                    at = model[numbers][part]
                     count[numbers, k] += np.bincount(part, minlength=m)
-                    total[numbers, k] += np.bincount(part, weights=ratio[bucket], minlength=m)
-                    bad[numbers, k] += np.bincount(part, weights=alien[bucket], minlength=m)
+                    total[numbers, k] += np.bincount(part, weights=ratio[at, bucket], minlength=m)
+                    bad[numbers, k] += np.bincount(part, weights=alien[at, bucket], minlength=m)
             x = np.hstack([total / (count + 10), bad / (count + 10), 1 / (count[:, :1] + 10)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(count[:, 0].astype(np.int64)), pa.array(total.sum(axis=1)),
@@ -169,7 +179,7 @@ def document_weights(rows: DataFrame, weights) -> DataFrame:
 
 def calibrate(x, clean):
     """Logistic regression (balanced, ridge) of ``clean`` on features, and
-    the cut with the fewest errors of either kind: ``(weights, bias)``; the clean side is >= 0."""
+    the cut with the fewest errors: ``(weights, bias)``; the clean side is >= 0."""
     import numpy as np
 
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -188,7 +198,7 @@ def calibrate(x, clean):
     order = np.argsort(score)
     kept = np.cumsum(clean[order]) / clean.sum()          # clean rows lost by a cut behind each place
     passed = 1 - np.cumsum(~clean[order]) / (~clean).sum()  # others let through
-    best = int(np.argmin(kept + passed))
+    best = int(np.argmin(CLEAN_WEIGHT * kept + passed))
     cut = score[order[best]] if best + 1 >= len(order) else (score[order[best]] + score[order[best + 1]]) / 2
     own = w[:-1] / scale
     return own.tolist(), float(w[-1] - own @ mean - cut)
@@ -224,8 +234,9 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fit_rows: int = FIT_ROWS, temperature: float = TEMPERATURE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: ``id_col``, ``keep``, ``n_words``, ``log_weight``
-    (sum over n-grams), ``logit`` (calibrated, clean side >= 0), ``key`` and ``kept``.
+    """One row per input row: ``id_col``, ``n_words``, ``log_weight`` (sum over
+    n-grams), ``logit`` (calibrated, clean side >= 0), ``key``, ``kept`` and,
+    if ``keep`` names columns, the struct ``document`` of them.
 
     ``labels`` has ``doc_id, quality, toxic``; clean means quality 1 and not toxic.
     """
@@ -235,20 +246,20 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     found = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
              .agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("clean"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect())
-    known = {r.doc_id: r.clean for r in found}
-    packed = F.struct(F.col(id_col).alias("id"), *keep) if keep else None
+    known = {r.doc_id: (k % 2, r.clean) for k, r in enumerate(found)}
     ident = F.col(id_col)
     text = F.col(text_col).cast("string")
-    clean_ids = spark.sparkContext.broadcast({k for k, c in known.items() if c})
-    raw, target = np.zeros(FAMILIES * BUCKETS), np.zeros(FAMILIES * BUCKETS)
-    for r in model_counts(docs.select(ident.alias("id"), text.alias("text")), clean_ids).toLocalIterator():  # at most FAMILIES * BUCKETS rows
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
-    weights = spark.sparkContext.broadcast(log_ratios(raw, target))
-    rows = docs.select((packed if keep else ident).alias("id"), F.xxhash64(ident, text).alias("h"), text.alias("text"))
-    scored = stash(document_weights(rows, weights), "weights")
-    own = scored.withColumn("doc", F.col("id.id") if keep else F.col("id"))
-
-    fit = own.join(F.broadcast(spark.createDataFrame([(k, c) for k, c in known.items()] or [(None, None)],
+    halves = spark.sparkContext.broadcast(known)
+    counts = np.zeros((3, FAMILIES * BUCKETS))
+    for r in model_counts(docs.select(ident.alias("doc"), text.alias("text")), halves).toLocalIterator():  # at most FAMILIES * BUCKETS rows
+        counts[:, r.bucket] = r.raw, r.first, r.second
+    weights = spark.sparkContext.broadcast(np.stack([log_ratios(counts[0], t) for t in (counts[1] + counts[2], counts[2], counts[1])]))
+    packed = F.struct(ident.alias("doc"), F.struct(*keep).alias("document")) if keep else ident
+    rows = docs.select(packed.alias("id"), F.xxhash64(ident, text).alias("h"), text.alias("text"), ident.alias("doc"))
+    scored = stash(document_weights(rows, halves, weights), "weights")
+    own = scored.withColumn("doc", F.col("id.doc") if keep else F.col("id"))
+
+    fit = own.join(F.broadcast(spark.createDataFrame([(k, c) for k, (_, c) in known.items()] or [(None, None)],
                                                      f"doc {own.schema['doc'].dataType.simpleString()}, clean boolean")), "doc")
     sample = fit.orderBy(F.xxhash64("doc"), "h").limit(2 * fit_rows).select("x", "clean").collect()
     x, y = np.array([r.x for r in sample]).reshape(-1, FEATURES), np.array([r.clean for r in sample], dtype=bool)
@@ -258,5 +269,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     keyed = own.withColumn("logit", logit).withColumn("key", F.col("logit") - temperature * F.log(-F.log(unit)))
     k = keyed.where("logit >= 0").count()
     kept = F.col("key") >= kth_largest(keyed.select("key"), k) if k else F.lit(False)
-    return keyed.select(F.col("doc").alias(id_col), *[F.col(f"id.{c}").alias(c) for c in keep], "n_words", "log_weight",
-                        "logit", "key", kept.alias("kept"))
+    return keyed.select(F.col("doc").alias(id_col), "n_words", "log_weight", "logit", "key",
+                        kept.alias("kept"), *([F.col("id.document").alias("document")] if keep else []))

@@ -177,8 +177,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, agree: int = AGREE_BLOCKS,
                    hot_key: int = HOT_KEY, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``id_col``, the columns ``keep``, ``fp`` (signed 64-bit),
-    ``fingerprint`` (16 lower-case hex digits) and ``component_id``, the
-    smallest id of the row's group.
+    ``fingerprint`` (16 lower-case hex digits), ``component_id``, the smallest
+    id of the row's group, and ``group``, a fingerprint that names it.
 
     Null and wordless texts share fingerprint zero and are linked like any
     other; equal fingerprints always form one group. A null id takes part
@@ -192,6 +192,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = firsts.join(member, firsts.fp == member.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = firsts.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = firsts.join(least, "root").select("fp", "component_id")
+    named = firsts.join(least, "root").select("fp", "component_id", F.col("root").alias("group"))
     return prints.join(named, "fp").select(
-        id_col, *keep, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        id_col, *keep, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group")
