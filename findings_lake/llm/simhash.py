@@ -86,6 +86,13 @@ def block_masks(max_bits: int, agree: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _far(x, y):
+    """Differing bits (numpy counts the bits of a signed number's magnitude, so unsigned it is)."""
+    import numpy as np
+
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
 def _groups_of(key, size: int):
     """Bounds of runs of equal keys in a sorted array."""
     import numpy as np
@@ -108,7 +115,7 @@ def _links(key, fp, max_bits: int):
         i = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
         if not len(i):
             break
-        near = np.bitwise_count(fp[i] ^ fp[i + d]) <= max_bits
+        near = _far(fp[i], fp[i + d]) <= max_bits
         u.append(fp[i[near]])
         v.append(fp[i[near] + d])
     for a, b in zip(start[length > SMALL].tolist(), stop[length > SMALL].tolist()):
@@ -117,7 +124,7 @@ def _links(key, fp, max_bits: int):
             queue, rest = [rest[0]], rest[1:]
             while queue and len(rest):
                 x = queue.pop()
-                near = np.bitwise_count(rest ^ x) <= max_bits
+                near = _far(rest, x) <= max_bits
                 if near.any():
                     got = rest[near]
                     u.append(np.full(len(got), x))
