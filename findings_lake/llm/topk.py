@@ -11,7 +11,7 @@ that could be members; the rows that may be members are then scored exactly.
 
 Every query meets every shard, in bounded blocks; what leaves a task is at
 most k rows for each query, and the final choice is a top-k by query over
-those. Vectors that are null or hold null or non-finite components take no
+those. Scores beyond 64 bits count as the largest or smallest number. Vectors that are null or hold null or non-finite components take no
 part; shorter vectors count as padded with zeros; repeated rows are rows of
 their own and only a query's own row is left out; ties go to the smaller id
 (null last); an empty table gives an empty result; extra columns are ignored.
@@ -36,6 +36,8 @@ LEVELS = 24
 ROUND = 8
 #: Beyond this, floating-point accumulators would not be exact.
 EXACT = 1 << 52
+#: Scores end where 64 bits do.
+LARGEST = (1 << 63) - 1
 
 
 def _pack(columns: dict) -> bytes:
@@ -82,8 +84,7 @@ def _best(index, rows, scores, k: int, own):
     keep = index["rows"][rows] != own
     rows, scores = rows[keep], scores[keep]
     ids = index["ids"][rows]
-    order = np.lexsort((index["rows"][rows], ids, -scores))[:k] if scores.dtype != object else np.array(
-        sorted(range(len(rows)), key=lambda i: (-scores[i], ids[i], index["rows"][rows[i]]))[:k], dtype=np.int64)
+    order = np.lexsort((index["rows"][rows], ids, ~scores))[:k]  # ~: descending, safe at the ends of 64 bits
     return rows[order], scores[order]
 
 
@@ -97,8 +98,8 @@ def search(index, query, k: int, own):
     shared = min(d, len(query))
     w[:shared] = query[:shared]
     if n <= 2 * k or values.dtype == object or w.dtype == object or int(abs(w).max(initial=0)) * index["most"] * max(d, 1) >= EXACT:
-        exact = (values.astype(object) * w.astype(object)).sum(axis=1) if d else np.zeros(n, dtype=object)
-        return _best(index, np.arange(n), exact, k, own)
+        exact = [max(-LARGEST - 1, min(LARGEST, sum(x * y for x, y in zip(r, w.tolist())))) for r in values.tolist()]
+        return _best(index, np.arange(n), np.array(exact, dtype=np.int64), k, own)
     weight, step = w[index["dim"]], index["step"]
     gain = np.where(weight >= 0, weight * index["low"], weight * (index["low"] + step - 1))  # least contribution
     least = np.full(d, np.iinfo(np.int64).max)
@@ -182,7 +183,7 @@ def top_k(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id",
                 for qid, own, q in zip(queries["ids"].tolist(), queries["rows"].tolist(), queries["values"]):
                     at, score = search(one, q, k, own)
                     for column, x in zip(out, ([qid] * len(at), [own] * len(at), one["ids"][at].tolist(), one["rows"][at].tolist(),
-                                               [max(-1 << 63, min((1 << 63) - 1, int(s))) for s in score])):
+                                               score.tolist())):
                         column += x
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out],
                                                  ["query_id", "query_row", "vec_id", "row", "score"])
@@ -190,6 +191,6 @@ def top_k(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id",
     found = (index.join(asked, ["shard", "block"]).select("index", "queries")
              .mapInArrow(run, "query_id long, query_row long, vec_id long, row long, score long"))
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    last = F.lit((1 << 63) - 1)
+    last = F.lit(LARGEST)
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", F.when(F.col("vec_id") != last, F.col("vec_id")).alias("vec_id"), "score"))
