@@ -1,9 +1,11 @@
 """Scalar functions: exact rounding, severity algebra, text helpers."""
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from findings_lake.functions import rounding, severity as sev, text
+from findings_lake.functions import text as text_fn
 
 
 def test_round2_matches_python(spark):
@@ -51,42 +53,42 @@ def test_triple_quote_repair(spark):
     assert df.select(F.lit(1)).count() == 3
 
 
-def _py_repair(s):
-    """Plain-Python statement of the triple-quote repair rule."""
-    import re
-
-    def esc(m):
-        x = m.group(1)
-        for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-            x = x.replace(a, b)
-        return '"' + x + '"'
-    return re.sub(r'"""(.*?)"""', esc, s, flags=re.S)
-
-
-def test_triple_quote_repair_matches_python(spark):
+def test_triple_quote_repair_of_built_texts(spark):
+    """Blocks built from known bodies must become those bodies' JSON strings."""
     rng = random.Random(11)
-    alphabet = ['"', '"', '"', "a", "b", "\n", "\\", "\t", " ", "x"]
-    rows = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(600)]
-    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
-    got = {r.i: r.o for r in df.select("i", text.repair_triple_quotes("t").alias("o")).collect()}
-    for i, r in enumerate(rows):
-        assert got[i] == _py_repair(r), repr(r)
-
-
-def test_fixed_code_lift_matches_python(spark):
-    import re
+    body_parts = ['"', "a", "b", "\n", "\\", "\t", "\r", " ", "x"]
+    rows, want = [], []
+    for _ in range(600):
+        text = expected = rng.choice(["", "pre ", '{"k": '])
+        for _ in range(rng.randint(0, 3)):
+            body = "<" + "".join(rng.choice(body_parts) + "." for _ in range(rng.randint(0, 12))) + ">"
+            between = rng.choice([", ", "\n", " y "])
+            text += '"""' + body + '"""' + between
+            expected += json.dumps(body) + between
+        if rng.random() < 0.3:  # an opening mark without an end stays as it is
+            text += '"""open'
+            expected += '"""open'
+        rows.append(text)
+        want.append(expected)
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    got = {r.i: r.o for r in df.select("i", text_fn.repair_triple_quotes("t").alias("o")).collect()}
+    for i, expected in enumerate(want):
+        assert got[i] == expected, repr(rows[i])
+
+
+def test_fixed_code_lift_of_built_objects(spark):
+    """Code put between the key and the next member or the end must be lifted as it is."""
     from findings_lake.operators.mitigations import FIXED_CODE_LIFT
-    py = re.compile(r'"fixed_code"\s*:\s*"(.*?)"(?=\s*,\s*"|\s*})', re.S)
     rng = random.Random(5)
-    parts = ['"fixed_code"', ": ", ':', '"', "x", "\\n", ", ", '"h"', "}", "\n", " ", "{"]
-    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(800)]
-    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
-    sel = df.select("i", F.regexp_extract("t", FIXED_CODE_LIFT, 1).alias("pre"),
-                    F.regexp_extract("t", FIXED_CODE_LIFT, 2).alias("code"))
-    got = {r.i: (r.pre, r.code) for r in sel.collect()}
-    for i, r in enumerate(rows):
-        m = py.search(r)
-        if m:
-            assert got[i] == (r[:m.start(1)], m.group(1)), repr(r)
-        else:
-            assert got[i][0] == "", repr(r)
+    rows = []
+    for _ in range(500):
+        code = "".join(rng.choice(["x = 1", "\n", 'print("hi")', "'q'", ", y", "{", " ", "\\n", ";"]) for _ in range(rng.randint(0, 8)))
+        head = rng.choice(["{", '{"a": 1, ']) + '"fixed_code"' + rng.choice([":", ": ", " : "]) + '"'
+        rows.append((head, code, head + code + rng.choice(['", "h": []}', '"}', '"\n}', '" , "z": 2}'])))
+    df = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "i int, t string")
+    got = {r.i: (r.pre, r.code) for r in df.select(
+        "i", F.regexp_extract("t", FIXED_CODE_LIFT, 1).alias("pre"), F.regexp_extract("t", FIXED_CODE_LIFT, 2).alias("code")).collect()}
+    for i, (head, code, text) in enumerate(rows):
+        assert got[i] == (head, code), repr(text)
+    none = spark.createDataFrame([('{"fixed": "x"}',), ('"fixed_code": x',), ("",)], "t string")
+    assert [r[0] for r in none.select(F.regexp_extract("t", FIXED_CODE_LIFT, 2)).collect()] == ["", "", ""]
