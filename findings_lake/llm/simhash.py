@@ -168,8 +168,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, agree: int = AGR
     masks = block_masks(max_bits, agree)
     keyed = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m)))
                                                  for k, m in enumerate(masks)])).alias("key"))
-    hot = (keyed.groupBy("key").count().where(F.col("count") > hot_key)
-           .select("key", F.ceil(F.col("count") / hot_key).cast("int").alias("chunks")))
+    # written, so that its real size decides the join: it is small beside the keys
+    hot = stash(keyed.groupBy("key").count().where(F.col("count") > hot_key)
+                .select("key", F.ceil(F.col("count") / hot_key).cast("int").alias("chunks")), "hot")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     dealt = (keyed.join(hot, "key", "left")
              .withColumn("own", F.coalesce(own, F.lit(0)))

@@ -302,7 +302,9 @@ def span_repeats(found: DataFrame, length: int, unit: int, shard_bytes: int, sym
     """Repeated byte ranges of the edges among spans (``key, doc, tag, n_bytes``
     (place), ``data``, ``weight``)."""
     families = found.groupBy("key").count()
-    hot = families.where(F.col("count") > hot_family).select("key", F.ceil(F.col("count") / hot_family).cast("int").alias("chunks"))
+    # written, so that its real size decides the join: small beside the spans, it spares hot families a shuffle by key
+    hot = stash(families.where(F.col("count") > hot_family)
+                .select("key", F.ceil(F.col("count") / hot_family).cast("int").alias("chunks")), "hot")
     total = found.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     units = max(1, -(-total // unit))
     own = F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("doc", "n_bytes"), F.col("chunks")).cast("int")).otherwise(0)
