@@ -50,20 +50,9 @@ FUZZ_FILE_SPAN = 1000    # event ids per fuzzer output file
 TARGET_BASE = "http://t.example"
 
 
-_SPLITS: dict[str, int] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. One that arrives in fewer splits than the cluster has
-    cores (a single small row group) is spread round-robin first, because
-    the bindings do CPU-heavy text building per row; a large, many-split
-    table is read as it is (no extra shuffle)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if path not in _SPLITS:
-        _SPLITS[path] = df.rdd.getNumPartitions()
-    return df.repartition(cores) if _SPLITS[path] < cores else df
+    """A driver table, read as it is."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _k() -> Column:
@@ -200,12 +189,14 @@ def app_targets(functions: DataFrame) -> DataFrame:
 # Knowledge base and query vectors (embeddings)
 # ---------------------------------------------------------------------------
 def kb_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """b_kb: every embeddings row is a chunk; vec_id % 3 == 0 -> CVE."""
+    """b_kb: every embeddings row is a chunk; vec_id % 3 == 0 -> CVE. Each
+    source numbers its chunks from 0."""
     e = table(spark, sf_dir, "embeddings")
     is_cve = F.col("vec_id") % 3 == 0
+    third = F.floor(F.col("vec_id") / 3)
     return e.select(
         F.when(is_cve, F.lit("CVE")).otherwise(F.lit("CWE")).alias("source"),
-        F.col("vec_id").alias("chunk_pos"),
+        F.when(is_cve, third).otherwise(F.col("vec_id") - third - 1).alias("chunk_pos"),
         F.when(~is_cve, F.concat(F.lit("CWE-"), (F.col("vec_id") % 97).cast("string"),
                                  F.lit("-c"), F.col("vec_id").cast("string"))).alias("chunk_id"),
         F.when(is_cve, F.concat(F.lit("CVE-2024-"), F.col("vec_id").cast("string"))).alias("cve_id"),

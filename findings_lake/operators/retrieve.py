@@ -3,14 +3,14 @@
 Physical design
 ---------------
 Scoring is a dot product of every query with every chunk. The pairs are
-never materialised: the knowledge base is cut into blocks whose matrix size
-is checked against ``max_block_bytes``; each block is shipped to executors
-as a broadcast variable and every query partition multiplies its batch
-against it (``mapInPandas``, numpy, double accumulation) and keeps only the
-per-source top-n. With one block (the usual case: 994 chunks x 768 floats is
-3 MB) the top-n, the interleave and the positions are final inside the task
-and the stage has no shuffle at all. With several blocks the per-block top-n
-lists are merged by one shuffle on ``query_id``.
+never materialised and the knowledge base never passes through the driver:
+chunks are packed into blocks of one source and at most ``BLOCK_ROWS`` rows,
+queries into parts of about ``QUERY_ROWS``; every block meets every part in an
+equi-join on (block, part), where a task multiplies the two matrices (numpy,
+double accumulation) and keeps each query's top-n of the block. One
+window per (query, source) merges the lists. Block ids and the number of
+parts are scalar subqueries, so building a query starts no job, and there is
+one path whatever the sizes.
 
 Ordering rule (R7): score descending, ties -> higher chunk position first.
 Interleave (R8): i-th CWE then i-th CVE, stop at the shorter list, cut to
@@ -19,34 +19,21 @@ Interleave (R8): i-th CWE then i-th CVE, stop at the shorter list, cut to
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import rounding
 from ..functions import severity as sev
 
 DEFAULT_TOP_K = 6
+# Fixed value: prefix of the text that the embedding model sees.
 QUERY_PREFIX = "search_query: "
-SOURCES = ("CWE", "CVE")
-MAX_BLOCK_BYTES = 256 << 20          # per broadcast KB block
-MAX_BROADCAST_ATTR_BYTES = 64 << 20  # hydrate join: broadcast the KB rows below this
-MAX_SCORE_BYTES = 64 << 20           # per-task score matrix (query slice x block rows)
-MAX_CONTEXT_TEXT_BYTES = 128 << 20   # KB header + chunk text broadcast for in-task contexts
-TEXT_COLS = ["chunk_id", "cve_id", "cwe_id", "cvss_score", "cvss_severity", "chunk_text"]
-
-TOPN_SCHEMA = T.StructType([
-    T.StructField("query_id", T.StringType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("rn", T.IntegerType()),
-    T.StructField("chunk_pos", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-    T.StructField("pos", T.IntegerType()),
-])
+BLOCK_ROWS = 8192            # chunks of one source in a block
+QUERY_ROWS = 4096            # queries in a part (about: parts are dealt by hash)
+MAX_SCORE_BYTES = 64 << 20   # score matrix of a slice of queries and a block
+
+TOPN_SCHEMA = "query_id string, source string, chunk_pos long, score double"
 
 
 def per_source_n(top_k: int) -> int:
@@ -61,6 +48,18 @@ def query_text_prefixed(col) -> "F.Column":
     return F.concat(F.lit(QUERY_PREFIX), col)
 
 
+def function_query_id():
+    """Query id of a catalogued function: ``fn_ord`` and ``file``, in an order
+    that any file name leaves readable."""
+    return F.concat(F.col("fn_ord").cast("string"), F.lit("#"), F.col("file"))
+
+
+def with_function_key(df: DataFrame) -> DataFrame:
+    """``file, fn_ord`` back from ``function_query_id``."""
+    return (df.withColumn("fn_ord", F.expr("left(query_id, instr(query_id, '#') - 1)").cast("int"))
+            .withColumn("file", F.expr("substring(query_id, instr(query_id, '#') + 1)")).drop("query_id"))
+
+
 def normalise_vectors(df: DataFrame, col: str = "embedding") -> DataFrame:
     """Scale each vector to unit length (zero vectors stay zero)."""
     sq = F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
@@ -105,184 +104,81 @@ def _top_cols(sub: np.ndarray, k: int) -> np.ndarray:
     return top
 
 
-def _topn_batch(qids, scores, pos, src_codes, n, top_k):
-    """Per-source top-n of one batch plus, for a single KB block, the final
-    interleave position (R8) computed in place."""
-    frames = []
-    kept = {}
-    for code, name in enumerate(SOURCES):
-        cols = np.nonzero(src_codes == code)[0]
-        if cols.size == 0 or n == 0:
-            continue
-        cols = cols[np.argsort(-pos[cols], kind="stable")]
-        k = min(n, cols.size)
-        top = _top_cols(scores[:, cols], k)
-        kept[name] = k
-        frames.append((name, np.take_along_axis(scores[:, cols], top, 1), pos[cols][top], k))
-    b = len(qids)
-    m = min(kept.get("CWE", 0), kept.get("CVE", 0))
-    out = []
-    for name, sc, ps, k in frames:
-        rn = np.tile(np.arange(1, k + 1, dtype=np.int32), b)
-        p = 2 * (rn - 1) + (1 if name == "CVE" else 0)
-        final = (rn <= m) & (p < top_k)
-        out.append(pd.DataFrame({
-            "query_id": np.repeat(qids, k), "source": name, "rn": rn,
-            "chunk_pos": ps.reshape(-1).astype(np.int64), "score": sc.reshape(-1),
-            "pos": pd.Series(p, dtype="Int32").where(final, pd.NA)}))
-    if not out:
-        return pd.DataFrame({c: [] for c in TOPN_SCHEMA.fieldNames()})
-    return pd.concat(out, ignore_index=True)
-
-
-def _block_scorer(bc, n: int, top_k: int):
-    def score(batches):
-        pos, src_codes, mat, _ = bc.value
-        # Queries are scored in slices so the score matrix stays under
-        # MAX_SCORE_BYTES whatever the Arrow batch size and block size.
-        step = max(1, MAX_SCORE_BYTES // max(1, mat.shape[0] * 8))
-        for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo:lo + step]
-                q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                yield _topn_batch(part["query_id"].astype(str).to_numpy(), q @ mat.T,
-                                  pos, src_codes, n, top_k)
-    return score
-
-
-def kb_blocks(chunks: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> list[DataFrame]:
-    """Split the eligible KB into blocks whose matrices fit the bound.
-
-    The size check is one small aggregate (row count and max dimension).
-    """
-    stats = chunks.agg(F.count(F.lit(1)).alias("n"),
-                       F.max(F.size("embedding")).alias("d")).first()
-    n, d = int(stats["n"] or 0), int(stats["d"] or 0)
-    if n == 0:
-        return []
-    n_blocks = max(1, math.ceil(n * max(d, 1) * 8 / max_block_bytes))
-    if n_blocks == 1:
-        return [chunks]
-    return [chunks.where(F.pmod(F.col("chunk_pos"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
-
-
-def _collect_block(block: DataFrame, with_text: bool = False):
-    """Driver copy of one size-checked block, to broadcast:
-    ``(pos, src, matrix, texts)``; ``texts`` (only when asked) holds, per
-    chunk, the header middle and the ``]`` + newline + chunk text tail."""
-    cols = [c for c in TEXT_COLS if c in block.columns] if with_text else []
-    tbl = block.select("chunk_pos", (F.col("source") == "CVE").cast("byte").alias("src"),
-                       "embedding", *cols).toArrow()
-    pos = tbl.column("chunk_pos").to_numpy()
-    src = tbl.column("src").to_numpy().astype(np.int8)
-    emb = tbl.column("embedding").combine_chunks()
-    lengths = emb.value_lengths().to_numpy(zero_copy_only=False) if len(emb) else np.zeros(0)
-    if len(emb) and (lengths == lengths[0]).all():
-        # fixed dimension: one contiguous buffer, no per-row Python objects
-        mat = emb.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(emb), -1)
-    else:
-        rows = emb.to_pylist()
-        mat = np.asarray(rows, dtype=np.float64) if rows else np.zeros((0, 0))
-    texts = None
-    if with_text:
-        col = {c: (tbl.column(c).to_pylist() if c in cols else [None] * len(pos)) for c in TEXT_COLS}
-
-        def txt(v, default):
-            return default if v is None else str(v)
-        mids, tails = [], []
-        for j in range(len(pos)):
-            if src[j] == 0:
-                mid = " | " + txt(col["chunk_id"][j], "") + " | relevance "
-            else:
-                mid = (" | " + txt(col["cve_id"][j], "") + " | CVSS " + txt(col["cvss_score"][j], "?")
-                       + " " + txt(col["cvss_severity"][j], "?") + " | " + txt(col["cwe_id"][j], "")
-                       + " | relevance ")
-            mids.append(mid)
-            tails.append("]\n" + txt(col["chunk_text"][j], ""))
-        texts = (mids, tails)
-    return pos, src, mat, texts
-
-
-# The knowledge base is loaded once per process in the reference; here its
-# broadcast blocks are kept per session, keyed by the KB plan's semantic hash
-# and the filter, so repeated retrievals over the same KB skip the size check
-# and the block copies. ``clear_kb_cache`` drops them (e.g. after the KB
-# files were rewritten in place).
-_KB_CACHE: dict[tuple, object] = {}
-
-
-def clear_kb_cache() -> None:
-    for v in _KB_CACHE.values():
-        for bc in (v if isinstance(v, list) else []):
-            bc.unpersist()
-    _KB_CACHE.clear()
-
-
-def _kb_key(kb: DataFrame, *params) -> tuple:
-    plan = kb._jdf.queryExecution().analyzed()
-    app = kb.sparkSession.sparkContext.applicationId  # unique per context, never reused
-    return (app, plan.semanticHash(), plan.toString(), params)
-
-
-def _text_bytes(chunks: DataFrame) -> int:
-    cols = [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0))
-            for c in TEXT_COLS if c in chunks.columns]
-    expr = cols[0] if cols else F.lit(0)
-    for c in cols[1:]:
-        expr = expr + c
-    return int(chunks.agg(F.sum(expr + 64)).first()[0] or 0)
-
-
-def _kb_broadcasts(kb: DataFrame, min_severity: str, max_block_bytes: int,
-                   with_text: bool = False) -> list:
-    """Broadcast blocks of the eligible KB (cached per session). With
-    ``with_text`` a single block also carries the context texts, when their
-    total size is under ``MAX_CONTEXT_TEXT_BYTES``; otherwise the entry is
-    the plain blocks and callers take the Spark path."""
-    key = _kb_key(kb, "blocks", min_severity, max_block_bytes, with_text)
-    if key not in _KB_CACHE:
-        sc = kb.sparkSession.sparkContext
-        chunks = eligible_chunks(kb, min_severity)
-        blocks = kb_blocks(chunks, max_block_bytes)
-        texts = with_text and len(blocks) == 1 and _text_bytes(chunks) <= MAX_CONTEXT_TEXT_BYTES
-        _KB_CACHE[key] = [sc.broadcast(_collect_block(b, texts)) for b in blocks]
-        _KB_CACHE[key + ("texts",)] = bool(texts)
-    return _KB_CACHE[key]
-
-
-def _scored(queries: DataFrame, kb: DataFrame, top_k: int, min_severity: str,
-            max_block_bytes: int) -> tuple[DataFrame, bool]:
-    n = per_source_n(top_k)
-    spark = queries.sparkSession
-    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
-    bcs = _kb_broadcasts(kb, min_severity, max_block_bytes)
-    if not bcs:
-        return spark.createDataFrame([], TOPN_SCHEMA), True
-    parts = []
-    for bc in bcs:
-        parts.append(q.mapInPandas(_block_scorer(bc, n, top_k), TOPN_SCHEMA))
-    if len(parts) == 1:
-        return parts[0], True
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    w = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), F.desc("chunk_pos"))
-    merged = (merged.repartition("query_id")
-              .withColumn("rn", F.row_number().over(w).cast("int"))
-              .where(F.col("rn") <= n)
-              .withColumn("pos", F.lit(None).cast("int")))
-    return merged, False
+def _matrix(column) -> np.ndarray:
+    """Rows of an Arrow list column as float64 (all of one length)."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _pack(table):
+    """A block's rows -> one row with positions (descending) and the matrix."""
+    import pyarrow as pa
+
+    pos = table["chunk_pos"].to_numpy()
+    order = np.argsort(-pos, kind="stable")  # the tie rule is then "first column wins"
+    mat = _matrix(table["embedding"])[order]
+    return pa.table({"block": table["block"].slice(0, 1), "source": table["source"].slice(0, 1),
+                     "pos": pa.array([pos[order].astype("<i8").tobytes()], pa.binary()),
+                     "mat": pa.array([mat.astype("<f8").tobytes()], pa.binary())})
+
+
+def _score(n: int):
+    def run(queries, blocks):
+        import pyarrow as pa
+
+        ids = np.array(queries["query_id"].to_pylist(), dtype=object)
+        vec = _matrix(queries["embedding"]) if len(ids) else np.zeros((0, 0))
+        # One result per query id: of several vectors the smallest, component by component.
+        order = np.lexsort((*vec.T[::-1], ids.astype(str))) if len(ids) else np.zeros(0, dtype=np.int64)
+        ids, vec = ids[order], vec[order]
+        first = np.array([k == 0 or ids[k] != ids[k - 1] for k in range(len(ids))], dtype=bool)
+        ids, vec = ids[first], vec[first]
+        out = []
+        for source, pos, mat in zip(*(blocks[c].to_pylist() for c in ("source", "pos", "mat"))):
+            pos = np.frombuffer(pos, "<i8")
+            mat = np.frombuffer(mat, "<f8").reshape(len(pos), -1)
+            k = min(n, len(pos))
+            step = max(1, MAX_SCORE_BYTES // (len(pos) * 8))
+            for lo in range(0, len(ids), step):
+                scores = vec[lo:lo + step] @ mat.T
+                top = _top_cols(scores, k)
+                out.append(pa.table({
+                    "query_id": pa.array(np.repeat(ids[lo:lo + step], k), pa.string()),
+                    "source": pa.array([source] * top.size, pa.string()), "chunk_pos": pos[top.ravel()],
+                    "score": np.take_along_axis(scores, top, 1).ravel()}))
+        empty = {"query_id": pa.array([], pa.string()), "source": pa.array([], pa.string()),
+                 "chunk_pos": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
+        return pa.concat_tables(out) if out else pa.table(empty)
+
+    return run
 
 
 def top_n_per_source(queries: DataFrame, kb: DataFrame, top_k: int = DEFAULT_TOP_K,
                      min_severity: str = sev.DEFAULT_MIN_SEVERITY,
-                     max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+                     block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``(query_id, source, rn, chunk_pos, score)``, rn <= n per source.
 
-    ``queries``: ``query_id, embedding`` (already normalised, R4).
+    ``queries``: ``query_id, embedding`` (already normalised, R4); one result
+    per ``query_id``. ``kb`` rows are told apart by ``(source, chunk_pos)``.
     """
-    df, _ = _scored(queries, kb, top_k, min_severity, max_block_bytes)
-    return df.drop("pos")
+    n = per_source_n(top_k)
+    block = 2 * F.floor(F.col("chunk_pos") / block_rows) + F.when(F.col("source") == "CVE", 1).otherwise(0)
+    chunks = eligible_chunks(kb, min_severity).select(
+        "source", "chunk_pos", F.col("embedding").cast("array<double>").alias("embedding"),
+        block.cast("long").alias("block"))
+    blocks = chunks.select(F.collect_set("block")).scalar()
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"),
+                       F.col("embedding").cast("array<double>").alias("embedding"))
+    parts = q.select(F.greatest(F.ceil(F.count(F.lit(1)) / query_rows), F.lit(1)).cast("int")).scalar()
+    packed = (chunks.groupBy("block").applyInArrow(_pack, "block long, source string, pos binary, mat binary")
+              .withColumn("parts", F.sequence(F.lit(0), parts - 1)).withColumn("part", F.explode("parts")).drop("parts"))
+    asked = (q.withColumn("part", F.pmod(F.xxhash64("query_id"), parts).cast("int"))
+             .withColumn("blocks", blocks).withColumn("block", F.explode("blocks")).drop("blocks"))
+    found = (asked.groupBy("block", "part").cogroup(packed.groupBy("block", "part"))
+             .applyInArrow(_score(n), TOPN_SCHEMA))
+    w = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), F.desc("chunk_pos"))
+    return (found.withColumn("rn", F.row_number().over(w).cast("int")).where(F.col("rn") <= n)
+            .select("query_id", "source", "rn", "chunk_pos", "score"))
 
 
 def interleave(topn: DataFrame, top_k: int = DEFAULT_TOP_K) -> DataFrame:
@@ -299,44 +195,23 @@ def interleave(topn: DataFrame, top_k: int = DEFAULT_TOP_K) -> DataFrame:
             .drop("_m"))
 
 
-def _maybe_broadcast(df: DataFrame, est_row_bytes: int, limit: int) -> DataFrame:
-    """Broadcast ``df`` only when its row count times the estimate is under
-    ``limit`` (the count is cached with the KB blocks)."""
-    key = _kb_key(df, "rows")
-    if key not in _KB_CACHE:
-        _KB_CACHE[key] = df.count()
-    n = _KB_CACHE[key]
-    return F.broadcast(df) if n * est_row_bytes <= limit else df
-
-
-def hydrate(hits: DataFrame, kb: DataFrame,
-            max_broadcast_bytes: int = MAX_BROADCAST_ATTR_BYTES) -> DataFrame:
-    """Attach the chunk row to each hit by ``(source, chunk_pos)``.
-
-    The KB side (without vectors) is broadcast only when its estimated size
-    is under the bound; otherwise it is an ordinary shuffle join.
-    """
-    attrs = kb.drop("embedding")
-    attrs = _maybe_broadcast(attrs, 512, max_broadcast_bytes)
-    return hits.join(attrs, ["source", "chunk_pos"], "left")
+def hydrate(hits: DataFrame, kb: DataFrame) -> DataFrame:
+    """Attach the chunk row to each hit by ``(source, chunk_pos)``; Spark
+    chooses the join by the sides' real sizes and splits hot chunks."""
+    return hits.join(kb.drop("embedding"), ["source", "chunk_pos"], "left")
 
 
 def retrieve(queries: DataFrame, kb: DataFrame, top_k: int = DEFAULT_TOP_K,
-             min_severity: str = sev.DEFAULT_MIN_SEVERITY,
-             max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """R5-R9 (``KnowledgeBase.retrieve``): hydrated hits with ``pos``.
-
-    One KB block: positions come out of the scoring task (no shuffle).
-    Several blocks: merged top-n, then the interleave window.
-    """
-    df, final = _scored(queries, kb, top_k, min_severity, max_block_bytes)
-    hits = df.where(F.col("pos").isNotNull()) if final else interleave(df.drop("pos"), top_k)
-    return hydrate(hits, kb)
+             min_severity: str = sev.DEFAULT_MIN_SEVERITY, **sizes: int) -> DataFrame:
+    """Hydrated hits with ``pos``."""
+    return hydrate(interleave(top_n_per_source(queries, kb, top_k, min_severity, **sizes), top_k), kb)
 
 
 def context_text(hits: DataFrame) -> DataFrame:
     """One ``context`` text per query from hydrated hits.
 
+    Fixed values: the header formats.
+
     CWE header ``[Ref i | chunk_id | relevance 0.00]``; CVE header
     ``[Ref i | cve_id | CVSS score sev | cwe_id | relevance 0.00]``; header,
     newline, chunk text; blocks joined by a blank line in ``pos`` order.
@@ -359,50 +234,10 @@ def context_text(hits: DataFrame) -> DataFrame:
                         .alias("context"))
 
 
-CONTEXT_SCHEMA = "query_id string, context string"
-
-
-def _context_scorer(bc, n: int, top_k: int):
-    def run(batches):
-        pos, src_codes, mat, (mids, tails) = bc.value
-        row_of = {int(p): j for j, p in enumerate(pos)}
-        step = max(1, MAX_SCORE_BYTES // max(1, mat.shape[0] * 8))
-        for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo:lo + step]
-                q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                hits = _topn_batch(part["query_id"].astype(str).to_numpy(), q @ mat.T,
-                                   pos, src_codes, n, top_k)
-                hits = hits[hits["pos"].notna()].sort_values(["query_id", "pos"])
-                out_q, out_c = [], []
-                for qid, g in hits.groupby("query_id", sort=False):
-                    blocks = []
-                    for p, cp, sc in zip(g["pos"].astype(int), g["chunk_pos"], g["score"]):
-                        j = row_of[int(cp)]
-                        blocks.append(f"[Ref {p + 1}{mids[j]}{sc:.2f}{tails[j]}")
-                    out_q.append(qid)
-                    out_c.append("\n\n".join(blocks))
-                yield pd.DataFrame({"query_id": out_q, "context": out_c})
-    return run
-
-
 def retrieve_context(queries: DataFrame, kb: DataFrame, top_k: int = DEFAULT_TOP_K,
-                     min_severity: str = sev.DEFAULT_MIN_SEVERITY,
-                     max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """R5-R10 in one step: ``(query_id, context)``.
-
-    When the eligible KB is one block and its texts fit
-    ``MAX_CONTEXT_TEXT_BYTES``, the scoring task formats the context itself
-    (Python's ``f"{score:.2f}"``): no hydration join and no shuffle of chunk
-    texts. Otherwise: ``retrieve`` + ``context_text`` (one shuffle by query).
-    Queries without hits get no row in either path.
-    """
-    bcs = _kb_broadcasts(kb, min_severity, max_block_bytes, with_text=True)
-    key = _kb_key(kb, "blocks", min_severity, max_block_bytes, True) + ("texts",)
-    if len(bcs) == 1 and _KB_CACHE.get(key):
-        q = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
-        return q.mapInPandas(_context_scorer(bcs[0], per_source_n(top_k), top_k), CONTEXT_SCHEMA)
-    return context_text(retrieve(queries, kb, top_k, min_severity, max_block_bytes))
+                     min_severity: str = sev.DEFAULT_MIN_SEVERITY, **sizes: int) -> DataFrame:
+    """R5-R10 in one step: ``(query_id, context)``; queries without hits get no row."""
+    return context_text(retrieve(queries, kb, top_k, min_severity, **sizes))
 
 
 def similarity_profile(queries: DataFrame, kb: DataFrame,

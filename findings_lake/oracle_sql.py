@@ -228,7 +228,7 @@ FROM fnames""")
 KB_CTE = f"""
 kb AS (
   SELECT CASE WHEN vec_id % 3 = 0 THEN 'CVE' ELSE 'CWE' END AS source,
-         vec_id AS chunk_pos,
+         CASE WHEN vec_id % 3 = 0 THEN vec_id // 3 ELSE vec_id - vec_id // 3 - 1 END AS chunk_pos,
          CASE WHEN vec_id % 3 <> 0 THEN 'CWE-' || CAST(vec_id % 97 AS VARCHAR) || '-c'
               || CAST(vec_id AS VARCHAR) END AS chunk_id,
          CASE WHEN vec_id % 3 = 0 THEN 'CVE-2024-' || CAST(vec_id AS VARCHAR) END AS cve_id,

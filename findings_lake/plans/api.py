@@ -51,13 +51,9 @@ def scan_prompts(functions: DataFrame, query_vectors: DataFrame, kb: DataFrame,
     """Prompts for every function. ``query_vectors``: ``file, fn_ord,
     embedding`` (the embedded ``embed_text``)."""
     qv = query_vectors.select(
-        F.concat("file", F.lit("#"), F.col("fn_ord").cast("string")).alias("query_id"),
-        "embedding")
+        R.function_query_id().alias("query_id"), "embedding")
     ctx = R.retrieve_context(R.normalise_vectors(qv), kb, top_k, min_severity)
-    parts = F.split("query_id", "#", 2)
-    ctx = ctx.select(F.get(parts, 0).alias("file"), F.get(parts, 1).cast("int").alias("fn_ord"),
-                     "context")
-    return PR.scan_prompts(functions, ctx)
+    return PR.scan_prompts(functions, R.with_function_key(ctx))
 
 
 @dataclass

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from . import bindings as B
 from .operators import retrieve as R
 from .queries import register
-from .session import materialize
 from .sources import kb as KB
 
 
@@ -33,8 +32,8 @@ def kb_scan(spark, sf_dir):
 def kb_attach_embeddings(spark, sf_dir):
     kb = _kb(spark, sf_dir)
     chunks = kb.drop("embedding")
-    vectors = kb.select("chunk_pos", "embedding")
-    out = KB.attach_embeddings(chunks, vectors, check=False)
+    vectors = kb.select("source", "chunk_pos", "embedding")
+    out = KB.attach_embeddings(chunks, vectors)
     return out.select("source", "chunk_pos", F.size("embedding").cast("int").alias("dim"),
                       F.round(F.aggregate("embedding", F.lit(0.0),
                                           lambda a, x: a + x.cast("double")), 4)
@@ -217,12 +216,9 @@ def rag_query_tool(spark, sf_dir):
 
 def corpus_contexts(spark, sf_dir, top_k: int = 6):
     qv = B.corpus_query_vectors(spark, sf_dir).select(
-        F.concat("file", F.lit("#"), F.col("fn_ord").cast("string")).alias("query_id"),
-        "embedding")
+        R.function_query_id().alias("query_id"), "embedding")
     ctx = R.retrieve_context(R.normalise_vectors(qv), _kb(spark, sf_dir), top_k=top_k)
-    parts = F.split("query_id", "#", 2)
-    return ctx.select(F.get(parts, 0).alias("file"), F.get(parts, 1).cast("int").alias("fn_ord"),
-                      "context")
+    return R.with_function_key(ctx)
 
 
 @register("scan_prompts")
@@ -325,7 +321,6 @@ def mitigation_preview(spark, sf_dir):
 
 @register("combined_report")
 def combined_report(spark, sf_dir):
-    # The findings feed both parts: parse them once into the checkpoint folder.
-    findings = materialize(ranked(spark, sf_dir))
+    findings = ranked(spark, sf_dir)
     analysis = A.analyze_result(B.app_functions(spark, sf_dir), findings)
     return M.combined(analysis, M.report(_mitigation_rows(spark, sf_dir, findings)))

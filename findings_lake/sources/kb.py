@@ -55,17 +55,23 @@ def read_chunks(spark: SparkSession, cwe_path: str, cve_path: str) -> DataFrame:
 
 
 def attach_embeddings(chunks: DataFrame, vectors: DataFrame, check: bool = True) -> DataFrame:
-    """Chunk row + its vector by ``(source?, chunk_pos)``.
+    """Chunk row + its vector by ``(source, chunk_pos)``; each source
+    numbers its chunks on its own, so vectors must name theirs.
 
-    With ``check`` the row counts of both sides must agree (the reference
-    silently mis-pairs otherwise); this costs two count jobs.
+    With ``check`` a chunk without a vector, or a vector without a chunk,
+    fails the query when it runs (the reference silently mis-pairs).
     """
-    keys = ["source", "chunk_pos"] if "source" in vectors.columns else ["chunk_pos"]
-    if check:
-        a, b = chunks.count(), vectors.count()
-        if a != b:
-            raise ValueError(f"{a} chunks but {b} vectors")
-    return chunks.join(vectors, keys, "inner")
+    if "source" not in vectors.columns:
+        raise ValueError("vectors need the columns source, chunk_pos and embedding")
+    keys = ["source", "chunk_pos"]
+    if not check:
+        return chunks.join(vectors, keys, "inner")
+    left = chunks.withColumn("_c", F.lit(True))
+    right = vectors.withColumn("_v", F.lit(True))
+    both = left.join(right, keys, "full_outer")
+    unpaired = F.raise_error(F.concat_ws(" ", F.lit("unpaired chunk or vector:"), "source", F.col("chunk_pos").cast("string")))
+    paired = F.when(F.col("_c") & F.col("_v"), F.lit(True)).otherwise(unpaired.cast("boolean"))
+    return both.where(paired).drop("_c", "_v")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -84,12 +90,14 @@ def profile(kb: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
                                    F.max(F.size("embedding")).cast("int").alias("embed_dim"))
     if manifest is None:
         return obs.withColumn("embed_model", F.lit(DEFAULT_EMBED_MODEL))
-    # The manifest is one small config object: read it as driver constants.
-    m = manifest.first()
-    model = (m["embed_model"] if m and m["embed_model"] else DEFAULT_EMBED_MODEL)
-    declared = {"CWE": m["cwe_chunks"] if m else None, "CVE": m["cve_chunks"] if m else None}
-    return (obs.withColumn("embed_model", F.lit(model))
-            .withColumn("declared_dim", F.lit(m["embed_dim"] if m else None).cast("int"))
-            .withColumn("declared_chunks",
-                        F.when(F.col("source") == "CWE", F.lit(declared["CWE"]))
-                        .otherwise(F.lit(declared["CVE"])).cast("long")))
+    # The manifest is one small config object: its values are scalar subqueries.
+    m = manifest.limit(1)
+
+    def value(expr):
+        return m.select(F.first(expr)).scalar()
+
+    declared = F.when(F.col("source") == "CWE", value("cwe_chunks")).otherwise(value("cve_chunks"))
+    name = value(F.when(F.col("embed_model") != "", F.col("embed_model")))
+    return (obs.withColumn("embed_model", F.coalesce(name, F.lit(DEFAULT_EMBED_MODEL)))
+            .withColumn("declared_dim", value("embed_dim").cast("int"))
+            .withColumn("declared_chunks", declared.cast("long")))

@@ -32,10 +32,10 @@ def test_chunk_tables_and_attach(spark, tmp_path):
     kb = KB.attach_embeddings(chunks, vec)
     assert kb.count() == 3
     try:
-        KB.attach_embeddings(chunks, vec.limit(2))
+        KB.attach_embeddings(chunks, vec.limit(2)).collect()
         raise AssertionError("count mismatch not detected")
-    except ValueError:
-        pass
+    except Exception as e:
+        assert "unpaired chunk or vector" in str(e)
 
 
 def test_source_files_newlines(spark, tmp_path):
