@@ -32,17 +32,20 @@ _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def _defs_preorder(node):
-    """Function definitions, outer before nested, in source field order."""
-    for child in ast.iter_child_nodes(node):
+    """Function definitions, outer before nested, in source field order (no
+    recursion: expressions may nest deeper than Python's stack)."""
+    waiting = [node]
+    while waiting:
+        child = waiting.pop()
         if isinstance(child, _DEFS):
             yield child
-        yield from _defs_preorder(child)
+        waiting.extend(reversed(list(ast.iter_child_nodes(child))))
 
 
 def _file_rows(file: str, content: str) -> list[dict]:
     try:
         tree = ast.parse(content, filename=file)
-    except (SyntaxError, ValueError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return [dict(file=file, fn_ord=None, name=None, lineno=None, end_lineno=None, args=None,
                      docstring=None, source=None, n_functions=0,
                      parse_error=f"{type(e).__name__}: {e}")]

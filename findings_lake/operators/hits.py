@@ -19,6 +19,7 @@ DEFAULT_MATCH_CODES = "200"
 FILE_PREFIX = "ffuf"
 
 HIT_TYPE = "struct<url string, status int, length bigint, words bigint, input string>"
+DOC_FIELDS = "config: variant, results: array<variant>"
 _NUMERIC = ["BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT"]
 
 
@@ -50,11 +51,18 @@ def parse_files(files: DataFrame, match_codes: str = DEFAULT_MATCH_CODES) -> Dat
     ``file, cwe_id, wordlist, target, hits array<struct>, hit_count, error``.
     """
     codes = [float(c) for c in match_code_set(match_codes)]
-    doc = text.parse_json_object("text")
-    df = files.select("file", doc.alias("_doc"))
-    results = _get(F.col("_doc"), "results")
-    df = df.withColumn("_res", F.when(results.isNull(), F.array().cast("array<variant>"))
-                       .otherwise(results.try_cast("array<variant>")))
+    # Typed read: only single results are variants, so a file has no size cap
+    # of its own. Read as the only element of a list, a text with anything
+    # behind its object is no object.
+    one = F.from_json(F.concat(F.lit("["), F.col("text"), F.lit("]")), f"array<struct<{DOC_FIELDS}>>")
+    df = files.select("file", "text", one.alias("_one"))
+    df = df.withColumn("_doc", F.when(F.size("_one") == 1, F.get("_one", 0)))
+    df = df.withColumn("_res", F.col("_doc.results"))
+    # No list under results: absent (an empty list), or something else
+    keyed = F.array_contains(F.json_object_keys("text"), "results")
+    df = df.withColumn("_bad", F.when(F.col("_doc").isNotNull() & F.col("_res").isNull(), F.coalesce(keyed, F.lit(False)))
+                       .otherwise(F.lit(False)))
+    df = df.withColumn("_res", F.coalesce("_res", F.when(~F.col("_bad"), F.array().cast("array<variant>"))))
 
     def is_hit(r):
         st = _get(r, "status")
@@ -75,7 +83,7 @@ def parse_files(files: DataFrame, match_codes: str = DEFAULT_MATCH_CODES) -> Dat
             input_text.alias("input"))
 
     hits = F.transform(F.filter("_res", is_hit), project)
-    cfg = _get(F.col("_doc"), "config")
+    cfg = F.col("_doc.config")
     bad_input = F.exists(F.filter("_res", is_hit), lambda r: text.json_kind(_get(r, "input")) == "VOID")
     error = (F.when(F.col("_doc").isNull(), F.lit("not a JSON object"))
              .when(F.col("_res").isNull(), F.lit("results is not a list"))

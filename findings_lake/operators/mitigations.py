@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import severity as sev
 from ..functions import text
 from . import retrieve as R
+from .replies import one_reply
 
 # Placeholder used while lifting fixed_code, and the error
 # text of an unparseable reply.
@@ -46,13 +47,16 @@ def attach_source(cands: DataFrame, functions: DataFrame,
                   file_status: DataFrame | None = None) -> DataFrame:
     """M1: source of the first function (pre-order) with the finding's
     function name in the same file; ``name_ambiguous`` marks names that
-    occur more than once (the reference silently takes the first). With a
+    occur more than once (the reference silently takes the first). A finding
+    that brings its own non-empty ``source`` keeps it. With a
     ``file_status`` table (``file, parse_ok``), a target that no longer
     parses gets the ``# source unavailable for <name>`` comment."""
     by_name = functions.groupBy("file", F.col("name").alias("function")).agg(
         F.min_by("source", "fn_ord").alias("fn_source"),
         (F.count(F.lit(1)) > 1).alias("name_ambiguous"))
     out = cands.join(by_name, ["file", "function"], "left")
+    if "source" in cands.columns:
+        out = out.withColumn("fn_source", F.coalesce(F.when(F.col("source") != "", F.col("source")), "fn_source"))
     missing = F.lit("")
     if file_status is not None:
         out = out.join(file_status.select("file", F.col("parse_ok").alias("_ok")), "file", "left")
@@ -116,23 +120,28 @@ def parse(repaired: DataFrame) -> DataFrame:
         return text.py_str(F.variant_get(obj, f"$.{name}", "variant"), default)
 
     def field_list(name):
+        """A list's texts; a text alone is a list of one; other values are NULL (an error row)."""
         v = F.variant_get(obj, f"$.{name}", "variant")
-        return F.when(v.isNull(), F.array().cast("array<string>")).otherwise(
-            F.transform(v.try_cast("array<variant>"), lambda x: text.py_str(x, None)))
+        return (F.when(v.isNull(), F.array().cast("array<string>"))
+                .when(text.json_kind(v) == "STRING", F.array(F.try_variant_get(v, "$", "string")))
+                .otherwise(F.transform(v.try_cast("array<variant>"), lambda x: text.py_str(x, None))))
 
     ok = obj.isNotNull()
     fixed = F.when(F.col("_o").isNotNull(), field_str("fixed_code", "")).otherwise(
         F.coalesce(lifted, F.lit("")))
-    failed_call = F.col("raw").isNull()
+    failed_call = F.col("raw").isNull() | F.col("call_error").isNotNull()
+    ok = ok & ~failed_call
+    lists = {name: field_list(name) for name in ("hardening", "references")}
+    unlisted = [F.when(ok & lists[name].isNull(), F.lit(f"{name} is not a list")) for name in lists]
     return df.select(
         *[c for c in repaired.columns if c not in ("repaired",)],
         F.when(ok, field_str("explanation", "")).alias("explanation"),
         F.when(ok, fixed).alias("fixed_code"),
-        F.when(ok, field_list("hardening")).alias("hardening"),
-        F.when(ok, field_list("references")).alias("references"),
+        F.when(ok, lists["hardening"]).alias("hardening"),
+        F.when(ok, lists["references"]).alias("references"),
         F.when(~ok & ~failed_call, F.substring("raw", 1, RAW_RESPONSE_CHARS)).alias("raw_response"),
         F.when(failed_call, F.coalesce(F.col("call_error"), F.lit("no reply")))
-        .when(~ok, F.lit(PARSE_ERROR)).alias("error"))
+        .when(~ok, F.lit(PARSE_ERROR)).otherwise(F.coalesce(*unlisted)).alias("error"))
 
 
 def mitigation_rows(requests: DataFrame, replies: DataFrame) -> DataFrame:
@@ -143,7 +152,7 @@ def mitigation_rows(requests: DataFrame, replies: DataFrame) -> DataFrame:
                         "min_severity_filter") if c in requests.columns]
     requests = requests.withColumn("request_id", request_id())  # one request per finding
     keep.append("request_id")
-    r = replies.select("request_id", "raw", F.col("error").alias("call_error"))
+    r = one_reply(replies).select("request_id", "raw", F.col("error").alias("call_error"))
     return parse(repair(requests.select(*keep).join(r, "request_id", "left")))
 
 

@@ -55,9 +55,9 @@ def lookup_wordlists(cwes: DataFrame, wordlist_map: DataFrame,
                      max_wordlists: int = DEFAULT_MAX_WORDLISTS) -> DataFrame:
     """F2 + F3: the CWE's wordlists, else the ``_default`` list; first
     ``max_wordlists`` in map order, one row per job (``job_pos``)."""
-    m = F.broadcast(wordlist_map.select("cwe_id", F.col("wordlists").alias("_own")))
-    d = F.broadcast(wordlist_map.where(F.col("cwe_id") == WL.DEFAULT_KEY)
-                    .select(F.col("cwe_id").alias("_dk"), F.col("wordlists").alias("_def")))
+    m = wordlist_map.select("cwe_id", F.col("wordlists").alias("_own"))
+    d = (wordlist_map.where(F.col("cwe_id") == WL.DEFAULT_KEY)
+         .select(F.col("cwe_id").alias("_dk"), F.col("wordlists").alias("_def")))
     # The default list is looked up only for CWEs without their own entry;
     # the key depends on the row, so this stays an equi (hash) join.
     j = (cwes.join(m, "cwe_id", "left")

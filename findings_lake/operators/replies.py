@@ -8,7 +8,7 @@ keeps each reply's elements together in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rounding, severity, text
@@ -16,6 +16,8 @@ from ..functions import rounding, severity, text
 # Field defaults of a validated finding.
 DEFAULT_CWE_ID = "CWE-Unknown"
 DEFAULT_CONFIDENCE = 0.5
+# Decimal numbers as Python's float() reads them (a Java suffix as in "0.5d" is none).
+NUMBER_TEXT = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 TEXT_FIELDS = ["cwe_name", "line_hint", "description", "evidence", "solution"]
 
 
@@ -82,7 +84,8 @@ def validate_elements(elements: DataFrame) -> DataFrame:
     step = elements.select(*keep, *[_field(f).alias(f"_v_{f}") for f in fields])
 
     conf_v = F.col("_v_confidence")
-    conf_num = F.try_variant_get(conf_v, "$", "double")
+    conf_text = F.when(text.json_kind(conf_v) == "STRING", text.py_strip(F.try_variant_get(conf_v, "$", "string")))
+    conf_num = F.when(conf_text.isNull() | conf_text.rlike(NUMBER_TEXT), F.try_variant_get(conf_v, "$", "double"))
     refs_v = F.col("_v_references")
     refs_kind = text.json_kind(refs_v)
     refs = (F.when(refs_v.isNull(), F.array().cast("array<string>"))
@@ -119,13 +122,19 @@ def findings_from_replies(replies: DataFrame, keep_quarantine: bool = False) ->
     return v.where(F.col("quarantine_reason").isNull())
 
 
+def one_reply(replies: DataFrame) -> DataFrame:
+    """One reply per request: of several, one without an error, then the
+    least text (a failed call has an error, whatever its text)."""
+    w = Window.partitionBy("request_id").orderBy(F.col("error").isNotNull(), F.asc_nulls_last("raw"), "error")
+    return replies.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def pair_replies(prompts: DataFrame, replies: DataFrame) -> DataFrame:
     """Every prompt gets its reply; a missing reply or a failed call is an
     error row (empty findings) and the scan goes on."""
-    r = replies.select("request_id", "raw", F.col("error").alias("_err"))
+    r = one_reply(replies).select("request_id", "raw", F.col("error").alias("_err"))
     j = prompts.join(r, "request_id", "left")
-    return (j.withColumn("error", F.when(F.col("raw").isNull(),
-                                         F.coalesce(F.col("_err"), F.lit("no reply"))))
+    return (j.withColumn("error", F.coalesce("_err", F.when(F.col("raw").isNull(), F.lit("no reply"))))
             .withColumn("status", F.when(F.col("error").isNull(), F.lit("ok"))
                         .otherwise(F.lit("error")))
             .drop("_err"))

@@ -97,12 +97,19 @@ def results_findings(results: DataFrame) -> DataFrame:
 
 
 def report_findings(reports: DataFrame) -> DataFrame:
-    """A1 over report documents: results x findings in order."""
+    """A1 over report documents: results x findings in order.
+
+    A report in the reference's own format names no ``fn_ord``: results then
+    count in the order they stand. ``file`` falls back to the report's target,
+    ``function`` to ``unknown`` and ``source`` to an empty text.
+    """
     r = reports.select(F.col("meta.target").alias("target"),
                        F.posexplode("results").alias("result_pos", "r"))
-    return (r.select("target", "result_pos", F.col("r.function").alias("function"),
-                     F.col("r.file").alias("file"), F.col("r.fn_ord").alias("fn_ord"),
+    return (r.select("target", "result_pos", F.coalesce("r.function", F.lit("unknown")).alias("function"),
+                     F.coalesce("r.file", "target").alias("file"),
+                     F.coalesce("r.fn_ord", F.col("result_pos").cast("int")).alias("fn_ord"),
+                     F.coalesce("r.source", F.lit("")).alias("source"),
                      F.posexplode(F.coalesce("r.findings", F.array().cast(
                          T.ArrayType(FINDING_STRUCT)))).alias("rank_pos", "f"))
-            .select("target", "result_pos", "function", "file", "fn_ord",
+            .select("target", "result_pos", "function", "file", "fn_ord", "source",
                     F.col("rank_pos").cast("int"), "f.*"))
