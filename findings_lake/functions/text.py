@@ -129,11 +129,30 @@ def path_stem(c) -> Column:
     return F.regexp_replace(path_name(c), "(?<=[\\s\\S])\\.[^.]+\\z", "")
 
 
+def py_number(kind: Column, s: Column) -> Column:
+    """Python's text of a JSON number, from its kind and Java's text: a
+    literal with a point or an exponent is a float and keeps ``.0``; exponents
+    read ``1e-07``. (A whole number beyond 64 bits reads as an integer.)"""
+    whole = (kind == "DECIMAL") & ~s.contains(".") & (F.length(s) < 19)
+    mantissa = F.regexp_replace(F.regexp_extract(s, "^(-?[0-9.]+)E", 1), "[.]0$", "")
+    power = F.regexp_extract(s, "E(-?[0-9]+)$", 1).try_cast("int")
+    plain = F.regexp_replace(F.regexp_replace(
+        s.try_cast("double").try_cast("decimal(38,18)").cast("string"), "0+$", ""), "[.]$", ".0")
+    exponent = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                        F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    return (F.when(whole, F.concat(s, F.lit(".0")))
+            .when(s.contains("Infinity"), F.replace(s, F.lit("Infinity"), F.lit("inf")))
+            .when(s.contains("E") & power.between(-4, 15), plain)
+            .when(s.contains("E"), exponent)
+            .otherwise(s))
+
+
 def py_str(v: Column, default: str | None) -> Column:
     """``str(d.get(key, default))`` for a variant field ``v``.
 
     Absent -> default; JSON null -> ``None``; booleans -> ``True``/``False``;
-    strings as they are; other values as their JSON text.
+    strings as they are; numbers as Python prints them; other values as their
+    JSON text.
     """
     kind = json_kind(v)
     as_text = F.try_variant_get(v, "$", "string")
@@ -142,6 +161,7 @@ def py_str(v: Column, default: str | None) -> Column:
            .when(kind == "BOOLEAN",
                  F.when(as_text == "true", F.lit("True")).otherwise(F.lit("False")))
            .when(kind.isin("OBJECT", "ARRAY"), F.to_json(v))
+           .when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), py_number(kind, as_text))
            .otherwise(as_text))
     return res
 

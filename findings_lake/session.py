@@ -7,7 +7,9 @@ caller; ``local_session`` is the test / bench convenience.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,7 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        d = tempfile.mkdtemp(prefix="findings-lake-ckpt-")  # local mode only (tests)
+        d = tempfile.mkdtemp(prefix="findings-lake-ckpt-")  # local mode only (tests), removed with the process
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         sc.setCheckpointDir(d)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

@@ -75,27 +75,14 @@ def read_fuzz_outputs(spark: SparkSession, results_dir: str) -> DataFrame:
     return whole_text(spark, results_dir, FUZZ_GLOB)
 
 
-def read_scan_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Scan report documents; a missing ``results`` reads as empty."""
-    df = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
+def read_scan_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Scan reports, one document per file or (``lines``) one per line, as
+    ``sinks.write_scan_reports`` writes them; a missing ``results`` reads as empty."""
+    df = spark.read.schema(REPORT_SCHEMA).option("multiLine", not lines).json(path)
     return df.withColumn("results", F.coalesce("results", F.array().cast(
         T.ArrayType(RESULT_STRUCT))))
 
 
-def read_scan_results(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Result rows written by ``sinks.write_scan_reports`` (one per
-    function, ``findings`` nested)."""
-    return spark.read.schema(RESULT_STRUCT).json(f"{out_dir}/results")
-
-
-def results_findings(results: DataFrame) -> DataFrame:
-    """A1 over written result rows: functions x findings in report order."""
-    return (results.select("file", "fn_ord", "function",
-                           F.posexplode(F.coalesce("findings", F.array().cast(
-                               T.ArrayType(FINDING_STRUCT)))).alias("rank_pos", "f"))
-            .select("file", "fn_ord", "function", F.col("rank_pos").cast("int"), "f.*"))
-
-
 def report_findings(reports: DataFrame) -> DataFrame:
     """A1 over report documents: results x findings in order.
 

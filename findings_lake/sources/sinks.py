@@ -1,9 +1,11 @@
 """Report sinks.
 
 Every writer is a distributed Spark write; nothing is assembled on the
-driver. A report whose size grows with the data (scan results of a target,
-fuzz jobs, mitigations) is written as a small summary document plus
-JSON-lines rows, so no single row or task holds a whole target or corpus.
+driver. Rows are clustered by target into as many files as there are shuffle
+partitions (never a folder or file per target), and every document names its
+target. A scan report is one JSON line per target in the shape that
+``files.read_scan_reports`` reads; what grows with the corpus (jobs, findings,
+mitigations) is written as rows beside the summaries.
 """
 
 from __future__ import annotations
@@ -51,34 +53,46 @@ def scan_results(nested: DataFrame) -> DataFrame:
     return nested.select(*cols)
 
 
+def scan_reports(nested: DataFrame, ranked: DataFrame, model: str = "llama3",
+                 duration_s: float = 0.0) -> DataFrame:
+    """One report per target file: ``meta``, ``summary`` and the
+    ``results`` of its functions in order (a target is one source file)."""
+    rows = scan_results(nested)
+    result = F.struct("fn_ord", *[c for c in rows.columns if c != "fn_ord"])
+    results = rows.groupBy("file").agg(F.array_sort(F.collect_list(result)).alias("results"))
+    return (scan_summaries(nested, ranked, model, duration_s).join(results, "file")
+            .select("meta", "summary", "results"))
+
+
 def write_scan_reports(nested: DataFrame, ranked: DataFrame, out_dir: str,
                        model: str = "llama3", duration_s: float = 0.0,
                        mode: str = "overwrite") -> None:
-    """Per target file a ``summary`` document (meta + summary) and the
-    ``results`` as JSON lines, both partitioned by target. No row ever holds
-    more than one function, so a file with a huge share of the corpus is
-    still written by many tasks."""
-    (scan_summaries(nested, ranked, model, duration_s).withColumnRenamed("file", "target")
-     .write.mode(mode).partitionBy("target").json(f"{out_dir}/summary"))
-    (scan_results(nested).withColumn("target", F.col("file"))
-     .write.mode(mode).partitionBy("target").json(f"{out_dir}/results"))
-
-
-def write_fuzz_report(jobs: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    """``summary`` (status, jobs, hits) and ``jobs`` (one JSON line per
-    output file, hits nested)."""
+    """Reports as JSON lines; read back by ``read_scan_reports(..., lines=True)``."""
+    scan_reports(nested, ranked, model, duration_s).write.mode(mode).json(out_dir)
+
+
+def write_fuzz_report(jobs: DataFrame, out_dir: str, results_dir: str | None = None,
+                      mode: str = "overwrite") -> None:
+    """``summary`` (status, results folder, jobs, hits) and ``jobs`` (one
+    JSON line per output file, hits nested)."""
     from ..operators import hits as H
-    H.report_totals(jobs).coalesce(1).write.mode(mode).json(f"{out_dir}/summary")
+    summary = H.report_totals(jobs).withColumn("results_dir", F.lit(results_dir).cast("string"))
+    summary.coalesce(1).write.mode(mode).option("ignoreNullFields", False).json(f"{out_dir}/summary")
     jobs.write.mode(mode).json(f"{out_dir}/jobs")
 
 
-def write_combined(combined: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    """One combined document per target; unused parts stay as JSON
-    null (``ignoreNullFields`` off)."""
-    (combined.write.mode(mode).option("ignoreNullFields", False)
-     .partitionBy("target").json(out_dir))
+def write_combined(combined: DataFrame, out_dir: str, findings: DataFrame | None = None,
+                   mitigations: DataFrame | None = None, mode: str = "overwrite") -> None:
+    """``summary``, one document per target (unused parts stay as JSON
+    null), and the full ``findings`` and ``mitigations`` rows, keyed by
+    ``target``, where they are given."""
+    combined.write.mode(mode).option("ignoreNullFields", False).json(f"{out_dir}/summary")
+    for name, rows in (("findings", findings), ("mitigations", mitigations)):
+        if rows is not None:
+            (rows.withColumnRenamed("file", "target").repartition("target").sortWithinPartitions("target")
+             .write.mode(mode).json(f"{out_dir}/{name}"))
 
 
 def write_job_plan(plan: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    """The fuzz job table (not a shell script), by target file."""
-    plan.write.mode(mode).partitionBy("file").parquet(out_dir)
+    """The fuzz job table (not a shell script), clustered by target file."""
+    plan.repartition("file").sortWithinPartitions("file").write.mode(mode).parquet(out_dir)

@@ -66,8 +66,3 @@ def map_table(spark: SparkSession, mapping: dict | None = None) -> DataFrame:
     mapping = DEFAULT_WORDLIST_MAP if mapping is None else mapping
     rows = [(k, list(v)) for k, v in mapping.items() if isinstance(v, list)]
     return spark.createDataFrame(rows, "cwe_id string, wordlists array<string>")
-
-
-def long_form(map_df: DataFrame) -> DataFrame:
-    """``(cwe_id, wl_pos, wordlist)`` rows, one per listed path."""
-    return map_df.select("cwe_id", F.posexplode("wordlists").alias("wl_pos", "wordlist"))

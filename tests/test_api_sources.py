@@ -59,9 +59,12 @@ def test_fuzz_and_combined_sinks(spark, tmp_path):
                                  "target string, analysis_status string, functions_scanned long, "
                                  "total_findings long, fuzzing string, mitigations_total long, "
                                  "mitigation_errors long")
-    S.write_combined(comb, str(tmp_path / "comb"))
-    part = [p for p in (tmp_path / "comb" / "target=t.py").iterdir() if p.suffix == ".json"][0]
-    assert json.loads(part.read_text().splitlines()[0])["fuzzing"] is None
+    rows = spark.createDataFrame([("t.py", "CWE-1")], "file string, cwe_id string")
+    S.write_combined(comb, str(tmp_path / "comb"), findings=rows, mitigations=rows)
+    docs = [json.loads(x) for p in (tmp_path / "comb" / "summary").iterdir() if p.suffix == ".json"
+            for x in p.read_text().splitlines()]
+    assert [(d["target"], d["fuzzing"]) for d in docs] == [("t.py", None)]
+    assert spark.read.json(str(tmp_path / "comb" / "findings")).first().target == "t.py"
 
 
 def test_api_end_to_end(spark, tmp_path):

@@ -66,6 +66,13 @@ def test_number_texts(spark):
     assert [got[i][0] for i in (2, 3, 4)] == [0.25, 0.1, 0.5]
 
 
+def test_numbers_as_text(spark):
+    literals = ["89", "89.0", "100000.0", "1e5", "0.1", "1.50", "1e-7", "123456789.125", "1e16", "1.5e22", "5e-4", "-2.0", "2.5e300"]
+    objs = [f'[{{"line_hint": {x}}}]' for x in literals]
+    got = {r.fn_ord: r.line_hint for r in J.findings_from_replies(replies_df(spark, objs)).collect()}
+    assert [got[i] for i in range(len(literals))] == [str(json.loads(x)) for x in literals]
+
+
 def test_deep_sources_are_rows_not_failures(spark):
     deep = "def f():\n    return " + " + ".join(["1"] * 6000) + "\n"
     nested = "def a():\n    def b():\n        pass\n    async def c(): pass\nclass K:\n    def m(self): pass\n"

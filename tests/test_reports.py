@@ -18,11 +18,12 @@ def test_scan_report_round_trip(spark, tmp_path):
     nested = A.nest_findings(fns, ranked)
     out = str(tmp_path / "reports")
     S.write_scan_reports(nested, ranked, out, duration_s=12.345)
-    head = spark.read.json(f"{out}/summary").orderBy("target").first()
+    reports = FS.read_scan_reports(spark, out, lines=True)
+    head = reports.orderBy("meta.target").first()
     assert head.meta.tool == "vuln_scanner" and head.meta.scan_date.endswith("Z")
     assert head.meta.duration_s == round(12.345, 2)
-    assert set(head.summary.by_severity.asDict()) == {"CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"}
-    back = FS.results_findings(FS.read_scan_results(spark, out))
+    assert set(head.summary.by_severity) == {"CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"}
+    back = FS.report_findings(reports)
     assert back.count() == ranked.count()
     a = sorted((r.file, r.fn_ord, r.rank_pos, r.cwe_id) for r in back.collect())
     b = sorted((r.file, r.fn_ord, r.rank_pos, r.cwe_id) for r in A.flatten_findings(nested).collect())
