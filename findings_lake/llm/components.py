@@ -49,8 +49,10 @@ def components(links: DataFrame) -> DataFrame:
     node that can be reached.
 
     Alternating large-star and small-star rounds: each is a minimum by node
-    (combined before the shuffle) and an equi-join back, whose hot nodes
-    adaptive execution splits. Each round is written to the shared folder.
+    (combined before the shuffle) and an equi-join back. The minima are
+    written first, so the join knows their size and deals both of its sides
+    anew: a node with a great many links can be split. Rounds are
+    written to the shared folder.
     Rounds grow with the logarithm of the longest path. No links give no rows.
     """
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
@@ -58,11 +60,12 @@ def components(links: DataFrame) -> DataFrame:
     state = _summary(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
         # small star: now every edge points down; link lower neighbours and the node itself to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stash(large, "links")
+        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
