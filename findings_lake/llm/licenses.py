@@ -27,13 +27,17 @@ REACH = 32
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 BASE_SCORE = 0.75
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def normalised(text: Column) -> Column:
-    """``" w1 w2 ... wn "``, or one space if there is no word."""
-    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """``" w1 w2 ... wn "``, or one space if there is no word.
+
+    ``lower`` folds letters beyond A-Z too. That moves no word boundary (a
+    folded letter is a word character like the letter itself) and completes no
+    base phrase (only the Kelvin sign folds to an ASCII letter, k, and no phrase holds one).
+    """
+    lower = F.lower(F.coalesce(text, F.lit("")))
     return F.concat(F.lit(" "), F.ltrim(F.concat(F.rtrim(F.regexp_replace(lower, NOT_WORD, " ")), F.lit(" "))))
 
 
@@ -53,13 +57,20 @@ def _base(s: Column, phrase: str) -> tuple[Column, Column, Column]:
     return F.when(there, count.cast("long")).otherwise(0), F.when(there, first), F.when(there, last)
 
 
+def keyword_gate(keywords: list[str]) -> str:
+    """Pattern of a keyword between spaces, grouped by first letter: one
+    character decides most words."""
+    groups = [f"{a}(?:{'|'.join(k[1:] for k in keywords if k[0] == a)})" for a in sorted({k[0] for k in keywords})]
+    return f" (?:{'|'.join(groups)}) "
+
+
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the base columns and ``hits``, the windows behind keywords
     (null where the prefilter finds none)."""
     keywords = sorted({r.keyword for r in rules()})
     s = F.col("s")
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col).cast("string")).alias("s"))
-    gate = s.rlike(f" (?:{'|'.join(keywords)}) ")
+    gate = s.rlike(keyword_gate(keywords))
     words = F.split(F.trim(s), " ")
     marked = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("keyword"), i.alias("start"))),
                       lambda x: x.keyword.isin(*keywords))
