@@ -276,6 +276,7 @@ def _retrieval(q: dict[str, str]) -> None:
     q["kb_scan"] = w + """
 SELECT source, chunk_pos, chunk_id, cve_id, cwe_id, cvss_severity, cvss_score, chunk_text,
        CAST(len(emb) AS INTEGER) AS dim FROM kb"""
+    q["kb_from_files"] = q["kb_scan"]
     q["kb_attach_embeddings"] = w + """
 SELECT source, chunk_pos, CAST(len(emb) AS INTEGER) AS dim, round(list_sum(emb), 4) AS component_sum
 FROM kb"""
@@ -361,6 +362,8 @@ WHERE w.wl_pos < {cap}"""
 def _plan(q: dict[str, str]) -> None:
     w = "WITH " + FINDINGS_CTE.strip() + "," + PLAN_CTE.rstrip()
     q["plan_cwe_dedupe"] = w + "\nSELECT * FROM cw"
+    q["report_plan"] = q["plan_cwe_dedupe"]
+    q["report_files"] = q["findings_flatten"]
     q["plan_wordlists"] = w + """
 SELECT c.file, c.cwe_id, CAST(w.wl_pos AS INTEGER) AS job_pos, w.wordlist
 FROM cw c JOIN wl w ON w.cwe_id = CASE WHEN c.cwe_id IN (SELECT cwe_id FROM wl)

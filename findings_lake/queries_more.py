@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import bindings as B
 from .operators import retrieve as R
 from .queries import register
+from .session import checkpoint_dir
 from .sources import kb as KB
 
 
+def _folder(spark, name: str) -> str:
+    """A fresh folder beside the checkpoints, for queries that write files
+    and read them back through the library's own readers."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 # ---------------------------------------------------------------------------
 # Knowledge base and retrieval
 # ---------------------------------------------------------------------------
@@ -28,6 +37,18 @@ def kb_scan(spark, sf_dir):
         "chunk_text", F.size("embedding").cast("int").alias("dim"))
 
 
+@register("kb_from_files")
+def kb_from_files(spark, sf_dir):
+    """S1 + S2 on files: chunk tables written per source, read back and joined with their vectors."""
+    kb, out = _kb(spark, sf_dir), _folder(spark, "kb")
+    for source, schema in (("CWE", KB.CWE_SCHEMA), ("CVE", KB.CVE_SCHEMA)):
+        kb.where(F.col("source") == source).select(*schema.fieldNames()).write.parquet(f"{out}/{source}")
+    chunks = KB.read_chunks(spark, f"{out}/CWE", f"{out}/CVE")
+    kb = KB.attach_embeddings(chunks, kb.select("source", "chunk_pos", "embedding"))
+    return kb.select("source", "chunk_pos", "chunk_id", "cve_id", "cwe_id", "cvss_severity", "cvss_score",
+                     "chunk_text", F.size("embedding").cast("int").alias("dim"))
+
+
 @register("kb_attach_embeddings")
 def kb_attach_embeddings(spark, sf_dir):
     kb = _kb(spark, sf_dir)
@@ -93,7 +114,10 @@ def rag_context(spark, sf_dir):
 # ---------------------------------------------------------------------------
 from .operators import hits as H  # noqa: E402
 from .operators import plan as P  # noqa: E402
-from .queries import ranked  # noqa: E402
+from .operators import findings as A  # noqa: E402
+from .queries import app_functions_with_status, ranked  # noqa: E402
+from .sources import files as FS  # noqa: E402
+from .sources import sinks as S  # noqa: E402
 from .sources import wordlists as WL  # noqa: E402
 
 
@@ -108,6 +132,30 @@ def plan_cwe_dedupe(spark, sf_dir):
     return P.dedupe_cwes(ranked(spark, sf_dir))
 
 
+@register("report_plan")
+def report_plan(spark, sf_dir):
+    """S6 -> F1: report documents in the reference's own format (no function
+    order but the order of ``results``), read through the report schema."""
+    nested = A.nest_findings(app_functions_with_status(spark, sf_dir), ranked(spark, sf_dir))
+    result = F.struct("fn_ord", "function", "line_start", "line_end", "findings")
+    docs = nested.groupBy("file").agg(F.array_sort(F.collect_list(result)).alias("r"))
+    bare = F.transform("r", lambda x: F.struct(x["function"].alias("function"), x["line_start"].alias("line_start"),
+                                              x["line_end"].alias("line_end"), x["findings"].alias("findings")))
+    text = F.to_json(F.struct(F.struct(F.col("file").alias("target")).alias("meta"), bare.alias("results")))
+    reports = docs.select(F.from_json(text, FS.REPORT_SCHEMA).alias("j")).select("j.*")
+    return P.dedupe_cwes(FS.report_findings(reports))
+
+
+@register("report_files")
+def report_files(spark, sf_dir):
+    """S9 -> S6 -> A1: reports written as JSON lines and read back."""
+    rows, out = ranked(spark, sf_dir), _folder(spark, "reports")
+    nested = A.nest_findings(app_functions_with_status(spark, sf_dir), rows)
+    S.write_scan_reports(nested, rows, out)
+    back = FS.report_findings(FS.read_scan_reports(spark, out, lines=True))
+    return back.select("file", "fn_ord", "function", "rank_pos", "cwe_id", "severity", "confidence")
+
+
 @register("plan_wordlists")
 def plan_wordlists(spark, sf_dir):
     cwes = P.dedupe_cwes(ranked(spark, sf_dir))
@@ -230,7 +278,6 @@ def scan_prompts(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Mitigations
 # ---------------------------------------------------------------------------
-from .operators import findings as A  # noqa: E402
 from .operators import mitigations as M  # noqa: E402
 
 MITIGATION_MIN_SEVERITY = "LOW"  # floored to MEDIUM (V5)
