@@ -3,14 +3,16 @@ dedup, mixing and packing, each on all that the stage before kept.
 
 A stage is a function of ``(spark, docs, sf_dir)``; its result is written as
 Parquet and read again as the next stage's ``docs``. All but the last return
-the columns of ``docs``. Stages that need a document twice first write it with
-a row number, so repeated ids and rows stay apart; extra columns pass through
-whatever their names.
+the columns of ``docs``. Where a decision meets its document again, documents
+are told apart by two hashes of id and text, so repeated ids stay apart; equal
+rows are copies of one document. Extra columns pass through whatever their
+names. Texts are shuffled, not written, between an operator and its document:
+shuffle files go with their stage, tables in the shared folder stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findings_lake.llm.common import stash, table
@@ -22,12 +24,22 @@ from findings_lake.llm.simhash import simhash_groups
 from findings_lake.llm.suffix_dedup import suffix_dedup
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` written with a row number, and that column's name."""
-    row = "row"
-    while row in docs.columns:
-        row = f"_{row}"
-    return stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+def _named(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two hashes of id and text, 128 bits that tell documents
+    apart, under names that are free. Equal rows share them."""
+    names = []
+    for k in range(2):
+        name = f"name{k}"
+        while name in docs.columns:
+            name = f"_{name}"
+        names.append(name)
+    return docs.withColumns({n: F.xxhash64(F.lit(k), "doc_id", "text") for k, n in enumerate(names)}), names
+
+
+def _once(named: DataFrame, names: list[str]) -> DataFrame:
+    """One row of each set of equal rows (those of one name)."""
+    same = Window.partitionBy(*names).orderBy(*names)
+    return named.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,38 +50,37 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: the smallest id (null last)."""
-    numbered, row = _numbered(docs)
-    groups = simhash_groups(numbered, keep=(row,))
+    named, names = _named(docs)
+    groups = simhash_groups(named, keep=tuple(names))
     first = groups.groupBy("group").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).getField(row).alias(row))
-    return numbered.join(first, row, "left_semi").select(*docs.columns)
+        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *names)).alias("least")).select("least.*").select(*names)
+    return _once(named.join(first, names, "left_semi"), names).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat elsewhere (a character that is cut
     through goes whole); every document stays, a null text stays null."""
-    numbered, row = _numbered(docs)
-    cut = suffix_dedup(numbered, id_col=row, with_text=True)
+    others = [c for c in docs.columns if c != "text"]
+    whole = docs.select(F.struct(*others, F.col("text").isNull().alias("_null")).alias("id"), "text")
+    cut = suffix_dedup(whole, id_col="id", with_text=True)
 
     @F.pandas_udf("string")
     def decoded(data):
         return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    cut = cut.select(F.col(row).alias("_of"), decoded("kept").alias("_text"))
-    rest = numbered.withColumn("text", F.col("text").isNull())
-    text = F.when(~F.col("text"), F.col("_text"))
-    changed = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
-    joined = rest.join(cut, F.col(row) == F.col("_of"))
-    return joined.select(*[(changed[c] if c in changed else rest[c]).alias(c) for c in docs.columns])
+    cut = cut.select("id", F.when(~F.col("id._null"), decoded("kept")).alias("text"))
+    length = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    return cut.select(*[F.col("text") if c == "text" else length.alias(c) if c == "n_chars" else F.col("id")[c].alias(c)
+                        for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document comes once for each pass that takes it, cut behind
     the words that the pass takes; documents that the mix leaves out go."""
-    numbered, row = _numbered(docs)
-    documents, pieces = mix(numbered, keep=(row,))
-    passes = pieces.groupBy(F.col("row").alias("_at"), "epoch").agg(F.sum("length").alias("_words"))
-    passes = passes.join(documents.select(F.col("row").alias("_at"), F.col("size").alias("_size"), F.col(row).alias("_of")), "_at")
+    named, names = _named(docs)
+    documents, pieces = mix(named, keep=tuple(names))
+    passes = pieces.groupBy("row", "epoch").agg(F.sum("length").alias("_words"))
+    passes = passes.join(documents.select("row", F.col("size").alias("_size"), *names), "row").select(*names, "_words", "_size")
 
     @F.pandas_udf("string")
     def first_words(texts, words):
@@ -85,7 +96,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         return texts.combine(words, cut)
 
-    joined = numbered.join(passes.select("_of", "_words", "_size"), F.col(row) == F.col("_of"))
+    joined = _once(named, names).join(passes, names)  # every pass of a set of equal rows takes one copy
     text = F.when(F.col("_words") < F.col("_size"), first_words("text", "_words")).otherwise(F.col("text"))
     joined = joined.withColumn("text", text)
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

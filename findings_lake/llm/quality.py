@@ -148,8 +148,6 @@ def document_weights(rows: DataFrame, known, weights) -> DataFrame:
     """``id, h, n_words, log_weight, x`` of every row of ``id, h, text, doc``:
     the sum of log weights and the features (mean and alien weight by family).
     ``weights``: log weights of the model of all, without the first and without the second half."""
-    kind = rows.schema["id"].dataType.simpleString()
-
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -174,7 +172,9 @@ def document_weights(rows: DataFrame, known, weights) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * FEATURES, pa.int32()), pa.array(x.ravel()))],
                 ["id", "h", "n_words", "log_weight", "x"])
 
-    return rows.mapInArrow(run, f"id {kind}, h long, n_words long, log_weight double, x array<double>")
+    out = rows.select("id", "h", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_weight"),
+                      F.array(F.lit(0.0)).alias("x"))
+    return rows.mapInArrow(run, out.schema)
 
 
 def calibrate(x, clean):
@@ -254,10 +254,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     for r in model_counts(docs.select(ident.alias("doc"), text.alias("text")), halves).toLocalIterator():  # at most FAMILIES * BUCKETS rows
         counts[:, r.bucket] = r.raw, r.first, r.second
     weights = spark.sparkContext.broadcast(np.stack([log_ratios(counts[0], t) for t in (counts[1] + counts[2], counts[2], counts[1])]))
-    packed = F.struct(ident.alias("doc"), F.struct(*keep).alias("document")) if keep else ident
-    rows = docs.select(packed.alias("id"), F.xxhash64(ident, text).alias("h"), text.alias("text"), ident.alias("doc"))
-    scored = stash(document_weights(rows, halves, weights), "weights")
-    own = scored.withColumn("doc", F.col("id.doc") if keep else F.col("id"))
+    rows = docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("h"), text.alias("text"), ident.alias("doc"))
+    own = stash(document_weights(rows, halves, weights), "weights").withColumn("doc", F.col("id"))
 
     fit = own.join(F.broadcast(spark.createDataFrame([(k, c) for k, (_, c) in known.items()] or [(None, None)],
                                                      f"doc {own.schema['doc'].dataType.simpleString()}, clean boolean")), "doc")
@@ -266,8 +264,17 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     coef, bias = calibrate(x, y) if y.any() and not y.all() else ([0.0] * FEATURES, 0.0)
     logit = sum((F.col("x")[k] * w for k, w in enumerate(coef)), F.lit(bias))
     unit = (F.shiftrightunsigned(F.xxhash64("h", F.lit("gumbel")), 11) + F.lit(0.5)) / float(1 << 53)
-    keyed = own.withColumn("logit", logit).withColumn("key", F.col("logit") - temperature * F.log(-F.log(unit)))
+
+    def drawn(weighed):
+        return weighed.withColumn("logit", logit).withColumn("key", F.col("logit") - temperature * F.log(-F.log(unit)))
+
+    keyed = drawn(own)
     k = keyed.where("logit >= 0").count()
     kept = F.col("key") >= kth_largest(keyed.select("key"), k) if k else F.lit(False)
+    if keep:  # weigh the texts once more beside their columns: cheaper than to write or shuffle them
+        packed = F.struct(ident.alias("doc"), F.struct(*keep).alias("document"))
+        weighed = document_weights(docs.select(packed.alias("id"), F.xxhash64(ident, text).alias("h"), text.alias("text"),
+                                               ident.alias("doc")), halves, weights)
+        keyed = drawn(weighed.withColumn("doc", F.col("id.doc")))
     return keyed.select(F.col("doc").alias(id_col), "n_words", "log_weight", "logit", "key",
                         kept.alias("kept"), *([F.col("id.document").alias("document")] if keep else []))

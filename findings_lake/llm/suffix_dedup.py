@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import bwt
 from .common import byte_list, prepare, stash
@@ -210,9 +211,14 @@ def kept_bytes(text: bytes, starts, ends) -> bytes:
 DONE, PENDING, SPAN = 0, 1, 2
 
 
-def _schema(kind: str) -> str:
-    return (f"what byte, id {kind}, doc long, tag long, key long, n_bytes long, n_removed long, n_spans long, "
-            "kept_sha256 string, data binary, ranges array<long>, weight byte")
+def _schema(rows: DataFrame):
+    """Spark's schema of finished, pending and span lines; ``id`` may be any type."""
+    long = F.lit(0).cast("long")
+    fields = rows.select(
+        F.lit(0).cast("byte").alias("what"), "id", *[long.alias(c) for c in ("doc", "tag", "key", "n_bytes", "n_removed", "n_spans")],
+        F.lit("").alias("kept_sha256"), F.lit("").cast("binary").alias("data"), F.array(long).alias("ranges"),
+        F.lit(0).cast("byte").alias("weight")).schema
+    return StructType([StructField(f.name, f.dataType) for f in fields])
 
 
 def _rows(schema_type, rows: list[dict]):
@@ -332,7 +338,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                   .sortWithinPartitions("kind", "key", "span")
                   .mapInArrow(_resolve, "kind byte, key long, doc long, at long"), "spans")
     of_doc = found.groupBy("doc", F.shiftright("at", 40).alias("tag")).agg(F.collect_list(F.struct("kind", "at", "key")).alias("found"))
-    schema = _schema(rows.schema["id"].dataType.simpleString())
+    schema = _schema(rows)
     state = stash(rows.join(of_doc, ["doc", "tag"], "left").select("id", "doc", "tag", "text", "found")
                   .mapInArrow(_place(length, with_text), schema), "documents")
     ranges = (span_repeats(state.where(F.col("what") == SPAN), length, unit, shard_bytes, symbol, hot_family)
