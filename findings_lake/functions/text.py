@@ -91,6 +91,7 @@ def fallback_array_text(c) -> Column:
     return F.regexp_extract(_col(c), ARRAY_FALLBACK, 0)
 
 
+# The escapes and their order.
 def json_escape_inner(x: Column) -> Column:
     """Escape order used for triple-quoted blocks: \\ " LF CR TAB."""
     x = F.replace(x, F.lit("\\"), F.lit("\\\\"))

@@ -93,6 +93,7 @@ def file_status(cat: DataFrame) -> DataFrame:
         "file", F.col("parse_error").isNull().alias("parse_ok"), "n_functions", "parse_error")
 
 
+# The wording and the cuts of both query texts.
 def scan_query_text(fns: DataFrame) -> DataFrame:
     """``Python function '<name>' vulnerability analysis. Arguments:
     a, b. <docstring[:200]> <source[:400]>`` (an empty docstring leaves two

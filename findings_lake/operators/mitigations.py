@@ -67,6 +67,7 @@ def attach_source(cands: DataFrame, functions: DataFrame,
             .withColumn("name_ambiguous", F.coalesce("name_ambiguous", F.lit(False))))
 
 
+# Fixed value: the wording of the query text.
 def query_text(cands: DataFrame) -> DataFrame:
     """``<cwe_id> <cwe_name> mitigation fix secure code. <evidence>``."""
     return cands.withColumn("query_text", F.concat(
@@ -113,6 +114,7 @@ def parse(repaired: DataFrame) -> DataFrame:
         F.concat(pre, F.lit(FIXED_CODE_PLACEHOLDER), post).alias("t"), code.alias("c"))))
         .withColumn("_o2", F.when(F.col("_m").isNotNull(), text.parse_json_object(F.col("_m.t")))))
     obj = F.coalesce("_o", "_o2")
+    # The three unescapes and their order.
     lifted = F.replace(F.replace(F.replace(F.col("_m.c"), F.lit("\\n"), F.lit("\n")),
                                  F.lit("\\t"), F.lit("\t")), F.lit('\\"'), F.lit('"'))
 
