@@ -46,6 +46,25 @@ def byte_list(column) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+#: The six white-space characters between words.
+SPACES = b" \t\n\x0b\x0c\r"
+#: Bytes of a very long text that are worked on at once.
+PIECE = 4 << 20
+
+
+def pieces_of(text: bytes, size: int = PIECE):
+    """``text`` in pieces of about ``size`` bytes that end before white space
+    (a run without any stays whole)."""
+    at = 0
+    while len(text) - at > size:
+        stop = at + size
+        while stop < len(text) and text[stop] not in SPACES:
+            stop += 1
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
 def running_start(df: DataFrame, group: list[str], part: str, block: str, order: list[str],
                   value: str, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows of the same

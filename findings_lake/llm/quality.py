@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, prepare, stash
+from .common import byte_list, pieces_of, prepare, stash
 
 FAMILIES = 5
 BUCKETS = 1 << 16
@@ -44,10 +44,9 @@ def _slices(texts: list[bytes]):
     """``(document numbers, parts)`` of about SLICE bytes; a longer text is cut at white space."""
     numbers, parts, held = [], [], 0
     for k, text in enumerate(texts):
-        while len(text) > SLICE:
-            cut = max(text.rfind(b" ", 0, SLICE), text.rfind(b"\n", 0, SLICE), 0) or SLICE
-            yield [k], [text[:cut]]
-            text = text[cut:]
+        *heads, text = pieces_of(text, SLICE)
+        for head in heads:
+            yield [k], [head]
         numbers.append(k)
         parts.append(text)
         held += len(text)

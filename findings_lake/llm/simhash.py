@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, prepare, stash
+from .common import byte_list, pieces_of, prepare, stash
 from .components import components, forest
 
 SHINGLE_WORDS = 4
@@ -40,23 +40,26 @@ def fingerprint(text: bytes, width: int) -> int:
     import numpy as np
     import xxhash
 
-    words = text.lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
-    if not words:
-        return 0
-    joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        value = digest(joined, 42)
+    bits, count, words = np.zeros(64, dtype=np.int64), 0, []
+    for piece in pieces_of(text):
+        words += piece.lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
+        if len(words) < width:
+            continue
+        joined = b" ".join(words)
+        space = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        starts = [0, *(space[: len(words) - width] + 1).tolist()]
+        ends = [*space[width - 1:].tolist(), len(joined)]
+        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends)], dtype="<u8")
+        octets = h.view(np.uint8).reshape(-1, 8)
+        for at in range(0, len(h), 1 << 16):
+            bits += np.unpackbits(octets[at:at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += len(h)
+        words = words[len(words) - width + 1:]  # shingles go on across pieces
+    if not count and words:
+        value = digest(b" ".join(words), 42)
         return value - (1 << 64) if value >> 63 else value
-    space = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = [0, *(space[: len(words) - width] + 1).tolist()]
-    ends = [*space[width - 1:].tolist(), len(joined)]
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends)], dtype="<u8")
-    bits = np.zeros(64, dtype=np.int64)
-    octets = h.view(np.uint8).reshape(-1, 8)
-    for at in range(0, len(h), 1 << 16):
-        bits += np.unpackbits(octets[at:at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(h), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * bits > count, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

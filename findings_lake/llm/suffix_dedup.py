@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import bwt
-from .common import byte_list, prepare, stash
+from .common import PIECE, byte_list, prepare, stash
 
 LENGTH = 200
 #: Bytes of a window in which its anchor starts.
@@ -72,6 +72,15 @@ def anchors(text: bytes, length: int = LENGTH, reach: int = REACH):
     return cut, np.r_[cut[1:], windows] - 1, at[cut]
 
 
+def anchors_in_pieces(text: bytes, length: int = LENGTH, reach: int = REACH, size: int = PIECE):
+    """``anchors`` of a text, a very long one in pieces of ``size`` windows. A
+    span may be cut between pieces; its parts are compared like any spans."""
+    for base in range(0, max(1, len(text) - length + 1), size):
+        found = anchors(text[base:base + size + length - 1], length, reach)
+        if found is not None:
+            yield tuple(x + base for x in found)
+
+
 def spans(rows: DataFrame, length: int = LENGTH, reach: int = REACH) -> DataFrame:
     """``kind, key, span, doc, at, n`` of all spans of rows (``doc, tag, text``).
     ``at`` packs the document's tag, the first window and the number of windows. Spans
@@ -87,10 +96,8 @@ def spans(rows: DataFrame, length: int = LENGTH, reach: int = REACH) -> DataFram
         for b in batches:
             doc, tag = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             key, span, at, owner = [], [], [], []
-            for k, text in enumerate(byte_list(b.column(2))):
-                found = anchors(text, length, reach)
-                if found is None:
-                    continue
+            for k, text, found in ((k, text, found) for k, text in enumerate(byte_list(b.column(2)))
+                                   for found in anchors_in_pieces(text, length, reach)):
                 first, last, anchor = found
                 key += [digest(text[a:a + shared]) for a in anchor.tolist()]
                 span += [digest(text[i:j + length], a - i) for i, j, a in zip(first.tolist(), last.tolist(), anchor.tolist())]

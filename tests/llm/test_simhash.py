@@ -5,6 +5,7 @@ import xxhash
 
 from findings_lake.llm import components as C
 from findings_lake.llm import simhash as S
+from findings_lake.llm.common import pieces_of
 
 from .conftest import CLASHES, ODD_TEXTS
 
@@ -99,3 +100,12 @@ def test_components_of_random_links(spark):
 def test_empty_tables(spark, documents):
     assert S.simhash_groups(documents(["a"]).limit(0)).collect() == []
     assert C.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_pieces_do_not_change_a_fingerprint(monkeypatch):
+    text = ("alpha beta gamma delta epsilon " * 40 + "x" * 300 + " tail end").encode()
+    whole = S.fingerprint(text, 4)
+    for size in (1, 7, 64, 500):
+        monkeypatch.setattr(S, "pieces_of", lambda t, size=size: pieces_of(t, size))
+        assert S.fingerprint(text, 4) == whole
+        assert b"".join(pieces_of(text, size)) == text

@@ -96,3 +96,12 @@ def test_families_too_large_to_hold(documents, monkeypatch):
 
 def test_empty(documents):
     assert S.suffix_dedup(documents(["a"]).limit(0)).collect() == []
+
+
+def test_pieces_of_long_texts_give_the_same_result(documents, monkeypatch):
+    rng = random.Random(12)
+    body = "".join(rng.choice("abcdefghijk ") for _ in range(3000))
+    texts = [body, body[500:2500], "z" * 30 + body[100:1200], "".join(rng.choice("lmnop ") for _ in range(900))]
+    monkeypatch.setattr(S.anchors_in_pieces, "__defaults__", (S.LENGTH, S.REACH, 333))
+    rows = S.suffix_dedup(documents(texts)).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == sorted(plain(texts))
