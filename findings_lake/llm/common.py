@@ -34,7 +34,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.stash_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing will read any more (rounds of a loop
+    that a later table has replaced)."""
+    for t in tables:
+        jvm, sc = t.sparkSession._jvm, t.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(t.stash_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def byte_list(column) -> list[bytes]:

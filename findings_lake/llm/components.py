@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def forest(u, v):
@@ -52,7 +52,7 @@ def components(links: DataFrame) -> DataFrame:
     (combined before the shuffle) and an equi-join back. The minima are
     written first, so the join knows their size and deals both of its sides
     anew: a node with a great many links can be split. Rounds are
-    written to the shared folder.
+    written to the shared folder and deleted when the next one is there.
     Rounds grow with the logarithm of the longest path. No links give no rows.
     """
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
@@ -60,8 +60,8 @@ def components(links: DataFrame) -> DataFrame:
     state = _summary(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        high = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = (both.where("v > u").join(high, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
         # small star: now every edge points down; link lower neighbours and the node itself to the least of them
         large = stash(large, "links")
@@ -69,7 +69,8 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stash(small, "links")
+        edges, old = stash(small, "links"), edges
+        discard(old, large, low, high)
         new = _summary(edges)
         if new == state:
             break

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stash
+from .common import discard, prepare, stash
 from .words import LONGEST, ChunkLengths, chunk_lengths
 
 #: Entries of the broadcast table and of a worker's cache.
@@ -41,6 +41,7 @@ def frequent_chunks(docs: DataFrame, text_col: str, table_size: int, share: int)
             least = r["count"]
             break
     rows = counts.where(F.col("count") > least).select("chunk").collect()
+    discard(counts)
     return [r.chunk for r in rows]
 
 
