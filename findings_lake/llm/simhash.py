@@ -202,7 +202,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     member = components(fingerprint_links(firsts.select("fp"), max_bits, agree, hot_key))
     firsts = firsts.join(member, firsts.fp == member.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = firsts.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    firsts = stash(firsts, "members")
+    # written, so that the join deals both sides by root anew and a large group can be split
+    least = stash(firsts.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = firsts.join(least, "root").select("fp", "component_id", F.col("root").alias("group"))
     return prints.join(named, "fp").select(
         id_col, *keep, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group")

@@ -120,7 +120,8 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     member = components(links.where("v is not null").select("u", "v"))
     named = nodes.select("label", "v", "node", "least_id", "copies").join(member, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
-    least_of = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written, so that the join deals both sides by root anew and a large group can be split
+    least_of = stash(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     named = named.join(least_of, "root").join(counts, "node", "left").select(
         "label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = rows.where("fit").select("id", "label", "v").join(named, ["label", "v"]).select("id", "n_links", "component_id")
