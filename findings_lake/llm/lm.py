@@ -1,20 +1,24 @@
 """Language-model scores: a hashed maximum-entropy model with class-factored
 softmax.
 
-P(word | context) = P(class | context) * P(word | class, context). The
-``CLASSES * CLASS_WORDS`` most frequent tokens lie in classes by frequency and
-both factors are softmaxes over hashed features of the three words before:
-n-grams (one and two words back to back) and skips (the second and the third
-word alone). All other words lie in ``TAIL`` classes by their ending; inside
-those the second factor is the add-one unigram of the whole corpus, with one
-share for words that were never seen, so probabilities sum to one.
+P(word | context) is a product of choices down a tree of words, each a softmax
+over hashed features of the three words before: n-grams (one and two words
+back to back) and skips (the second and the third word alone). Every word, also
+one outside every table, is a context of its own by its hash. The
+``CLASSES * CLASS_WORDS`` most frequent tokens lie in classes by frequency, two
+choices deep. All other words lie in ``TAIL`` classes by their ending, each
+split by the word's hash into ``CLASS_WORDS`` parts, level by level, until a
+leaf holds about ``LEAF`` of the counted words or fewer; inside a leaf the last
+factor is the add-one unigram of the whole corpus, with one share for words
+that were never seen, so probabilities sum to one. The tree's depth and the
+number of feature buckets follow the counted vocabulary.
 
 Corpus counts are exact, over every training token. Training is distributed
 gradient descent: each task walks its own training documents in minibatches
 (AdaGrad, every ``STRIDE``-th position of every document, shifted by document)
 from the broadcast weights; weight rows are then averaged by how often tasks
-touched them. The number of tasks is bounded by ``TRAINERS``, the model by its
-fixed size. Scoring runs in sparse numpy batches; counts of words outside a
+touched them. The number of tasks is bounded by ``TRAINERS``; the model has
+rows for about the square root of the vocabulary, and one number a leaf. Scoring runs in sparse numpy batches; counts of words outside a
 bounded table of frequent words come by an equi-join on the word.
 
 Texts are whole; a null text is empty (its end token alone is scored); a null
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import byte_list, prepare, stash
 
 CLASSES, CLASS_WORDS, TAIL = 32, 64, 32
-#: Feature buckets (rows of weights) of either factor.
-BUCKETS = 1 << 13
+#: Counted words that a leaf of the tail may hold before the tree gets a level more.
+LEAF = 64
+#: Feature buckets (rows of weights) of either table at least, and buckets for each root of a counted word.
+BUCKETS, ROOT_BUCKETS = 1 << 13, 64
 #: Words in the broadcast table of counts, and its longest word in bytes.
 TABLE_WORDS, TABLE_BYTES = 1 << 18, 64
 #: A task's word counter is emptied when it holds so many words.
@@ -51,6 +57,30 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def depth(distinct: int) -> int:
+    """Levels of choices below a tail class, for so many counted words."""
+    levels = 0
+    while TAIL * CLASS_WORDS ** levels * LEAF < distinct:
+        levels += 1
+    return levels
+
+
+def buckets(distinct: int) -> int:
+    """Rows of weights for so many counted words, a power of two."""
+    import math
+
+    return max(BUCKETS, 1 << math.ceil(math.log2(ROOT_BUCKETS * math.sqrt(max(distinct, 1)))))
+
+
+def mixed(x, y):
+    """A hash of integer arrays, below 2^32."""
+    import numpy as np
+
+    z = (np.asarray(x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.asarray(y).astype(np.uint64)
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z >> np.uint64(32)).astype(np.int64)
+
+
 def ending(word: bytes) -> int:
     """The tail class of a word (``ending_column`` in SQL)."""
     import zlib
@@ -63,6 +93,25 @@ def ending_column(word):
     return (F.crc32(F.when(F.octet_length(word) > 4, F.substring(raw, -4, 4)).otherwise(raw)) % TAIL).cast("int")
 
 
+def tail_code(word: bytes) -> int:
+    """The word's hash and tail class in one number."""
+    import zlib
+
+    return zlib.crc32(word) * TAIL + ending(word)
+
+
+def leaf_of(code, levels: int):
+    """The leaf of words (``leaf_column`` in SQL) below all tail classes, from their ``tail_code``."""
+    parts = CLASS_WORDS ** levels
+    return code % TAIL * parts + (code // TAIL >> 5) % parts
+
+
+def leaf_column(word, levels: int):
+    parts = CLASS_WORDS ** levels
+    own = F.shiftright(F.crc32(word.cast("binary")), 5) % parts
+    return (ending_column(word).cast("long") * parts + own).cast("int")
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """``word, c`` over all rows (``text``); the end token counts once a row."""
 
@@ -90,45 +139,49 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 class Table(dict):
-    """Frequent word -> its number; any other word -> -1 - its tail class."""
+    """Frequent word -> its number; any other word -> -1 - its ``tail_code``."""
 
     def __missing__(self, word: bytes) -> int:
-        return -1 - ending(word)
+        return -1 - tail_code(word)
 
 
 class Lexicon:
     """What tasks know of words: numbers, counts, classes. ``words`` in order
-    of frequency, ``tail`` the number of words and tokens of each tail class."""
+    of frequency, ``tail`` the number of words and tokens of each leaf below the tail classes."""
 
-    def __init__(self, words: list[bytes], counts: list[int], tail: list[tuple[int, int]], total: int, distinct: int):
+    def __init__(self, words: list[bytes], counts: list[int], tail, total: int, distinct: int):
         import numpy as np
 
         self.table = Table({w: k for k, w in enumerate(words)})
-        self.total, self.distinct = total, distinct
-        n, named = len(words), min(len(words), CLASSES * CLASS_WORDS)
-        own = np.array([ending(w) for w in words[named:]], dtype=np.int64)
-        # One entry for each table word, then one for each tail class (reached by negative numbers from the back).
-        self.log_c = np.r_[np.log10(np.array(counts, dtype=float) + 1), np.zeros(TAIL)]
-        back = np.arange(TAIL - 1, -1, -1)
-        self.group = np.r_[np.arange(named) // CLASS_WORDS, CLASSES + own, CLASSES + back].astype(np.int64)
-        self.place = np.r_[np.arange(named) % CLASS_WORDS, np.full(n - named + TAIL, -1)].astype(np.int64)
-        self.context = np.r_[np.arange(named), CLASSES * CLASS_WORDS + np.r_[own, back]].astype(np.int64)
-        mass = np.array([tokens + distinct + 1 for distinct, tokens in tail], dtype=float)
+        self.total, self.distinct, self.buckets = total, distinct, buckets(distinct)
+        self.named = named = min(len(words), CLASSES * CLASS_WORDS)
+        self.codes = np.r_[np.array([tail_code(w) for w in words], dtype=np.int64), 0]
+        # One entry for each table word and one for all others.
+        self.log_c = np.r_[np.log10(np.array(counts, dtype=float) + 1), 0]
+        mass = np.asarray(tail, dtype=float).sum(axis=1) + 1
         self.log_tail = np.r_[np.zeros(CLASSES), np.log10(mass)]
+        self.levels, level = 0, mass.reshape(TAIL, -1)
         head = np.zeros(CLASSES * CLASS_WORDS)
         head[:named] = np.array(counts[:named], dtype=float) + 1
         head = head.reshape(CLASSES, CLASS_WORDS)
+        nodes = []
+        while level.shape[1] >= CLASS_WORDS:  # from the leaves up
+            level = level.reshape(TAIL, -1, CLASS_WORDS)
+            nodes.append(level.reshape(-1, CLASS_WORDS))
+            level = level.sum(axis=2)
+            self.levels += 1
         with np.errstate(divide="ignore"):
-            prior = np.r_[head.sum(axis=1), mass]
+            prior = np.r_[head.sum(axis=1), level[:, 0]]
             self.bias = np.log(np.maximum(prior, 1e-6) / prior.sum()).astype(np.float32)
             self.bias[:CLASSES][head.sum(axis=1) == 0] = -np.inf
-            self.inner_bias = np.log(head / np.maximum(head.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)
+            self.inner_bias = np.concatenate([np.log(v / np.maximum(v.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)
+                                              for v in (head, *reversed(nodes))])
         self.end = self.table[END]
 
     def stream(self, texts: list[bytes]):
-        """``(numbers, document, features, rare)`` of all tokens of texts, ends
-        included: table numbers, text numbers, feature buckets, and the tokens outside the table as
-        (document, word)."""
+        """``(numbers, codes, document, features, rare)`` of all tokens of texts, ends
+        included: table numbers (-1: outside), ``tail_code``, text numbers, feature buckets, and
+        the tokens outside the table as (document, word)."""
         import numpy as np
 
         words, sizes = [], []
@@ -142,21 +195,51 @@ class Lexicon:
         document = np.repeat(np.arange(len(texts)), sizes)
         outside = np.flatnonzero(number < 0)
         rare = (document[outside], [words[i] for i in outside.tolist()])
-        context = self.context[number]
+        code = self.codes[np.maximum(number, -1)]
+        code[outside] = -1 - number[outside]
+        number[outside] = -1
         at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        none = CLASSES * CLASS_WORDS + TAIL
+        none = TAIL << 32  # no word's code
         back = []
         for d in (1, 2, 3):
             b = np.full(n, none)
-            b[d:] = context[:-d] if n > d else context[:0]
+            b[d:] = code[:-d] if n > d else code[:0]
             b[at < d] = none
             back.append(b)
-        mixed = [(1, back[0]), (2, back[1]), (3, back[2]), (4, back[0] * 8191 + back[1])]
-        features = np.stack([((x * 4 + k) * 2654435761 >> 7) % BUCKETS for k, x in mixed], axis=1)
-        return number, document, features, rare
+        keys = [(1, back[0]), (2, back[1]), (3, back[2]), (4, mixed(back[0], back[1]))]
+        features = np.stack([mixed(x, k) % self.buckets for k, x in keys], axis=1)
+        return number, code, document, features, rare
+
+    def group(self, number, code):
+        """The first choice: classes of frequent words, then tail classes."""
+        import numpy as np
+
+        return np.where((number >= 0) & (number < self.named), number // CLASS_WORDS, CLASSES + code % TAIL)
+
+    def choices(self, number, code):
+        """The choices after the first, level by level: ``(tokens, nodes, children)``."""
+        import numpy as np
+
+        named = (number >= 0) & (number < self.named)
+        inside = np.flatnonzero(named)
+        yield inside, number[inside] // CLASS_WORDS, number[inside] % CLASS_WORDS
+        tail = np.flatnonzero(~named)
+        leaf, first = leaf_of(code[tail], self.levels), CLASSES
+        for k in range(self.levels):
+            below = leaf // CLASS_WORDS ** (self.levels - 1 - k)
+            yield tail, first + below // CLASS_WORDS, below % CLASS_WORDS
+            first += TAIL * CLASS_WORDS ** k
+
+    def log_inside(self, number, code):
+        """log10 of the last factor as far as the table knows it: the count's share
+        in its leaf (the count of a word outside the table comes by a join)."""
+        import numpy as np
+
+        named = (number >= 0) & (number < self.named)
+        return np.where(named, 0, self.log_c[number] - self.log_tail[CLASSES + leaf_of(code, self.levels)])
 
-    def rows_inside(self, features, group):
-        return (features * 31 + group[:, None] * 40503 + 17) % BUCKETS
+    def rows_inside(self, features, node):
+        return mixed(features, node[:, None] + 17) % self.buckets
 
 
 def softmax_log(z):
@@ -195,27 +278,23 @@ class Trainer:
         self.weights[which][used] -= RATE * grad / np.sqrt(self.squares[which][used])
         self.touched[which][used] += np.diff(np.r_[start, len(flat)])
 
-    def learn(self, number, features):
+    def learn(self, number, code, features):
+        lex = self.lexicon
+        self._step(0, features, lex.group(number, code), lex.bias)
+        for at, node, child in lex.choices(number, code):
+            if len(at):
+                self._step(1, lex.rows_inside(features[at], node), child, lex.inner_bias[node])
+
+    def _step(self, which: int, rows, goal, bias):
         import numpy as np
 
-        lex = self.lexicon
-        group, place = lex.group[number], lex.place[number]
-        for which in (0, 1):
-            if which:
-                inside = np.flatnonzero(place >= 0)
-                if not len(inside):
-                    return
-                rows, goal = lex.rows_inside(features[inside], group[inside]), place[inside]
-                bias = lex.inner_bias[group[inside]]
-            else:
-                rows, goal, bias = features, group, lex.bias
-            wrong = np.exp(softmax_log(summed(self.weights[which], rows) + bias))
-            wrong[np.arange(len(goal)), goal] -= 1
-            self._descend(which, rows, wrong)
+        wrong = np.exp(softmax_log(summed(self.weights[which], rows) + bias))
+        wrong[np.arange(len(goal)), goal] -= 1
+        self._descend(which, rows, wrong)
 
 
-def _shapes():
-    return [(BUCKETS, CLASSES + TAIL), (BUCKETS, CLASS_WORDS)]
+def _shapes(rows: int = BUCKETS):
+    return [(rows, CLASSES + TAIL), (rows, CLASS_WORDS)]
 
 
 def train_round(rows: DataFrame, lexicon, weights) -> list:
@@ -228,23 +307,25 @@ def train_round(rows: DataFrame, lexicon, weights) -> list:
         trainer, held, size = Trainer(Lexicon(*lexicon.value), weights.value), [], 0
         for b in batches:
             shift = b.column(0).to_numpy(zero_copy_only=False) % STRIDE
-            number, document, features, _ = trainer.lexicon.stream(byte_list(b.column(1)))
+            number, code, document, features, _ = trainer.lexicon.stream(byte_list(b.column(1)))
             if not len(number):
                 continue
             chosen = (np.arange(len(number)) + shift[document]) % STRIDE == 0
-            held.append((number[chosen], features[chosen]))
+            held.append((number[chosen], code[chosen], features[chosen]))
             size += int(chosen.sum())
-            while size >= MINIBATCH:
-                n, f = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-                trainer.learn(n[:MINIBATCH], f[:MINIBATCH])
-                held, size = [(n[MINIBATCH:], f[MINIBATCH:])], size - MINIBATCH
+            if size >= MINIBATCH:
+                whole = [np.concatenate(part) for part in zip(*held)]
+                full = size - size % MINIBATCH
+                for at in range(0, full, MINIBATCH):
+                    trainer.learn(*(part[at:at + MINIBATCH] for part in whole))
+                held, size = [tuple(part[full:] for part in whole)], size - full
         if size:
-            trainer.learn(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            trainer.learn(*(np.concatenate(part) for part in zip(*held)))
         for which, (w, t) in enumerate(zip(trainer.weights, trainer.touched)):
-            blocks = [k for k in range(0, BUCKETS, BLOCK) if t[k:k + BLOCK].any()]
+            blocks = [k for k in range(0, len(t), BLOCK) if t[k:k + BLOCK].any()]
             if blocks:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([which * BUCKETS + k for k in blocks], pa.int32()),
+                    [pa.array([which * len(t) + k for k in blocks], pa.int32()),
                      pa.array([t[k:k + BLOCK].tobytes() for k in blocks], pa.binary()),
                      pa.array([w[k:k + BLOCK].astype(np.float16).tobytes() for k in blocks], pa.binary())],
                     ["block", "touched", "rows"])
@@ -265,7 +346,7 @@ def train_round(rows: DataFrame, lexicon, weights) -> list:
     parts = rows.coalesce(TRAINERS).mapInArrow(run, "block int, touched binary, rows binary")
     new = [w.copy() for w in weights.value]
     for r in parts.groupBy("block").applyInArrow(average, "block int, rows binary, touched binary").toLocalIterator():
-        which, k = divmod(r.block, BUCKETS)
+        which, k = divmod(r.block, len(new[0]))
         seen = np.frombuffer(r.touched, dtype=np.int64) > 0
         got = np.frombuffer(r.rows, dtype=np.float32).reshape(BLOCK, -1)
         new[which][k:k + BLOCK][seen] = got[seen]
@@ -286,21 +367,18 @@ def score_rows(rows: DataFrame, lexicon, weights) -> DataFrame:
         base = TaskContext.get().partitionId() << 33
         for b in batches:
             m = b.num_rows
-            number, document, features, (rare, words) = lex.stream(byte_list(b.column(2)))
-            group, place = lex.group[number], lex.place[number]
+            number, code, document, features, (rare, words) = lex.stream(byte_list(b.column(2)))
             log_p = np.zeros(len(number))
             for at in range(0, len(number), STEP):
                 own = slice(at, at + STEP)
-                f, g = features[own], group[own]
+                f, g = features[own], lex.group(number[own], code[own])
                 log_p[own] = softmax_log(summed(outer, f) + lex.bias)[np.arange(len(g)), g]
-                inside = np.flatnonzero(place[own] >= 0)
-                if len(inside):
-                    gi = g[inside]
-                    z = softmax_log(summed(inner, lex.rows_inside(f[inside], gi)) + lex.inner_bias[gi])
-                    log_p[at + inside] += z[np.arange(len(gi)), place[own][inside]]
+                for k, node, child in lex.choices(number[own], code[own]):
+                    z = softmax_log(summed(inner, lex.rows_inside(f[k], node)) + lex.inner_bias[node])
+                    log_p[at + k] += z[np.arange(len(k)), child]
             log_p /= np.log(10)
             log_c = lex.log_c[number]
-            log_p += np.where(place >= 0, 0, log_c - lex.log_tail[group])  # tail words: the part that the table knows
+            log_p += lex.log_inside(number, code)
             add = lambda w: np.bincount(document, weights=w, minlength=m)
             n_tokens = np.bincount(document, minlength=m)
             row = base + np.arange(m)
@@ -342,15 +420,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             break
     frequent = sorted(((r.word.encode(), r.c) for r in counts.where(short & (F.col("c") > least)).toLocalIterator()),
                       key=lambda x: (-x[1], x[0]))
-    tails = {r.t: (r.n, r.c) for r in counts.groupBy(ending_column(F.col("word")).alias("t")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()}
-    tail = [list(tails.get(k, (0, 0))) for k in range(TAIL)]
+    levels = depth(distinct)
+    tail = np.zeros((TAIL * CLASS_WORDS ** levels, 2), dtype=np.int64)
+    leaves = counts.groupBy(leaf_column(F.col("word"), levels).alias("t")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).toArrow()
+    tail[leaves["t"].to_numpy()] = np.stack([leaves["n"].to_numpy(), leaves["c"].to_numpy()], axis=1)
     for w, c in frequent[:CLASSES * CLASS_WORDS]:  # the model's own words are no tail words
-        tail[ending(w)][0] -= 1
-        tail[ending(w)][1] -= c
+        tail[leaf_of(tail_code(w), levels)] -= (1, c)
     lexicon = spark.sparkContext.broadcast(([w for w, _ in frequent], [c for _, c in frequent], tail, total, distinct))
 
-    weights = spark.sparkContext.broadcast([np.zeros(s, dtype=np.float32) for s in _shapes()])
+    weights = spark.sparkContext.broadcast([np.zeros(s, dtype=np.float32) for s in _shapes(buckets(distinct))])
     for _ in range(rounds):
         weights = spark.sparkContext.broadcast(
             train_round(train.select(F.xxhash64("id", "text").alias("h"), "text"), lexicon, weights))

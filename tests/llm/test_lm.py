@@ -71,3 +71,59 @@ def test_ending_agrees_with_sql(spark):
 def test_empty(documents):
     assert lm.lm_scores(documents(["a"]).limit(0)).collect() == []
     assert len(lm.lm_scores(documents([None, ""])).collect()) == 2
+
+
+def test_rare_words_are_contexts_and_goals(documents):
+    rng = random.Random(5)
+    chain = [f"{rng.getrandbits(40):x}" for _ in range(6000)]
+    common = [f"c{k}" for k in range(lm.CLASSES * lm.CLASS_WORDS)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    texts, turned = [], set()
+    for i in range(1600):
+        at = rng.randrange(len(chain) - 100)
+        words = chain[at:at + 100]
+        if held(i) and i % 2:
+            rng.shuffle(words)
+            turned.add(i)
+        texts.append(" ".join(words))
+    texts += [" ".join(common)] * 80  # so frequent that no word of the chain is among the model's first words
+    rows = [r for r in lm.lm_scores(documents(texts), table_words=4000, rounds=2).collect() if r.held_out and r.doc_id < 1600]
+    gain = lambda own: np.mean([(r.score - r.base_score) / r.n_tokens for r in rows if (r.doc_id in turned) == own])
+    assert gain(False) > gain(True) + 0.2
+
+
+def test_probabilities_of_a_deep_tree_sum_to_one():
+    rng = np.random.default_rng(1)
+    words = [f"k{i}".encode() for i in range(9000)] + [lm.END]
+    counts = sorted(rng.integers(1, 900, len(words)).tolist(), reverse=True)
+    levels = lm.depth(len(words))
+    tail = np.zeros((lm.TAIL * lm.CLASS_WORDS ** levels, 2), dtype=np.int64)
+    for w, c in list(zip(words, counts))[lm.CLASSES * lm.CLASS_WORDS:]:
+        tail[lm.leaf_of(lm.tail_code(w), levels)] += (1, c)
+    lex = lm.Lexicon(words, counts, tail, sum(counts), len(words))
+    assert levels == lex.levels == 1
+    outer, inner = (rng.normal(size=s).astype(np.float32) for s in lm._shapes(lex.buckets))
+    feature = np.array([[3, 77, 512, 8000]])
+
+    def log_path(number, code):
+        log_p = (lm.softmax_log(lm.summed(outer, feature) + lex.bias)[0])[lex.group(number, code)].astype(float)
+        for at, node, child in lex.choices(number, code):
+            z = lm.softmax_log(lm.summed(inner, lex.rows_inside(feature.repeat(len(at), 0), node)) + lex.inner_bias[node])
+            log_p[at] += z[np.arange(len(at)), child]
+        return log_p
+
+    number = np.arange(len(words))
+    total = (np.exp(log_path(number, lex.codes[:-1])) * 10 ** lex.log_inside(number, lex.codes[:-1])).sum()
+    code = np.array([(part << 5) * lm.TAIL + t for t in range(lm.TAIL) for part in range(lm.CLASS_WORDS)])
+    outside = np.full(len(code), -1)  # a word never seen, once in every leaf
+    total += (np.exp(log_path(outside, code)) * 10 ** lex.log_inside(outside, code)).sum()
+    assert abs(total - 1) < 1e-4
+
+
+def test_model_follows_the_vocabulary(spark):
+    from pyspark.sql import functions as F
+    assert [lm.depth(v) for v in (0, 2048, 2049, 131_073, 9_000_000)] == [0, 0, 1, 2, 3]
+    assert [lm.buckets(v) for v in (0, 400_000, 20_000_000)] == [1 << 13, 1 << 16, 1 << 19]
+    words = ["a", "abcde", "été", "日本語", "\n", "x" * 50]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", lm.leaf_column(F.col("w"), 2).alias("t")).collect()
+    assert all(r.t == lm.leaf_of(lm.tail_code(r.w.encode()), 2) for r in rows)
