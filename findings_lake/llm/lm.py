@@ -15,8 +15,7 @@ number of feature buckets follow the counted vocabulary.
 
 Corpus counts are exact, over every training token. Training is distributed
 gradient descent: each task walks its own training documents in minibatches
-(AdaGrad, every ``STRIDE``-th position of every document, shifted by document)
-from the broadcast weights; weight rows are then averaged by how often tasks
+(AdaGrad, every position of every document) from the broadcast weights; weight rows are then averaged by how often tasks
 touched them. The number of tasks is bounded by ``TRAINERS``; the model has
 rows for about the square root of the vocabulary, and one number a leaf. Scoring runs in sparse numpy batches; counts of words outside a
 bounded table of frequent words come by an equi-join on the word.
@@ -42,7 +41,7 @@ BUCKETS, ROOT_BUCKETS = 1 << 13, 64
 TABLE_WORDS, TABLE_BYTES = 1 << 18, 64
 #: A task's word counter is emptied when it holds so many words.
 COUNTER = 400_000
-STRIDE, MINIBATCH, RATE, START = 8, 8192, 0.5, 20.0
+MINIBATCH, RATE, START = 8192, 0.5, 20.0
 TRAINERS = 4096
 #: Weight rows in one block on their way to the average.
 BLOCK = 64
@@ -298,7 +297,7 @@ def _shapes(rows: int = BUCKETS):
 
 
 def train_round(rows: DataFrame, lexicon, weights) -> list:
-    """New weights after one round over ``h, text``; both arguments are broadcasts."""
+    """New weights after one round over ``text``; both arguments are broadcasts."""
     import numpy as np
 
     def run(batches):
@@ -306,13 +305,11 @@ def train_round(rows: DataFrame, lexicon, weights) -> list:
 
         trainer, held, size = Trainer(Lexicon(*lexicon.value), weights.value), [], 0
         for b in batches:
-            shift = b.column(0).to_numpy(zero_copy_only=False) % STRIDE
-            number, code, document, features, _ = trainer.lexicon.stream(byte_list(b.column(1)))
+            number, code, _, features, _ = trainer.lexicon.stream(byte_list(b.column(0)))
             if not len(number):
                 continue
-            chosen = (np.arange(len(number)) + shift[document]) % STRIDE == 0
-            held.append((number[chosen], code[chosen], features[chosen]))
-            size += int(chosen.sum())
+            held.append((number, code, features))
+            size += len(number)
             if size >= MINIBATCH:
                 whole = [np.concatenate(part) for part in zip(*held)]
                 full = size - size % MINIBATCH
@@ -432,7 +429,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     weights = spark.sparkContext.broadcast([np.zeros(s, dtype=np.float32) for s in _shapes(buckets(distinct))])
     for _ in range(rounds):
         weights = spark.sparkContext.broadcast(
-            train_round(train.select(F.xxhash64("id", "text").alias("h"), "text"), lexicon, weights))
+            train_round(train.select("text"), lexicon, weights))
 
     lines = stash(score_rows(rows, lexicon, weights), "scores")
     rare = counts.where(~(short & (F.col("c") > least)))

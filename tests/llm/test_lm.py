@@ -127,3 +127,20 @@ def test_model_follows_the_vocabulary(spark):
     words = ["a", "abcde", "été", "日本語", "\n", "x" * 50]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", lm.leaf_column(F.col("w"), 2).alias("t")).collect()
     assert all(r.t == lm.leaf_of(lm.tail_code(r.w.encode()), 2) for r in rows)
+
+
+def test_every_position_is_learned(documents, monkeypatch):
+    learned, train_round = [], lm.train_round
+
+    def kept(rows, lexicon, weights):
+        learned.append((lexicon.value, train_round(rows, lexicon, weights)))
+        return learned[-1][1]
+
+    monkeypatch.setattr(lm, "train_round", kept)
+    texts = [f"a{k} b{k} c{k}" for k in range(30)]
+    lm.lm_scores(documents(texts)).collect()
+    (lexicon, (outer, _)), = learned
+    lex = lm.Lexicon(*lexicon)
+    own = [t.encode() for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
+    features = lex.stream(own)[-2]
+    assert len(features) == 4 * len(own) and outer[features].any(axis=2).all()
