@@ -6,7 +6,9 @@ cumulative targets: slot ``i`` goes to the source whose interval holds point
 A slot's rank among its source's slots names the block it takes from that
 source's stream: the documents in hash order, cut into blocks of equal size
 (in words), the stream repeated as often as the target asks. Slots and
-blocks meet in an equi-join on (source, rank); each pair is used once.
+blocks meet in an equi-join on (source, rank); each pair is used once. Blocks
+whose rank got no slot take closing slots after the schedule, so every source
+reaches its target to the word.
 
 Null texts have size 0 and are never taken; a null source is a source of its
 own, ordered last; repeated rows and ids are separate documents; an empty
@@ -152,7 +154,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spans = passes.select("row", "source_no", "epoch", begin.alias("a"),
                           F.least(begin + F.col("size"), F.col("take")).alias("b")).where("a < b")
     cut = spans.withColumn("rank", F.explode(F.expr(f"sequence(a div {block}, (b - 1) div {block})")))
-    pieces = cut.join(schedule(spark, edges, slots), ["source_no", "rank"]).select(
+    places = schedule(spark, edges, slots)
+    given = places.groupBy("source_no").agg(F.count(F.lit(1)).alias("given"))
+    closing = plan.select("source_no", F.ceil(F.col("take") / block).alias("blocks")).join(given, "source_no", "left").withColumn(
+        "given", F.coalesce("given", F.lit(0))).where("given < blocks")
+    # closing slots go round the sources; their numbers may leave gaps
+    last = closing.withColumn("rank", F.explode(F.sequence(F.col("given"), F.col("blocks") - 1))).select(
+        (F.lit(slots) + (F.col("rank") - F.col("given")) * len(found) + F.col("source_no")).alias("slot"), "source_no", "rank")
+    pieces = cut.join(places.unionByName(last), ["source_no", "rank"]).select(
         "slot", "row", "epoch", (F.greatest("a", F.col("rank") * block) - F.col("a")).alias("start"),
         (F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)).alias("length"))
     return documents, pieces

@@ -86,3 +86,20 @@ def test_empty(documents):
     assert M.taken(d, p).collect() == []
     d, p = M.mix(documents([None, "", " "]))
     assert [r.taken for r in M.taken(d, p).collect()] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_small_sources_beside_large_ones(spark, at, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_BOUNDS", (4096, 4096))
+    sizes = {f"s{k}": 60_000 for k in range(12)} | {f"s{k}b": words for k, words in zip(range(at, 12, 4), (1, 7, 300))}
+    rows = [(k, "w " * 1000, s) for s, n in sizes.items() for k in range(n // 1000)]
+    rows += [(k, "few " * (n % 1000), s) for k, (s, n) in enumerate(sizes.items()) if n % 1000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    d, p = M.mix(docs)
+    taken, target = defaultdict(int), {}
+    for r in M.taken(d, p).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(target) == 15 and all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    slots = {(r.slot, r.source) for r in p.join(d.select("row", "source"), "row").select("slot", "source").collect()}
+    assert len(slots) == len({slot for slot, _ in slots})  # no slot serves two sources
