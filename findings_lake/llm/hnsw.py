@@ -13,6 +13,8 @@ BUILD_BEAM = 40
 BATCH = 512
 #: Beam entries that one step opens.
 OPEN = 3
+#: Pairs of a query that counts as a sparse one in an audit.
+FEW = 4
 
 
 def _nearest(graph: list, x, q):
@@ -154,12 +156,15 @@ def build(x, width: int = WIDTH, ef: int = BUILD_BEAM) -> list:
     return graph
 
 
-def near_pairs(x, graph: list, q, least: float, ef: int = 32, audit: int = 256, recall: float = 0.99):
+def near_pairs(x, graph: list, q, least: float, ef: int = 32, audit: int = 256, recall: float = 0.99, same: bool = False):
     """``(query, row)`` numbers whose similarity is about ``least`` or more.
 
     Beams whose every entry qualifies are widened until one does not; when an
     audit of queries against all rows finds less than ``recall`` of their
     pairs, every beam is widened. Beams of an eighth of the rows give way to a scan.
+    The audit goes on until ``audit`` queries with few pairs (``FEW`` at most) are
+    met, and holds those apart from the rest; when it has come to the last query, its
+    scan is the result. With ``same`` the queries are the rows, and no pairs with themselves.
     """
     import numpy as np
 
@@ -172,8 +177,23 @@ def near_pairs(x, graph: list, q, least: float, ef: int = 32, audit: int = 256,
             parts.append((rows[at:at + BATCH][r], c))
         return tuple(np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
 
-    probes = np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64)
-    truth = np.unique(np.stack(scan(probes), axis=1), axis=0)
+    if 8 * ef > n:
+        return scan(np.arange(len(q)))
+    probes, parts, few = np.random.default_rng(7).permutation(len(q)), [], np.zeros(0, np.int64)
+    for at in range(0, len(q), BATCH):
+        r, c = scan(probes[at:at + BATCH])
+        parts.append((r, c))
+        links = np.bincount(r[r != c] if same else r, minlength=len(q))
+        few = np.r_[few, np.flatnonzero((links > 0) & (links <= FEW))]
+        if len(few) >= audit:
+            break
+    r, c = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    if len(few) < audit or at + BATCH >= len(q):
+        return r, c
+    if same:
+        r, c = r[r != c], c[r != c]
+    code = np.int64(n)
+    truth, lone = r * code + c, np.isin(r, few)
     while True:
         found, rows, width = [], np.arange(len(q)), ef
         while len(rows) and 8 * width <= n:
@@ -189,10 +209,9 @@ def near_pairs(x, graph: list, q, least: float, ef: int = 32, audit: int = 256,
             width *= 4
         found.append(scan(rows))
         r, c = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        if not len(truth) or 8 * ef > n:
+        if 8 * ef > n:
             return r, c
-        code = np.int64(n)
-        hit = np.isin(truth[:, 0] * code + truth[:, 1], r * code + c).mean()
-        if hit >= recall:
+        hit = np.isin(truth, r * code + c)
+        if min(hit.mean(), hit[lone].mean()) >= recall:
             return r, c
         ef *= 2

@@ -3,7 +3,8 @@
 Equal vectors of a label are one node with a number of copies. A label's
 nodes are dealt by hash to shards of bounded size; each shard gets a
 hierarchical navigable small-world graph, and every node queries every shard
-of its label. Beams widen until an audit against all rows of the shard passes
+of its label. Beams widen until an audit against all rows of the shard passes;
+where links are too sparse for an audit, all rows are compared
 (see ``hnsw.near_pairs``). Every pair that is found is verified by its cosine
 in double precision. Two shards meet in one task, which sends on link counts
 by node and a spanning forest of the links, never the pairs themselves.
@@ -67,7 +68,7 @@ def _links(least: float):
         single = [s["unit"].astype(np.float32) for s in (a, b)]
         graph = [[links.astype(np.int64) for links in s["graph"]] for s in (a, b)]
         code = np.int64(len(b["node"]))
-        i, j = near_pairs(single[1], graph[1], single[0], least - MARGIN)
+        i, j = near_pairs(single[1], graph[1], single[0], least - MARGIN, same=a is b)
         pairs = [i * code + j]
         if a is not b:
             j, i = near_pairs(single[0], graph[0], single[1], least - MARGIN)

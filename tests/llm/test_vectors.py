@@ -94,3 +94,22 @@ def test_top_k_of_huge_and_few_vectors(spark):
     # all beyond 64 bits: equal scores, the smaller id first
     assert got == [(0, 1, 1, dot(0, 1)), (0, 2, 2, dot(0, 2)), (1, 1, 0, dot(1, 0)), (1, 2, 2, dot(1, 2))]
     assert top_k(spark.createDataFrame(rows, VECTORS).limit(0), F.col("vec_id") < 2).collect() == []
+
+
+@pytest.mark.parametrize("planted,between", [(15, False), (15, True)])
+def test_sparse_pairs_survive_weak_links(planted, between):
+    rng = np.random.default_rng(6)
+    unit = lambda v: (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    x = unit(rng.normal(size=(4500, 48)))
+    near = unit(x[:planted] + rng.normal(size=(planted, 48)) * 0.02)
+    lost = rng.permutation(planted)  # rows that no link leads to
+    if not between:
+        x, lost = np.concatenate([x, near]), lost + len(x)
+    graph = [np.where(np.isin(links, lost), -1, links) for links in hnsw.build(x)]
+    q = near if between else x
+    if between:
+        q = unit(np.concatenate([rng.normal(size=(4000, 48)), near]))
+    r, c = hnsw.near_pairs(x, graph, q, 0.93, **({} if between else {"same": True}))
+    got = {(i, j) for i, j in zip(r.tolist(), c.tolist()) if between or i != j}
+    want = {(4000 + k, k) for k in range(planted)} if between else {p for k in range(planted) for p in ((k, 4500 + k), (4500 + k, k))}
+    assert len(got & want) >= 0.99 * len(want) and got <= want
