@@ -2,7 +2,7 @@
 counts, search and language-model scoring over corpus tables.
 
 Every operator is a function from DataFrames to a DataFrame; ``queries.py``
-binds the ten of them to the corpus tables under ``opN_<name>``. Nothing
+binds them to the corpus tables under ``opN_<name>``. Nothing
 outside this package imports it, except the guarded hook of the driver
 contract.
 """

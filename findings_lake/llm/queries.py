@@ -1,4 +1,4 @@
-"""The ten operators bound to the corpus tables, one query each."""
+"""The operators bound to the corpus tables, one query each."""
 
 from __future__ import annotations
 
@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .language import identify
 from .licenses import license_scan
 from .lm import lm_scores
 from .mixing import mix, taken
 from .packing import pack
 from .quality import quality
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .topk import top_k
 from .vector_dedup import vector_groups
+from .whitening import whiten
 
 
 def tokenizer_file(name: str) -> str:
@@ -78,5 +81,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their near words and roots."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return identify(table(spark, sf_dir, "documents"), held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_packing, op4_license_scan, op5_token_counts, op6_quality_resampling, op7_embedding_near_dedup, op8_exact_top_k, op9_lm_scores, op10_suffix_dedup)}
+    return {f.__name__: f for f in (
+        op1_simhash_near_dedup, op2_source_mixing, op3_packing, op4_license_scan, op5_token_counts, op6_quality_resampling,
+        op7_embedding_near_dedup, op8_exact_top_k, op9_lm_scores, op10_suffix_dedup, op11_embedding_whitening,
+        op12_spelling_variants, op13_language_id)}
