@@ -225,29 +225,49 @@ class Scorer:
         fresh = sorted(runs.difference(self.place))
         if len(fresh) + len(self.place) > CACHE:
             self.place.clear()
-            self.sums, self.sizes = self.sums[:0], self.sizes[:0]
             fresh = sorted(runs)
         if not fresh:
             return
-        words = [w for w in fresh if _is_word(w)]
-        sums, sizes = np.zeros((len(fresh), len(self.models.langs))), np.zeros(len(fresh), dtype=np.int64)
-        if words:
-            real = np.array([_is_word(w) for w in fresh])
-            sums[real], sizes[real] = self.models.log_probability(words)
-        self.place.update(zip(fresh, range(len(self.sums), len(self.sums) + len(fresh))))
-        self.sums, self.sizes = np.concatenate([self.sums, sums]), np.concatenate([self.sizes, sizes])
-
-    def text(self, text: bytes):
-        """Sum of log-probabilities by language, and characters predicted."""
+        lo = len(self.place)
+        hi = lo + len(fresh)
+        if hi > len(self.sums):  # room for twice as many
+            room = 2 * hi - len(self.sums)
+            self.sums = np.concatenate([self.sums, np.zeros((room, self.sums.shape[1]))])
+            self.sizes = np.concatenate([self.sizes, np.zeros(room, dtype=np.int64)])
+        self.sums[lo:hi], self.sizes[lo:hi] = 0, 0
+        real = np.array([_is_word(w) for w in fresh])
+        if real.any():
+            self.sums[lo:hi][real], self.sizes[lo:hi][real] = self.models.log_probability([w for w, r in zip(fresh, real) if r])
+        self.place.update(zip(fresh, range(lo, hi)))
+
+    def texts(self, texts: list[bytes]):
+        """Sums of log-probabilities by language, and characters predicted, of every text."""
         import numpy as np
 
-        total, size = np.zeros(len(self.models.langs)), 0
-        for runs in words_of(text):
-            self.learn(set(runs))
-            at = np.fromiter(map(self.place.__getitem__, runs), dtype=np.int64, count=len(runs))
-            total += self.sums[at].sum(axis=0)
-            size += int(self.sizes[at].sum())
-        return total, size
+        sums, sizes = np.zeros((len(texts), len(self.models.langs))), np.zeros(len(texts), dtype=np.int64)
+        held, owners = [], []
+
+        def settle():
+            if held:
+                self.learn(set(held))
+                at = np.fromiter(map(self.place.__getitem__, held), dtype=np.int64, count=len(held))
+                stops = np.cumsum([n for _, n in owners])
+                starts = np.append(0, stops[:-1])
+                own = [k for k, _ in owners]
+                np.add.at(sums, own, np.add.reduceat(self.sums[at], starts, axis=0))
+                np.add.at(sizes, own, np.add.reduceat(self.sizes[at], starts))
+                held.clear()
+                owners.clear()
+
+        for k, text in enumerate(texts):
+            for runs in words_of(text or b""):
+                if runs:
+                    held.extend(runs)
+                    owners.append((k, len(runs)))
+                if len(held) > AT_ONCE:
+                    settle()
+        settle()
+        return sums, sizes
 
 
 class Calibration:
@@ -299,9 +319,7 @@ def _entropies(batches, models: Models, column: int):
 
     scorer = Scorer(models)
     for b in batches:
-        rows = [scorer.text(t or b"") for t in _binary(b.column(column)).to_pylist()]
-        sizes = np.array([n for _, n in rows], dtype=np.int64)
-        sums = np.array([s for s, _ in rows]).reshape(len(rows), len(models.langs))
+        sums, sizes = scorer.texts(_binary(b.column(column)).to_pylist())
         yield b, sizes, -sums / np.maximum(sizes, 1)[:, None]
 
 
