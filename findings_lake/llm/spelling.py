@@ -227,8 +227,8 @@ def _meet(batches):
             other = Block(words, ns)
             if own:
                 anchor, key, i, j = other, (block, chunk), *near_pairs(other, other, True)
-            elif key != (block, chunk):
-                raise RuntimeError("a chunk's partners came without it")
+            elif key != (block, chunk):  # no word was dealt to that chunk
+                continue
             else:
                 i, j = near_pairs(anchor, other, False)
             if len(i):

@@ -70,8 +70,12 @@ def test_components_without_variance_and_exact_deviations(spark):
     flat = [(k, [float(a), float(a), float(b)], 0) for k, (a, b) in enumerate(rng.normal(size=(40, 2)).astype(np.float32))]
     got = W.whiten(spark.createDataFrame(flat, ROWS)).collect()
     assert {r.component for r in got} == {1, 2}
-    far = [(k, [float(2 ** 30 + k * 2 ** 20), float(-k * 3)], 0) for k in range(30)]
-    same(W.whiten(spark.createDataFrame(far, ROWS)).collect(), brute_force(far))
+    # n * x is beyond 64 bits here, the deviations are not
+    far = [(k, [float(2 ** 52 + k), float(-k * 3 % 7)], 0) for k in range(40)]
+    got = W.whiten(spark.createDataFrame(far, ROWS.replace("float", "double"))).collect()
+    x = [[64 * (2 ** 52 + k) + 10 ** 6, 64 * (-k * 3 % 7) + 10 ** 6] for k in range(40)]
+    sums = [sum(c) for c in zip(*x)]
+    assert {r.vec_id: r.deviation for r in got} == {k: sum((40 * c - s) ** 2 for c, s in zip(v, sums)) for k, v in enumerate(x)}
     beyond = W.whiten(spark.createDataFrame([(k, [1e17 * k, float(k % 2)], 0) for k in range(4)], ROWS)).collect()
     assert all(r.deviation is None for r in beyond)
     assert W.whiten(spark.createDataFrame([(1, [1e30, 1.0], 0), (2, [1.0, 2.0], 0)], ROWS)).collect() == []
