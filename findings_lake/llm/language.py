@@ -293,7 +293,9 @@ class Calibration:
             if mine.any():
                 own = entropies[mine, k]
                 self.mean[k] = own.mean()
-                self.limit[k] = np.quantile((own - self.mean[k]) * np.sqrt(sizes[mine]), 1 - REJECTED_SHARE)
+                spread = (own - self.mean[k]) * np.sqrt(sizes[mine])
+                # few texts say little about the tail: never within four standard deviations
+                self.limit[k] = max(np.quantile(spread, 1 - REJECTED_SHARE), 4 * spread.std())
 
     @staticmethod
     def _chances(entropies, sizes, power, slope):
