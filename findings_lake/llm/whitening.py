@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, stash
 
@@ -104,21 +105,61 @@ def _pack(n: int, sums: list[int]):
     return run
 
 
-def block_matrix(blocks, columns: int, rows_per_block: int):
-    """A ``BlockMatrix`` of an RDD of (block number, numpy array), cut into
-    blocks of ``BLOCK_COLUMNS`` columns."""
-    from pyspark.mllib.linalg import DenseMatrix
+def block_matrix(table: DataFrame, rows_of, columns: int, rows_per_block: int):
+    """A ``BlockMatrix`` of the rows of ``table``: ``rows_of(batch)`` gives the
+    (block number, numpy array) pairs of an Arrow batch, cut here into blocks
+    of ``BLOCK_COLUMNS`` columns. Values go over as Arrow lists of doubles."""
+    from pyspark.mllib.common import callMLlibFunc
+    from pyspark.mllib.linalg import MatrixUDT
     from pyspark.mllib.linalg.distributed import BlockMatrix
 
     width = min(columns, BLOCK_COLUMNS)
 
-    def cut(block):
-        number, y = block
-        for k, lo in enumerate(range(0, columns, width)):
-            part = y[:, lo:lo + width]
-            yield (number, k), DenseMatrix(part.shape[0], part.shape[1], part.ravel(order="F"))
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def one(value, kind):
+            return pa.array([value], kind)
+
+        for b in batches:
+            for number, y in rows_of(b):
+                for k, lo in enumerate(range(0, columns, width)):
+                    part = y[:, lo:lo + width]
+                    flat = np.ascontiguousarray(part.ravel(order="F"))
+                    none = pa.nulls(1, pa.list_(pa.int32()))
+                    values = pa.ListArray.from_arrays(np.array([0, len(flat)], dtype=np.int32), flat)
+                    at = pa.StructArray.from_arrays([one(number, pa.int64()), one(k, pa.int64())], ["_1", "_2"])
+                    matrix = pa.StructArray.from_arrays(  # the layout of a dense matrix
+                        [one(1, pa.int8()), one(part.shape[0], pa.int32()), one(part.shape[1], pa.int32()), none, none, values, one(False, pa.bool_())],
+                        ["type", "numRows", "numCols", "colPtrs", "rowIndices", "values", "isTransposed"])
+                    yield pa.RecordBatch.from_arrays([at, matrix], ["at", "matrix"])
+
+    schema = T.StructType([T.StructField("at", T.StructType([T.StructField("_1", T.LongType()), T.StructField("_2", T.LongType())])),
+                           T.StructField("matrix", MatrixUDT())])
+    java = callMLlibFunc("createBlockMatrix", table.mapInArrow(cut, schema), rows_per_block, width, 0, 0)
+    return BlockMatrix(java, rows_per_block, width)
+
+
+def matrix_rows(matrix) -> DataFrame:
+    """``block, y`` of a matrix with one column of blocks: every block's rows as
+    doubles, row after row."""
+    from pyspark.mllib.common import callMLlibFunc
+
+    def flat(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            at, matrices = b.column(0), b.column(1)
+            for k in range(b.num_rows):
+                m = matrices[k]
+                shape = (m["numRows"].as_py(), m["numCols"].as_py())
+                y = m["values"].values.to_numpy(zero_copy_only=False).reshape(shape, order="C" if m["isTransposed"].as_py() else "F")
+                yield pa.RecordBatch.from_arrays([pa.array([at[k]["_1"].as_py()], pa.int32()),
+                                                  pa.array([np.ascontiguousarray(y, dtype="<f8").tobytes()], pa.binary())], ["block", "y"])
 
-    return BlockMatrix(blocks.flatMap(cut), rows_per_block, width)
+    return callMLlibFunc("getMatrixBlocks", matrix._java_matrix_wrapper._java_model).mapInArrow(flat, "block int, y binary")
 
 
 def scatter(matrix, groups: int):
@@ -176,11 +217,12 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
     whole, rest = np.array([s // n for s in sums], dtype=np.int64), np.array([(s % n) / n for s in sums])
 
-    def centred(row):
-        x = np.frombuffer(row.data, "<i8").reshape(-1, d)
-        return row.block, (x - whole).astype(np.float64) - rest
+    def centred(batch):
+        for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = np.frombuffer(data.as_buffer(), "<i8").reshape(-1, d)
+            yield number, (x - whole).astype(np.float64) - rest
 
-    matrix = block_matrix(blocks.select("block", "data").rdd.map(centred), d, block_rows)
+    matrix = block_matrix(blocks.select("block", "data"), centred, d, block_rows)
     covariance = scatter(matrix, groups) / n
     values, axes = eigen(covariance, components)
     k = len(values)
@@ -191,8 +233,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     cut = [((b, 0), DenseMatrix(len(part), k, part.ravel(order="F"))) for b, part in
            ((b, turn[lo:lo + width]) for b, lo in enumerate(range(0, d, width)))]
     projected = matrix.multiply(BlockMatrix(spark.sparkContext.parallelize(cut, 1), width, k))
-    flat = projected.blocks.map(lambda b: (int(b[0][0]), bytearray(np.ascontiguousarray(b[1].toArray(), dtype="<f8").tobytes())))
-    found = stash(spark.createDataFrame(flat, "block int, y binary"), "projected")
+    found = stash(matrix_rows(projected), "projected")
 
     def centres(batches):
         import pyarrow as pa
@@ -203,7 +244,12 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
     totals = found.select("y").mapInArrow(centres, "s array<double>").agg(*[F.sum(F.col("s")[j]) for j in range(k)]).first()
     mean = np.array(totals, dtype=np.float64) / n
-    white = block_matrix(found.rdd.map(lambda r: (r.block, np.frombuffer(r.y, "<f8").reshape(-1, k) - mean)), k, block_rows)
+
+    def settled(batch):
+        for number, y in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield number, np.frombuffer(y.as_buffer(), "<f8").reshape(-1, k) - mean
+
+    white = block_matrix(found, settled, k, block_rows)
     error = float(np.abs(scatter(white, groups) / n - np.eye(k)).max())
 
     def opened(batches):
