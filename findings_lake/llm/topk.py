@@ -28,14 +28,18 @@ from .common import prepare, stash
 from .vectors import matrix
 
 SCALE = 1024
-#: Rows of an index shard and of a query block.
-SHARD_ROWS, QUERY_ROWS = 16_384, 256
+#: Rows of an index shard; most and fewest rows of a query block, and (shard,
+#: block) cells that are wanted before blocks grow: an index is sent once per
+#: block, so large tables take the largest blocks.
+SHARD_ROWS, QUERY_ROWS, LEAST_QUERY_ROWS, CELLS = 16_384, 16_384, 256, 64
 #: Quantised levels on each side of zero.
 LEVELS = 24
 #: Share of a shard's postings that is processed between two attempts at a proof.
 ROUND = 8
 #: Beyond this, floating-point accumulators would not be exact.
 EXACT = 1 << 52
+#: Rows with a larger component (as an integer) are kept apart and scored one by one.
+FAR = 1 << 36
 #: Scores end where 64 bits do.
 LARGEST = (1 << 63) - 1
 
@@ -48,18 +52,24 @@ def scaled(values):
     """``floor(SCALE * x)`` as integers (Python integers beyond 64 bits)."""
     import numpy as np
 
-    grown = np.floor(values * SCALE)
+    with np.errstate(over="ignore"):
+        grown = np.floor(values * SCALE)
     if not grown.size or np.abs(grown).max() < 1 << 62:
         return grown.astype(np.int64)
-    return np.array([[int(x) for x in r] for r in grown], dtype=object)
+    # by the exact ratio of a number, which may be too large for a float when scaled
+    return np.array([[n * SCALE // d for n, d in map(float.as_integer_ratio, r)] for r in values.tolist()], dtype=object)
 
 
-def build_index(ids, rows, values) -> dict:
-    """The index of one shard."""
+def build_index(ids, none, rows, values) -> dict:
+    """The index of one shard: ``ids`` (``none`` marks null ones), ``rows`` and
+    integer ``values``. Rows with components too large for postings lie under
+    ``far``, scored exactly as they are."""
     import numpy as np
 
-    if values.dtype == object:  # too large for postings: scored exactly as they are
-        return {"ids": ids, "rows": rows, "values": values}
+    far = (np.abs(values) >= FAR).any(axis=1).astype(bool) if values.size else np.zeros(len(ids), dtype=bool)
+    if far.any():
+        near = build_index(ids[~far], none[~far], rows[~far], values[~far].astype(np.int64))
+        return {**near, "far": {"ids": ids[far], "none": none[far], "rows": rows[far], "values": values[far].astype(object)}}
     most = max(1, int(abs(values).max())) if values.size else 1
     step = max(1, -(-most // LEVELS))
     level = (values // step).astype(np.int64)
@@ -72,7 +82,7 @@ def build_index(ids, rows, values) -> dict:
         first += (np.r_[cut[1:], len(order)] + first[0] + j * len(order)).tolist()
         lows += ordered[cut].tolist()
         dims += [j] * len(cut)
-    return {"ids": ids, "rows": rows, "values": values, "step": step, "most": most,
+    return {"ids": ids, "none": none, "rows": rows, "values": values, "step": step, "most": most,
             "post": np.concatenate(post) if post else np.zeros(0, np.int32), "first": np.array(first),
             "low": np.array(lows, dtype=np.int64) * step, "dim": np.array(dims, dtype=np.int64)}
 
@@ -84,7 +94,7 @@ def _best(index, rows, scores, k: int, own):
     keep = index["rows"][rows] != own
     rows, scores = rows[keep], scores[keep]
     ids = index["ids"][rows]
-    order = np.lexsort((index["rows"][rows], ids, ~scores))[:k]  # ~: descending, safe at the ends of 64 bits
+    order = np.lexsort((index["rows"][rows], index["none"][rows], ids, ~scores))[:k]  # ~: descending, safe at the ends of 64 bits
     return rows[order], scores[order]
 
 
@@ -130,7 +140,7 @@ def search(index, query, k: int, own):
 
 
 def top_k(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-          shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+          shard_rows: int = SHARD_ROWS, query_rows: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that meets
     ``query_filter`` (a column) the k best of all other rows."""
     spark = prepare(vectors.sparkSession)
@@ -146,18 +156,22 @@ def top_k(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id",
 
     whole = stash(rows.mapInArrow(parse, rows.schema).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, asking = whole.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asking // query_rows))
+    shards = max(1, -(-n // shard_rows))
+    if query_rows is None:
+        query_rows = max(LEAST_QUERY_ROWS, min(QUERY_ROWS, asking * shards // CELLS))
+    blocks = max(1, -(-asking // query_rows))
 
     def pack(build):
         def run(key, group):
             import numpy as np
             import pyarrow as pa
 
-            ids = np.array([x if x is not None else np.iinfo(np.int64).max for x in group["id"].to_pylist()], dtype=np.int64)
+            ids = np.array([x if x is not None else LARGEST for x in group["id"].to_pylist()], dtype=np.int64)
+            none = np.array([x is None for x in group["id"].to_pylist()], dtype=bool)
             own = group["row"].to_numpy()
             order = np.argsort(own)  # the same shard however its rows arrive
             values = scaled(matrix(group["v"])[0][order])
-            data = build(ids[order], own[order], values)
+            data = build(ids[order], none[order], own[order], values)
             return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([_pack(data)], pa.binary())})
         return run
 
@@ -166,7 +180,7 @@ def top_k(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id",
             pack(build), "part int, data binary")
 
     index = stash(dealt(whole, shards, build_index), "index")
-    asked = dealt(whole.where("asks"), blocks, lambda ids, own, values: {"ids": ids, "rows": own, "values": values})
+    asked = dealt(whole.where("asks"), blocks, lambda ids, none, own, values: {"ids": ids, "none": none, "rows": own, "values": values})
     index = index.select(F.col("part").alias("shard"), F.col("data").alias("index"),
                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asked = asked.select(F.col("part").alias("block"), F.col("data").alias("queries"),
@@ -180,17 +194,18 @@ def top_k(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id",
             for packed, block in zip(batch.column(0), batch.column(1)):
                 one, queries = pickle.loads(packed.as_py()), pickle.loads(block.as_py())
                 out = [[] for _ in range(5)]
-                for qid, own, q in zip(queries["ids"].tolist(), queries["rows"].tolist(), queries["values"]):
-                    at, score = search(one, q, k, own)
-                    for column, x in zip(out, ([qid] * len(at), [own] * len(at), one["ids"][at].tolist(), one["rows"][at].tolist(),
-                                               score.tolist())):
-                        column += x
+                parts = [one] + ([one["far"]] if "far" in one else [])
+                for qid, none, own, q in zip(*(queries[c].tolist() for c in ("ids", "none", "rows")), queries["values"]):
+                    for part in parts:
+                        at, score = search(part, q, k, own)
+                        found_ids = [None if x else i for i, x in zip(part["ids"][at].tolist(), part["none"][at].tolist())]
+                        for column, x in zip(out, ([None if none else qid] * len(at), [own] * len(at), found_ids,
+                                                   part["rows"][at].tolist(), score.tolist())):
+                            column += x
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out],
                                                  ["query_id", "query_row", "vec_id", "row", "score"])
 
     found = (index.join(asked, ["shard", "block"]).select("index", "queries")
              .mapInArrow(run, "query_id long, query_row long, vec_id long, row long, score long"))
-    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    last = F.lit(LARGEST)
-    return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", F.when(F.col("vec_id") != last, F.col("vec_id")).alias("vec_id"), "score"))
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -113,3 +113,25 @@ def test_sparse_pairs_survive_weak_links(planted, between):
     got = {(i, j) for i, j in zip(r.tolist(), c.tolist()) if between or i != j}
     want = {(4000 + k, k) for k in range(planted)} if between else {p for k in range(planted) for p in ((k, 4500 + k), (4500 + k, k))}
     assert len(got & want) >= 0.99 * len(want) and got <= want
+
+
+def test_top_k_of_components_at_the_ends_of_floats_and_ids(spark):
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(8)
+    largest = (1 << 63) - 1
+    rows = [(k, rng.normal(size=3).tolist(), 0, "", "") for k in range(60)]
+    rows += [(100, [1e308, 1.0, -1e308], 0, "", ""), (101, [-1.7e308, 5e-324, 2.0], 0, "", ""), (102, [1e12, -1e12, 0.5], 0, "", ""),
+             (largest, rows[3][1], 0, "", ""), (None, rows[3][1], 0, "", "")]
+    table = spark.createDataFrame(rows, VECTORS.replace("float", "double"))
+    asked = [0, 7, 100, 102, largest]
+    got = {}
+    for r in top_k(table, F.col("vec_id").isin(asked), k=64).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    v = [[int(Fraction(x) * 1024 // 1) for x in r[1]] for r in rows]
+    for q in asked:
+        own = next(k for k, r in enumerate(rows) if r[0] == q)
+        scores = [(max(-1 << 63, min(largest, sum(a * b for a, b in zip(v[own], v[k])))), rows[k][0]) for k in range(len(rows)) if k != own]
+        want = sorted(scores, key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+        assert got[q] == [(i, s) for s, i in want], q
