@@ -344,12 +344,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = stash(spans(rows.select("doc", "tag", "text"), length, reach).repartition("key")
                   .sortWithinPartitions("kind", "key", "span")
                   .mapInArrow(_resolve, "kind byte, key long, doc long, at long"), "spans")
-    of_doc = found.groupBy("doc", F.shiftright("at", 40).alias("tag")).agg(F.collect_list(F.struct("kind", "at", "key")).alias("found"))
+    # sets: equal rows share a name, and each brings the same spans
+    of_doc = found.groupBy("doc", F.shiftright("at", 40).alias("tag")).agg(F.collect_set(F.struct("kind", "at", "key")).alias("found"))
     schema = _schema(rows)
     state = stash(rows.join(of_doc, ["doc", "tag"], "left").select("id", "doc", "tag", "text", "found")
                   .mapInArrow(_place(length, with_text), schema), "documents")
     ranges = (span_repeats(state.where(F.col("what") == SPAN), length, unit, shard_bytes, symbol, hot_family)
-              .groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "b")).alias("more")))
+              .groupBy("doc", "tag").agg(F.collect_set(F.struct("a", "b")).alias("more")))
 
     def finish(batches):
         import numpy as np
