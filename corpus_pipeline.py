@@ -24,22 +24,25 @@ from findings_lake.llm.simhash import simhash_groups
 from findings_lake.llm.suffix_dedup import suffix_dedup
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """``name``, or the first longer form of it that no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def _named(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with two hashes of id and text, 128 bits that tell documents
     apart, under names that are free. Equal rows share them."""
-    names = []
-    for k in range(2):
-        name = f"name{k}"
-        while name in docs.columns:
-            name = f"_{name}"
-        names.append(name)
+    names = [_free(f"name{k}", docs.columns) for k in range(2)]
     return docs.withColumns({n: F.xxhash64(F.lit(k), "doc_id", "text") for k, n in enumerate(names)}), names
 
 
 def _once(named: DataFrame, names: list[str]) -> DataFrame:
     """One row of each set of equal rows (those of one name)."""
-    same = Window.partitionBy(*names).orderBy(*names)
-    return named.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
+    same, copy = Window.partitionBy(*names).orderBy(*names), _free("copy", named.columns)
+    return named.withColumn(copy, F.row_number().over(same)).where(F.col(copy) == 1).drop(copy)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,14 +64,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat elsewhere (a character that is cut
     through goes whole); every document stays, a null text stays null."""
     others = [c for c in docs.columns if c != "text"]
-    whole = docs.select(F.struct(*others, F.col("text").isNull().alias("_null")).alias("id"), "text")
+    null = _free("null", docs.columns)
+    whole = docs.select(F.struct(*others, F.col("text").isNull().alias(null)).alias("id"), "text")
     cut = suffix_dedup(whole, id_col="id", with_text=True)
 
     @F.pandas_udf("string")
     def decoded(data):
         return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    cut = cut.select("id", F.when(~F.col("id._null"), decoded("kept")).alias("text"))
+    cut = cut.select("id", F.when(~F.col("id")[null], decoded("kept")).alias("text"))
     length = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     return cut.select(*[F.col("text") if c == "text" else length.alias(c) if c == "n_chars" else F.col("id")[c].alias(c)
                         for c in docs.columns])
@@ -79,11 +83,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the words that the pass takes; documents that the mix leaves out go."""
     named, names = _named(docs)
     documents, pieces = mix(named, keep=tuple(names))
-    passes = pieces.groupBy("row", "epoch").agg(F.sum("length").alias("_words"))
-    passes = passes.join(documents.select("row", F.col("size").alias("_size"), *names), "row").select(*names, "_words", "_size")
+    words, size = _free("words", docs.columns), _free("size", docs.columns)
+    passes = pieces.groupBy("row", "epoch").agg(F.sum("length").alias("w"))
+    passes = passes.join(documents.select("row", F.col("size").alias("s"), *names), "row").select(
+        *names, F.col("w").alias(words), F.col("s").alias(size))
 
     @F.pandas_udf("string")
-    def first_words(texts, words):
+    def first_words(texts, counts):
         def cut(text, n):
             import re
 
@@ -94,10 +100,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 end = m.end()
             return data[:end].decode()
 
-        return texts.combine(words, cut)
+        return texts.combine(counts, cut)
 
     joined = _once(named, names).join(passes, names)  # every pass of a set of equal rows takes one copy
-    text = F.when(F.col("_words") < F.col("_size"), first_words("text", "_words")).otherwise(F.col("text"))
+    text = F.when(F.col(words) < F.col(size), first_words("text", words)).otherwise(F.col("text"))
     joined = joined.withColumn("text", text)
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
