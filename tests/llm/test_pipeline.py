@@ -67,3 +67,21 @@ def test_repeated_rows_and_empty_table(spark, tmp_path):
             docs = f(spark, docs, str(tmp_path))
         out = docs.collect()
         assert bool(out) == (name == "rows")
+
+
+def test_extra_columns_of_any_name(spark, tmp_path):
+    """Names that the stages use themselves come through with their values."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(40)) for _ in range(12)] + [None, ""]
+    names = ["null", "_null", "copy", "_copy", "words", "_words", "size", "_size", "s", "w", "name0", "_name0", "name1", "row", "epoch", "kept",
+             "document", "Copy2", "least", "group", "length"]
+    docs = spark.createDataFrame([(k, t, "en", f"s{k % 3}", len(t or ""), *[f"{n} {k}" for n in names]) for k, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, f in C.STAGES[:-1]:
+        docs = f(spark, docs, str(tmp_path))
+        rows = docs.collect()
+        assert rows and docs.columns[5:] == names, name
+        assert all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names), name
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
