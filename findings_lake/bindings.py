@@ -76,9 +76,13 @@ def _q(c: Column) -> Column:
 # ---------------------------------------------------------------------------
 def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """b_findings: one raw finding per event, before it is written as JSON."""
+    fn_id = F.floor(F.col("event_id") / FINDINGS_PER_FN).cast("long")
+    # Dealt by the function before any text is built: the rows are narrow here, texts are
+    # then made by all tasks, and grouping or joining by function needs no other exchange.
     ev = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "event_type", "value", _k().alias("k"))
-    fn_id = F.floor(F.col("event_id") / FINDINGS_PER_FN)
+        "event_id", "event_type", "value", "props", fn_id.alias("fn_id"),
+        F.concat(F.lit("app_"), F.floor(fn_id / FNS_PER_APP_FILE).cast("string"), F.lit(".py")).alias("file"),
+        (fn_id % FNS_PER_APP_FILE).cast("int").alias("fn_ord")).repartition("file", "fn_ord").withColumn("k", _k()).drop("props")
     k13 = F.col("k") % 13
     sev7 = (F.col("k") + F.col("event_id")) % 7
     k_text = F.col("k").cast("string")
@@ -86,11 +90,6 @@ def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             for p in REFERENCE_POOL]
     refs = F.slice(F.array(*pool), 1, (F.col("k") % 7 + 1).cast("int"))
     return (ev
-            .withColumn("fn_id", fn_id.cast("long"))
-            .withColumn("file", F.concat(F.lit("app_"),
-                                         F.floor(F.col("fn_id") / FNS_PER_APP_FILE).cast("string"),
-                                         F.lit(".py")))
-            .withColumn("fn_ord", (F.col("fn_id") % FNS_PER_APP_FILE).cast("int"))
             .withColumn("finding_pos", (F.col("event_id") % FINDINGS_PER_FN).cast("int"))
             .withColumn("cwe_id", _pick(k13, [c for c, _ in CWE_BY_K13]))
             .withColumn("cwe_name", _pick(k13, [n for _, n in CWE_BY_K13]))
@@ -137,8 +136,9 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     call failed (raw NULL, error text).
     """
     rows = finding_rows(spark, sf_dir).withColumn("elem", _finding_json())
-    per_fn = (rows.groupBy("fn_id", "file", "fn_ord")
-              .agg(F.array_sort(F.collect_list(F.struct("finding_pos", "elem"))).alias("els")))
+    # grouped by the function's key alone, so a join by function needs no other exchange
+    per_fn = (rows.groupBy("file", "fn_ord")
+              .agg(F.min("fn_id").alias("fn_id"), F.array_sort(F.collect_list(F.struct("finding_pos", "elem"))).alias("els")))
     arr = F.concat(F.lit("["), F.array_join(F.transform("els", lambda x: x["elem"]), ", "), F.lit("]"))
     form = F.col("fn_id") % 5
     raw = (F.when(form == 0, arr)
@@ -155,16 +155,52 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(failed, F.lit("timeout after 120s")).alias("error"))
 
 
+ODD_PER_REPLY = 6
+#: Members of a finding object that reach the rarer rules, by event_id % 12 ({k} is the event's k).
+ODD_MEMBERS = [
+    '"confidence": NaN',
+    '"confidence": Infinity, "severity": "CRITICAL"',
+    '"confidence": -Infinity',
+    '"confidence": " 0.35 ", "line_hint": 1e-7',
+    '"confidence": null',
+    '"confidence": "high"',
+    '"references": "CVE-{k}"',
+    '"references": null',
+    r'''"evidence": {"line": {k}, "code": "x = \"é\" + 'q'", "ok": true, "none": null, "f": 0.5}''',
+    r'''"solution": ["a", {k}, 2.5, false, {"z": "it's", "a": [], "n": NaN}], "confidence": true''',
+    r'''"description": "said \"NaN, Infinity\" \\ in C:\\tmp\u00e9 [{k}]", "cwe_id": null''',
+    r'''"references": ["R-{k}", 1.0, null, {"b": 1, "a": "\t"}], "confidence": "1e-1"''',
+]
+
+
+def odd_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """b_odd_replies: one finding per event with the members above, six to a
+    reply; replies are bare, fenced or inside prose (reply % 3)."""
+    ev = table(spark, sf_dir, "events").select("event_id", "props", F.floor(F.col("event_id") / ODD_PER_REPLY).cast("long").alias("fn_id"))
+    ev = ev.repartition("fn_id").withColumn("k", _k().cast("string"))
+    members = F.replace(_pick(F.col("event_id") % len(ODD_MEMBERS), ODD_MEMBERS), F.lit("{k}"), F.col("k"))
+    elem = F.concat(F.lit('{"cwe_name": "event '), F.col("event_id").cast("string"), F.lit('", '), members, F.lit("}"))
+    per = ev.select("fn_id", "event_id", elem.alias("elem")).groupBy("fn_id").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", "elem"))).alias("els"))
+    arr = F.concat(F.lit("["), F.array_join(F.transform("els", lambda x: x["elem"]), ", "), F.lit("]"))
+    form = F.col("fn_id") % 3
+    raw = (F.when(form == 0, arr).when(form == 1, F.concat(F.lit("```json\n"), arr, F.lit("\n```")))
+           .otherwise(F.concat(F.lit('So called "findings":\n'), arr, F.lit("\nDone"))))
+    return per.select(
+        F.concat(F.lit("odd#"), F.col("fn_id").cast("string")).alias("request_id"), F.lit("odd.py").alias("file"),
+        F.col("fn_id").cast("int").alias("fn_ord"), raw.alias("raw"), F.lit(None).cast("string").alias("error"))
+
+
 def app_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The functions table of the app files (every function has a reply)."""
+    fn_id = F.floor(F.col("event_id") / FINDINGS_PER_FN).cast("long")
     ev = table(spark, sf_dir, "events").select(
-        F.floor(F.col("event_id") / FINDINGS_PER_FN).cast("long").alias("fn_id")).distinct()
-    fn_ord = (F.col("fn_id") % FNS_PER_APP_FILE).cast("int")
+        F.concat(F.lit("app_"), F.floor(fn_id / FNS_PER_APP_FILE).cast("string"), F.lit(".py")).alias("file"),
+        (fn_id % FNS_PER_APP_FILE).cast("int").alias("fn_ord")).distinct()
+    fn_ord = F.col("fn_ord")
     name = F.concat(F.lit("fn_"), (fn_ord % NAME_CYCLE).cast("string"))
     return ev.select(
-        F.concat(F.lit("app_"), F.floor(F.col("fn_id") / FNS_PER_APP_FILE).cast("string"),
-                 F.lit(".py")).alias("file"),
-        fn_ord.alias("fn_ord"),
+        "file", "fn_ord",
         name.alias("name"),
         (fn_ord * 10 + 1).alias("lineno"),
         (fn_ord * 10 + 8).alias("end_lineno"),
@@ -266,9 +302,12 @@ def fuzz_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     event_id % 9 == 0; ``config`` omitted for k % 13 == 7; the files of
     k % 13 == 5 and event type ``error`` are cut in half (corrupt).
     """
-    ev = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "event_type", _k().alias("k"))
     k13 = F.col("k") % 13
+    blk = F.floor(F.col("event_id") / FUZZ_FILE_SPAN).cast("long")
+    # dealt by the file's key while the rows are narrow (as in ``finding_rows``)
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", _k().alias("k"))
+    ev = ev.select("*", k13.alias("k13"), blk.alias("blk")).repartition("k13", "event_type", "blk")
+    k13, blk = F.col("k13"), F.col("blk")
     cwe = F.coalesce(_pick(k13, [c for c, _ in CWE_BY_K13]), F.lit("CWE-Unknown"))
     status = _pick(F.col("event_id") % 5, ["200", "301", "403", "404", "500"])
     inp = F.when(F.col("event_id") % 9 == 0, F.lit("")).otherwise(
@@ -277,13 +316,11 @@ def fuzz_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"url": "http://t.example/u/'), F.col("user_id").cast("string"), F.lit('", '),
         F.lit('"status": '), status, F.lit(', "length": '), (F.col("k") * 10).cast("string"),
         F.lit(', "words": '), F.col("k").cast("string"), inp, F.lit("}"))
-    blk = F.floor(F.col("event_id") / FUZZ_FILE_SPAN).cast("long")
     name = F.concat(F.lit("ffuf_"), F.replace(cwe, F.lit("-"), F.lit("_")), F.lit("_"),
                     F.col("event_type"), F.lit("-"), blk.cast("string"), F.lit(".json"))
-    rows = ev.select(name.alias("name"), k13.alias("k13"), "event_type", "event_id",
-                     res.alias("res"))
-    per_file = (rows.groupBy("name", "k13", "event_type")
-                .agg(F.array_sort(F.collect_list(F.struct("event_id", "res"))).alias("rs")))
+    rows = ev.select(name.alias("name"), "k13", "event_type", "blk", "event_id", res.alias("res"))
+    per_file = (rows.groupBy("k13", "event_type", "blk")
+                .agg(F.min("name").alias("name"), F.array_sort(F.collect_list(F.struct("event_id", "res"))).alias("rs")))
     results = F.array_join(F.transform("rs", lambda x: x["res"]), ", ")
     config = F.when(F.col("k13") == 7, F.lit("")).otherwise(F.concat(
         F.lit('"config": {"wordlist": "/SecLists/list-'), F.col("k13").cast("string"),
@@ -333,8 +370,10 @@ def mitigation_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mitigation_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector of each mitigation query text: embedding ``k % n`` (the text
     is a function of the finding's k)."""
-    rows = finding_rows(spark, sf_dir)
-    qt = F.concat(F.coalesce("cwe_id", F.lit("CWE-Unknown")), F.lit(" "), F.col("cwe_name"),
-                  F.lit(" mitigation fix secure code. "), F.col("evidence"))
-    keys = rows.select(qt.alias("query_text"), F.col("k").cast("long").alias("k")).distinct()
+    # k decides everything in the text, so the distinct ones are found by it
+    keys = table(spark, sf_dir, "events").select(_k().alias("k")).distinct()
+    names = (_pick(F.col("k") % 13, [c for c, _ in CWE_BY_K13]), _pick(F.col("k") % 13, [n for _, n in CWE_BY_K13]))
+    qt = F.concat(F.coalesce(names[0], F.lit("CWE-Unknown")), F.lit(" "), names[1],
+                  F.lit(" mitigation fix secure code. "), F.lit("payload_"), F.col("k").cast("string"))
+    keys = keys.select(qt.alias("query_text"), F.col("k").cast("long").alias("k"))
     return vector_for(keys, "k", spark, sf_dir).drop("k")

@@ -51,17 +51,59 @@ def strip_fences(c) -> Column:
     return py_strip(F.when(t.contains("```"), fenced).otherwise(t))
 
 
-def _whole_value(t: Column) -> Column:
-    """True when ``t`` is exactly one JSON value (no trailing text).
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    ``try_parse_json`` stops after the first value, so the text is wrapped
-    twice: as an object member (rejects ``[1] x``) and as the only array
-    element (rejects ``[1],"k":[2]``).
+
+# A double quote that is not escaped: an even number of backslashes stands
+# before it (counted up to 100).
+UNESCAPED_QUOTE = '(?<=(?<!\\\\)(?:\\\\\\\\){0,50})"'
+#: Stands before a number word where it is kept as a JSON text (private use).
+WORD_MARK = "\ue000"
+# The number words of Python's JSON reader.
+NUMBER_WORDS = "(?<![\\w.+-])(NaN|-?Infinity)(?![\\w.+-])(?!\\s*:)"
+
+
+def outside_strings(t: Column, body, inside=None) -> Column:
+    """``t`` (JSON text) with ``body`` applied to what lies between its
+    strings and ``inside`` (the contents without quotes -> whole token) to the
+    strings: pieces of a split on unescaped quotes alternate, outside first."""
+    kept = inside or (lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+    return F.array_join(F.transform(F.split(t, UNESCAPED_QUOTE, -1),
+                                    lambda x, i: F.when(i % 2 == 0, body(x)).otherwise(kept(x))), "")
+
+
+def number_words(t: Column) -> Column:
+    """``NaN``, ``Infinity`` and ``-Infinity`` outside strings as marked JSON
+    texts, which ``py_str`` and ``py_float`` read back as the numbers they
+    are; texts without such a word pass as they are."""
+    marked = outside_strings(t, lambda x: F.regexp_replace(x, NUMBER_WORDS, f'"{WORD_MARK}$1"'))
+    return F.when(t.contains("NaN") | t.contains("Infinity"), marked).otherwise(t)
+
+
+def one_json_value(t: Column) -> Column:
+    """The variant of ``t`` if it is exactly one JSON value, by one parse.
+
+    The parser stops after the first value, so ``t`` is read as the first
+    element of an array that ends with a mark made of ``t``'s own hash: text
+    behind the value leaves no such array of two.
     """
-    as_member = F.try_parse_json(F.concat(F.lit('{"r":'), t, F.lit("}")))
-    as_element = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
-    return as_member.isNotNull() & (
-        F.size(as_element.try_cast("array<variant>")) == F.lit(1))
+    mark = F.xxhash64(t).cast("string")
+    wrapped = F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), mark, F.lit('"]'))).try_cast("array<variant>")
+    return let(wrapped, lambda p: F.when(
+        (F.size(p) == 2) & (F.try_variant_get(F.get(p, 1), "$", "string") == mark), F.get(p, 0)))
+
+
+def one_typed_object(t: Column, fields: str) -> Column:
+    """``t`` read as a struct of ``fields`` if it is exactly one JSON object
+    (else null), by one typed parse without a size cap: the same end mark as
+    in ``one_json_value``, here as a second object."""
+    mark = F.xxhash64(t).cast("string")
+    wrapped = F.from_json(F.concat(F.lit("["), t, F.lit(',{"end mark":"'), mark, F.lit('"}]')),
+                          f"array<struct<{fields},`end mark`:string>>")
+    only = let(wrapped, lambda p: F.when((F.size(p) == 2) & (F.get(p, 1)["end mark"] == mark), F.get(p, 0)))
+    return F.when(F.ltrim(t).startswith("{"), only)
 
 
 def json_kind(v: Column) -> Column:
@@ -72,18 +114,16 @@ def json_kind(v: Column) -> Column:
 
 def parse_json_array(c) -> Column:
     """The text as ``array<variant>`` if it is exactly one JSON list."""
-    t = _col(c)
-    v = F.try_parse_json(t)
-    ok = _whole_value(t) & (json_kind(v) == F.lit("ARRAY"))
-    return F.when(ok, v.try_cast("array<variant>"))
+    return one_json_value(_col(c)).try_cast("array<variant>")
 
 
 def parse_json_object(c) -> Column:
     """The text as a variant if it is exactly one JSON object."""
-    t = _col(c)
-    v = F.try_parse_json(t)
-    ok = _whole_value(t) & (json_kind(v) == F.lit("OBJECT"))
-    return F.when(ok, v)
+    return let(one_json_value(_col(c)), lambda v: F.when(is_object(v), v))
+
+
+def is_object(v: Column) -> Column:
+    return v.try_cast("map<string,variant>").isNotNull()
 
 
 def fallback_array_text(c) -> Column:
@@ -148,23 +188,87 @@ def py_number(kind: Column, s: Column) -> Column:
             .otherwise(s))
 
 
-def py_str(v: Column, default: str | None) -> Column:
+# Characters Python's repr() escapes besides the named ones: everything in the
+# categories "other" and "separator" but the plain space.
+NOT_PRINTABLE = "[\\p{C}\\p{Z}&&[^ ]]"
+
+
+def _escaped_char(c: Column) -> Column:
+    code = F.ascii(c)
+    digits = F.lower(F.hex(code))
+    width = F.when(code < 256, 2).when(code < 65536, 4).otherwise(8)
+    lead = F.when(code < 256, F.lit("\\x")).when(code < 65536, F.lit("\\u")).otherwise(F.lit("\\U"))
+    return F.when(c.rlike(NOT_PRINTABLE), F.concat(lead, F.lpad(digits, width, F.lit("0")))).otherwise(c)
+
+
+def py_quoted(s: Column) -> Column:
+    """``repr()`` of a text: single quotes unless only single ones occur in it."""
+    double = s.contains("'") & ~s.contains('"')
+    body = F.replace(s, F.lit("\\"), F.lit("\\\\"))
+    body = F.when(double, body).otherwise(F.replace(body, F.lit("'"), F.lit("\\'")))
+    for char, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        body = F.replace(body, F.lit(char), F.lit(name))
+    body = F.when(body.rlike(NOT_PRINTABLE), F.array_join(F.transform(F.split(body, ""), _escaped_char), "")).otherwise(body)
+    mark = F.when(double, F.lit('"')).otherwise(F.lit("'"))
+    return F.concat(mark, body, mark)
+
+
+def py_repr(json_text: Column) -> Column:
+    """``str()`` of a nested JSON value as Python's reader gives it: ``True``,
+    ``None``, its quotes, a space behind commas and colons, its numbers."""
+    def plain(x):
+        numbers = F.array_join(F.transform(F.regexp_extract_all(x, F.lit("[-+0-9.E]+|[^-+0-9.E]+"), F.lit(0)), lambda n: F.when(
+            n.rlike("^-?[0-9.]+E"), py_number(F.lit("DOUBLE"), n)).otherwise(n)), "")
+        x = F.when(x.contains("E"), numbers).otherwise(x)
+        for word, shown in (("true", "True"), ("false", "False"), ("null", "None"), (",", ", "), (":", ": ")):
+            x = F.replace(x, F.lit(word), F.lit(shown))
+        return x
+
+    def quoted(x):
+        content = F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), x, F.lit('"'))), "$", "string")
+        return let(content, lambda s: F.when(s.startswith(WORD_MARK), special_text(s)).otherwise(py_quoted(s)))
+
+    return outside_strings(json_text, plain, quoted)
+
+
+def special_text(s: Column) -> Column:
+    """Python's text of a marked number word."""
+    word = F.substring(s, 2, 9)
+    return F.when(word == "NaN", F.lit("nan")).when(word == "Infinity", F.lit("inf")).otherwise(F.lit("-inf"))
+
+
+# Numbers as Python's float() reads them from a text (a Java suffix as in "0.5d" is none).
+NUMBER_TEXT = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+INFINITE_TEXT = "^(?i)[+-]?(inf|infinity|nan)$"
+
+
+def py_float(v: Column) -> Column:
+    """``float(v)`` of a variant; null where Python raises an error."""
+    s = py_strip(F.try_variant_get(v, "$", "string"))
+    word = F.lower(F.regexp_replace(s, f"^{WORD_MARK}", ""))
+    special = (F.when(word.endswith("nan"), F.lit(float("nan"))).when(word.startswith("-"), F.lit(float("-inf")))
+               .otherwise(F.lit(float("inf"))))
+    number = F.try_variant_get(v, "$", "double")
+    return F.when(json_kind(v) != "STRING", number).when(word.rlike(INFINITE_TEXT), special).when(s.rlike(NUMBER_TEXT), number)
+
+
+def py_str(v: Column, default: Column | str | None, nested: Column | None = None) -> Column:
     """``str(d.get(key, default))`` for a variant field ``v``.
 
     Absent -> default; JSON null -> ``None``; booleans -> ``True``/``False``;
-    strings as they are; numbers as Python prints them; other values as their
-    JSON text.
+    strings as they are; numbers as Python prints them; lists and objects as
+    Python prints them, from ``nested``, their JSON text in the order of the
+    reply (a variant sorts its keys; without ``nested`` they come sorted).
     """
-    kind = json_kind(v)
-    as_text = F.try_variant_get(v, "$", "string")
-    res = (F.when(v.isNull(), F.lit(default))
-           .when(kind == "VOID", F.lit("None"))
-           .when(kind == "BOOLEAN",
-                 F.when(as_text == "true", F.lit("True")).otherwise(F.lit("False")))
-           .when(kind.isin("OBJECT", "ARRAY"), F.to_json(v))
-           .when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), py_number(kind, as_text))
-           .otherwise(as_text))
-    return res
+    text_of = F.to_json(v) if nested is None else F.coalesce(nested, F.to_json(v))
+    return let(F.struct(json_kind(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("s")), lambda x: (
+        F.when(x["kind"].isNull(), default if isinstance(default, Column) else F.lit(default))
+        .when(x["kind"] == "STRING", F.when(x["s"].startswith(WORD_MARK), special_text(x["s"])).otherwise(x["s"]))
+        .when(x["kind"] == "VOID", F.lit("None"))
+        .when(x["kind"] == "BOOLEAN", F.when(x["s"] == "true", F.lit("True")).otherwise(F.lit("False")))
+        .when(x["kind"].isin("OBJECT", "ARRAY"), py_repr(text_of))
+        .when(x["kind"].isin("DECIMAL", "DOUBLE", "FLOAT"), py_number(x["kind"], x["s"]))
+        .otherwise(x["s"])))
 
 
 def first_lines(c, n: int) -> Column:

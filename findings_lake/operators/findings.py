@@ -58,6 +58,94 @@ def rank_within_function(findings: DataFrame, min_severity: str = sev.DEFAULT_MI
             .withColumn("rank_pos", (F.row_number().over(w) - 1).cast("int")))
 
 
+def report_rows(checked: DataFrame, min_severity: str = sev.DEFAULT_MIN_SEVERITY) -> DataFrame:
+    """V2 + V3 in the row: ``replies.checked_replies`` -> one row per function
+    with ``findings``, its report list in order (``finding_pos`` kept). No
+    finding is exploded or collected, so nothing is shuffled."""
+    kept = F.filter("checked", lambda x: x["quarantine_reason"].isNull() & sev.at_least(x["severity"], min_severity))
+    keyed = F.array_sort(F.transform(kept, lambda x: F.struct(
+        (-sev.rank(x["severity"])).alias("k"), *[x[c].alias(c) for c in ("finding_pos", *FINDING_FIELDS)])))
+    status = ["error"] if "error" in checked.columns else []
+    return checked.select(*FN_KEY, *status, F.transform(
+        keyed, lambda x: F.struct(*[x[c].alias(c) for c in ("finding_pos", *FINDING_FIELDS)])).alias("findings"))
+
+
+def _of_level(findings, level: str):
+    return F.filter(findings, lambda x: x["severity"] == F.lit(level))
+
+
+def nest_reports(functions: DataFrame, reports: DataFrame) -> DataFrame:
+    """A9 from ``report_rows``: one join by function, nothing collected.
+    Functions without a reply get an empty list; the ``error`` of
+    ``functions``, or else of ``reports``, is kept."""
+    cols = ["file", "fn_ord", F.col("name").alias("function"),
+            F.col("lineno").alias("line_start"), F.col("end_lineno").alias("line_end")]
+    own = ["error"] if "error" in functions.columns else []
+    status = ["error"] if "error" in reports.columns and not own else []
+    lists = reports.select(*FN_KEY, *status, F.transform(
+        "findings", lambda x: F.struct(*[x[c].alias(c) for c in FINDING_FIELDS])).alias("findings"))
+    empty = F.array().cast(lists.schema["findings"].dataType)
+    rows = functions.select(*cols, *own).join(lists, FN_KEY, "left").withColumn("findings", F.coalesce("findings", empty))
+    return rows.select(*FN_KEY, "function", "line_start", "line_end", *own, *status, "findings")
+
+
+def counts_by_level(reports: DataFrame) -> DataFrame:
+    """Findings of every level and in all, counted over each row's list."""
+    return reports.select(*FN_KEY, F.size("findings").cast("long").alias("n_findings"),
+                          *[F.size(_of_level("findings", s)).cast("long").alias(s) for s in sev.SEVERITY_LEVELS])
+
+
+def severity_counts_full_of(files: DataFrame, reports: DataFrame) -> DataFrame:
+    """A2 from ``report_rows``: all five levels per file, zero-filled."""
+    counts = counts_by_level(reports).groupBy("file").agg(*[F.sum(s).alias(s) for s in sev.SEVERITY_LEVELS])
+    return files.select("file").join(counts, "file", "left").fillna(0, subset=sev.SEVERITY_LEVELS)
+
+
+def scan_totals_of(functions: DataFrame, reports: DataFrame) -> DataFrame:
+    """A4 + A5 + C5 from ``report_rows`` (see ``scan_totals``)."""
+    status = ["error"] if "error" in reports.columns and "error" not in functions.columns else []
+    rows = reports.select(*FN_KEY, *status, F.size("findings").cast("long").alias("n"), sum(
+        F.size(_of_level("findings", s)).cast("long") for s in ("CRITICAL", "HIGH")).alias("n_priority"))
+    if status:
+        functions = functions.select(*FN_KEY).join(rows.select(*FN_KEY, "error", "n", "n_priority"), FN_KEY, "left")
+        return _file_totals(functions.withColumn("_err", F.col("error").isNotNull()))
+    return _totals(functions, rows)
+
+
+def function_severity_text_of(functions: DataFrame, reports: DataFrame) -> DataFrame:
+    """A6 + A7 from ``report_rows`` (see ``function_severity_text``)."""
+    text = sev.severity_map_text({s: F.col(s) for s in sev.SEVERITY_LEVELS})
+    top = F.get(F.col("findings"), 0)["severity"]
+    counts = reports.select("*", *[F.size(_of_level("findings", s)).cast("long").alias(s) for s in sev.SEVERITY_LEVELS])
+    per_fn = counts.select(*FN_KEY, F.size("findings").cast("long").alias("n"), text.alias("t"), top.alias("top_severity"))
+    return functions.select(*FN_KEY).join(per_fn, FN_KEY, "left").select(
+        *FN_KEY, F.coalesce("n", F.lit(0)).cast("long").alias("n_findings"),
+        F.when(F.col("n") > 0, F.col("t")).otherwise(F.lit("clean")).alias("severity_text"), "top_severity")
+
+
+def analyze_result_of(functions: DataFrame, reports: DataFrame) -> DataFrame:
+    """A11 from ``report_rows`` (see ``analyze_result``): one aggregation by
+    file over fixed-width values, a count and a first place per level."""
+    # A level's first finding in a row is its least finding_pos: one rank, stable order.
+    place = F.col("fn_ord").cast("long") * F.lit(1 << 32)
+    rows = reports.select("*", *[_of_level("findings", s).alias(s) for s in sev.SEVERITY_LEVELS])
+    rows = rows.select("file", F.size("findings").alias("n"), *[F.struct(
+        F.size(s).alias("n"), (place + F.get(F.col(s), 0)["finding_pos"].cast("long")).alias("at")).alias(s) for s in sev.SEVERITY_LEVELS])
+    per_file = rows.groupBy("file").agg(
+        F.sum("n").alias("total_findings"), F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(f"{s}.n").alias(f"n_{s}") for s in sev.SEVERITY_LEVELS],
+        *[F.min(f"{s}.at").alias(f"at_{s}") for s in sev.SEVERITY_LEVELS])
+    # Order of first appearance: function, then rank (all of a function's levels differ in rank).
+    levels = F.array(*[F.struct(F.shiftright(f"at_{s}", 32).alias("fn_ord"), F.lit(-sev.SEVERITY_RANK[s]).alias("neg_rank"),
+                                F.concat(F.lit(s + "="), F.col(f"n_{s}").cast("string")).alias("t")) for s in sev.SEVERITY_LEVELS])
+    seen = F.array_sort(F.filter(levels, lambda x: x["fn_ord"].isNotNull()))
+    summary = F.array_join(F.transform(seen, lambda x: x["t"]), ", ")
+    scanned = functions.groupBy("file").agg(F.count(F.lit(1)).alias("functions_scanned"))
+    return (scanned.join(per_file, "file", "left")
+            .select("file", F.lit("ok").alias("status"), F.coalesce(summary, F.lit("")).alias("summary"),
+                    F.coalesce("total_findings", F.lit(0)).cast("long").alias("total_findings"), "functions_scanned"))
+
+
 def nest_findings(functions: DataFrame, ranked: DataFrame) -> DataFrame:
     """One row per function with its ordered ``findings`` array.
 
@@ -105,8 +193,15 @@ def scan_totals(functions: DataFrame, ranked: DataFrame) -> DataFrame:
     per_fn = ranked.groupBy(*FN_KEY).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("n_priority"))
+    return _totals(functions, per_fn)
+
+
+def _totals(functions: DataFrame, per_fn: DataFrame) -> DataFrame:
     err = F.col("error").isNotNull() if "error" in functions.columns else F.lit(False)
-    j = functions.select(*FN_KEY, err.alias("_err")).join(per_fn, FN_KEY, "left")
+    return _file_totals(functions.select(*FN_KEY, err.alias("_err")).join(per_fn, FN_KEY, "left"))
+
+
+def _file_totals(j: DataFrame) -> DataFrame:
     return j.groupBy("file").agg(
         F.count(F.lit(1)).alias("total_functions"),
         F.count_if(F.col("n") > 0).alias("functions_with_findings"),

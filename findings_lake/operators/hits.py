@@ -52,11 +52,8 @@ def parse_files(files: DataFrame, match_codes: str = DEFAULT_MATCH_CODES) -> Dat
     """
     codes = [float(c) for c in match_code_set(match_codes)]
     # Typed read: only single results are variants, so a file has no size cap
-    # of its own. Read as the only element of a list, a text with anything
-    # behind its object is no object.
-    one = F.from_json(F.concat(F.lit("["), F.col("text"), F.lit("]")), f"array<struct<{DOC_FIELDS}>>")
-    df = files.select("file", "text", one.alias("_one"))
-    df = df.withColumn("_doc", F.when(F.size("_one") == 1, F.get("_one", 0)))
+    # of its own; a text with anything behind its object is no object.
+    df = files.select("file", "text", text.one_typed_object(F.col("text"), DOC_FIELDS).alias("_doc"))
     df = df.withColumn("_res", F.col("_doc.results"))
     # No list under results: absent (an empty list), or something else
     keyed = F.array_contains(F.json_object_keys("text"), "results")

@@ -18,6 +18,7 @@ from ..functions import severity as sev
 from ..functions import text
 from . import retrieve as R
 from .replies import one_reply
+from .skew import salted_join
 
 # Placeholder used while lifting fixed_code, and the error
 # text of an unparseable reply.
@@ -51,9 +52,13 @@ def attach_source(cands: DataFrame, functions: DataFrame,
     that brings its own non-empty ``source`` keeps it. With a
     ``file_status`` table (``file, parse_ok``), a target that no longer
     parses gets the ``# source unavailable for <name>`` comment."""
-    by_name = functions.groupBy("file", F.col("name").alias("function")).agg(
-        F.min_by("source", "fn_ord").alias("fn_source"),
-        (F.count(F.lit(1)) > 1).alias("name_ambiguous"))
+    # The least position by fixed-width buffers; the text follows in one join on the
+    # same keys (nothing lies below the least position, so "<=" picks exactly it).
+    named = functions.select("file", F.col("name").alias("function"), "fn_ord", F.col("source").alias("fn_source"))
+    first = named.groupBy("file", "function").agg(F.min("fn_ord").alias("_first"), (F.count(F.lit(1)) > 1).alias("name_ambiguous"))
+    texts = named.withColumnsRenamed({"file": "_file", "function": "_function", "fn_ord": "_ord"})
+    by_name = first.join(texts, (F.col("file") == F.col("_file")) & (F.col("function") == F.col("_function"))
+                         & (F.col("_ord") <= F.col("_first"))).drop("_file", "_function", "_ord", "_first")
     out = cands.join(by_name, ["file", "function"], "left")
     if "source" in cands.columns:
         out = out.withColumn("fn_source", F.coalesce(F.when(F.col("source") != "", F.col("source")), "fn_source"))
@@ -75,16 +80,32 @@ def query_text(cands: DataFrame) -> DataFrame:
         F.lit(" mitigation fix secure code. "), F.coalesce("evidence", F.lit(""))))
 
 
+def content_id(c) -> "F.Column":
+    """128 bits of a text's content as 32 hex digits: the key that stands for
+    a text in joins and groups."""
+    half = lambda *x: F.lpad(F.hex(F.xxhash64(*x)), 16, "0")
+    return F.concat(half(F.col(c)), half(F.lit("second half"), F.col(c)))
+
+
 def contexts(query_texts: DataFrame, query_vectors: DataFrame, kb: DataFrame,
              top_k: int = R.DEFAULT_TOP_K) -> DataFrame:
-    """Context per distinct query text; the retrieval severity floor
-    is always the default LOW (not the mitigation threshold)."""
-    qs = (query_texts.select("query_text").distinct()
-          .join(query_vectors.select("query_text", "embedding"), "query_text")
-          .select(F.col("query_text").alias("query_id"), "embedding"))
-    ctx = R.retrieve_context(R.normalise_vectors(qs), kb, top_k=top_k,
-                             min_severity=sev.DEFAULT_MIN_SEVERITY)
-    return ctx.withColumnRenamed("query_id", "query_text")
+    """``query_id, context`` per distinct query text (``query_id`` is its
+    ``content_id``; texts themselves are neither grouped nor joined). The
+    retrieval severity floor is always the default LOW (not the mitigation
+    threshold)."""
+    asked = query_texts.select(content_id("query_text").alias("query_id")).distinct()
+    vectors = query_vectors.select(content_id("query_text").alias("query_id"), "embedding")
+    qs = asked.join(vectors, "query_id")
+    return R.retrieve_context(R.normalise_vectors(qs), kb, top_k=top_k,
+                              min_severity=sev.DEFAULT_MIN_SEVERITY)
+
+
+def with_contexts(cands: DataFrame, ctx: DataFrame) -> DataFrame:
+    """Candidates with the ``context`` of their query text (null if none), by
+    content id; a text that many findings share is spread over several copies
+    of its dictionary row."""
+    keyed = cands.withColumn("query_id", content_id("query_text"))
+    return salted_join(keyed, ctx, "query_id", ["file", "fn_ord", "finding_pos"]).drop("query_id")
 
 
 def request_id() -> "F.Column":

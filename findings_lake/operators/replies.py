@@ -16,8 +16,6 @@ from ..functions import rounding, severity, text
 # Field defaults of a validated finding.
 DEFAULT_CWE_ID = "CWE-Unknown"
 DEFAULT_CONFIDENCE = 0.5
-# Decimal numbers as Python's float() reads them (a Java suffix as in "0.5d" is none).
-NUMBER_TEXT = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 TEXT_FIELDS = ["cwe_name", "line_hint", "description", "evidence", "solution"]
 
 
@@ -28,17 +26,18 @@ def strip_reply(replies: DataFrame) -> DataFrame:
 
 
 def parse_reply_arrays(replies: DataFrame) -> DataFrame:
-    """Add ``elements array<variant>`` and ``parse_status``.
+    """Add ``elements array<variant>``, ``parse_status`` and
+    ``array_text``, the text that was read.
 
     direct   - the whole text is one JSON list
     fallback - the greedy ``[...]`` span is one JSON list
     none     - nothing parseable (elements = [], no error, as in the reference)
     no_reply - the model call failed (``error`` set)
     """
-    df = strip_reply(replies)
-    df = df.withColumn("_direct", text.parse_json_array("text"))
-    df = df.withColumn("_fb", F.when(F.col("_direct").isNull(),
-                                     text.parse_json_array(text.fallback_array_text("text"))))
+    df = strip_reply(replies).withColumn("_t", text.number_words(F.col("text")))
+    df = df.withColumn("_direct", text.parse_json_array("_t"))
+    df = df.withColumn("_t2", F.when(F.col("_direct").isNull(), text.number_words(text.fallback_array_text("text"))))
+    df = df.withColumn("_fb", text.parse_json_array("_t2"))
     status = (F.when(F.col("raw").isNull() | F.col("error").isNotNull(), F.lit("no_reply"))
               .when(F.col("_direct").isNotNull(), F.lit("direct"))
               .when(F.col("_fb").isNotNull(), F.lit("fallback"))
@@ -48,85 +47,100 @@ def parse_reply_arrays(replies: DataFrame) -> DataFrame:
     return (df.withColumn("parse_status", status)
             .withColumn("elements", F.when(F.col("parse_status") == "no_reply",
                                            F.array().cast("array<variant>")).otherwise(elements))
-            .drop("_direct", "_fb"))
+            .withColumn("array_text", F.coalesce("_t2", "_t"))
+            .drop("_t", "_t2", "_direct", "_fb"))
 
 
 def object_elements(parsed: DataFrame) -> DataFrame:
     """One row per element that is a JSON object; ``finding_pos`` is the
     element's position in the reply (stable sort key)."""
-    keep = [c for c in parsed.columns if c not in ("elements", "raw", "text")]
+    keep = [c for c in parsed.columns if c not in ("elements", "raw", "text", "array_text")]
     # The outer form keeps Spark from inferring a ``size(elements) > 0``
     # filter, which would be pushed below the projection and evaluate the
     # whole parse twice; empty replies drop out on the kind test below.
     return (parsed.select(*keep, F.posexplode_outer("elements").alias("finding_pos", "e"))
-            .where(text.json_kind(F.col("e")) == F.lit("OBJECT"))
+            .where(text.is_object(F.col("e")))
             .withColumn("finding_pos", F.col("finding_pos").cast("int")))
 
 
-def _field(name: str) -> Column:
-    """A member of the finding object as a variant (SQL NULL when absent,
-    variant null when the reply says ``null``)."""
-    return F.variant_get(F.col("e"), f"$.{name}", "variant")
+def checked_elements(elements: Column, array_text: Column) -> Column:
+    """J5-J9 in the row: the objects of ``elements`` as normalised findings,
+    an array in reply order (``finding_pos`` is the place in the reply).
 
-
-def validate_elements(elements: DataFrame) -> DataFrame:
-    """Normalise one finding object per row.
-
-    Rows the reference would crash on (``confidence`` not a number, JSON
+    Findings the reference would crash on (``confidence`` not a number, JSON
     null, ``references`` null or not a list/string) get a
-    ``quarantine_reason`` instead; callers split on it.
-
-    Each member is extracted once into its own column first, so the
-    normalising expressions below reference columns, not re-parsed paths.
+    ``quarantine_reason``. Every step of the chain names its values, so the
+    next one reads fields instead of computing them again.
     """
-    keep = [c for c in elements.columns if c != "e"]
-    fields = ["cwe_id", *TEXT_FIELDS, "severity", "confidence", "references"]
-    step = elements.select(*keep, *[_field(f).alias(f"_v_{f}") for f in fields])
-
-    conf_v = F.col("_v_confidence")
-    conf_text = F.when(text.json_kind(conf_v) == "STRING", text.py_strip(F.try_variant_get(conf_v, "$", "string")))
-    conf_num = F.when(conf_text.isNull() | conf_text.rlike(NUMBER_TEXT), F.try_variant_get(conf_v, "$", "double"))
-    refs_v = F.col("_v_references")
-    refs_kind = text.json_kind(refs_v)
-    refs = (F.when(refs_v.isNull(), F.array().cast("array<string>"))
-            .when(refs_kind == "ARRAY",
-                  F.transform(refs_v.try_cast("array<variant>"),
-                              lambda x: text.py_str(x, None)))
-            .when(refs_kind == "STRING",
-                  F.array(F.try_variant_get(refs_v, "$", "string"))))
-    step = step.select(
-        *keep,
-        text.py_str(F.col("_v_cwe_id"), DEFAULT_CWE_ID).alias("cwe_id"),
-        *[text.py_str(F.col(f"_v_{f}"), "").alias(f) for f in TEXT_FIELDS],
-        text.py_str(F.col("_v_severity"), "LOW").alias("severity_text"),
-        F.when(conf_v.isNull(), F.lit(DEFAULT_CONFIDENCE)).otherwise(conf_num).alias("_conf"),
-        (conf_v.isNull() | conf_num.isNotNull()).alias("_conf_ok"),
-        refs.alias("references"))
-
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_conf")))
-    reason = (F.when(~F.col("_conf_ok"), F.lit("confidence is not a number"))
-              .when(F.col("references").isNull(), F.lit("references is not a list")))
-    return step.select(
-        *keep, "cwe_id", *TEXT_FIELDS, "severity_text",
-        severity.normalise(F.col("severity_text")).alias("severity"),
-        rounding.round2(clamped).alias("confidence"),
-        "references",
-        reason.alias("quarantine_reason"))
+    # Text fields in one list, so that one expression (small to plan) renders them all.
+    texts = {"cwe_id": DEFAULT_CWE_ID, **dict.fromkeys(TEXT_FIELDS, ""), "severity": "LOW"}
+    opened = F.filter(F.transform(elements, lambda e, i: F.struct(
+        i.cast("string").alias("i"), e.try_cast("map<string,variant>").alias("m"))), lambda x: x["m"].isNotNull())
+    picked = F.transform(opened, lambda x: F.struct(
+        x["i"].alias("i"),
+        F.array(*[F.struct(F.try_element_at(x["m"], F.lit(f)).alias("v"), F.lit(d).alias("d"), F.lit(f).alias("f")) for f, d in texts.items()]).alias("t"),
+        F.try_element_at(x["m"], F.lit("confidence")).alias("c"), F.try_element_at(x["m"], F.lit("references")).alias("r")))
+
+    def written(*path):
+        """A nested value as the reply wrote it (keys in order); read only where a value is nested."""
+        return F.call_function("get_json_object", array_text, F.concat(F.lit("$["), *path))
+
+    def references(x):
+        kind = text.json_kind(x["r"])
+        listed = F.transform(x["r"].try_cast("array<variant>"), lambda r, j: text.py_str(
+            r, None, written(x["i"], F.lit("].references["), j.cast("string"), F.lit("]"))))
+        alone = F.try_variant_get(x["r"], "$", "string")
+        return (F.when(x["r"].isNull(), F.array().cast("array<string>")).when(kind == "ARRAY", listed)
+                .when(kind == "STRING", F.array(F.when(alone.startswith(text.WORD_MARK), text.special_text(alone)).otherwise(alone))))
+
+    rendered = F.transform(picked, lambda x: F.struct(
+        x["i"].alias("i"),
+        F.transform(x["t"], lambda t: text.py_str(t["v"], t["d"], written(x["i"], F.lit("]."), t["f"]))).alias("t"),
+        F.when(x["c"].isNull(), F.lit(DEFAULT_CONFIDENCE)).otherwise(text.py_float(x["c"])).alias("c"),
+        references(x).alias("references")))
+    names = {f: k for k, f in enumerate(texts)}
+    named = F.transform(rendered, lambda x: F.struct(
+        x["i"].alias("i"), *[F.get(x["t"], names[f]).alias(f) for f in ("cwe_id", *TEXT_FIELDS)],
+        F.get(x["t"], names["severity"]).alias("severity_text"), x["c"].alias("c"), x["references"].alias("references")))
+    clamped = F.transform(named, lambda x: F.struct(
+        x["i"].alias("i"), x["cwe_id"].alias("cwe_id"), *[x[f].alias(f) for f in TEXT_FIELDS], x["severity_text"].alias("severity_text"),
+        x["c"].isNull().alias("bad"), F.when(x["c"].isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["c"]))).alias("c"), x["references"].alias("references")))
+    return F.transform(clamped, lambda x: F.struct(
+        x["i"].cast("int").alias("finding_pos"), x["cwe_id"].alias("cwe_id"), *[x[f].alias(f) for f in TEXT_FIELDS],
+        x["severity_text"].alias("severity_text"), severity.normalise(x["severity_text"]).alias("severity"),
+        rounding.round2(x["c"]).alias("confidence"), x["references"].alias("references"),
+        F.when(x["bad"], F.lit("confidence is not a number"))
+        .when(x["references"].isNull(), F.lit("references is not a list")).alias("quarantine_reason")))
+
+
+def checked_replies(replies: DataFrame) -> DataFrame:
+    """One row per reply with ``checked``, its findings in reply order
+    (quarantined ones included): parsed, normalised and kept in the row."""
+    parsed = parse_reply_arrays(replies)
+    keep = [c for c in parsed.columns if c not in ("elements", "raw", "text", "array_text")]
+    return parsed.select(*keep, checked_elements(F.col("elements"), F.col("array_text")).alias("checked"))
 
 
 def findings_from_replies(replies: DataFrame, keep_quarantine: bool = False) -> DataFrame:
-    """replies -> validated findings (quarantined rows dropped unless asked)."""
-    v = validate_elements(object_elements(parse_reply_arrays(replies)))
-    if keep_quarantine:
-        return v
-    return v.where(F.col("quarantine_reason").isNull())
+    """replies -> validated findings, one row each (quarantined rows dropped unless asked)."""
+    rows = checked_replies(replies)
+    keep = [c for c in rows.columns if c != "checked"]
+    # outer, as in ``object_elements``
+    rows = rows.select(*keep, F.explode_outer("checked").alias("f")).where("f is not null").select(*keep, "f.*")
+    return rows if keep_quarantine else rows.where(F.col("quarantine_reason").isNull())
 
 
 def one_reply(replies: DataFrame) -> DataFrame:
-    """One reply per request: of several, one without an error, then the
-    least text (a failed call has an error, whatever its text)."""
-    w = Window.partitionBy("request_id").orderBy(F.col("error").isNotNull(), F.asc_nulls_last("raw"), "error")
-    return replies.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One reply per request: of several, one without an error, then the one
+    of the least content hash (a failed call has an error, whatever its text).
+
+    Rows are ordered by a packed fixed-width key, never by their texts; the
+    limit is applied before the shuffle by request, which the join with the
+    requests uses again."""
+    content = F.shiftrightunsigned(F.xxhash64("raw", "error"), 2)
+    key = content + F.when(F.col("error").isNotNull(), F.lit(1 << 62)).otherwise(F.lit(0))
+    w = Window.partitionBy("request_id").orderBy("_key")
+    return replies.withColumn("_key", key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_key")
 
 
 def pair_replies(prompts: DataFrame, replies: DataFrame) -> DataFrame:

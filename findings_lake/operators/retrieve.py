@@ -4,14 +4,21 @@ Physical design
 ---------------
 Scoring is a dot product of every query with every chunk. The pairs are
 never materialised and the knowledge base never passes through the driver:
-chunks are packed into blocks of one source and at most ``BLOCK_ROWS`` rows,
+chunks are cut into blocks of one source and at most ``BLOCK_ROWS`` rows,
 queries into parts of about ``QUERY_ROWS``; every block meets every part in an
-equi-join on (block, part), where a task multiplies the two matrices (numpy,
-double accumulation) and keeps each query's top-n of the block. One
-window per (query, source) merges the lists. Block ids and the number of
+equi-join on (block, part). Inside such a cell the chunks are put into
+clusters of about ``CLUSTER_ROWS`` around a few centres, each with the radius
+that holds its rows, so ``query . centre + |query| * radius`` bounds every
+score of a cluster. A query scores its best-bounded cluster first and skips
+every cluster whose bound lies below its n-th score: the result is exact,
+and clusters that can't matter cost one number. One window per (query,
+source) merges the lists of the blocks. Block ids and the number of
 parts are scalar subqueries, so building a query starts no job, and there is
 one path whatever the sizes.
 
+Vectors that are null, empty or hold null or non-finite components take no
+part; a query meets the chunks of its own number of dimensions.
+
 Ordering rule (R7): score descending, ties -> higher chunk position first.
 Interleave (R8): i-th CWE then i-th CVE, stop at the shorter list, cut to
 ``top_k``.
@@ -31,7 +38,8 @@ DEFAULT_TOP_K = 6
 QUERY_PREFIX = "search_query: "
 BLOCK_ROWS = 8192            # chunks of one source in a block
 QUERY_ROWS = 4096            # queries in a part (about: parts are dealt by hash)
-MAX_SCORE_BYTES = 64 << 20   # score matrix of a slice of queries and a block
+CLUSTER_ROWS = 512           # chunks of a cluster (on average)
+MAX_SCORE_BYTES = 64 << 20   # score matrix of a slice of queries and a cluster
 
 TOPN_SCHEMA = "query_id string, source string, chunk_pos long, score double"
 
@@ -104,83 +112,155 @@ def _top_cols(sub: np.ndarray, k: int) -> np.ndarray:
     return top
 
 
-def _matrix(column) -> np.ndarray:
-    """Rows of an Arrow list column as float64 (all of one length)."""
-    column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
-def _pack(table):
-    """A block's rows -> one row with positions (descending) and the matrix."""
-    import pyarrow as pa
-
-    pos = table["chunk_pos"].to_numpy()
-    order = np.argsort(-pos, kind="stable")  # the tie rule is then "first column wins"
-    mat = _matrix(table["embedding"])[order]
-    return pa.table({"block": table["block"].slice(0, 1), "source": table["source"].slice(0, 1),
-                     "pos": pa.array([pos[order].astype("<i8").tobytes()], pa.binary()),
-                     "mat": pa.array([mat.astype("<f8").tobytes()], pa.binary())})
-
-
-def _score(n: int):
-    def run(queries, blocks):
+def _matrices(column):
+    """``(rows, values)`` for every number of dimensions in an Arrow list
+    column: float64 matrices of the vectors that are whole and finite."""
+    import pyarrow.compute as pc
+
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == d)
+        flat = column.take(rows).flatten().to_numpy(zero_copy_only=False)  # a null becomes NaN
+        values = flat.astype(np.float64).reshape(len(rows), int(d))
+        good = np.isfinite(values).all(axis=1)
+        if good.any():
+            yield rows[good], values[good]
+
+
+def clusters(pos: np.ndarray, mat: np.ndarray, rows: int = CLUSTER_ROWS):
+    """Clusters of a block's chunks: ``(centre, radius, pos, mat)`` each, rows
+    by descending position. Centres start at rows picked by a hash of their
+    position and are moved to their cluster's mean twice."""
+    k = max(1, len(pos) // rows)
+    seed = np.argsort((pos.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:k]
+    centre = mat[seed]
+    for _ in range(3 if k > 1 else 1):
+        own = (mat @ centre.T - (centre ** 2).sum(axis=1) / 2).argmax(axis=1)
+        present = np.unique(own)
+        centre = np.stack([mat[own == c].mean(axis=0) for c in present])
+        own = np.searchsorted(present, own)
+    out = []
+    for c in range(len(centre)):
+        mine = np.flatnonzero(own == c)
+        mine = mine[np.argsort(-pos[mine], kind="stable")]  # the tie rule is then "first column wins"
+        radius = np.sqrt(((mat[mine] - centre[c]) ** 2).sum(axis=1).max())
+        out.append((centre[c], radius, pos[mine], mat[mine]))
+    return out
+
+
+def pruned_top(vec: np.ndarray, parts, n: int):
+    """``(pos, scores, skipped)``: each query's best ``n`` chunks over the
+    clusters ``parts`` (fewer are filled with ``-inf``), and how many
+    (query, cluster) cells were skipped by their bound."""
+    norm = np.sqrt((vec ** 2).sum(axis=1))
+    centres, radii = np.stack([c for c, _, _, _ in parts]), np.array([r for _, r, _, _ in parts])
+    size = norm[:, None] * (np.sqrt((centres ** 2).sum(axis=1)) + radii)
+    bound = vec @ centres.T + norm[:, None] * radii + 1e-9 * size  # more than rounding can take away
+    scores, found = np.full((len(vec), n), -np.inf), np.full((len(vec), n), -1, dtype=np.int64)
+    skipped = 0
+
+    def visit(c: int, who: np.ndarray):
+        _, _, pos, mat = parts[c]
+        k = min(n, len(pos))
+        step = max(1, MAX_SCORE_BYTES // (len(pos) * 8))
+        for lo in range(0, len(who), step):
+            some = who[lo:lo + step]
+            got = vec[some] @ mat.T
+            top = _top_cols(got, k)
+            values = np.concatenate([scores[some], np.take_along_axis(got, top, 1)], axis=1)
+            places = np.concatenate([found[some], pos[top]], axis=1)
+            best = np.lexsort((-places, -values), axis=-1)[:, :n]
+            scores[some], found[some] = np.take_along_axis(values, best, 1), np.take_along_axis(places, best, 1)
+
+    first = bound.argmax(axis=1)
+    for c in np.unique(first):
+        visit(c, np.flatnonzero(first == c))
+    for c in np.argsort(-bound.max(axis=0), kind="stable"):
+        other = first != c
+        open_ = other & (bound[:, c] >= scores[:, -1])  # an equal score may still win by position
+        skipped += int(other.sum() - open_.sum())
+        if open_.any():
+            visit(c, np.flatnonzero(open_))
+    return found, scores, skipped
+
+
+def _score(n: int, cluster_rows: int, profile: bool = False):
+    def run(queries, chunks):
         import pyarrow as pa
 
+        out = [pa.table({"query_id": pa.array([], pa.string()), "source": pa.array([], pa.string()),
+                         "chunk_pos": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        asked = {m.shape[1]: (rows, m) for rows, m in _matrices(queries["embedding"])}
         ids = np.array(queries["query_id"].to_pylist(), dtype=object)
-        vec = _matrix(queries["embedding"]) if len(ids) else np.zeros((0, 0))
-        # One result per query id: of several vectors the smallest, component by component.
-        order = np.lexsort((*vec.T[::-1], ids.astype(str))) if len(ids) else np.zeros(0, dtype=np.int64)
-        ids, vec = ids[order], vec[order]
-        first = np.array([k == 0 or ids[k] != ids[k - 1] for k in range(len(ids))], dtype=bool)
-        ids, vec = ids[first], vec[first]
-        out = []
-        for source, pos, mat in zip(*(blocks[c].to_pylist() for c in ("source", "pos", "mat"))):
-            pos = np.frombuffer(pos, "<i8")
-            mat = np.frombuffer(mat, "<f8").reshape(len(pos), -1)
-            k = min(n, len(pos))
-            step = max(1, MAX_SCORE_BYTES // (len(pos) * 8))
-            for lo in range(0, len(ids), step):
-                scores = vec[lo:lo + step] @ mat.T
-                top = _top_cols(scores, k)
-                out.append(pa.table({
-                    "query_id": pa.array(np.repeat(ids[lo:lo + step], k), pa.string()),
-                    "source": pa.array([source] * top.size, pa.string()), "chunk_pos": pos[top.ravel()],
-                    "score": np.take_along_axis(scores, top, 1).ravel()}))
-        empty = {"query_id": pa.array([], pa.string()), "source": pa.array([], pa.string()),
-                 "chunk_pos": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-        return pa.concat_tables(out) if out else pa.table(empty)
+        source = chunks["source"][0].as_py() if len(chunks) else None
+        all_pos = chunks["chunk_pos"].to_numpy()
+        for rows, mat in _matrices(chunks["embedding"]):
+            if mat.shape[1] not in asked:
+                continue
+            own, vec = asked[mat.shape[1]]
+            own = ids[own]
+            if len(set(own)) < len(own):  # of several vectors of one id the smallest, component by component
+                order = np.lexsort((*vec.T[::-1], own.astype(str)))
+                own, vec = own[order], vec[order]
+                once = np.append(True, own[1:] != own[:-1])
+                own, vec = own[once], vec[once]
+            parts = clusters(all_pos[rows], mat, cluster_rows)
+            pos, scores, skipped = pruned_top(vec, parts, n)
+            if profile:
+                out.append(pa.table({"query_id": ["cells", "skipped"], "source": [source] * 2,
+                                     "chunk_pos": [len(own) * len(parts), skipped], "score": [0.0, 0.0]}))
+                continue
+            real = pos.ravel() >= 0
+            out.append(pa.table({
+                "query_id": pa.array(np.repeat(own, n)[real], pa.string()),
+                "source": pa.array([source] * int(real.sum()), pa.string()),
+                "chunk_pos": pos.ravel()[real], "score": scores.ravel()[real]}))
+        return pa.concat_tables(out)
 
     return run
 
 
+def _cells(queries: DataFrame, kb: DataFrame, min_severity: str, block_rows: int, query_rows: int):
+    """Queries and chunks, both grouped by the (block, part) they meet in."""
+    block = 2 * F.floor(F.col("chunk_pos") / block_rows) + F.when(F.col("source") == "CVE", 1).otherwise(0)
+    chunks = eligible_chunks(kb, min_severity).select(
+        "source", F.col("chunk_pos").cast("long").alias("chunk_pos"), "embedding", block.cast("long").alias("block"))
+    blocks = chunks.select(F.collect_set("block")).scalar()
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+    parts = q.select(F.greatest(F.ceil(F.count(F.lit(1)) / query_rows), F.lit(1)).cast("int")).scalar()
+    held = (chunks.withColumn("parts", F.sequence(F.lit(0), parts - 1)).withColumn("part", F.explode("parts")).drop("parts"))
+    asked = (q.withColumn("part", F.pmod(F.xxhash64("query_id"), parts).cast("int"))
+             .withColumn("blocks", blocks).withColumn("block", F.explode("blocks")).drop("blocks"))
+    return asked.groupBy("block", "part").cogroup(held.groupBy("block", "part"))
+
+
 def top_n_per_source(queries: DataFrame, kb: DataFrame, top_k: int = DEFAULT_TOP_K,
-                     min_severity: str = sev.DEFAULT_MIN_SEVERITY,
-                     block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+                     min_severity: str = sev.DEFAULT_MIN_SEVERITY, block_rows: int = BLOCK_ROWS,
+                     query_rows: int = QUERY_ROWS, cluster_rows: int = CLUSTER_ROWS) -> DataFrame:
     """``(query_id, source, rn, chunk_pos, score)``, rn <= n per source.
 
     ``queries``: ``query_id, embedding`` (already normalised, R4); one result
     per ``query_id``. ``kb`` rows are told apart by ``(source, chunk_pos)``.
     """
     n = per_source_n(top_k)
-    block = 2 * F.floor(F.col("chunk_pos") / block_rows) + F.when(F.col("source") == "CVE", 1).otherwise(0)
-    chunks = eligible_chunks(kb, min_severity).select(
-        "source", "chunk_pos", F.col("embedding").cast("array<double>").alias("embedding"),
-        block.cast("long").alias("block"))
-    blocks = chunks.select(F.collect_set("block")).scalar()
-    q = queries.select(F.col("query_id").cast("string").alias("query_id"),
-                       F.col("embedding").cast("array<double>").alias("embedding"))
-    parts = q.select(F.greatest(F.ceil(F.count(F.lit(1)) / query_rows), F.lit(1)).cast("int")).scalar()
-    packed = (chunks.groupBy("block").applyInArrow(_pack, "block long, source string, pos binary, mat binary")
-              .withColumn("parts", F.sequence(F.lit(0), parts - 1)).withColumn("part", F.explode("parts")).drop("parts"))
-    asked = (q.withColumn("part", F.pmod(F.xxhash64("query_id"), parts).cast("int"))
-             .withColumn("blocks", blocks).withColumn("block", F.explode("blocks")).drop("blocks"))
-    found = (asked.groupBy("block", "part").cogroup(packed.groupBy("block", "part"))
-             .applyInArrow(_score(n), TOPN_SCHEMA))
+    found = _cells(queries, kb, min_severity, block_rows, query_rows).applyInArrow(_score(n, cluster_rows), TOPN_SCHEMA)
     w = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), F.desc("chunk_pos"))
     return (found.withColumn("rn", F.row_number().over(w).cast("int")).where(F.col("rn") <= n)
             .select("query_id", "source", "rn", "chunk_pos", "score"))
 
 
+def pruning_profile(queries: DataFrame, kb: DataFrame, top_k: int = DEFAULT_TOP_K,
+                    min_severity: str = sev.DEFAULT_MIN_SEVERITY, block_rows: int = BLOCK_ROWS,
+                    query_rows: int = QUERY_ROWS, cluster_rows: int = CLUSTER_ROWS) -> DataFrame:
+    """Per source, how many (query, cluster) cells ``top_n_per_source`` meets
+    and how many of them it skips by their bound."""
+    found = _cells(queries, kb, min_severity, block_rows, query_rows).applyInArrow(
+        _score(per_source_n(top_k), cluster_rows, profile=True), TOPN_SCHEMA)
+    of = lambda what: F.sum(F.when(F.col("query_id") == what, F.col("chunk_pos")).otherwise(0))
+    return found.groupBy("source").agg(of("cells").alias("n_cells"), of("skipped").alias("n_skipped"))
+
+
 def interleave(topn: DataFrame, top_k: int = DEFAULT_TOP_K) -> DataFrame:
     """``pos`` 0.. = CWE1, CVE1, CWE2, CVE2, ...; stop at the shorter
     list; keep ``pos < top_k``. A query without any CVE gets nothing."""

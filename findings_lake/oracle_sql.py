@@ -215,6 +215,46 @@ SELECT file || '#' || CAST(fn_ord AS VARCHAR) AS request_id, file, fn_ord,
        CASE WHEN failed THEN 'timeout after 120s' END AS error
 FROM fnames""")
 
+    # What Python's json and str give for the members in ``B.ODD_MEMBERS``.
+    q["reply_odd_values"] = r"""
+WITH ev AS (SELECT event_id, event_id % 12 AS m, json_extract_string(props, '$.k') AS k FROM events)
+SELECT 'odd#' || CAST(event_id // 6 AS VARCHAR) AS request_id, CAST(event_id % 6 AS INTEGER) AS finding_pos,
+       CASE WHEN m = 10 THEN 'None' ELSE 'CWE-Unknown' END AS cwe_id, 'event ' || CAST(event_id AS VARCHAR) AS cwe_name,
+       CASE WHEN m = 1 THEN 'CRITICAL' ELSE 'LOW' END AS severity,
+       CAST(CASE WHEN m IN (0, 1, 9) THEN 1.0 WHEN m = 2 THEN 0.0 WHEN m = 3 THEN 0.35 WHEN m IN (4, 5) THEN NULL
+                 WHEN m = 11 THEN 0.1 ELSE 0.5 END AS DOUBLE) AS confidence,
+       CASE WHEN m = 3 THEN '1e-07' ELSE '' END AS line_hint,
+       CASE WHEN m = 10 THEN 'said "NaN, Infinity" \ in C:\tmpé [' || k || ']' ELSE '' END AS description,
+       CASE WHEN m = 8 THEN '{''line'': ' || k || ', ''code'': ''x = "é" + \''q\'''', ''ok'': True, ''none'': None, ''f'': 0.5}'
+            ELSE '' END AS evidence,
+       CASE WHEN m = 9 THEN '[''a'', ' || k || ', 2.5, False, {''z'': "it''s", ''a'': [], ''n'': nan}]' ELSE '' END AS solution,
+       CASE WHEN m = 6 THEN 'CVE-' || k WHEN m = 7 THEN NULL
+            WHEN m = 11 THEN 'R-' || k || '|1.0|None|{''b'': 1, ''a'': ''\t''}' ELSE '' END AS references_text,
+       CASE WHEN m IN (4, 5) THEN 'confidence is not a number' WHEN m = 7 THEN 'references is not a list' END AS quarantine_reason
+FROM ev"""
+
+    q["report_run"] = with_findings("""
+SELECT 'vuln_scanner' AS tool, '1.0.0' AS version, 'llama3' AS model,
+       (SELECT count(*) FROM fnames) AS total_functions,
+       (SELECT count(*) FROM (SELECT DISTINCT file, fn_ord FROM ranked)) AS functions_with_findings,
+       count(*) AS total_findings,
+       count(*) FILTER (WHERE severity = 'CRITICAL') AS CRITICAL, count(*) FILTER (WHERE severity = 'HIGH') AS HIGH,
+       count(*) FILTER (WHERE severity = 'MEDIUM') AS MEDIUM, count(*) FILTER (WHERE severity = 'LOW') AS LOW,
+       count(*) FILTER (WHERE severity = 'INFO') AS INFO,
+       (SELECT count(DISTINCT file) FROM fnames) AS n_reports
+FROM ranked""")
+
+    q["report_requests"] = with_findings("""
+SELECT t.path, CASE WHEN good THEN t.path END AS target,
+       CAST(CASE WHEN good THEN n_functions ELSE 0 END AS BIGINT) AS n_results,
+       CAST(CASE WHEN good THEN coalesce(n_findings, 0) ELSE 0 END AS BIGINT) AS n_findings,
+       CASE WHEN missing THEN 'Report not found at ' || t.path || '. Run analyze_code first.'
+            WHEN NOT good THEN 'report is not one JSON object' END AS error
+FROM (SELECT *, i % 7 = 3 AS missing, i % 7 <> 3 AND i % 5 NOT IN (1, 2) AS good
+      FROM (SELECT file AS path, count(*) AS n_functions,
+                   CAST(regexp_extract(file, 'app_([0-9]+)', 1) AS BIGINT) AS i FROM fnames GROUP BY file)) t
+LEFT JOIN (SELECT file, count(*) AS n_findings FROM ranked GROUP BY file) r ON r.file = t.path""")
+
     _retrieval(q)
     _plan(q)
     _hits(q)
@@ -280,6 +320,8 @@ SELECT source, chunk_pos, chunk_id, cve_id, cwe_id, cvss_severity, cvss_score, c
     q["kb_attach_embeddings"] = w + """
 SELECT source, chunk_pos, CAST(len(emb) AS INTEGER) AS dim, round(list_sum(emb), 4) AS component_sum
 FROM kb"""
+    q["kb_from_rows"] = w + """
+SELECT source, chunk_pos, chunk_id, cve_id, chunk_text, round(list_sum(emb), 4) AS component_sum FROM kb"""
     q["kb_profile"] = w + """
 SELECT source, count(*) AS n_chunks, CAST(max(len(emb)) AS INTEGER) AS embed_dim,
        'nomic-ai/nomic-embed-text-v2-moe' AS embed_model

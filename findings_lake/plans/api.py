@@ -117,7 +117,7 @@ def mitigation_prompts(findings: DataFrame, functions: DataFrame, query_vectors:
     c = M.query_text(M.attach_source(M.candidates(findings, min_severity, apply_floor),
                                      functions, file_status))
     ctx = M.contexts(c, query_vectors, kb, top_k)
-    p = PR.mitigation_prompts(c.join(ctx, "query_text", "left"))
+    p = PR.mitigation_prompts(M.with_contexts(c, ctx))
     return p.withColumn("request_id", M.request_id())
 
 

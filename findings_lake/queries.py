@@ -52,6 +52,11 @@ def ranked(spark, sf_dir, min_severity: str = sev.DEFAULT_MIN_SEVERITY) -> DataF
     return A.report_findings(validated(spark, sf_dir), min_severity)
 
 
+def reports(spark, sf_dir, min_severity: str = sev.DEFAULT_MIN_SEVERITY) -> DataFrame:
+    """One row per reply with its report list, kept in the row."""
+    return A.report_rows(J.checked_replies(B.replies(spark, sf_dir)), min_severity)
+
+
 # ---------------------------------------------------------------------------
 # Replies (J1-J9, P3)
 # ---------------------------------------------------------------------------
@@ -88,6 +93,15 @@ def finding_validate(spark, sf_dir):
                     "quarantine_reason")
 
 
+@register("reply_odd_values")
+def reply_odd_values(spark, sf_dir):
+    """Number words, nested values, texts with quotes and backslashes,
+    quarantined findings (J2, J3, J7-J9)."""
+    v = J.findings_from_replies(B.odd_replies(spark, sf_dir), keep_quarantine=True)
+    return v.select("request_id", "finding_pos", "cwe_id", "cwe_name", "severity", "confidence", "line_hint", "description",
+                    "evidence", "solution", F.array_join("references", "|").alias("references_text"), "quarantine_reason")
+
+
 @register("reply_join")
 def reply_join(spark, sf_dir):
     fns = B.app_functions(spark, sf_dir).select(
@@ -120,9 +134,14 @@ def findings_ranked(spark, sf_dir):
         "file", "fn_ord", "finding_pos", "severity", "rank_pos")
 
 
+def nested_reports(spark, sf_dir) -> DataFrame:
+    """Functions with their findings; one join by function brings error and list."""
+    return A.nest_reports(B.app_functions(spark, sf_dir), reports(spark, sf_dir))
+
+
 @register("findings_flatten")
 def findings_flatten(spark, sf_dir):
-    nested = A.nest_findings(app_functions_with_status(spark, sf_dir), ranked(spark, sf_dir))
+    nested = nested_reports(spark, sf_dir)
     return A.flatten_findings(nested).select(
         "file", "fn_ord", "function", "rank_pos", "cwe_id", "severity", "confidence")
 
@@ -135,17 +154,17 @@ def severity_counts(spark, sf_dir):
 @register("severity_counts_full")
 def severity_counts_full(spark, sf_dir):
     files = B.app_functions(spark, sf_dir).select("file").distinct()
-    return A.severity_counts_full(files, ranked(spark, sf_dir))
+    return A.severity_counts_full_of(files, reports(spark, sf_dir))
 
 
 @register("scan_summary")
 def scan_summary(spark, sf_dir):
-    return A.scan_totals(app_functions_with_status(spark, sf_dir), ranked(spark, sf_dir))
+    return A.scan_totals_of(B.app_functions(spark, sf_dir), reports(spark, sf_dir))
 
 
 @register("function_severity_text")
 def function_severity_text(spark, sf_dir):
-    return A.function_severity_text(B.app_functions(spark, sf_dir), ranked(spark, sf_dir))
+    return A.function_severity_text_of(B.app_functions(spark, sf_dir), reports(spark, sf_dir))
 
 
 @register("references_preview")
@@ -162,7 +181,7 @@ def confidence_bands(spark, sf_dir):
 
 @register("scan_report")
 def scan_report(spark, sf_dir):
-    nested = A.nest_findings(app_functions_with_status(spark, sf_dir), ranked(spark, sf_dir))
+    nested = nested_reports(spark, sf_dir)
     return nested.select(
         "file", "fn_ord", "function", "line_start", "line_end",
         F.size("findings").cast("long").alias("n_findings"),
@@ -174,7 +193,7 @@ def scan_report(spark, sf_dir):
 
 @register("analyze_result")
 def analyze_result(spark, sf_dir):
-    return A.analyze_result(B.app_functions(spark, sf_dir), ranked(spark, sf_dir))
+    return A.analyze_result_of(B.app_functions(spark, sf_dir), reports(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,22 @@ def kb_from_files(spark, sf_dir):
                      "chunk_text", F.size("embedding").cast("int").alias("dim"))
 
 
+@register("kb_from_rows")
+def kb_from_rows(spark, sf_dir):
+    """S2 by row order: chunk and vector tables without a position column,
+    written as different numbers of files, paired by their places."""
+    kb, out = _kb(spark, sf_dir), _folder(spark, "kb")
+    for source in ("CWE", "CVE"):
+        rows = kb.where(F.col("source") == source)
+        for name, files, columns in (("chunks", 5, ["chunk_id", "cve_id", "chunk_text"]), ("vectors", 12, ["embedding"])):
+            (rows.repartitionByRange(files, "chunk_pos").sortWithinPartitions("chunk_pos").select(*columns)
+             .write.parquet(f"{out}/{name}/{source}"))
+    chunks = KB.read_chunks(spark, f"{out}/chunks/CWE", f"{out}/chunks/CVE")
+    pairs = KB.attach_embeddings(chunks, KB.read_vectors(spark, f"{out}/vectors/CWE", f"{out}/vectors/CVE"))
+    return pairs.select("source", "chunk_pos", "chunk_id", "cve_id", "chunk_text", F.round(F.aggregate(
+        "embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("component_sum"))
+
+
 @register("kb_attach_embeddings")
 def kb_attach_embeddings(spark, sf_dir):
     kb = _kb(spark, sf_dir)
@@ -115,7 +131,8 @@ def rag_context(spark, sf_dir):
 from .operators import hits as H  # noqa: E402
 from .operators import plan as P  # noqa: E402
 from .operators import findings as A  # noqa: E402
-from .queries import app_functions_with_status, ranked  # noqa: E402
+from .functions import severity as sev  # noqa: E402
+from .queries import nested_reports, ranked, reports  # noqa: E402
 from .sources import files as FS  # noqa: E402
 from .sources import sinks as S  # noqa: E402
 from .sources import wordlists as WL  # noqa: E402
@@ -136,7 +153,7 @@ def plan_cwe_dedupe(spark, sf_dir):
 def report_plan(spark, sf_dir):
     """S6 -> F1: report documents in the reference's own format (no function
     order but the order of ``results``), read through the report schema."""
-    nested = A.nest_findings(app_functions_with_status(spark, sf_dir), ranked(spark, sf_dir))
+    nested = nested_reports(spark, sf_dir)
     result = F.struct("fn_ord", "function", "line_start", "line_end", "findings")
     docs = nested.groupBy("file").agg(F.array_sort(F.collect_list(result)).alias("r"))
     bare = F.transform("r", lambda x: F.struct(x["function"].alias("function"), x["line_start"].alias("line_start"),
@@ -149,13 +166,45 @@ def report_plan(spark, sf_dir):
 @register("report_files")
 def report_files(spark, sf_dir):
     """S9 -> S6 -> A1: reports written as JSON lines and read back."""
-    rows, out = ranked(spark, sf_dir), _folder(spark, "reports")
-    nested = A.nest_findings(app_functions_with_status(spark, sf_dir), rows)
-    S.write_scan_reports(nested, rows, out)
+    out = _folder(spark, "reports")
+    S.write_scan_reports(nested_reports(spark, sf_dir), None, out)
     back = FS.report_findings(FS.read_scan_reports(spark, out, lines=True))
     return back.select("file", "fn_ord", "function", "rank_pos", "cwe_id", "severity", "confidence")
 
 
+@register("report_run")
+def report_run(spark, sf_dir):
+    """A10: the run document of a written scan, counted on the rows as they
+    were written, and the reports' own meta."""
+    out = _folder(spark, "reports")
+    S.write_scan_reports(nested_reports(spark, sf_dir), None, out, model="llama3")
+    metas = FS.read_scan_reports(spark, out, lines=True).select("meta.*").where(
+        "duration_s > 0 and scan_date rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]{15}Z$'")
+    reports = metas.groupBy("tool", "version", "model", "duration_s").agg(F.count(F.lit(1)).alias("n_reports"))
+    run = spark.read.json(f"{out}-run")
+    return run.join(reports, ["tool", "version", "model", "duration_s"]).select(
+        "tool", "version", "model", "total_functions", "functions_with_findings", "total_findings",
+        *sev.SEVERITY_LEVELS, "n_reports")
+
+
+@register("report_requests")
+def report_requests(spark, sf_dir):
+    """A report is asked for per target; some documents are cut, some
+    followed by other text and some were never written."""
+    out = _folder(spark, "documents")
+    nested = nested_reports(spark, sf_dir).select("file", "fn_ord", "function", "line_start", "line_end", "findings")
+    docs = S.scan_reports(nested).select(F.col("meta.target").alias("target"), F.to_json(F.struct("meta", "summary", "results")).alias("t"))
+    idx = F.regexp_extract("target", "app_([0-9]+)", 1).cast("long")
+    bad = (F.when(idx % 5 == 1, F.expr("left(t, length(t) div 2)")).when(idx % 5 == 2, F.concat("t", F.lit("] x"))).otherwise(F.col("t")))
+    (docs.where(idx % 7 != 3).select(F.col("target").alias("report"), bad.alias("value")).repartition("report")
+     .write.partitionBy("report").text(out))
+    asked = B.app_functions(spark, sf_dir).select(F.col("file").alias("path")).distinct()
+    rows = FS.requested_reports(spark, out, asked, F.regexp_extract("file", "report=([^/]+)/", 1))
+    return rows.select(
+        "path", F.col("meta.target").alias("target"), F.size("results").cast("long").alias("n_results"),
+        F.aggregate("results", F.lit(0), lambda a, r: a + F.size(r["findings"])).cast("long").alias("n_findings"), "error")
+
+
 @register("plan_wordlists")
 def plan_wordlists(spark, sf_dir):
     cwes = P.dedupe_cwes(ranked(spark, sf_dir))
@@ -295,7 +344,7 @@ def _candidates(spark, sf_dir, findings=None):
 def _with_context(spark, sf_dir):
     c = _candidates(spark, sf_dir)
     ctx = M.contexts(c, B.mitigation_query_vectors(spark, sf_dir), _kb(spark, sf_dir))
-    return c.join(ctx, "query_text", "left")
+    return M.with_contexts(c, ctx)
 
 
 def _mitigation_rows(spark, sf_dir, findings=None):
@@ -322,8 +371,10 @@ def rag_query_mitigation(spark, sf_dir):
 
 @register("mitigation_context")
 def mitigation_context(spark, sf_dir):
-    c = _candidates(spark, sf_dir)
-    return M.contexts(c, B.mitigation_query_vectors(spark, sf_dir), _kb(spark, sf_dir))
+    vectors = B.mitigation_query_vectors(spark, sf_dir)  # one row per text
+    ctx = M.contexts(_candidates(spark, sf_dir), vectors, _kb(spark, sf_dir))
+    texts = vectors.select(M.content_id("query_text").alias("query_id"), "query_text")
+    return ctx.join(texts, "query_id").select("query_text", "context")
 
 
 @register("mitigation_prompts")
@@ -368,6 +419,5 @@ def mitigation_preview(spark, sf_dir):
 
 @register("combined_report")
 def combined_report(spark, sf_dir):
-    findings = ranked(spark, sf_dir)
-    analysis = A.analyze_result(B.app_functions(spark, sf_dir), findings)
-    return M.combined(analysis, M.report(_mitigation_rows(spark, sf_dir, findings)))
+    analysis = A.analyze_result_of(B.app_functions(spark, sf_dir), reports(spark, sf_dir))
+    return M.combined(analysis, M.report(_mitigation_rows(spark, sf_dir)))

@@ -8,11 +8,17 @@ small files are packed into splits by ``spark.sql.files.openCostInBytes``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text
+
 FUZZ_GLOB = "ffuf_*.json"
+# Fixed value: the message of an absent report.
+NOT_FOUND = "Report not found at {}. Run analyze_code first."
+BROKEN = "report is not one JSON object"
+NO_LIST = "results is not a list"
 
 FINDING_STRUCT = T.StructType([
     T.StructField("cwe_id", T.StringType()),
@@ -83,6 +89,38 @@ def read_scan_reports(spark: SparkSession, path: str, lines: bool = False) -> Da
         T.ArrayType(RESULT_STRUCT))))
 
 
+def plain_path(uri: Column) -> Column:
+    """A file's path without its scheme and with its real characters."""
+    path = F.regexp_replace(uri, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
+def requested_reports(spark: SparkSession, folder: str, requested: DataFrame, key: Column | None = None) -> DataFrame:
+    """S6 with its failures: one row per ``path`` of ``requested`` with
+    ``meta, summary, results`` and ``error``.
+
+    The documents under ``folder`` are read as whole texts; one that is cut,
+    followed by other text or no object, or whose ``results`` is no list, and
+    a requested one that isn't there, gives an error row with empty
+    ``results`` instead of ending the run. ``key`` tells the requested path of
+    a file from its ``file`` (by default the path itself). Documents nobody
+    asked for are left out; if several files have one key the least path counts.
+    A file without a byte counts as absent (Spark's readers skip it).
+    """
+    docs = whole_text(spark, folder, recursive=True)
+    docs = docs.select((plain_path(F.col("file")) if key is None else key).alias("path"), "file", "text")
+    first = docs.groupBy("path").agg(F.min("file").alias("file"))
+    typed = text.one_typed_object(F.col("text"), ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in REPORT_SCHEMA))
+    read = docs.join(first, ["path", "file"], "left_semi").select("path", typed.alias("d"), F.lit(True).alias("there"),
+                                                                   F.array_contains(F.json_object_keys("text"), "results").alias("listed"))
+    rows = requested.select("path").distinct().join(read, "path", "left")
+    error = (F.when(F.col("there").isNull(), F.format_string(NOT_FOUND.replace("{}", "%s"), "path"))
+             .when(F.col("d").isNull(), F.lit(BROKEN))
+             .when(F.col("d.results").isNull() & F.coalesce("listed", F.lit(False)), F.lit(NO_LIST)))
+    empty = F.array().cast(T.ArrayType(RESULT_STRUCT))
+    return rows.select("path", "d.meta", "d.summary", F.coalesce("d.results", empty).alias("results"), error.alias("error"))
+
+
 def report_findings(reports: DataFrame) -> DataFrame:
     """A1 over report documents: results x findings in order.
 

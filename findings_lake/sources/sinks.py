@@ -10,7 +10,9 @@ mitigations) is written as rows beside the summaries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import rounding
@@ -23,17 +25,20 @@ def scan_date() -> F.Column:
     return F.concat(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
 
 
-def scan_summaries(nested: DataFrame, ranked: DataFrame, model: str = "llama3",
-                   duration_s: float = 0.0) -> DataFrame:
+def _level_sizes(findings) -> list:
+    def of(level):
+        return F.filter(findings, lambda x: x["severity"] == F.lit(level))
+    return [F.size(of(s)).alias(s) for s in sev.SEVERITY_LEVELS]
+
+
+def scan_summaries(nested: DataFrame, model: str = "llama3", duration_s: float = 0.0) -> DataFrame:
     """S9 header rows: per target file, ``meta`` and ``summary`` (with a
-    zero-filled ``by_severity``), from aggregations only."""
-    per_file = nested.groupBy("file").agg(
-        F.count(F.lit(1)).alias("total_functions"),
-        F.count_if(F.size("findings") > 0).alias("functions_with_findings"),
-        F.sum(F.size("findings")).cast("long").alias("total_findings"))
-    counts = ranked.groupBy("file").agg(
-        *[F.count_if(F.col("severity") == s).alias(s) for s in sev.SEVERITY_LEVELS])
-    j = per_file.join(counts, "file", "left").fillna(0, subset=sev.SEVERITY_LEVELS)
+    zero-filled ``by_severity``), counted over the rows' own lists in one
+    aggregation."""
+    sizes = nested.select("file", F.size("findings").alias("n"), *_level_sizes(F.col("findings")))
+    j = sizes.groupBy("file").agg(
+        F.count(F.lit(1)).alias("total_functions"), F.count_if(F.col("n") > 0).alias("functions_with_findings"),
+        F.sum("n").cast("long").alias("total_findings"), *[F.sum(s).cast("long").alias(s) for s in sev.SEVERITY_LEVELS])
     return j.select(
         "file",
         F.struct(F.lit(A.REPORT_TOOL).alias("tool"), F.lit(A.REPORT_VERSION).alias("version"),
@@ -53,22 +58,48 @@ def scan_results(nested: DataFrame) -> DataFrame:
     return nested.select(*cols)
 
 
-def scan_reports(nested: DataFrame, ranked: DataFrame, model: str = "llama3",
-                 duration_s: float = 0.0) -> DataFrame:
+def scan_reports(nested: DataFrame, model: str = "llama3", duration_s: float = 0.0) -> DataFrame:
     """One report per target file: ``meta``, ``summary`` and the
     ``results`` of its functions in order (a target is one source file)."""
     rows = scan_results(nested)
     result = F.struct("fn_ord", *[c for c in rows.columns if c != "fn_ord"])
     results = rows.groupBy("file").agg(F.array_sort(F.collect_list(result)).alias("results"))
-    return (scan_summaries(nested, ranked, model, duration_s).join(results, "file")
+    return (scan_summaries(nested, model, duration_s).join(results, "file")
             .select("meta", "summary", "results"))
 
 
-def write_scan_reports(nested: DataFrame, ranked: DataFrame, out_dir: str,
-                       model: str = "llama3", duration_s: float = 0.0,
-                       mode: str = "overwrite") -> None:
-    """Reports as JSON lines; read back by ``read_scan_reports(..., lines=True)``."""
-    scan_reports(nested, ranked, model, duration_s).write.mode(mode).json(out_dir)
+def write_scan_reports(nested: DataFrame, ranked: DataFrame | None, out_dir: str, model: str = "llama3",
+                       duration_s: float | None = None, mode: str = "overwrite") -> dict:
+    """S9 + A10: reports as JSON lines; read back by ``read_scan_reports(..., lines=True)``.
+
+    The result rows are computed once and written to ``<out_dir>-rows``; what
+    is observed on the very rows that pass (functions, findings, findings per
+    level) and the seconds the pass took (unless ``duration_s`` is given) go
+    into the reports and into the run document ``<out_dir>-run``, which is
+    also returned. (``ranked`` is not needed any more: counts come from the rows' own lists.)
+    """
+    base, spark = out_dir.rstrip("/"), nested.sparkSession
+    seen, size = Observation("scan"), F.size("findings")
+    levels = _level_sizes(F.col("findings"))
+    start = time.monotonic()
+    scan_results(nested).observe(
+        seen, F.count(F.lit(1)).alias("total_functions"), F.count_if(size > 0).alias("functions_with_findings"),
+        F.sum(size).cast("long").alias("total_findings"), *[F.sum(c).cast("long").alias(s) for c, s in zip(levels, sev.SEVERITY_LEVELS)],
+    ).write.mode(mode).parquet(f"{base}-rows")
+    took = time.monotonic() - start if duration_s is None else duration_s
+    counts = {k: v or 0 for k, v in seen.get.items()}
+    scan_reports(spark.read.parquet(f"{base}-rows"), model, took).write.mode(mode).json(out_dir)
+    run = {"tool": A.REPORT_TOOL, "version": A.REPORT_VERSION, "model": model, "report_path": out_dir,
+           "duration_s": round(took, 2), **counts}
+    kinds = "tool string, version string, model string, report_path string, duration_s double, " + ", ".join(f"{k} long" for k in counts)
+    spark.createDataFrame([tuple(run.values())], kinds).coalesce(1).write.mode(mode).json(f"{base}-run")
+    return run
+
+
+def tool_results(analysis: DataFrame, run: dict) -> DataFrame:
+    """A11 in full: the result rows of ``analyze_result`` with the report's
+    path and the measured ``duration_s`` of the run that wrote it."""
+    return analysis.withColumn("report_path", F.lit(run["report_path"])).withColumn("duration_s", F.lit(run["duration_s"]))
 
 
 def write_fuzz_report(jobs: DataFrame, out_dir: str, results_dir: str | None = None,
