@@ -367,6 +367,39 @@ def mitigation_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw.alias("raw"), F.lit(None).cast("string").alias("error"))
 
 
+#: Mitigation replies that reach the rarer rules, by event_id % 6 ({k} is the event's k).
+ODD_MITIGATIONS = [
+    # a raw line feed inside a string is no JSON: the code is lifted out
+    '{"explanation": "lifted", "fixed_code": "x = \\"{k}\\"\nreturn\\tx\\n", "hardening": ["h"], "references": ["r"]}',
+    '{"explanation": "' + "e" * 250 + '", "fixed_code": "' + "\\n".join(f"line {i}" for i in range(25)) + '", '
+    '"hardening": ["h1", "h2", "h3", "h4"], "references": ["r1", "r2", "r3", "r4", "r{k}"]}',
+    '{"explanation": "k{k}", "fixed_code": "", "hardening": "only {k}"}',
+    '{"explanation": null, "hardening": [], "references": [1.0, true]}',
+    "z" * 1200,
+    '{"explanation": {"why": true}, "references": null}',
+]
+
+
+def odd_mitigation_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """b_odd_mitigations: one reply per event, of the forms above."""
+    ev = table(spark, sf_dir, "events").select("event_id", _k().cast("string").alias("k"))
+    raw = F.replace(_pick(F.col("event_id") % len(ODD_MITIGATIONS), ODD_MITIGATIONS), F.lit("{k}"), F.col("k"))
+    return ev.select(
+        F.lit("odd.py").alias("file"), F.lit(0).alias("fn_ord"), F.col("event_id").cast("int").alias("finding_pos"),
+        F.lit("f").alias("function"), F.lit("CWE-1").alias("cwe_id"), F.lit("HIGH").alias("severity"),
+        raw.alias("raw"), F.lit(None).cast("string").alias("call_error"))
+
+
+def odd_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """b_odd_sources: a module per part, by p_partkey % 4: empty, without a
+    function, lambdas only, nested and decorated definitions."""
+    texts = ["", "# note\nx = 1\n", "f = lambda a: a\n",
+             "@dec\nasync def g(a, /, b, *, c):\n    class K:\n        def m(self, *r):\n            return lambda: 0\n    return K\n"]
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("o_"), key.cast("string"), F.lit(".py")).alias("file"), _pick(key % 4, texts).alias("content"))
+
+
 def mitigation_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector of each mitigation query text: embedding ``k % n`` (the text
     is a function of the finding's k)."""

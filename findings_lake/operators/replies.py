@@ -121,15 +121,19 @@ def checked_replies(replies: DataFrame) -> DataFrame:
     return parsed.select(*keep, checked_elements(F.col("elements"), F.col("array_text")).alias("checked"))
 
 
-def findings_from_replies(replies: DataFrame, keep_quarantine: bool = False) -> DataFrame:
-    """replies -> validated findings, one row each (quarantined rows dropped unless asked)."""
-    rows = checked_replies(replies)
-    keep = [c for c in rows.columns if c != "checked"]
+def findings_of(checked: DataFrame, keep_quarantine: bool = False) -> DataFrame:
+    """``checked_replies`` rows -> findings, one row each (quarantined ones dropped unless asked)."""
+    keep = [c for c in checked.columns if c != "checked"]
     # outer, as in ``object_elements``
-    rows = rows.select(*keep, F.explode_outer("checked").alias("f")).where("f is not null").select(*keep, "f.*")
+    rows = checked.select(*keep, F.explode_outer("checked").alias("f")).where("f is not null").select(*keep, "f.*")
     return rows if keep_quarantine else rows.where(F.col("quarantine_reason").isNull())
 
 
+def findings_from_replies(replies: DataFrame, keep_quarantine: bool = False) -> DataFrame:
+    """replies -> validated findings, one row each."""
+    return findings_of(checked_replies(replies), keep_quarantine)
+
+
 def one_reply(replies: DataFrame) -> DataFrame:
     """One reply per request: of several, one without an error, then the one
     of the least content hash (a failed call has an error, whatever its text).

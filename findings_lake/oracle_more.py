@@ -159,6 +159,43 @@ LEFT JOIN (SELECT file, count(*) AS total, count(error) AS n_errors FROM ({parse
   USING (file)"""
 
 
+# What Python gives for ``B.ODD_MITIGATIONS`` and ``B.odd_sources``, spelled out.
+ODD_MITIGATION_CTE = r"""
+WITH m AS (SELECT CAST(event_id AS INTEGER) AS finding_pos, event_id % 6 AS m, json_extract_string(props, '$.k') AS k FROM events),
+p AS (
+  SELECT finding_pos, m,
+         CASE m WHEN 0 THEN 'lifted' WHEN 1 THEN repeat('e', 250) WHEN 2 THEN 'k' || k WHEN 3 THEN 'None' END AS explanation,
+         CASE m WHEN 0 THEN 'x = "' || k || '"' || chr(10) || 'return' || chr(9) || 'x' || chr(10)
+                WHEN 1 THEN array_to_string(list_transform(range(25), lambda i: 'line ' || CAST(i AS VARCHAR)), chr(10))
+                WHEN 2 THEN '' WHEN 3 THEN '' END AS fixed_code,
+         CASE m WHEN 0 THEN ['h'] WHEN 1 THEN ['h1', 'h2', 'h3', 'h4'] WHEN 2 THEN ['only ' || k] WHEN 3 THEN [] END AS hardening,
+         CASE m WHEN 0 THEN ['r'] WHEN 1 THEN ['r1', 'r2', 'r3', 'r4', 'r' || k] WHEN 2 THEN [] WHEN 3 THEN ['1.0', 'True'] END AS refs,
+         CASE WHEN m = 4 THEN repeat('z', 1000) END AS raw_response,
+         CASE m WHEN 4 THEN 'Could not parse LLM response as JSON' WHEN 5 THEN 'references is not a list' END AS error
+  FROM m)
+"""
+
+
+def odd_inputs(q: dict[str, str]) -> None:
+    q["mitigation_odd_parse"] = ODD_MITIGATION_CTE + r"""
+SELECT finding_pos, CASE WHEN m = 5 THEN '{''why'': True}' ELSE explanation END AS explanation,
+       CASE WHEN m = 5 THEN '' ELSE fixed_code END AS fixed_code,
+       CASE WHEN m = 5 THEN '' ELSE array_to_string(hardening, ' | ') END AS hardening_text, array_to_string(refs, ', ') AS references_text,
+       raw_response, error FROM p"""
+    q["mitigation_odd_preview"] = ODD_MITIGATION_CTE + r"""
+SELECT 'odd.py' AS file, 0 AS fn_ord, finding_pos, 'f' AS function, 'CWE-1' AS cwe_id, 'HIGH' AS severity, substring(explanation, 1, 200) AS why,
+       array_to_string(list_slice(hardening, 1, 3), ' | ') AS hardening_preview,
+       array_to_string(list_slice(string_split(fixed_code, chr(10)), 1, 20), chr(10)) AS code_preview,
+       array_to_string(list_slice(refs, 1, 4), ', ') AS references_preview
+FROM p WHERE error IS NULL"""
+    q["function_odd_files"] = """
+WITH f(fn_ord, name, lineno, end_lineno, args_text) AS (VALUES (0, 'g', 2, 6, 'b'), (1, 'm', 4, 5, 'self'))
+SELECT 'o_' || CAST(p_partkey AS VARCHAR) || '.py' AS file, true AS parse_ok,
+       CAST(CASE WHEN p_partkey % 4 = 3 THEN 2 ELSE 0 END AS INTEGER) AS n_functions,
+       f.fn_ord, f.name, f.lineno, f.end_lineno, f.args_text
+FROM part LEFT JOIN f ON p_partkey % 4 = 3"""
+
+
 REPLY_TEXT_CTE = """
 el AS (
   SELECT fn_id, finding_pos,

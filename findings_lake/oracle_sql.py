@@ -261,6 +261,7 @@ LEFT JOIN (SELECT file, count(*) AS n_findings FROM ranked GROUP BY file) r ON r
     from . import oracle_more
     oracle_more.corpus(q)
     oracle_more.mitigations(q)
+    oracle_more.odd_inputs(q)
     oracle_more.replies_text(q)
     return q
 

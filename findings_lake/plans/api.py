@@ -71,26 +71,28 @@ def scan_results(functions: DataFrame, replies: DataFrame,
                  checkpoint: bool = True) -> ScanResult:
     """Replies -> findings and report tables.
 
-    The validated findings feed six outputs; with ``checkpoint`` they are
-    parsed once and written to the shared checkpoint folder.
+    The validated findings feed six outputs; with ``checkpoint`` the replies
+    (one per request) are parsed once and written to the shared checkpoint folder.
     """
     status = J.pair_replies(
         functions.select("file", "fn_ord",
                          F.concat("file", F.lit("#"), F.col("fn_ord").cast("string"))
                          .alias("request_id")), replies)
     fns = functions.join(status.select("file", "fn_ord", "error"), ["file", "fn_ord"], "left")
-    allv = J.findings_from_replies(replies, keep_quarantine=True)
+    checked = J.checked_replies(J.one_reply(replies))
     if checkpoint:
-        allv = materialize(allv)
+        checked = materialize(checked)
+    allv = J.findings_of(checked, keep_quarantine=True)
     ranked = A.report_findings(allv.where(F.col("quarantine_reason").isNull()), min_severity)
+    reports = A.report_rows(checked.drop("error"), min_severity)
     files = fns.select("file").distinct()
     return ScanResult(
         findings=ranked,
         quarantine=allv.where(F.col("quarantine_reason").isNotNull()),
-        nested=A.nest_findings(fns, ranked),
-        totals=A.scan_totals(fns, ranked),
-        counts=A.severity_counts_full(files, ranked),
-        tool_result=A.analyze_result(fns, ranked))
+        nested=A.nest_reports(fns, reports),
+        totals=A.scan_totals_of(fns, reports),
+        counts=A.severity_counts_full_of(files, reports),
+        tool_result=A.analyze_result_of(fns, reports))
 
 
 def plan_jobs(findings: DataFrame, targets: DataFrame, wordlist_map: DataFrame,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import bindings as B
 from .operators import retrieve as R
 from .queries import register
-from .session import checkpoint_dir
+from .session import checkpoint_dir, materialize
 from .sources import kb as KB
 
 
@@ -132,7 +132,8 @@ from .operators import hits as H  # noqa: E402
 from .operators import plan as P  # noqa: E402
 from .operators import findings as A  # noqa: E402
 from .functions import severity as sev  # noqa: E402
-from .queries import nested_reports, ranked, reports  # noqa: E402
+from .operators import replies as J  # noqa: E402
+from .queries import nested_reports, ranked  # noqa: E402
 from .sources import files as FS  # noqa: E402
 from .sources import sinks as S  # noqa: E402
 from .sources import wordlists as WL  # noqa: E402
@@ -332,13 +333,16 @@ from .operators import mitigations as M  # noqa: E402
 MITIGATION_MIN_SEVERITY = "LOW"  # floored to MEDIUM (V5)
 
 
-def _candidates(spark, sf_dir, findings=None):
+def _named_candidates(spark, sf_dir, findings=None):
     fns = B.app_functions(spark, sf_dir)
     findings = ranked(spark, sf_dir) if findings is None else findings
     named = findings.join(
         fns.select("file", "fn_ord", F.col("name").alias("function")), ["file", "fn_ord"])
-    c = M.candidates(named, MITIGATION_MIN_SEVERITY)
-    return M.query_text(M.attach_source(c, fns))
+    return M.candidates(named, MITIGATION_MIN_SEVERITY)
+
+
+def _candidates(spark, sf_dir):
+    return M.query_text(M.attach_source(_named_candidates(spark, sf_dir), B.app_functions(spark, sf_dir)))
 
 
 def _with_context(spark, sf_dir):
@@ -348,13 +352,14 @@ def _with_context(spark, sf_dir):
 
 
 def _mitigation_rows(spark, sf_dir, findings=None):
-    return M.mitigation_rows(_candidates(spark, sf_dir, findings),
+    # replies are read back against the candidates' keys: neither source nor query text is needed
+    return M.mitigation_rows(_named_candidates(spark, sf_dir, findings),
                              B.mitigation_replies(spark, sf_dir))
 
 
 @register("mitigation_candidates")
 def mitigation_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("file", "fn_ord", "finding_pos", "severity",
+    return _named_candidates(spark, sf_dir).select("file", "fn_ord", "finding_pos", "severity",
                                              "min_severity_filter")
 
 
@@ -366,13 +371,13 @@ def mitigation_source(spark, sf_dir):
 
 @register("rag_query_mitigation")
 def rag_query_mitigation(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("file", "fn_ord", "finding_pos", "query_text")
+    return M.query_text(_named_candidates(spark, sf_dir)).select("file", "fn_ord", "finding_pos", "query_text")
 
 
 @register("mitigation_context")
 def mitigation_context(spark, sf_dir):
     vectors = B.mitigation_query_vectors(spark, sf_dir)  # one row per text
-    ctx = M.contexts(_candidates(spark, sf_dir), vectors, _kb(spark, sf_dir))
+    ctx = M.contexts(M.query_text(_named_candidates(spark, sf_dir)), vectors, _kb(spark, sf_dir))
     texts = vectors.select(M.content_id("query_text").alias("query_id"), "query_text")
     return ctx.join(texts, "query_id").select("query_text", "context")
 
@@ -385,7 +390,7 @@ def mitigation_prompts(spark, sf_dir):
 
 @register("mitigation_repair")
 def mitigation_repair(spark, sf_dir):
-    c = _candidates(spark, sf_dir).withColumn("request_id", M.request_id())
+    c = _named_candidates(spark, sf_dir).withColumn("request_id", M.request_id())
     r = B.mitigation_replies(spark, sf_dir)
     j = c.select("file", "fn_ord", "finding_pos", "request_id").join(r, "request_id")
     rep = M.repair(j).withColumn("parse_ok", text_ok("repaired"))
@@ -407,6 +412,28 @@ def mitigation_parse(spark, sf_dir):
                     "raw_response", "error")
 
 
+@register("mitigation_odd_parse")
+def mitigation_odd_parse(spark, sf_dir):
+    """J12-J14 on replies that reach the lift, defaults, lone texts and cuts."""
+    m = M.parse(M.repair(B.odd_mitigation_replies(spark, sf_dir)))
+    return m.select("finding_pos", "explanation", "fixed_code", F.array_join("hardening", " | ").alias("hardening_text"),
+                    F.array_join("references", ", ").alias("references_text"), "raw_response", "error")
+
+
+@register("mitigation_odd_preview")
+def mitigation_odd_preview(spark, sf_dir):
+    """M3 on values longer than the preview shows."""
+    return M.preview(M.parse(M.repair(B.odd_mitigation_replies(spark, sf_dir))))
+
+
+@register("function_odd_files")
+def function_odd_files(spark, sf_dir):
+    """Modules without functions, nested and decorated definitions."""
+    cat = C.catalog(B.odd_sources(spark, sf_dir))
+    fns = C.functions(cat).select("file", "fn_ord", "name", "lineno", "end_lineno", F.array_join("args", ", ").alias("args_text"))
+    return C.file_status(cat).select("file", "parse_ok", "n_functions").join(fns, "file", "left")
+
+
 @register("mitigation_report")
 def mitigation_report(spark, sf_dir):
     return M.report(_mitigation_rows(spark, sf_dir))
@@ -419,5 +446,8 @@ def mitigation_preview(spark, sf_dir):
 
 @register("combined_report")
 def combined_report(spark, sf_dir):
-    analysis = A.analyze_result_of(B.app_functions(spark, sf_dir), reports(spark, sf_dir))
-    return M.combined(analysis, M.report(_mitigation_rows(spark, sf_dir)))
+    # both parts read the parsed replies: written once, not parsed twice
+    checked = materialize(J.checked_replies(B.replies(spark, sf_dir)))
+    analysis = A.analyze_result_of(B.app_functions(spark, sf_dir), A.report_rows(checked))
+    findings = A.report_findings(J.findings_of(checked))
+    return M.combined(analysis, M.report(_mitigation_rows(spark, sf_dir, findings)))
