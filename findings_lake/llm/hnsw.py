@@ -13,8 +13,6 @@ BUILD_BEAM = 40
 BATCH = 512
 #: Beam entries that one step opens.
 OPEN = 3
-#: Pairs of a query that counts as a sparse one in an audit.
-FEW = 4
 
 
 def _nearest(graph: list, x, q):
@@ -156,62 +154,102 @@ def build(x, width: int = WIDTH, ef: int = BUILD_BEAM) -> list:
     return graph
 
 
+def weak_rows(graph: list, n: int):
+    """Rows of the lowest layer that a search may never meet: no path leads to
+    them from the rows of the layer above, or fewer than two links do."""
+    import numpy as np
+
+    links = graph[-1]
+    seen = np.zeros(n, dtype=bool)
+    front = np.arange(len(graph[-2]) if len(graph) > 1 else 1)
+    while len(front):
+        seen[front] = True
+        ahead = links[front].ravel()
+        front = np.unique(ahead[ahead >= 0])
+        front = front[~seen[front]]
+    return np.flatnonzero(~seen | (np.bincount(links[links >= 0], minlength=n) < 2))
+
+
+def planted(x, least: float, audit: int):
+    """Queries whose partner is known without a scan: ``audit`` rows of ``x``
+    turned by angles spread from none to that of ``least``, and the rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = rng.permutation(len(x))[:audit]
+    side = rng.normal(size=(len(rows), x.shape[1]))
+    side -= (side * x[rows]).sum(axis=1)[:, None] * x[rows]
+    side /= np.maximum(np.linalg.norm(side, axis=1), 1e-12)[:, None]
+    cosine = 1 - (1 - least) * np.linspace(0, 0.98, len(rows))
+    return (cosine[:, None] * x[rows] + np.sqrt(1 - cosine ** 2)[:, None] * side).astype(np.float32), rows
+
+
 def near_pairs(x, graph: list, q, least: float, ef: int = 32, audit: int = 256, recall: float = 0.99, same: bool = False):
-    """``(query, row)`` numbers whose similarity is about ``least`` or more.
-
-    Beams whose every entry qualifies are widened until one does not; when an
-    audit of queries against all rows finds less than ``recall`` of their
-    pairs, every beam is widened. Beams of an eighth of the rows give way to a scan.
-    The audit goes on until ``audit`` queries with few pairs (``FEW`` at most) are
-    met, and holds those apart from the rest; when it has come to the last query, its
-    scan is the result. With ``same`` the queries are the rows, and no pairs with themselves.
+    """``(query, row)`` numbers whose similarity is about ``least`` or more,
+    found by beams through the graph.
+
+    The beams' width is set by an audit: of ``audit`` planted queries (rows of
+    the graph turned by a known angle) and of all true pairs of ``audit`` real
+    queries, ``recall`` must be found, else the width doubles. Every query then
+    searches with that width; a query whose every entry qualifies searches
+    again, four times as wide. Rows the graph hardly leads to (``weak_rows``)
+    are compared with all queries. Only where a beam would hold an eighth of
+    the rows (small graphs, huge groups) all rows are compared. With ``same``
+    the queries are the rows themselves (their pair with themselves may be among the results).
     """
     import numpy as np
 
     n = len(x)
 
-    def scan(rows):
+    def scan(rows, columns=None):
         parts = []
+        to = x if columns is None else x[columns]
         for at in range(0, len(rows), BATCH):
-            r, c = np.nonzero(q[rows[at:at + BATCH]] @ x.T >= least)
-            parts.append((rows[at:at + BATCH][r], c))
+            r, c = np.nonzero(q[rows[at:at + BATCH]] @ to.T >= least)
+            parts.append((rows[at:at + BATCH][r], c if columns is None else columns[c]))
         return tuple(np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
 
-    if 8 * ef > n:
+    def search(asked, width):
+        """Pairs by beams of one width, and the queries whose whole beam qualifies."""
+        found, full_rows = [], [np.zeros(0, np.int64)]
+        for at in range(0, len(asked), BATCH):
+            own = asked[at:at + BATCH]
+            ids, sims = beam(x, graph[-1], own, _nearest(graph[:-1], x, own), width)
+            full = sims.min(axis=1) >= least
+            r, c = np.nonzero(sims >= least)
+            found.append((at + r, ids[r, c]))
+            full_rows.append(at + np.flatnonzero(full))
+        r, c = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return r, c, np.concatenate(full_rows)
+
+    if not len(q) or 8 * ef > n:
         return scan(np.arange(len(q)))
-    probes, parts, few = np.random.default_rng(7).permutation(len(q)), [], np.zeros(0, np.int64)
-    for at in range(0, len(q), BATCH):
-        r, c = scan(probes[at:at + BATCH])
-        parts.append((r, c))
-        links = np.bincount(r[r != c] if same else r, minlength=len(q))
-        few = np.r_[few, np.flatnonzero((links > 0) & (links <= FEW))]
-        if len(few) >= audit:
+    code, weak = np.int64(n), weak_rows(graph, n)
+    reachable = np.ones(n, dtype=bool)
+    reachable[weak] = False
+    probes, partner = planted(x, least, audit)
+    some = np.random.default_rng(8).permutation(len(q))[:audit]
+    r, c = scan(some)
+    place = np.full(len(q), -1)
+    place[some] = np.arange(len(some))
+    known = reachable[c] & ((r != c) if same else True)
+    truth = np.concatenate([np.flatnonzero(reachable[partner]) * code + partner[reachable[partner]],
+                            (len(probes) + place[r[known]]) * code + c[known]])
+    asked = np.concatenate([probes, q[some]])
+    while 8 * ef <= n:
+        r, c, full = search(asked, ef)
+        # a full beam is searched again later, so what it lacks is not lost
+        fit = ~np.isin(truth // code, full)
+        if not fit.any() or np.isin(truth[fit], r * code + c).mean() >= recall:
             break
-    r, c = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
-    if len(few) < audit or at + BATCH >= len(q):
-        return r, c
-    if same:
-        r, c = r[r != c], c[r != c]
-    code = np.int64(n)
-    truth, lone = r * code + c, np.isin(r, few)
-    while True:
-        found, rows, width = [], np.arange(len(q)), ef
-        while len(rows) and 8 * width <= n:
-            saturated = []
-            for at in range(0, len(rows), BATCH):
-                own = rows[at:at + BATCH]
-                ids, sims = beam(x, graph[-1], q[own], _nearest(graph[:-1], x, q[own]), width)
-                full = sims.min(axis=1) >= least
-                r, c = np.nonzero((sims >= least) & ~full[:, None])
-                found.append((own[r], ids[r, c]))
-                saturated.append(own[full])
-            rows = np.concatenate(saturated)
-            width *= 4
-        found.append(scan(rows))
-        r, c = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        if 8 * ef > n:
-            return r, c
-        hit = np.isin(truth, r * code + c)
-        if min(hit.mean(), hit[lone].mean()) >= recall:
-            return r, c
         ef *= 2
+    else:
+        return scan(np.arange(len(q)))
+    found, rows, width = [scan(np.arange(len(q)), weak)], np.arange(len(q)), ef
+    while len(rows) and 8 * width <= n:
+        r, c, full = search(q[rows], width)
+        keep = ~np.isin(r, full)
+        found.append((rows[r[keep]], c[keep]))
+        rows, width = rows[full], 4 * width
+    found.append(scan(rows))
+    return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))

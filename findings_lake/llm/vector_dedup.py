@@ -3,9 +3,9 @@
 Equal vectors of a label are one node with a number of copies. A label's
 nodes are dealt by hash to shards of bounded size; each shard gets a
 hierarchical navigable small-world graph, and every node queries every shard
-of its label. Beams widen until an audit against all rows of the shard passes;
-where links are too sparse for an audit, all rows are compared
-(see ``hnsw.near_pairs``). Every pair that is found is verified by its cosine
+of its label. Beams widen until an audit passes that knows its pairs beforehand
+(planted near copies of indexed rows, and the true pairs of a bounded number
+of queries; see ``hnsw.near_pairs``). Every pair that is found is verified by its cosine
 in double precision. Two shards meet in one task, which sends on link counts
 by node and a spanning forest of the links, never the pairs themselves.
 

@@ -135,3 +135,26 @@ def test_top_k_of_components_at_the_ends_of_floats_and_ids(spark):
         scores = [(max(-1 << 63, min(largest, sum(a * b for a, b in zip(v[own], v[k])))), rows[k][0]) for k in range(len(rows)) if k != own]
         want = sorted(scores, key=lambda x: (-x[0], x[1] is None, x[1] or 0))
         assert got[q] == [(i, s) for s, i in want], q
+
+
+@pytest.mark.parametrize("between", [False, True])
+def test_links_of_a_large_label_come_through_the_graph(monkeypatch, between):
+    """5,000 vectors, 2 % of them with a near copy: the beams give the links."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    x = unit(rng.normal(size=(5000, 64)))
+    copies = unit(x[:100] + rng.normal(size=(100, 64)) * 0.035)
+    if between:
+        q = unit(np.concatenate([rng.normal(size=(4900, 64)), copies]))
+    else:
+        x = q = np.concatenate([x[:4900], copies])
+    graph = hnsw.build(x)
+    searched, compared, plain = [], [], hnsw.beam
+    monkeypatch.setattr(hnsw, "beam", lambda x, links, q, *a: searched.append(len(q)) or plain(x, links, q, *a))
+    monkeypatch.setattr(hnsw, "weak_rows", lambda *a, f=hnsw.weak_rows: compared.append(len(f(*a))) or f(*a))
+    r, c = hnsw.near_pairs(x, graph, q, 0.93, same=not between)
+    got = {p for p in zip(r.tolist(), c.tolist()) if between or p[0] != p[1]}
+    full = q @ x.T >= 0.93
+    want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(full))) if between or i != j}
+    assert len(want) >= 100 and got <= want and len(got) >= 0.99 * len(want)
+    assert sum(searched) >= 5000 and sum(compared) < 500  # every query went through the graph; few rows are scanned
