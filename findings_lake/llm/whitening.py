@@ -198,10 +198,12 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     from pyspark.mllib.linalg.distributed import BlockMatrix
 
     spark = prepare(vectors.sparkSession)
-    rows = stash(integers(vectors, id_col, vec_col, scale, offset), "integers")
+    # two hashes, 128 bits, stand for a vector where rows meet their fit row
+    rows = stash(integers(vectors, id_col, vec_col, scale, offset).withColumns(
+        {"h0": F.xxhash64("x"), "h1": F.xxhash64(F.lit("whiten"), "x")}), "integers")
     kind = rows.schema["id"].dataType.simpleString()
     none = spark.createDataFrame([], f"`{id_col}` {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double")
-    fit = stash(rows.select("x").distinct().withColumn("node", F.monotonically_increasing_id()), "fit")
+    fit = stash(rows.select("x", "h0", "h1").distinct().withColumn("node", F.monotonically_increasing_id()), "fit")
     sums = fit.select("x").mapInArrow(_column_sums, "k int, s string")
     sums = sums.groupBy("k").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).orderBy("k").collect()
     if not sums:
@@ -211,7 +213,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * d)))
     count = -(-n // block_rows)
     groups = -(-count // GROUP_BLOCKS)
-    dealt = numbered(fit).withColumn("block", F.floor(F.col("number") / block_rows).cast("int"))
+    dealt = numbered(fit.select("x", "node")).withColumn("block", F.floor(F.col("number") / block_rows).cast("int"))
     blocks = stash(dealt.repartition(groups, "block").groupBy("block").applyInArrow(
         _pack(n, sums), "block int, nodes array<long>, deviations array<long>, data binary"), "blocks")
 
@@ -265,9 +267,9 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     values_of = blocks.select("block", "nodes", "deviations").join(found, "block").select("nodes", "deviations", "y").mapInArrow(
         opened, "node long, deviation long, y array<double>")
     # written, so that the join with the rows deals both sides anew and a very common vector can be split
-    known = stash(fit.join(values_of, "node").select("x", "deviation", "y"), "whitened")
+    known = stash(fit.select("h0", "h1", "node").join(values_of, "node").select("h0", "h1", "deviation", "y"), "whitened")
     trace = float(np.trace(covariance))
     share = F.array(*[F.lit(float(v / trace)) for v in values])
-    return (rows.join(known, "x").select("id", "deviation", F.posexplode("y").alias("at", "whitened"))
+    return (rows.select("id", "h0", "h1").join(known, ["h0", "h1"]).select("id", "deviation", F.posexplode("y").alias("at", "whitened"))
             .select(F.col("id").alias(id_col), (F.col("at") + 1).cast("int").alias("component"), F.lit(n).cast("long").alias("n"),
                     "deviation", "whitened", F.get(share, F.col("at")).alias("explained"), F.lit(error).alias("identity_error")))
