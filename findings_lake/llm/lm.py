@@ -2,23 +2,26 @@
 softmax.
 
 P(word | context) is a product of choices down a tree of words, each a softmax
-over hashed features of the three words before: n-grams (one and two words
-back to back) and skips (the second and the third word alone). Every word, also
+over hashed features of the two words before: n-grams (one and two words
+back to back) and a skip (the second word alone). Every word, also
 one outside every table, is a context of its own by its hash. The
 ``CLASSES * CLASS_WORDS`` most frequent tokens lie in classes by frequency, two
 choices deep. All other words lie in ``TAIL`` classes by their ending, each
-split by the word's hash into ``CLASS_WORDS`` parts, level by level, until a
-leaf holds about ``LEAF`` of the counted words or fewer; inside a leaf the last
+split by the word's hash into ``CLASS_WORDS`` parts, level by level (``LEVELS``
+at most), until a leaf holds about ``LEAF`` of the counted words or fewer; inside a leaf the last
 factor is the add-one unigram of the whole corpus, with one share for words
 that were never seen, so probabilities sum to one. The tree's depth and the
-number of feature buckets follow the counted vocabulary.
+number of feature buckets follow the counted vocabulary up to bounds that keep
+a worker's memory bounded (``LEVELS``, ``MOST_BUCKETS``).
 
 Corpus counts are exact, over every training token. Training is distributed
 gradient descent: each task walks its own training documents in minibatches
-(AdaGrad, every position of every document) from the broadcast weights; weight rows are then averaged by how often tasks
-touched them. The number of tasks is bounded by ``TRAINERS``; the model has
-rows for about the square root of the vocabulary, and one number a leaf. Scoring runs in sparse numpy batches; counts of words outside a
-bounded table of frequent words come by an equi-join on the word.
+(AdaGrad, every position of every document) from the given weights, zeros at first;
+the rows that it changed are then averaged by how often tasks touched them. A task
+ships at most one model, so the number of tasks is chosen to keep all of it
+below ``SHARE`` of the text. Scoring runs in sparse numpy batches; counts of words outside a
+table of frequent words, bounded in words and bytes, come by an equi-join on the word. A word of any length
+enters the table by its count alone, so no word outside it is hot.
 
 Texts are whole; a null text is empty (its end token alone is scored); a null
 id counts as empty text for the held-out rule; repeated rows are scored and
@@ -27,26 +30,35 @@ counted each; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_list, prepare, stash
 
 CLASSES, CLASS_WORDS, TAIL = 32, 64, 32
-#: Counted words that a leaf of the tail may hold before the tree gets a level more.
-LEAF = 64
-#: Feature buckets (rows of weights) of either table at least, and buckets for each root of a counted word.
-BUCKETS, ROOT_BUCKETS = 1 << 13, 64
-#: Words in the broadcast table of counts, and its longest word in bytes.
-TABLE_WORDS, TABLE_BYTES = 1 << 18, 64
+#: Counted words that a leaf of the tail may hold before the tree gets a level more, and most levels.
+LEAF, LEVELS = 512, 2
+#: Feature buckets (rows of weights) of either table: at least, for each root of a counted word, at most.
+BUCKETS, ROOT_BUCKETS, MOST_BUCKETS = 1 << 13, 32, 1 << 19
+#: Words in the broadcast table of counts, and their bytes together.
+TABLE_WORDS, TABLE_BYTES = 1 << 18, 16 << 20
 #: A task's word counter is emptied when it holds so many words.
 COUNTER = 400_000
-MINIBATCH, RATE, START = 8192, 0.5, 20.0
-TRAINERS = 4096
+MINIBATCH, RATE, START = 8192, 0.5, 0.5
+#: Times that a minibatch touches a row before the rest of its gradient is summed by itself.
+LONG_RUN = 32
+#: Squares of a row's gradient count by this part in its step size.
+SPREAD = 64.0
+#: Logits end here, far above any that training reaches, so that ``exp`` stays finite.
+HIGHEST = 80.0
+#: Training tasks at most, and the share of the training text that their changed rows may take on the network.
+TRAINERS, SHARE = 4096, 0.75
 #: Weight rows in one block on their way to the average.
-BLOCK = 64
+BLOCK = 256
 #: Tokens that one scoring step looks at.
-STEP = 1 << 14
+STEP = 1 << 11
 #: The end of a text, a word that no text can hold.
 END = b"\n"
 
@@ -59,16 +71,21 @@ def held_out(id_col: str):
 def depth(distinct: int) -> int:
     """Levels of choices below a tail class, for so many counted words."""
     levels = 0
-    while TAIL * CLASS_WORDS ** levels * LEAF < distinct:
+    while levels < LEVELS and TAIL * CLASS_WORDS ** levels * LEAF < distinct:
         levels += 1
     return levels
 
 
 def buckets(distinct: int) -> int:
-    """Rows of weights for so many counted words, a power of two."""
+    """Rows of weights for so many counted words."""
     import math
 
-    return max(BUCKETS, 1 << math.ceil(math.log2(ROOT_BUCKETS * math.sqrt(max(distinct, 1)))))
+    return min(MOST_BUCKETS, max(BUCKETS, math.ceil(ROOT_BUCKETS * math.sqrt(distinct))))
+
+
+def trainers(text_bytes: int, rows: int) -> int:
+    """Training tasks: as many as may send a whole model of so many rows each."""
+    return max(1, min(TRAINERS, int(SHARE * text_bytes / (2 * sum(rows * width for _, width in _shapes(rows))))))
 
 
 def mixed(x, y):
@@ -80,11 +97,18 @@ def mixed(x, y):
     return (z >> np.uint64(32)).astype(np.int64)
 
 
+def mixed_small(x, y):
+    """A hash of integer arrays below 2^31, below 2^31 (half the width of ``mixed``, for the inner loops)."""
+    import numpy as np
+
+    z = np.asarray(x).astype(np.uint32) * np.uint32(0x9E3779B1) ^ np.asarray(y).astype(np.uint32) * np.uint32(0x85EBCA6B)
+    z = (z ^ (z >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+    return (z >> np.uint32(1)).astype(np.int64)
+
+
 def ending(word: bytes) -> int:
     """The tail class of a word (``ending_column`` in SQL)."""
-    import zlib
-
-    return zlib.crc32(word[-4:]) % TAIL
+    return crc32(word[-4:]) % TAIL
 
 
 def ending_column(word):
@@ -94,9 +118,7 @@ def ending_column(word):
 
 def tail_code(word: bytes) -> int:
     """The word's hash and tail class in one number."""
-    import zlib
-
-    return zlib.crc32(word) * TAIL + ending(word)
+    return crc32(word) * TAIL + crc32(word[-4:]) % TAIL
 
 
 def leaf_of(code, levels: int):
@@ -111,26 +133,37 @@ def leaf_column(word, levels: int):
     return (ending_column(word).cast("long") * parts + own).cast("int")
 
 
+def words_of(column):
+    """Lower-cased words of an Arrow string column, one after another, and the number of words of each text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    lists = pc.ascii_split_whitespace(texts)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten()
+    return words.filter(pc.greater(pc.binary_length(words), 0)), np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, sizes)
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """``word, c`` over all rows (``text``); the end token counts once a row."""
 
     def run(batches):
-        from collections import Counter
-
         import pyarrow as pa
 
         def out(counter):
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(counter), pa.binary()).cast(pa.string()), pa.array(counter.values(), pa.int64())], ["word", "c"])
 
-        counter: Counter = Counter()
+        counter: dict = {}
         for b in batches:
-            for text in byte_list(b.column(0)):
-                counter.update(text.lower().split())
-            counter[END] += b.num_rows
+            found = words_of(b.column(0))[0].value_counts()
+            for word, c in zip(byte_list(found.field("values")), found.field("counts").to_pylist()):
+                counter[word] = counter.get(word, 0) + c
+            counter[END] = counter.get(END, 0) + b.num_rows
             if len(counter) > COUNTER:
                 yield out(counter)
-                counter = Counter()
+                counter = {}
         if counter:
             yield out(counter)
 
@@ -146,15 +179,16 @@ class Table(dict):
 
 class Lexicon:
     """What tasks know of words: numbers, counts, classes. ``words`` in order
-    of frequency, ``tail`` the number of words and tokens of each leaf below the tail classes."""
+    of frequency, ``tail`` the number of words and tokens of each leaf below the tail classes,
+    ``codes`` the ``tail_code`` of each word where it is known."""
 
-    def __init__(self, words: list[bytes], counts: list[int], tail, total: int, distinct: int):
+    def __init__(self, words: list[bytes], counts: list[int], tail, total: int, distinct: int, codes=None):
         import numpy as np
 
         self.table = Table({w: k for k, w in enumerate(words)})
         self.total, self.distinct, self.buckets = total, distinct, buckets(distinct)
         self.named = named = min(len(words), CLASSES * CLASS_WORDS)
-        self.codes = np.r_[np.array([tail_code(w) for w in words], dtype=np.int64), 0]
+        self.codes = np.r_[np.array([tail_code(w) for w in words] if codes is None else codes, dtype=np.int64), 0]
         # One entry for each table word and one for all others.
         self.log_c = np.r_[np.log10(np.array(counts, dtype=float) + 1), 0]
         mass = np.asarray(tail, dtype=float).sum(axis=1) + 1
@@ -175,38 +209,46 @@ class Lexicon:
             self.bias[:CLASSES][head.sum(axis=1) == 0] = -np.inf
             self.inner_bias = np.concatenate([np.log(v / np.maximum(v.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)
                                               for v in (head, *reversed(nodes))])
-        self.end = self.table[END]
 
-    def stream(self, texts: list[bytes]):
-        """``(numbers, codes, document, features, rare)`` of all tokens of texts, ends
-        included: table numbers (-1: outside), ``tail_code``, text numbers, feature buckets, and
-        the tokens outside the table as (document, word)."""
+    @classmethod
+    def of(cls, held: list):
+        """The lexicon of a broadcast ``[arguments, lexicon or None]``, built once in a worker."""
+        if held[1] is None:
+            held[1] = cls(*held[0])
+        return held[1]
+
+    def stream(self, column):
+        """``(numbers, codes, document, features, rare)`` of all tokens of an Arrow string column, ends
+        included: table numbers (-1: outside), ``tail_code``, text numbers, feature buckets (a row for each feature), and
+        the tokens outside the table as (document, words)."""
         import numpy as np
+        import pyarrow as pa
 
-        words, sizes = [], []
-        for t in texts:
-            own = t.lower().split()
-            own.append(END)
-            sizes.append(len(own))
-            words += own
-        n, sizes = len(words), np.array(sizes, dtype=np.int64)
-        number = np.fromiter(map(self.table.__getitem__, words), dtype=np.int64, count=n)
-        document = np.repeat(np.arange(len(texts)), sizes)
+        words, sizes = words_of(column)
+        coded = words.dictionary_encode()
+        distinct = byte_list(coded.dictionary) + [END]
+        found = np.fromiter(map(self.table.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        ends = np.cumsum(sizes + 1) - 1
+        n = len(words) + len(sizes)
+        own, word = np.ones(n, dtype=bool), np.full(n, len(distinct) - 1)
+        own[ends] = False
+        word[own] = coded.indices.to_numpy(zero_copy_only=False)
+        number = found[word]
+        document = np.repeat(np.arange(len(sizes)), sizes + 1)
         outside = np.flatnonzero(number < 0)
-        rare = (document[outside], [words[i] for i in outside.tolist()])
+        rare = (document[outside], pa.array(distinct, pa.binary()).cast(pa.string()).take(pa.array(word[outside])))
         code = self.codes[np.maximum(number, -1)]
         code[outside] = -1 - number[outside]
         number[outside] = -1
-        at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.arange(n) - np.repeat(ends - sizes, sizes + 1)
         none = TAIL << 32  # no word's code
         back = []
-        for d in (1, 2, 3):
+        for d in (1, 2):
             b = np.full(n, none)
             b[d:] = code[:-d] if n > d else code[:0]
             b[at < d] = none
             back.append(b)
-        keys = [(1, back[0]), (2, back[1]), (3, back[2]), (4, mixed(back[0], back[1]))]
-        features = np.stack([mixed(x, k) % self.buckets for k, x in keys], axis=1)
+        features = np.stack([mixed(x, k) * self.buckets >> 32 for k, x in ((1, back[0]), (2, back[1]), (4, mixed(*back)))])
         return number, code, document, features, rare
 
     def group(self, number, code):
@@ -238,56 +280,97 @@ class Lexicon:
         return np.where(named, 0, self.log_c[number] - self.log_tail[CLASSES + leaf_of(code, self.levels)])
 
     def rows_inside(self, features, node):
-        return mixed(features, node[:, None] + 17) % self.buckets
+        return mixed_small(features, node + 17) * self.buckets >> 31
 
 
 def softmax_log(z):
     import numpy as np
 
-    z = z - z.max(axis=1, keepdims=True)
+    z = np.minimum(z, HIGHEST)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def goal_log(z, goal):
+    """``softmax_log(z)`` at one column of each row; ``z`` is overwritten."""
+    import numpy as np
+
+    np.minimum(z, HIGHEST, out=z)
+    own = z[np.arange(len(goal)), goal]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 def summed(weights, rows):
-    out = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        out += weights[rows[:, k]]
+    import numpy as np
+
+    out = np.take(weights, rows[0], axis=0)
+    for own in rows[1:]:
+        out += np.take(weights, own, axis=0)
     return out
 
 
+def row_sums(values, places, start):
+    """Sums of ``values[places]`` over runs of ``places`` that begin at ``start``, long runs first:
+    ``(order of the runs, their sizes, sums)``. Runs are added step by step, all at once; what a
+    long run holds beyond ``LONG_RUN`` is summed by itself."""
+    import numpy as np
+
+    size = np.diff(np.r_[start, len(places)])
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    sums = np.take(values, places[start], axis=0)
+    for step in range(1, LONG_RUN):
+        live = np.searchsorted(-size, -step)  # the runs of more than so many
+        if not live:
+            break
+        sums[:live] += np.take(values, places[start[:live] + step], axis=0)
+    for k in range(np.searchsorted(-size, -LONG_RUN)):
+        sums[k] += np.take(values, places[start[k] + LONG_RUN:start[k] + size[k]], axis=0).sum(axis=0)
+    return order, size, sums
+
+
 class Trainer:
-    """AdaGrad on both factors, from given weights."""
+    """AdaGrad on both factors (one step size for each row of weights), from
+    given weights or from zero."""
 
-    def __init__(self, lexicon: Lexicon, weights):
+    def __init__(self, lexicon: Lexicon, weights=None):
         import numpy as np
 
         self.lexicon = lexicon
-        self.weights = [w.copy() for w in weights]
-        self.squares = [np.full(w.shape, START, dtype=np.float32) for w in weights]
-        self.touched = [np.zeros(len(w), dtype=np.int64) for w in weights]
+        self.weights = ([w.astype(np.float32) for w in weights] if weights else
+                        [np.zeros(s, dtype=np.float32) for s in _shapes(lexicon.buckets)])
+        self.squares = [np.full(len(w), START, dtype=np.float32) for w in self.weights]
+        self.touched = [np.zeros(len(w), dtype=np.int64) for w in self.weights]
 
     def _descend(self, which: int, rows, wrong):
         import numpy as np
 
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        used, start = np.unique(flat[order], return_index=True)
-        grad = np.add.reduceat(wrong[order // rows.shape[1]], start, axis=0)
-        self.squares[which][used] += grad * grad
-        self.weights[which][used] -= RATE * grad / np.sqrt(self.squares[which][used])
-        self.touched[which][used] += np.diff(np.r_[start, len(flat)])
+        shift = rows.shape[1].bit_length()
+        tagged = np.sort((rows << shift | np.arange(rows.shape[1])).ravel())  # by row of weights, then by token
+        flat = tagged >> shift
+        start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        order, size, grad = row_sums(wrong, tagged & (1 << shift) - 1, start)
+        used, weights, squares = flat[start[order]], self.weights[which], self.squares[which]
+        squares[used] += np.einsum("ij,ij->i", grad, grad) / SPREAD
+        grad *= (RATE / np.sqrt(squares[used]))[:, None]
+        weights[used] = np.take(weights, used, axis=0) - grad
+        self.touched[which][used] += size
 
     def learn(self, number, code, features):
+        import numpy as np
+
         lex = self.lexicon
         self._step(0, features, lex.group(number, code), lex.bias)
         for at, node, child in lex.choices(number, code):
             if len(at):
-                self._step(1, lex.rows_inside(features[at], node), child, lex.inner_bias[node])
+                self._step(1, lex.rows_inside(features[:, at], node), child, np.take(lex.inner_bias, node, axis=0))
 
     def _step(self, which: int, rows, goal, bias):
         import numpy as np
 
-        wrong = np.exp(softmax_log(summed(self.weights[which], rows) + bias))
+        wrong = summed(self.weights[which], rows)
+        wrong += bias
+        np.exp(np.minimum(wrong, HIGHEST, out=wrong), out=wrong)
+        wrong /= wrong.sum(axis=1, keepdims=True)
         wrong[np.arange(len(goal)), goal] -= 1
         self._descend(which, rows, wrong)
 
@@ -296,57 +379,63 @@ def _shapes(rows: int = BUCKETS):
     return [(rows, CLASSES + TAIL), (rows, CLASS_WORDS)]
 
 
-def train_round(rows: DataFrame, lexicon, weights) -> list:
-    """New weights after one round over ``text``; both arguments are broadcasts."""
+def train_round(rows: DataFrame, lexicon, weights=None, tasks: int = TRAINERS) -> list:
+    """New weights after one round over ``text`` in so many tasks at most; the other two arguments
+    are broadcasts, without ``weights`` training begins at zero."""
     import numpy as np
 
     def run(batches):
         import pyarrow as pa
 
-        trainer, held, size = Trainer(Lexicon(*lexicon.value), weights.value), [], 0
+        trainer = Trainer(Lexicon.of(lexicon.value), weights.value if weights else None)
+        held, size = [], 0
         for b in batches:
-            number, code, _, features, _ = trainer.lexicon.stream(byte_list(b.column(0)))
+            number, code, _, features, _ = trainer.lexicon.stream(b.column(0))
             if not len(number):
                 continue
             held.append((number, code, features))
             size += len(number)
             if size >= MINIBATCH:
-                whole = [np.concatenate(part) for part in zip(*held)]
+                whole = [np.concatenate(part, axis=-1) for part in zip(*held)]
                 full = size - size % MINIBATCH
                 for at in range(0, full, MINIBATCH):
-                    trainer.learn(*(part[at:at + MINIBATCH] for part in whole))
-                held, size = [tuple(part[full:] for part in whole)], size - full
+                    trainer.learn(*(part[..., at:at + MINIBATCH] for part in whole))
+                held, size = [tuple(part[..., full:] for part in whole)], size - full
         if size:
-            trainer.learn(*(np.concatenate(part) for part in zip(*held)))
+            trainer.learn(*(np.concatenate(part, axis=-1) for part in zip(*held)))
         for which, (w, t) in enumerate(zip(trainer.weights, trainer.touched)):
-            blocks = [k for k in range(0, len(t), BLOCK) if t[k:k + BLOCK].any()]
-            if blocks:
+            changed = np.flatnonzero(t)
+            parts = np.split(changed, np.flatnonzero(np.diff(changed // BLOCK)) + 1) if len(changed) else []
+            if parts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([which * len(t) + k for k in blocks], pa.int32()),
-                     pa.array([t[k:k + BLOCK].tobytes() for k in blocks], pa.binary()),
-                     pa.array([w[k:k + BLOCK].astype(np.float16).tobytes() for k in blocks], pa.binary())],
-                    ["block", "touched", "rows"])
+                    [pa.array([which * (len(t) // BLOCK + 1) + int(k[0]) // BLOCK for k in parts], pa.int32()),
+                     pa.array([(k % BLOCK).astype(np.uint8).tobytes() for k in parts], pa.binary()),
+                     pa.array([t[k].astype(np.uint32).tobytes() for k in parts], pa.binary()),
+                     pa.array([w[k].astype(np.float16).tobytes() for k in parts], pa.binary())],
+                    ["block", "at", "touched", "rows"])
 
     def average(key, group):
         import pyarrow as pa
 
-        order = np.argsort([t.as_py() + r.as_py() for t, r in zip(group["touched"], group["rows"])], kind="stable")
-        total, weight = 0.0, 0
-        for k in order.tolist():  # in an order of their own, so that sums agree
-            t = np.frombuffer(group["touched"][k].as_py(), dtype=np.int64)
-            r = np.frombuffer(group["rows"][k].as_py(), dtype=np.float16).reshape(BLOCK, -1).astype(np.float64)
-            total, weight = total + r * t[:, None], weight + t
-        rows = (total / np.maximum(weight, 1)[:, None]).astype(np.float32)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "rows": pa.array([rows.tobytes()], pa.binary()),
-                         "touched": pa.array([weight.tobytes()], pa.binary())})
-
-    parts = rows.coalesce(TRAINERS).mapInArrow(run, "block int, touched binary, rows binary")
-    new = [w.copy() for w in weights.value]
-    for r in parts.groupBy("block").applyInArrow(average, "block int, rows binary, touched binary").toLocalIterator():
-        which, k = divmod(r.block, len(new[0]))
-        seen = np.frombuffer(r.touched, dtype=np.int64) > 0
-        got = np.frombuffer(r.rows, dtype=np.float32).reshape(BLOCK, -1)
-        new[which][k:k + BLOCK][seen] = got[seen]
+        parts = sorted((a.as_py(), t.as_py(), r.as_py()) for a, t, r in zip(group["at"], group["touched"], group["rows"]))
+        total, weight = np.zeros((BLOCK, CLASS_WORDS)), np.zeros(BLOCK)
+        for a, t, r in parts:  # in an order of their own, so that sums agree
+            at, t = np.frombuffer(a, dtype=np.uint8), np.frombuffer(t, dtype=np.uint32).astype(float)
+            total[at] += np.frombuffer(r, dtype=np.float16).reshape(len(at), -1) * t[:, None]
+            weight[at] += t
+        seen = np.flatnonzero(weight)
+        rows = (total[seen] / weight[seen, None]).astype(np.float16)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()),
+                         "at": pa.array([seen.astype(np.uint8).tobytes()], pa.binary()),
+                         "rows": pa.array([rows.tobytes()], pa.binary())})
+
+    parts = rows.coalesce(tasks).mapInArrow(run, "block int, at binary, touched binary, rows binary")
+    shapes = _shapes(buckets(lexicon.value[0][4]))
+    new = [w.copy() for w in weights.value] if weights else [np.zeros(s, dtype=np.float16) for s in shapes]
+    for r in parts.groupBy("block").applyInArrow(average, "block int, at binary, rows binary").toLocalIterator():
+        which, k = divmod(r.block, len(new[0]) // BLOCK + 1)
+        at = np.frombuffer(r.at, dtype=np.uint8)
+        new[which][k * BLOCK + at.astype(int)] = np.frombuffer(r.rows, dtype=np.float16).reshape(len(at), -1)
     return new
 
 
@@ -360,19 +449,18 @@ def score_rows(rows: DataFrame, lexicon, weights) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        lex, (outer, inner) = Lexicon(*lexicon.value), weights.value
+        lex, (outer, inner) = Lexicon.of(lexicon.value), (w.astype(np.float32) for w in weights.value)
         base = TaskContext.get().partitionId() << 33
         for b in batches:
             m = b.num_rows
-            number, code, document, features, (rare, words) = lex.stream(byte_list(b.column(2)))
+            number, code, document, features, (rare, words) = lex.stream(b.column(2))
             log_p = np.zeros(len(number))
             for at in range(0, len(number), STEP):
                 own = slice(at, at + STEP)
-                f, g = features[own], lex.group(number[own], code[own])
-                log_p[own] = softmax_log(summed(outer, f) + lex.bias)[np.arange(len(g)), g]
+                f, g = features[:, own], lex.group(number[own], code[own])
+                log_p[own] = goal_log(summed(outer, f) + lex.bias, g)
                 for k, node, child in lex.choices(number[own], code[own]):
-                    z = softmax_log(summed(inner, lex.rows_inside(f[k], node)) + lex.inner_bias[node])
-                    log_p[at + k] += z[np.arange(len(k)), child]
+                    log_p[at + k] += goal_log(summed(inner, lex.rows_inside(f[:, k], node)) + np.take(lex.inner_bias, node, axis=0), child)
             log_p /= np.log(10)
             log_c = lex.log_c[number]
             log_p += lex.log_inside(number, code)
@@ -382,7 +470,7 @@ def score_rows(rows: DataFrame, lexicon, weights) -> DataFrame:
             base += m
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.r_[row, row[rare]], pa.int64()),
-                 pa.concat_arrays([pa.nulls(m, pa.string()), pa.array(words, pa.binary()).cast(pa.string())]),
+                 pa.concat_arrays([pa.nulls(m, pa.string()), words]),
                  pa.concat_arrays([b.column(0), pa.nulls(len(words), b.column(0).type)]),
                  pa.concat_arrays([b.column(1), pa.nulls(len(words), pa.bool_())]),
                  pa.array(np.r_[n_tokens, np.ones(len(words), dtype=np.int64)], pa.int64()),
@@ -405,17 +493,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     train = rows.where("not held_out")
     counts = stash(word_counts(train.select("text")), "words")
-    total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
+    size = F.octet_length("word").cast("long") + 1
+    total, distinct, size_all = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(size * F.col("c"))).first()
     total = total or 0
 
-    short = F.octet_length("word") <= TABLE_BYTES
-    least, room = 0, table_words
-    for r in counts.where(short).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).toLocalIterator():
-        room -= r.n
-        if room < 0:
+    least, room, room_bytes = 0, table_words, TABLE_BYTES
+    levels_of_c = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"))
+    for r in levels_of_c.orderBy(F.desc("c")).toLocalIterator():
+        room, room_bytes = room - r.n, room_bytes - r.b
+        if min(room, room_bytes) < 0:
             least = r.c
             break
-    frequent = sorted(((r.word.encode(), r.c) for r in counts.where(short & (F.col("c") > least)).toLocalIterator()),
+    frequent = sorted(((r.word.encode(), r.c) for r in counts.where(F.col("c") > least).toLocalIterator()),
                       key=lambda x: (-x[1], x[0]))
     levels = depth(distinct)
     tail = np.zeros((TAIL * CLASS_WORDS ** levels, 2), dtype=np.int64)
@@ -424,15 +513,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     tail[leaves["t"].to_numpy()] = np.stack([leaves["n"].to_numpy(), leaves["c"].to_numpy()], axis=1)
     for w, c in frequent[:CLASSES * CLASS_WORDS]:  # the model's own words are no tail words
         tail[leaf_of(tail_code(w), levels)] -= (1, c)
-    lexicon = spark.sparkContext.broadcast(([w for w, _ in frequent], [c for _, c in frequent], tail, total, distinct))
+    codes = np.array([tail_code(w) for w, _ in frequent], dtype=np.int64)
+    lexicon = spark.sparkContext.broadcast([([w for w, _ in frequent], [c for _, c in frequent], tail, total, distinct, codes), None])
 
-    weights = spark.sparkContext.broadcast([np.zeros(s, dtype=np.float32) for s in _shapes(buckets(distinct))])
-    for _ in range(rounds):
-        weights = spark.sparkContext.broadcast(
-            train_round(train.select("text"), lexicon, weights))
+    weights = None
+    for _ in range(max(rounds, 1)):
+        new = train_round(train.select("text"), lexicon, weights, trainers(size_all or 0, buckets(distinct)))
+        if weights:
+            weights.destroy()
+        weights = spark.sparkContext.broadcast(new)
 
     lines = stash(score_rows(rows, lexicon, weights), "scores")
-    rare = counts.where(~(short & (F.col("c") > least)))
+    lexicon.destroy()
+    weights.destroy()
+    rare = counts.where(F.col("c") <= least)
     more = (lines.where("word is not null").select("row", "word").join(rare, "word").groupBy("row")
             .agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("log_c")))
     log_c, more_known = F.coalesce("log_c", F.lit(0.0)), F.coalesce("more", F.lit(0))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from findings_lake.llm import lm
 
@@ -49,7 +50,7 @@ def test_probabilities_sum_to_one():
         tail[lm.ending(w)][1] += c
     lex = lm.Lexicon(words, counts, tail, sum(counts), len(words))
     outer, inner = (rng.normal(size=s).astype(np.float32) for s in lm._shapes())
-    feature = np.array([[3, 77, 512, 8000]])
+    feature = np.array([[3], [77], [512], [8000]])
     log_class = lm.softmax_log(lm.summed(outer, feature) + lex.bias)[0]
     total = 0.0
     for k in range(lm.CLASSES):
@@ -94,7 +95,7 @@ def test_rare_words_are_contexts_and_goals(documents):
 
 def test_probabilities_of_a_deep_tree_sum_to_one():
     rng = np.random.default_rng(1)
-    words = [f"k{i}".encode() for i in range(9000)] + [lm.END]
+    words = [f"k{i}".encode() for i in range(30000)] + [lm.END]
     counts = sorted(rng.integers(1, 900, len(words)).tolist(), reverse=True)
     levels = lm.depth(len(words))
     tail = np.zeros((lm.TAIL * lm.CLASS_WORDS ** levels, 2), dtype=np.int64)
@@ -103,12 +104,12 @@ def test_probabilities_of_a_deep_tree_sum_to_one():
     lex = lm.Lexicon(words, counts, tail, sum(counts), len(words))
     assert levels == lex.levels == 1
     outer, inner = (rng.normal(size=s).astype(np.float32) for s in lm._shapes(lex.buckets))
-    feature = np.array([[3, 77, 512, 8000]])
+    feature = np.array([[3], [77], [512], [8000]])
 
     def log_path(number, code):
         log_p = (lm.softmax_log(lm.summed(outer, feature) + lex.bias)[0])[lex.group(number, code)].astype(float)
         for at, node, child in lex.choices(number, code):
-            z = lm.softmax_log(lm.summed(inner, lex.rows_inside(feature.repeat(len(at), 0), node)) + lex.inner_bias[node])
+            z = lm.softmax_log(lm.summed(inner, lex.rows_inside(feature.repeat(len(at), 1), node)) + lex.inner_bias[node])
             log_p[at] += z[np.arange(len(at)), child]
         return log_p
 
@@ -122,8 +123,9 @@ def test_probabilities_of_a_deep_tree_sum_to_one():
 
 def test_model_follows_the_vocabulary(spark):
     from pyspark.sql import functions as F
-    assert [lm.depth(v) for v in (0, 2048, 2049, 131_073, 9_000_000)] == [0, 0, 1, 2, 3]
-    assert [lm.buckets(v) for v in (0, 400_000, 20_000_000)] == [1 << 13, 1 << 16, 1 << 19]
+    assert [lm.depth(v) for v in (0, 32 * 512, 32 * 512 + 1, 2048 * 512 + 1, 10 ** 12)] == [0, 0, 1, 2, lm.LEVELS]
+    assert [lm.buckets(v) for v in (0, 1_000_000, 100_000_000, 10 ** 12)] == [1 << 13, 32_000, 320_000, lm.MOST_BUCKETS]
+    assert [lm.trainers(b, 32_000) for b in (0, 10 ** 8, 10 ** 12, 10 ** 15)] == [1, 9, lm.TRAINERS, lm.TRAINERS]
     words = ["a", "abcde", "été", "日本語", "\n", "x" * 50]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", lm.leaf_column(F.col("w"), 2).alias("t")).collect()
     assert all(r.t == lm.leaf_of(lm.tail_code(r.w.encode()), 2) for r in rows)
@@ -132,8 +134,8 @@ def test_model_follows_the_vocabulary(spark):
 def test_every_position_is_learned(documents, monkeypatch):
     learned, train_round = [], lm.train_round
 
-    def kept(rows, lexicon, weights):
-        learned.append((lexicon.value, train_round(rows, lexicon, weights)))
+    def kept(rows, lexicon, *more):
+        learned.append((lexicon.value[0], train_round(rows, lexicon, *more)))
         return learned[-1][1]
 
     monkeypatch.setattr(lm, "train_round", kept)
@@ -142,5 +144,24 @@ def test_every_position_is_learned(documents, monkeypatch):
     (lexicon, (outer, _)), = learned
     lex = lm.Lexicon(*lexicon)
     own = [t.encode() for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
-    features = lex.stream(own)[-2]
-    assert len(features) == 4 * len(own) and outer[features].any(axis=2).all()
+    features = lex.stream(pa.array(own, pa.binary()).cast(pa.string()))[-2]
+    assert features.shape == (3, 4 * len(own)) and outer[features].any(axis=2).all()
+
+
+def test_gradient_rows_are_summed_whole():
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.zipf(1.3, size=5000) % 700)
+    places, values = rng.integers(0, 900, len(keys)), rng.normal(size=(900, 64))
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    order, size, sums = lm.row_sums(values, places, start)
+    assert size.max() > 4 * lm.LONG_RUN and size.sum() == len(keys)
+    for k, n, own in zip(order, size, sums):
+        assert np.allclose(own, values[places[start[k]:start[k] + n]].sum(axis=0))
+
+
+def test_words_split_as_bytes_do():
+    texts = ["", " ", None, "A\tb\x0bC\x0c d\r\n e ", "ÉTÉ  x y \x1cz", "x" * 5000, " \x85q"]
+    words, sizes = lm.words_of(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert lm.byte_list(words) == [w for own in want for w in own] and sizes.tolist() == [len(own) for own in want]
+    assert [len(x) for x in lm.words_of(pa.array([], pa.string()))] == [0, 0]
