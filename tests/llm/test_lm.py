@@ -123,9 +123,9 @@ def test_probabilities_of_a_deep_tree_sum_to_one():
 
 def test_model_follows_the_vocabulary(spark):
     from pyspark.sql import functions as F
-    assert [lm.depth(v) for v in (0, 32 * 512, 32 * 512 + 1, 2048 * 512 + 1, 10 ** 12)] == [0, 0, 1, 2, lm.LEVELS]
-    assert [lm.buckets(v) for v in (0, 1_000_000, 100_000_000, 10 ** 12)] == [1 << 13, 32_000, 320_000, lm.MOST_BUCKETS]
-    assert [lm.trainers(b, 32_000) for b in (0, 10 ** 8, 10 ** 12, 10 ** 15)] == [1, 9, lm.TRAINERS, lm.TRAINERS]
+    assert [lm.depth(v) for v in (0, 16 * 1024, 16 * 1024 + 1, 1024 * 1024 + 1, 10 ** 12)] == [0, 0, 1, 2, lm.LEVELS]
+    assert [lm.buckets(v) for v in (0, 1_000_000, 100_000_000, 10 ** 12)] == [1 << 13, 48_000, 480_000, lm.MOST_BUCKETS]
+    assert [lm.trainers(b, 32_000) for b in (0, 10 ** 8, 10 ** 12, 10 ** 15)] == [1, 12, lm.TRAINERS, lm.TRAINERS]
     words = ["a", "abcde", "été", "日本語", "\n", "x" * 50]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", lm.leaf_column(F.col("w"), 2).alias("t")).collect()
     assert all(r.t == lm.leaf_of(lm.tail_code(r.w.encode()), 2) for r in rows)
@@ -163,5 +163,5 @@ def test_words_split_as_bytes_do():
     texts = ["", " ", None, "A\tb\x0bC\x0c d\r\n e ", "ÉTÉ  x y \x1cz", "x" * 5000, " \x85q"]
     words, sizes = lm.words_of(pa.array(texts))
     want = [(t or "").encode().lower().split() for t in texts]
-    assert lm.byte_list(words) == [w for own in want for w in own] and sizes.tolist() == [len(own) for own in want]
+    assert lm.as_bytes(words) == [w for own in want for w in own] and sizes.tolist() == [len(own) for own in want]
     assert [len(x) for x in lm.words_of(pa.array([], pa.string()))] == [0, 0]
