@@ -382,7 +382,8 @@ ODD_MITIGATIONS = [
 
 def odd_mitigation_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """b_odd_mitigations: one reply per event, of the forms above."""
-    ev = table(spark, sf_dir, "events").select("event_id", _k().cast("string").alias("k"))
+    # dealt while the rows are narrow: texts are made and parsed by all tasks
+    ev = table(spark, sf_dir, "events").select("event_id", _k().cast("string").alias("k")).repartition("event_id", "k")
     raw = F.replace(_pick(F.col("event_id") % len(ODD_MITIGATIONS), ODD_MITIGATIONS), F.lit("{k}"), F.col("k"))
     return ev.select(
         F.lit("odd.py").alias("file"), F.lit(0).alias("fn_ord"), F.col("event_id").cast("int").alias("finding_pos"),

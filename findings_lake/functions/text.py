@@ -148,15 +148,16 @@ def repair_triple_quotes(c) -> Column:
     match does: odd parts are block bodies, except a last odd part after an
     unmatched delimiter, which keeps its quotes.
     """
-    parts = F.split(_col(c), TRIPLE_QUOTE, -1)
-    last = F.size(parts) - 1
-    fixed = F.transform(
-        parts,
-        lambda x, i: F.when((i % 2 == 1) & (i < last),
-                            F.concat(F.lit('"'), json_escape_inner(x), F.lit('"')))
-        .when(i % 2 == 1, F.concat(F.lit(TRIPLE_QUOTE), x))
-        .otherwise(x))
-    return F.array_join(fixed, "")
+    def fixed(parts):
+        last = F.size(parts) - 1
+        return F.array_join(F.transform(
+            parts,
+            lambda x, i: F.when((i % 2 == 1) & (i < last),
+                                F.concat(F.lit('"'), json_escape_inner(x), F.lit('"')))
+            .when(i % 2 == 1, F.concat(F.lit(TRIPLE_QUOTE), x))
+            .otherwise(x)), "")
+
+    return let(_col(c), lambda t: F.when(t.contains(TRIPLE_QUOTE), let(F.split(t, TRIPLE_QUOTE, -1), fixed)).otherwise(t))
 
 
 def path_name(c) -> Column:

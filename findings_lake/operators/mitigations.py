@@ -126,42 +126,44 @@ def parse(repaired: DataFrame) -> DataFrame:
     is ``fixed_code`` lifted out by the lazy pattern (with the reference's
     three unescapes) and the rest parsed with a placeholder.
     """
-    df = repaired.withColumn("_o", text.parse_json_object("repaired"))
-    lift = F.col("_o").isNull()
-    pre = F.regexp_extract("repaired", FIXED_CODE_LIFT, 1)
-    code = F.regexp_extract("repaired", FIXED_CODE_LIFT, 2)
-    post = F.regexp_extract("repaired", FIXED_CODE_LIFT, 3)
-    df = (df.withColumn("_m", F.when(lift & (F.length(pre) > 0), F.struct(
-        F.concat(pre, F.lit(FIXED_CODE_PLACEHOLDER), post).alias("t"), code.alias("c"))))
-        .withColumn("_o2", F.when(F.col("_m").isNotNull(), text.parse_json_object(F.col("_m.t")))))
-    obj = F.coalesce("_o", "_o2")
-    # The three unescapes and their order.
-    lifted = F.replace(F.replace(F.replace(F.col("_m.c"), F.lit("\\n"), F.lit("\n")),
-                                 F.lit("\\t"), F.lit("\t")), F.lit('\\"'), F.lit('"'))
-
-    def field_str(name, default):
+    whole = F.col("repaired")
+    pre, code, post = (F.regexp_extract(whole, FIXED_CODE_LIFT, i) for i in (1, 2, 3))
+    # The rest's object only where the pattern matches (``pre`` is never empty then).
+    rest = text.let(F.struct(pre.alias("pre"), code.alias("c"), post.alias("post")), lambda m: F.when(
+        F.length(m["pre"]) > 0, F.struct(
+            text.parse_json_object(F.concat(m["pre"], F.lit(FIXED_CODE_PLACEHOLDER), m["post"])).alias("o"), m["c"].alias("c"))))
+    opened = text.let(text.parse_json_object(whole), lambda o: F.when(o.isNotNull(), F.struct(
+        o.alias("o"), F.lit(None).cast("string").alias("c"))).when(whole.contains('"fixed_code"'), rest))
+
+    def field_str(obj, name, default):
         return text.py_str(F.variant_get(obj, f"$.{name}", "variant"), default)
 
-    def field_list(name):
+    def field_list(obj, name):
         """A list's texts; a text alone is a list of one; other values are NULL (an error row)."""
-        v = F.variant_get(obj, f"$.{name}", "variant")
-        return (F.when(v.isNull(), F.array().cast("array<string>"))
-                .when(text.json_kind(v) == "STRING", F.array(F.try_variant_get(v, "$", "string")))
-                .otherwise(F.transform(v.try_cast("array<variant>"), lambda x: text.py_str(x, None))))
+        return text.let(F.variant_get(obj, f"$.{name}", "variant"), lambda v: (
+            F.when(v.isNull(), F.array().cast("array<string>"))
+            .when(text.json_kind(v) == "STRING", F.array(F.try_variant_get(v, "$", "string")))
+            .otherwise(F.transform(v.try_cast("array<variant>"), lambda x: text.py_str(x, None)))))
 
-    ok = obj.isNotNull()
-    fixed = F.when(F.col("_o").isNotNull(), field_str("fixed_code", "")).otherwise(
-        F.coalesce(lifted, F.lit("")))
+    lists = ("hardening", "references")
     failed_call = F.col("raw").isNull() | F.col("call_error").isNotNull()
-    ok = ok & ~failed_call
-    lists = {name: field_list(name) for name in ("hardening", "references")}
-    unlisted = [F.when(ok & lists[name].isNull(), F.lit(f"{name} is not a list")) for name in lists]
+    # The parse ends in a generated column: a filter on ``error`` stays above it. It would
+    # otherwise be pushed below the parse and hold copies of it, one for each use.
+    read = text.let(F.when(~failed_call, opened), lambda x: F.struct(
+        x["o"].alias("o"), x["c"].alias("c"), *[F.when(x["o"].isNotNull(), field_list(x["o"], name)).alias(name) for name in lists]))
+    df = repaired.select("*", F.explode_outer(F.array(read)).alias("_p"))
+    obj = F.col("_p.o")
+    # The three unescapes and their order.
+    lifted = F.replace(F.replace(F.replace(F.col("_p.c"), F.lit("\\n"), F.lit("\n")),
+                                 F.lit("\\t"), F.lit("\t")), F.lit('\\"'), F.lit('"'))
+    ok = obj.isNotNull()
+    fixed = F.when(F.col("_p.c").isNull(), field_str(obj, "fixed_code", "")).otherwise(lifted)
+    unlisted = [F.when(ok & F.col(f"_p.{name}").isNull(), F.lit(f"{name} is not a list")) for name in lists]
     return df.select(
         *[c for c in repaired.columns if c not in ("repaired",)],
-        F.when(ok, field_str("explanation", "")).alias("explanation"),
+        F.when(ok, field_str(obj, "explanation", "")).alias("explanation"),
         F.when(ok, fixed).alias("fixed_code"),
-        F.when(ok, lists["hardening"]).alias("hardening"),
-        F.when(ok, lists["references"]).alias("references"),
+        *[F.col(f"_p.{name}").alias(name) for name in lists],
         F.when(~ok & ~failed_call, F.substring("raw", 1, RAW_RESPONSE_CHARS)).alias("raw_response"),
         F.when(failed_call, F.coalesce(F.col("call_error"), F.lit("no reply")))
         .when(~ok, F.lit(PARSE_ERROR)).otherwise(F.coalesce(*unlisted)).alias("error"))
