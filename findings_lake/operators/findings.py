@@ -169,8 +169,10 @@ def nest_findings(functions: DataFrame, ranked: DataFrame) -> DataFrame:
 
 def flatten_findings(nested: DataFrame) -> DataFrame:
     """A1: functions x findings, order kept (``rank_pos`` per function)."""
+    # The outer form: Spark infers ``size(findings) > 0`` from the other one and pushes it
+    # below the parse, where it holds copies of the whole parse.
     return (nested.select(*FN_KEY, "function",
-                          F.posexplode("findings").alias("rank_pos", "f"))
+                          F.posexplode_outer("findings").alias("rank_pos", "f")).where("rank_pos is not null")
             .select(*FN_KEY, "function", F.col("rank_pos").cast("int"), "f.*"))
 
 

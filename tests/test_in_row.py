@@ -60,3 +60,11 @@ def test_minimum_severity_and_order(spark):
     got = {r.fn_ord: [x.cwe_id for x in r.findings] for r in A.report_rows(checked, "HIGH").collect()}
     assert got[0] == ["b", "d"]
     assert [r.quarantine_reason for r in checked.where("fn_ord = 0").first().checked] == [None] * 4 + ["confidence is not a number"]
+
+
+def test_flattening_keeps_the_parse_in_one_place(spark):
+    fns = spark.createDataFrame([], "file string, fn_ord int, name string, lineno int, end_lineno int")
+    checked = J.checked_replies(spark.createDataFrame([], "request_id string, file string, fn_ord int, raw string, error string"))
+    p = A.flatten_findings(A.nest_reports(fns, A.report_rows(checked)))._jdf.queryExecution().optimizedPlan().toString()
+    filters = sum("Filter" in x and "parseJson" in x for x in p.splitlines())
+    assert filters == 0
