@@ -198,7 +198,8 @@ def report_requests(spark, sf_dir):
     idx = F.regexp_extract("target", "app_([0-9]+)", 1).cast("long")
     bad = (F.when(idx % 5 == 1, F.expr("left(t, length(t) div 2)")).when(idx % 5 == 2, F.concat("t", F.lit("] x"))).otherwise(F.col("t")))
     (docs.where(idx % 7 != 3).select(F.col("target").alias("report"), bad.alias("value")).repartition("report")
-     .write.partitionBy("report").text(out))
+     # a file per report: tasks move their own into place, the driver doesn't move them one by one
+     .write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("report").text(out))
     asked = B.app_functions(spark, sf_dir).select(F.col("file").alias("path")).distinct()
     rows = FS.requested_reports(spark, out, asked, F.regexp_extract("file", "report=([^/]+)/", 1))
     return rows.select(

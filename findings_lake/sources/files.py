@@ -8,7 +8,7 @@ small files are packed into splits by ``spark.sql.files.openCostInBytes``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,9 +109,10 @@ def requested_reports(spark: SparkSession, folder: str, requested: DataFrame, ke
     """
     docs = whole_text(spark, folder, recursive=True)
     docs = docs.select((plain_path(F.col("file")) if key is None else key).alias("path"), "file", "text")
-    first = docs.groupBy("path").agg(F.min("file").alias("file"))
+    # every file is read once and dealt by its path once, for the choice and for the join
+    first = docs.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("file"))).where("_n = 1")
     typed = text.one_typed_object(F.col("text"), ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in REPORT_SCHEMA))
-    read = docs.join(first, ["path", "file"], "left_semi").select("path", typed.alias("d"), F.lit(True).alias("there"),
+    read = first.select("path", typed.alias("d"), F.lit(True).alias("there"),
                                                                    F.array_contains(F.json_object_keys("text"), "results").alias("listed"))
     rows = requested.select("path").distinct().join(read, "path", "left")
     error = (F.when(F.col("there").isNull(), F.format_string(NOT_FOUND.replace("{}", "%s"), "path"))

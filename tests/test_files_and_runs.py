@@ -104,3 +104,18 @@ def test_fuzzer_file_with_text_behind_its_object_is_refused(spark):
     df = spark.createDataFrame([(f"/r/ffuf_CWE_1_{k}.json", t) for k, t in texts.items()], "file string, text string")
     got = {r.file.rsplit("_", 1)[1][:-5]: r.error for r in H.parse_files(df, "200").collect()}
     assert got["ok"] is None and all(got[k] for k in ("behind", "two", "list"))
+
+
+def test_reports_parse_their_rows_once(spark):
+    from findings_lake.sources import sinks
+
+    rows = spark.createDataFrame([("b.py", 1, "g", 1, 2, []), ("b.py", 0, "f", 1, 2, [("CWE-1", "HIGH")]), ("a.py", 0, "f", 1, 2, [])],
+                                 "file string, fn_ord int, function string, line_start int, line_end int, findings array<struct<cwe_id string, severity string>>")
+    marked = rows.withColumn("findings", F.filter("findings", lambda x: F.length(x["cwe_id"]) > -5))
+    reports = sinks.scan_reports(marked)
+    plan = reports._jdf.queryExecution().optimizedPlan().toString()
+    scans = plan.count("LogicalRDD") + plan.count("LocalRelation")
+    assert scans == 1 and "Join" not in plan
+    got = {r.meta.target: (r.summary.total_functions, r.summary.functions_with_findings, r.summary.total_findings, r.summary.by_severity.HIGH,
+                           [x.function for x in r.results]) for r in reports.collect()}
+    assert got == {"a.py": (1, 0, 0, 0, ["f"]), "b.py": (2, 1, 1, 1, ["f", "g"])}
