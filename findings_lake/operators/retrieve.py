@@ -4,9 +4,9 @@ Physical design
 ---------------
 Scoring is a dot product of every query with every chunk. The pairs are
 never materialised and the knowledge base never passes through the driver:
-chunks are cut into blocks of one source and at most ``BLOCK_ROWS`` rows,
+chunks are cut into blocks of at most ``BLOCK_ROWS`` rows of each source,
 queries into parts of about ``QUERY_ROWS``; every block meets every part in an
-equi-join on (block, part). Inside such a cell the chunks are put into
+equi-join on (block, part). Inside such a cell each source's chunks are put into
 clusters of about ``CLUSTER_ROWS`` around a few centres, each with the radius
 that holds its rows, so ``query . centre + |query| * radius`` bounds every
 score of a cluster. A query scores its best-bounded cluster first and skips
@@ -36,8 +36,9 @@ from ..functions import severity as sev
 DEFAULT_TOP_K = 6
 # Fixed value: prefix of the text that the embedding model sees.
 QUERY_PREFIX = "search_query: "
-BLOCK_ROWS = 8192            # chunks of one source in a block
-QUERY_ROWS = 4096            # queries in a part (about: parts are dealt by hash)
+BLOCK_ROWS = 32768           # chunks of each source in a block: every query is sent to every block
+QUERY_ROWS = 4096            # queries in a part (about: parts are dealt by hash): every block is sent to every part
+PARTS = 64                   # beyond these, parts grow to eight times that instead of getting more
 CLUSTER_ROWS = 512           # chunks of a cluster (on average)
 MAX_SCORE_BYTES = 64 << 20   # score matrix of a slice of queries and a cluster
 
@@ -185,6 +186,16 @@ def pruned_top(vec: np.ndarray, parts, n: int):
     return found, scores, skipped
 
 
+def _by_source(sources: list, matrices):
+    """``(source, rows, values)``: the matrices' rows of one source each."""
+    names = list(dict.fromkeys(sources))
+    code = np.array([names.index(x) for x in sources], dtype=np.int64)
+    for rows, mat in matrices:
+        for c in np.unique(code[rows]):
+            mine = code[rows] == c
+            yield names[c], rows[mine], mat[mine]
+
+
 def _score(n: int, cluster_rows: int, profile: bool = False):
     def run(queries, chunks):
         import pyarrow as pa
@@ -193,9 +204,9 @@ def _score(n: int, cluster_rows: int, profile: bool = False):
                          "chunk_pos": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
         asked = {m.shape[1]: (rows, m) for rows, m in _matrices(queries["embedding"])}
         ids = np.array(queries["query_id"].to_pylist(), dtype=object)
-        source = chunks["source"][0].as_py() if len(chunks) else None
+        sources = chunks["source"].to_pylist()
         all_pos = chunks["chunk_pos"].to_numpy()
-        for rows, mat in _matrices(chunks["embedding"]):
+        for source, rows, mat in _by_source(sources, _matrices(chunks["embedding"])):
             if mat.shape[1] not in asked:
                 continue
             own, vec = asked[mat.shape[1]]
@@ -223,12 +234,13 @@ def _score(n: int, cluster_rows: int, profile: bool = False):
 
 def _cells(queries: DataFrame, kb: DataFrame, min_severity: str, block_rows: int, query_rows: int):
     """Queries and chunks, both grouped by the (block, part) they meet in."""
-    block = 2 * F.floor(F.col("chunk_pos") / block_rows) + F.when(F.col("source") == "CVE", 1).otherwise(0)
+    block = F.floor(F.col("chunk_pos") / block_rows)  # of every source, so a query is sent once for all
     chunks = eligible_chunks(kb, min_severity).select(
         "source", F.col("chunk_pos").cast("long").alias("chunk_pos"), "embedding", block.cast("long").alias("block"))
     blocks = chunks.select(F.collect_set("block")).scalar()
     q = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
-    parts = q.select(F.greatest(F.ceil(F.count(F.lit(1)) / query_rows), F.lit(1)).cast("int")).scalar()
+    n = F.count(F.lit(1))
+    parts = q.select(F.greatest(F.ceil(n / (8 * query_rows)), F.least(F.ceil(n / query_rows), F.lit(PARTS)), F.lit(1)).cast("int")).scalar()
     held = (chunks.withColumn("parts", F.sequence(F.lit(0), parts - 1)).withColumn("part", F.explode("parts")).drop("parts"))
     asked = (q.withColumn("part", F.pmod(F.xxhash64("query_id"), parts).cast("int"))
              .withColumn("blocks", blocks).withColumn("block", F.explode("blocks")).drop("blocks"))
@@ -245,6 +257,7 @@ def top_n_per_source(queries: DataFrame, kb: DataFrame, top_k: int = DEFAULT_TOP
     """
     n = per_source_n(top_k)
     found = _cells(queries, kb, min_severity, block_rows, query_rows).applyInArrow(_score(n, cluster_rows), TOPN_SCHEMA)
+    found = found.repartition("query_id")  # for this window and what else goes by query
     w = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), F.desc("chunk_pos"))
     return (found.withColumn("rn", F.row_number().over(w).cast("int")).where(F.col("rn") <= n)
             .select("query_id", "source", "rn", "chunk_pos", "score"))

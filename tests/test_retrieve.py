@@ -144,3 +144,23 @@ def test_building_a_query_starts_no_job(spark):
     before = spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
     R.retrieve_context(qs, kb)
     assert spark.sparkContext._jsc.sc().statusStore().jobsList(None).size() == before
+
+
+def test_hits_are_dealt_by_query_once_and_parts_stay_few(spark):
+    import re
+
+    qs = spark.range(300000).selectExpr("cast(id as string) query_id", "array(1D, cast(id as double)) embedding")
+    kb = spark.createDataFrame([("CWE", 0, "a", [1.0, 0.0])], "source string, chunk_pos long, chunk_text string, embedding array<double>")
+    p = R.interleave(R.top_n_per_source(qs, kb))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(query_id#\d+(, source#\d+)?, ", p)) == 1
+    parts = R.pruning_profile(qs, kb)  # every query meets the one chunk once, in whatever part it is
+    assert parts.first().n_cells == 300000
+
+
+def test_a_query_is_sent_once_for_all_sources(spark):
+    rows = [("CWE" if i % 2 else "CVE", i // 2, f"t{i}", "HIGH", [float(i), 1.0]) for i in range(8)]
+    kb = spark.createDataFrame(rows, "source string, chunk_pos long, chunk_text string, cvss_severity string, embedding array<double>")
+    qs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "query_id string, embedding array<double>")
+    assert R._by_source(["CVE", "CWE", "CVE"], [(np.array([0, 1, 2]), np.eye(3))]).__next__()[1].tolist() == [0, 2]
+    got = {(r.query_id, r.source): r.chunk_pos for r in R.top_n_per_source(qs, kb).where("rn = 1").collect()}
+    assert got == {(q, s): 3 for q in "ab" for s in ("CWE", "CVE")}
