@@ -43,3 +43,10 @@ def test_no_nested_loop_or_cartesian_joins(spark):
                  "mitigation_report", "scan_prompts", "combined_report"]:
         p = plan(spark, name)
         assert "NestedLoopJoin" not in p and "CartesianProduct" not in p, name
+
+
+def test_mitigation_preview_filters_above_the_parse(spark):
+    p = Q.registry()["mitigation_preview"](spark, SF01)._jdf.queryExecution().optimizedPlan().toString()
+    parses = sum("parseJson(concat([, repaired#" in x for x in p.splitlines())
+    filters = sum("Filter" in x and "parseJson" in x for x in p.splitlines())
+    assert (parses, filters) == (1, 0)
