@@ -30,6 +30,7 @@ counted each; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from itertools import repeat
 from zlib import crc32
 
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import prepare, stash
 
 CLASSES, CLASS_WORDS, TAIL = 16, 64, 16
+#: Class sizes are powers of two, so that inner loops may shift and mask.
+WORD_BITS, TAIL_BITS = (CLASS_WORDS - 1).bit_length(), (TAIL - 1).bit_length()
 #: Counted words that a leaf of the tail may hold before the tree gets a level more, and most levels.
 LEAF, LEVELS = 1024, 2
 #: Feature buckets (rows of weights) of either table: at least, for each root of a counted word, at most.
@@ -57,8 +60,8 @@ HIGHEST = 80.0
 TRAINERS, SHARE = 4096, 0.75
 #: Weight rows in one block on their way to the average.
 BLOCK = 256
-#: Tokens that one scoring step looks at.
-STEP = 1 << 11
+#: Tokens that one scoring step looks at, and rows that training works on at once.
+STEP, ROWS = 1 << 12, 1 << 10
 #: The end of a text, a word that no text can hold.
 END = b"\n"
 
@@ -124,7 +127,7 @@ def tail_code(word: bytes) -> int:
 def leaf_of(code, levels: int):
     """The leaf of words (``leaf_column`` in SQL) below all tail classes, from their ``tail_code``."""
     parts = CLASS_WORDS ** levels
-    return code % TAIL * parts + (code // TAIL >> 5) % parts
+    return (code & TAIL - 1) * parts + (code >> TAIL_BITS + 5 & parts - 1)
 
 
 def leaf_column(word, levels: int):
@@ -177,11 +180,13 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Table(dict):
-    """Frequent word -> its number; any other word -> -1 - its ``tail_code``."""
+def tail_codes(words: list[bytes]):
+    """``tail_code`` of each word."""
+    import numpy as np
 
-    def __missing__(self, word: bytes) -> int:
-        return -1 - tail_code(word)
+    whole = np.fromiter(map(crc32, words), dtype=np.int64, count=len(words))
+    end = np.fromiter(map(crc32, [w[-4:] for w in words]), dtype=np.int64, count=len(words))
+    return whole * TAIL + end % TAIL
 
 
 class Lexicon:
@@ -192,10 +197,10 @@ class Lexicon:
     def __init__(self, words: list[bytes], counts: list[int], tail, total: int, distinct: int, codes=None):
         import numpy as np
 
-        self.table = Table({w: k for k, w in enumerate(words)})
+        self.table = {w: k for k, w in enumerate(words)}
         self.total, self.distinct, self.buckets = total, distinct, buckets(distinct)
         self.named = named = min(len(words), CLASSES * CLASS_WORDS)
-        self.codes = np.r_[np.array([tail_code(w) for w in words] if codes is None else codes, dtype=np.int64), 0]
+        self.codes = np.r_[tail_codes(words) if codes is None else codes, 0]
         # One entry for each table word and one for all others.
         self.log_c = np.r_[np.log10(np.array(counts, dtype=float) + 1), 0]
         mass = np.asarray(tail, dtype=float).sum(axis=1) + 1
@@ -224,45 +229,52 @@ class Lexicon:
             held[1] = cls(*held[0])
         return held[1]
 
-    def stream(self, column):
+    def stream(self, column, outside: bool = True):
         """``(numbers, codes, document, features, rare)`` of all tokens of an Arrow string column, ends
         included: table numbers (-1: outside), ``tail_code``, text numbers, feature buckets (a row for each feature), and
-        the tokens outside the table as (document, words)."""
+        the tokens outside the table as (document, words), if asked for."""
         import numpy as np
         import pyarrow as pa
 
         words, sizes = words_of(column)
         coded = words.dictionary_encode()
         distinct = as_bytes(coded.dictionary) + [END]
-        found = np.fromiter(map(self.table.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        # What is known of a word is found once for each distinct word of the column.
+        found = np.fromiter(map(self.table.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        codes, lost = self.codes[found], np.flatnonzero(found < 0)
+        codes[lost] = tail_codes([distinct[k] for k in lost])
+        bucket = lambda x, k: mixed(x, k) * self.buckets >> 32
         ends = np.cumsum(sizes + 1) - 1
         n = len(words) + len(sizes)
         own, word = np.ones(n, dtype=bool), np.full(n, len(distinct) - 1)
         own[ends] = False
         word[own] = coded.indices.to_numpy(zero_copy_only=False)
-        number = found[word]
+        number, code = found[word], codes[word]
         document = np.repeat(np.arange(len(sizes)), sizes + 1)
-        outside = np.flatnonzero(number < 0)
-        rare = (document[outside], pa.array(distinct, pa.binary()).cast(pa.string()).take(pa.array(word[outside])))
-        code = self.codes[np.maximum(number, -1)]
-        code[outside] = -1 - number[outside]
-        number[outside] = -1
-        at = np.arange(n) - np.repeat(ends - sizes, sizes + 1)
-        none = TAIL << 32  # no word's code
-        back = []
-        for d in (1, 2):
-            b = np.full(n, none)
-            b[d:] = code[:-d] if n > d else code[:0]
-            b[at < d] = none
-            back.append(b)
-        features = np.stack([mixed(x, k) * self.buckets >> 32 for k, x in ((1, back[0]), (2, back[1]), (4, mixed(*back)))])
+        rare = None
+        if outside:
+            at = np.flatnonzero(number < 0)
+            rare = (document[at], pa.concat_arrays([coded.dictionary, pa.array([END.decode()], coded.dictionary.type)])
+                    .cast(pa.string()).take(pa.array(word[at])))
+        none = np.array([TAIL << 32])  # no word's code
+        starts = ends - sizes
+        early = (starts, np.r_[starts, starts[sizes > 0] + 1])  # tokens with no word so many places before
+
+        def before(d, values, filler):
+            b = np.empty(n, dtype=np.int64)
+            b[d:] = values[:-d] if n > d else values[:0]
+            b[early[d - 1]] = filler
+            return b
+
+        both = mixed(before(1, code, none), before(2, code, none))
+        features = np.stack([*(before(d, bucket(codes, d)[word], bucket(none, d)) for d in (1, 2)), bucket(both, 4)])
         return number, code, document, features, rare
 
     def group(self, number, code):
         """The first choice: classes of frequent words, then tail classes."""
         import numpy as np
 
-        return np.where((number >= 0) & (number < self.named), number // CLASS_WORDS, CLASSES + code % TAIL)
+        return np.where((number >= 0) & (number < self.named), number >> WORD_BITS, CLASSES + (code & TAIL - 1))
 
     def choices(self, number, code):
         """The choices after the first, level by level: ``(tokens, nodes, children)``."""
@@ -270,12 +282,13 @@ class Lexicon:
 
         named = (number >= 0) & (number < self.named)
         inside = np.flatnonzero(named)
-        yield inside, number[inside] // CLASS_WORDS, number[inside] % CLASS_WORDS
+        own = number[inside]
+        yield inside, own >> WORD_BITS, own & CLASS_WORDS - 1
         tail = np.flatnonzero(~named)
         leaf, first = leaf_of(code[tail], self.levels), CLASSES
         for k in range(self.levels):
-            below = leaf // CLASS_WORDS ** (self.levels - 1 - k)
-            yield tail, first + below // CLASS_WORDS, below % CLASS_WORDS
+            below = leaf >> WORD_BITS * (self.levels - 1 - k)
+            yield tail, first + (below >> WORD_BITS), below & CLASS_WORDS - 1
             first += TAIL * CLASS_WORDS ** k
 
     def log_inside(self, number, code):
@@ -297,42 +310,74 @@ def softmax_log(z):
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def across(z):
+    """Sums of the rows of ``z`` (a product with ones, several times faster than ``sum``)."""
+    import numpy as np
+
+    return z @ np.ones(z.shape[1], dtype=z.dtype)
+
+
+def bounded(z):
+    """``z`` with no logit above ``HIGHEST``, in place."""
+    import numpy as np
+
+    return np.minimum(z, HIGHEST, out=z) if z.max(initial=0) > HIGHEST else z
+
+
 def goal_log(z, goal):
     """``softmax_log(z)`` at one column of each row; ``z`` is overwritten."""
     import numpy as np
 
-    np.minimum(z, HIGHEST, out=z)
-    own = z[np.arange(len(goal)), goal]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    own = bounded(z).reshape(-1).take(np.arange(0, z.size, z.shape[1]) + goal)
+    return own - np.log(across(np.exp(z, out=z)))
 
 
-def summed(weights, rows):
+def summed(weights, rows, out=None, room=None):
+    """Sums of the rows of weights of each token, into ``out`` by way of ``room`` if given. (Every
+    row is there: "clip" only saves numpy a copy.)"""
     import numpy as np
 
-    out = np.take(weights, rows[0], axis=0)
+    n, width = rows.shape[1], weights.shape[1]
+    out = np.empty((n, width), dtype=weights.dtype) if out is None else out
+    room = np.empty((n, width), dtype=weights.dtype) if room is None else room[:n]
+    weights.take(rows[0], axis=0, out=out, mode="clip")
     for own in rows[1:]:
-        out += np.take(weights, own, axis=0)
+        out += weights.take(own, axis=0, out=room, mode="clip")
     return out
 
 
-def row_sums(values, places, start):
-    """Sums of ``values[places]`` over runs of ``places`` that begin at ``start``, long runs first:
-    ``(order of the runs, their sizes, sums)``. Runs are added step by step, all at once; what a
-    long run holds beyond ``LONG_RUN`` is summed by itself."""
+def by_size(start, n: int):
+    """Runs of ``n`` places that begin at ``start``: their order, long ones first, and their sizes in it."""
     import numpy as np
 
-    size = np.diff(np.r_[start, len(places)])
-    order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
-    sums = np.take(values, places[start], axis=0)
-    for step in range(1, LONG_RUN):
-        live = np.searchsorted(-size, -step)  # the runs of more than so many
+    size = np.diff(np.r_[start, n])
+    order = np.argsort((LONG_RUN + 1 - np.minimum(size, LONG_RUN + 1)).astype(np.uint8), kind="stable")
+    return order, size[order]
+
+
+def run_sums(values, places, start, size):
+    """Sums of ``values[places]`` over runs of ``places`` (long ones first, as ``by_size`` puts them) that begin
+    at ``start``. Runs are added step by step, all at once; what a long run holds beyond ``LONG_RUN`` is
+    summed by itself."""
+    import numpy as np
+
+    sums = values.take(places[start], axis=0)
+    more_than = np.searchsorted(-np.minimum(size, LONG_RUN + 1), -np.arange(LONG_RUN + 1))  # runs of more than so many
+    for step, live in enumerate(more_than[1:LONG_RUN].tolist(), 1):
         if not live:
             break
-        sums[:live] += np.take(values, places[start[:live] + step], axis=0)
-    for k in range(np.searchsorted(-size, -LONG_RUN)):
-        sums[k] += np.take(values, places[start[k] + LONG_RUN:start[k] + size[k]], axis=0).sum(axis=0)
-    return order, size, sums
+        sums[:live] += values.take(places[start[:live] + step], axis=0)
+    for k in range(more_than[LONG_RUN]):
+        more = values.take(places[start[k] + LONG_RUN:start[k] + size[k]], axis=0)
+        sums[k] += np.ones(len(more), dtype=values.dtype) @ more
+    return sums
+
+
+def row_sums(values, places, start):
+    """Sums of ``values[places]`` over runs of ``places`` that begin at ``start``, long runs first:
+    ``(order of the runs, their sizes, sums)``."""
+    order, size = by_size(start, len(places))
+    return order, size, run_sums(values, places, start[order], size)
 
 
 class Trainer:
@@ -352,33 +397,43 @@ class Trainer:
         import numpy as np
 
         shift = rows.shape[1].bit_length()
-        tagged = np.sort((rows << shift | np.arange(rows.shape[1])).ravel())  # by row of weights, then by token
-        flat = tagged >> shift
+        tag = np.uint32 if len(self.weights[which]) << shift <= 1 << 32 else np.uint64
+        tagged = np.sort((rows.astype(tag) << tag(shift) | np.arange(rows.shape[1], dtype=tag)).ravel())  # by row of weights, then by token
+        flat, places = tagged >> tag(shift), (tagged & tag((1 << shift) - 1)).astype(np.int64)
         start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        order, size, grad = row_sums(wrong, tagged & (1 << shift) - 1, start)
-        used, weights, squares = flat[start[order]], self.weights[which], self.squares[which]
-        squares[used] += np.einsum("ij,ij->i", grad, grad) / SPREAD
-        grad *= (RATE / np.sqrt(squares[used]))[:, None]
-        weights[used] = np.take(weights, used, axis=0) - grad
+        order, size = by_size(start, len(flat))
+        start = start[order]
+        used, weights, squares = flat[start].astype(np.int64), self.weights[which], self.squares[which]
         self.touched[which][used] += size
+        room = np.empty((ROWS, weights.shape[1]), dtype=np.float32)
+        for at in range(0, len(used), ROWS):  # blocks of rows stay in the cache
+            own = slice(at, at + ROWS)
+            row, grad = used[own], run_sums(wrong, places, start[own], size[own])
+            square = squares[row] + np.einsum("ij,ij->i", grad, grad) / SPREAD
+            squares[row] = square
+            grad *= (RATE / np.sqrt(square))[:, None]
+            weights[row] = np.subtract(weights.take(row, axis=0, out=room[:len(row)], mode="clip"), grad, out=grad)
 
     def learn(self, number, code, features):
-        import numpy as np
-
         lex = self.lexicon
         self._step(0, features, lex.group(number, code), lex.bias)
         for at, node, child in lex.choices(number, code):
             if len(at):
-                self._step(1, lex.rows_inside(features[:, at], node), child, np.take(lex.inner_bias, node, axis=0))
+                self._step(1, lex.rows_inside(features[:, at], node), child, lex.inner_bias, node)
 
-    def _step(self, which: int, rows, goal, bias):
+    def _step(self, which: int, rows, goal, bias, node=None):
         import numpy as np
 
-        wrong = summed(self.weights[which], rows)
-        wrong += bias
-        np.exp(np.minimum(wrong, HIGHEST, out=wrong), out=wrong)
-        wrong /= wrong.sum(axis=1, keepdims=True)
-        wrong[np.arange(len(goal)), goal] -= 1
+        weights = self.weights[which]
+        wrong = np.empty((len(goal), weights.shape[1]), dtype=np.float32)
+        room = np.empty((ROWS, weights.shape[1]), dtype=np.float32)
+        for at in range(0, len(goal), ROWS):  # blocks of tokens stay in the cache
+            own = slice(at, at + ROWS)
+            z = summed(weights, rows[:, own], wrong[own], room)
+            z += bias if node is None else bias.take(node[own], axis=0, out=room[:len(z)], mode="clip")
+            np.exp(bounded(z), out=z)
+            z *= (1 / across(z))[:, None]
+            z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + goal[own]] -= 1
         self._descend(which, rows, wrong)
 
 
@@ -397,7 +452,7 @@ def train_round(rows: DataFrame, lexicon, weights=None, tasks: int = TRAINERS) -
         trainer = Trainer(Lexicon.of(lexicon.value), weights.value if weights else None)
         held, size = [], 0
         for b in batches:
-            number, code, _, features, _ = trainer.lexicon.stream(b.column(0))
+            number, code, _, features, _ = trainer.lexicon.stream(b.column(0), outside=False)
             if not len(number):
                 continue
             held.append((number, code, features))
@@ -448,6 +503,25 @@ def train_round(rows: DataFrame, lexicon, weights=None, tasks: int = TRAINERS) -
     return new
 
 
+def path_log(lex: Lexicon, outer, inner, number, code, features):
+    """The natural logarithm of each token's choices together, ``STEP`` tokens at a time."""
+    import numpy as np
+
+    log_p = np.zeros(len(number))
+    room = [np.empty((STEP, w.shape[1]), dtype=w.dtype) for w in (outer, outer, inner, inner)]
+    for at in range(0, len(number), STEP):
+        own = slice(at, at + STEP)
+        f, goal = features[:, own], lex.group(number[own], code[own])
+        z = summed(outer, f, room[0][:len(goal)], room[1])
+        z += lex.bias
+        log_p[own] = goal_log(z, goal)
+        for k, node, child in lex.choices(number[own], code[own]):
+            z = summed(inner, lex.rows_inside(f[:, k], node), room[2][:len(k)], room[3])
+            z += lex.inner_bias.take(node, axis=0, out=room[3][:len(k)], mode="clip")
+            log_p[at + k] += goal_log(z, child)
+    return log_p
+
+
 def score_rows(rows: DataFrame, lexicon, weights) -> DataFrame:
     """Rows ``id, held_out, text`` -> for each row ``row`` one line with its
     sums (``word`` null) and one line for each token outside the table."""
@@ -463,18 +537,12 @@ def score_rows(rows: DataFrame, lexicon, weights) -> DataFrame:
         for b in batches:
             m = b.num_rows
             number, code, document, features, (rare, words) = lex.stream(b.column(2))
-            log_p = np.zeros(len(number))
-            for at in range(0, len(number), STEP):
-                own = slice(at, at + STEP)
-                f, g = features[:, own], lex.group(number[own], code[own])
-                log_p[own] = goal_log(summed(outer, f) + lex.bias, g)
-                for k, node, child in lex.choices(number[own], code[own]):
-                    log_p[at + k] += goal_log(summed(inner, lex.rows_inside(f[:, k], node)) + np.take(lex.inner_bias, node, axis=0), child)
-            log_p /= np.log(10)
+            log_p = path_log(lex, outer, inner, number, code, features) / np.log(10)
             log_c = lex.log_c[number]
             log_p += lex.log_inside(number, code)
-            add = lambda w: np.bincount(document, weights=w, minlength=m)
             n_tokens = np.bincount(document, minlength=m)
+            first = np.cumsum(n_tokens) - n_tokens
+            add = lambda w: np.add.reduceat(w, first) if m else w  # every text has its end token
             row = base + np.arange(m)
             base += m
             yield pa.RecordBatch.from_arrays(
@@ -483,7 +551,7 @@ def score_rows(rows: DataFrame, lexicon, weights) -> DataFrame:
                  pa.concat_arrays([b.column(0), pa.nulls(len(words), b.column(0).type)]),
                  pa.concat_arrays([b.column(1), pa.nulls(len(words), pa.bool_())]),
                  pa.array(np.r_[n_tokens, np.ones(len(words), dtype=np.int64)], pa.int64()),
-                 pa.array(np.r_[add(number >= 0).astype(np.int64), np.zeros(len(words), dtype=np.int64)], pa.int64()),
+                 pa.array(np.r_[add((number >= 0).astype(np.int64)), np.zeros(len(words), dtype=np.int64)], pa.int64()),
                  pa.array(np.r_[add(log_c), np.zeros(len(words))]), pa.array(np.r_[add(log_p), np.zeros(len(words))])],
                 ["row", "word", "id", "held_out", "n", "known", "base", "score"])
 
@@ -522,7 +590,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     tail[leaves["t"].to_numpy()] = np.stack([leaves["n"].to_numpy(), leaves["c"].to_numpy()], axis=1)
     for w, c in frequent[:CLASSES * CLASS_WORDS]:  # the model's own words are no tail words
         tail[leaf_of(tail_code(w), levels)] -= (1, c)
-    codes = np.array([tail_code(w) for w, _ in frequent], dtype=np.int64)
+    codes = tail_codes([w for w, _ in frequent])
     lexicon = spark.sparkContext.broadcast([([w for w, _ in frequent], [c for _, c in frequent], tail, total, distinct, codes), None])
 
     weights = None

@@ -165,3 +165,55 @@ def test_words_split_as_bytes_do():
     want = [(t or "").encode().lower().split() for t in texts]
     assert lm.as_bytes(words) == [w for own in want for w in own] and sizes.tolist() == [len(own) for own in want]
     assert [len(x) for x in lm.words_of(pa.array([], pa.string()))] == [0, 0]
+
+
+def _plain_lexicon():
+    rng = random.Random(4)
+    words = [lm.END] + [f"k{i}".encode() for i in range(3000)]
+    counts = sorted((rng.randint(1, 900) for _ in words), reverse=True)
+    tail = np.zeros((lm.TAIL, 2), dtype=np.int64)
+    for w, c in list(zip(words, counts))[lm.CLASSES * lm.CLASS_WORDS:]:
+        tail[lm.ending(w)] += (1, c)
+    return lm.Lexicon(words, counts, tail, sum(counts), len(words))
+
+
+def test_results_do_not_depend_on_the_blocks_worked_on_at_once(monkeypatch):
+    rng, lex = random.Random(6), _plain_lexicon()
+    text = pa.array([" ".join(f"k{min(rng.randint(0, 4000), rng.randint(0, 4000))}" for _ in range(rng.randint(0, 200))) for _ in range(40)])
+    number, code, _, features, _ = lex.stream(text)
+    found = []
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(lm, "ROWS", size)
+        monkeypatch.setattr(lm, "STEP", size)
+        trainer = lm.Trainer(lex)
+        for _ in range(2):
+            trainer.learn(number, code, features)
+        found.append((*trainer.weights, *trainer.touched, lm.path_log(lex, *trainer.weights, number, code, features)))
+    assert found[0][0].any() and found[0][1].any() and (found[0][-1] < 0).all()
+    for own in found[1:]:
+        assert all(np.allclose(a, b, rtol=1e-4, atol=1e-4) for a, b in zip(found[0], own))
+
+
+def test_stream_looks_words_up_once_and_keeps_every_token():
+    lex = _plain_lexicon()
+    asked, table = [], lex.table
+
+    class Counted(dict):
+        def get(self, word, default=None):
+            asked.append(word)
+            return super().get(word, default)
+
+    lex.table = Counted(table)
+    texts = ["K1 new k2 new", None, "", "k2999 k1 k1 other"] * 3
+    number, code, document, features, (at, rare) = lex.stream(pa.array(texts))
+    words = [[w.encode() for w in (t or "").lower().split()] + [lm.END] for t in texts]
+    flat = [w for ws in words for w in ws]
+    assert len(asked) == len(set(asked)) == len(set(flat))
+    assert number.tolist() == [table.get(w, -1) for w in flat] and code.tolist() == [lm.tail_code(w) for w in flat]
+    assert document.tolist() == [k for k, ws in enumerate(words) for _ in ws]
+    assert list(zip(at.tolist(), rare.to_pylist())) == [(k, w.decode()) for k, ws in enumerate(words) for w in ws if w not in table]
+    none = lm.TAIL << 32
+    for d in (1, 2):
+        back = [lm.tail_code(ws[k - d]) if k >= d else none for ws in words for k in range(len(ws))]
+        assert features[d - 1].tolist() == (lm.mixed(np.array(back), d) * lex.buckets >> 32).tolist()
+    assert lex.stream(pa.array(texts), outside=False)[-1] is None
