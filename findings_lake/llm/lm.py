@@ -368,8 +368,7 @@ def run_sums(values, places, start, size):
             break
         sums[:live] += values.take(places[start[:live] + step], axis=0)
     for k in range(more_than[LONG_RUN]):
-        more = values.take(places[start[k] + LONG_RUN:start[k] + size[k]], axis=0)
-        sums[k] += np.ones(len(more), dtype=values.dtype) @ more
+        sums[k] += values.take(places[start[k] + LONG_RUN:start[k] + size[k]], axis=0).sum(axis=0)
     return sums
 
 
@@ -432,7 +431,7 @@ class Trainer:
             z = summed(weights, rows[:, own], wrong[own], room)
             z += bias if node is None else bias.take(node[own], axis=0, out=room[:len(z)], mode="clip")
             np.exp(bounded(z), out=z)
-            z *= (1 / across(z))[:, None]
+            z /= z.sum(axis=1, keepdims=True)
             z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + goal[own]] -= 1
         self._descend(which, rows, wrong)
 
