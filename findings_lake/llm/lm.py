@@ -47,7 +47,7 @@ LEAF, LEVELS = 1024, 2
 BUCKETS, ROOT_BUCKETS, MOST_BUCKETS = 1 << 13, 48, 1 << 19
 #: Words in the broadcast table of counts, and their bytes together.
 TABLE_WORDS, TABLE_BYTES = 1 << 18, 16 << 20
-#: A task's word counter is emptied when it holds so many words.
+#: A task adds its word counts up when it holds twice so many, and sends them if more words than this are left.
 COUNTER = 400_000
 MINIBATCH, RATE, START = 16384, 0.5, 0.5
 #: Times that a minibatch touches a row before the rest of its gradient is summed by itself.
@@ -161,21 +161,26 @@ def word_counts(rows: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        def out(counter):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counter), pa.binary()).cast(pa.string()), pa.array(counter.values(), pa.int64())], ["word", "c"])
+        def merged(parts):
+            whole = pa.Table.from_batches(parts).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            return whole.select(["word", "c_sum"]).rename_columns(["word", "c"]).combine_chunks().to_batches()
 
-        counter: dict = {}
+        parts, held = [], 0
         for b in batches:
             found = words_of(b.column(0))[0].value_counts()
-            for word, c in zip(as_bytes(found.field("values")), found.field("counts").to_numpy().tolist()):
-                counter[word] = counter.get(word, 0) + c
-            counter[END] = counter.get(END, 0) + b.num_rows
-            if len(counter) > COUNTER:
-                yield out(counter)
-                counter = {}
-        if counter:
-            yield out(counter)
+            values, counts = found.field("values"), found.field("counts")
+            parts.append(pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([values, pa.array([END.decode()], values.type)]),
+                 pa.concat_arrays([counts, pa.array([b.num_rows], counts.type)])], ["word", "c"]))
+            held += parts[-1].num_rows
+            if held > 2 * COUNTER:
+                parts = merged(parts)
+                held = sum(p.num_rows for p in parts)
+                if held > COUNTER:
+                    yield from parts
+                    parts, held = [], 0
+        if parts:
+            yield from merged(parts)
 
     return rows.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 

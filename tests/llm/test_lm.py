@@ -217,3 +217,22 @@ def test_stream_looks_words_up_once_and_keeps_every_token():
         back = [lm.tail_code(ws[k - d]) if k >= d else none for ws in words for k in range(len(ws))]
         assert features[d - 1].tolist() == (lm.mixed(np.array(back), d) * lex.buckets >> 32).tolist()
     assert lex.stream(pa.array(texts), outside=False)[-1] is None
+
+
+def test_word_counts_are_whole_however_often_they_are_sent(monkeypatch):
+    class Rows:  # runs the task's function here, so that the counter can be small
+        def mapInArrow(self, run, schema):
+            texts = [["a b b", None, "C a"], ["", "d e f g h"], ["a"] * 5, ["b é c"]]
+            self.sent = list(run(iter(pa.record_batch([pa.array(t, pa.string())], ["text"]) for t in texts)))
+            return self
+
+        groupBy = agg = lambda self, *_: self
+
+    monkeypatch.setattr(lm.F, "sum", lambda c: lm.F.lit)
+    monkeypatch.setattr(lm.F, "lit", type("Sum", (), {"alias": lambda *_: None})(), raising=False)
+    for counter in (0, 3, 1000):
+        monkeypatch.setattr(lm, "COUNTER", counter)
+        found = Counter()
+        for b in lm.word_counts(Rows()).sent:
+            found.update(dict(zip(b["word"].to_pylist(), b["c"].to_pylist())))
+        assert found == Counter({"a": 7, "b": 3, "c": 2, "d": 1, "e": 1, "f": 1, "g": 1, "h": 1, "é": 1, "\n": 11})
