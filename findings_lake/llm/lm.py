@@ -56,12 +56,14 @@ LONG_RUN = 32
 SPREAD = 64.0
 #: Logits end here, far above any that training reaches, so that ``exp`` stays finite.
 HIGHEST = 80.0
+#: Rows with a weight beyond this are scored by their logits, so that products of three powers stay in the range of floats.
+FAR = 24.0
 #: Training tasks at most, and the share of the training text that their changed rows may take on the network.
 TRAINERS, SHARE = 4096, 0.75
 #: Weight rows in one block on their way to the average.
 BLOCK = 256
 #: Tokens that one scoring step looks at, and rows that training works on at once.
-STEP, ROWS = 1 << 12, 1 << 10
+STEP, ROWS = 1 << 12, 1 << 12
 #: The end of a text, a word that no text can hold.
 END = b"\n"
 
@@ -95,9 +97,12 @@ def mixed(x, y):
     """A hash of integer arrays, below 2^32."""
     import numpy as np
 
-    z = (np.asarray(x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.asarray(y).astype(np.uint64)
-    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (z >> np.uint64(32)).astype(np.int64)
+    z = np.asarray(x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z ^= np.asarray(y).astype(np.uint64)
+    z ^= z >> np.uint64(29)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z >>= np.uint64(32)
+    return z.view(np.int64)
 
 
 def mixed_small(x, y):
@@ -254,7 +259,7 @@ class Lexicon:
         own, word = np.ones(n, dtype=bool), np.full(n, len(distinct) - 1)
         own[ends] = False
         word[own] = coded.indices.to_numpy(zero_copy_only=False)
-        number, code = found[word], codes[word]
+        number, code = found.take(word), codes.take(word)
         document = np.repeat(np.arange(len(sizes)), sizes + 1)
         rare = None
         if outside:
@@ -265,14 +270,16 @@ class Lexicon:
         starts = ends - sizes
         early = (starts, np.r_[starts, starts[sizes > 0] + 1])  # tokens with no word so many places before
 
-        def before(d, values, filler):
-            b = np.empty(n, dtype=np.int64)
+        def before(d, values, filler, b):
             b[d:] = values[:-d] if n > d else values[:0]
             b[early[d - 1]] = filler
             return b
 
-        both = mixed(before(1, code, none), before(2, code, none))
-        features = np.stack([*(before(d, bucket(codes, d)[word], bucket(none, d)) for d in (1, 2)), bucket(both, 4)])
+        features = np.empty((3, n), dtype=np.int64)
+        both = mixed(before(1, code, none, features[0]), before(2, code, none, features[1]))
+        features[2] = bucket(both, 4)
+        for d in (1, 2):
+            before(d, bucket(codes, d).take(word), bucket(none, d), features[d - 1])
         return number, code, document, features, rare
 
     def group(self, number, code):
@@ -377,6 +384,14 @@ def run_sums(values, places, start, size):
     return sums
 
 
+def put_rows(weights, row, values):
+    """``weights[row] = values`` for whole rows (each row copied as one item, which takes numpy half the time)."""
+    import numpy as np
+
+    item = np.dtype((np.void, weights.itemsize * weights.shape[1]))
+    weights.view(item).reshape(-1).put(row, values.view(item).reshape(-1), mode="clip")
+
+
 def row_sums(values, places, start):
     """Sums of ``values[places]`` over runs of ``places`` that begin at ``start``, long runs first:
     ``(order of the runs, their sizes, sums)``."""
@@ -397,26 +412,37 @@ class Trainer:
         self.squares = [np.full(len(w), START, dtype=np.float32) for w in self.weights]
         self.touched = [np.zeros(len(w), dtype=np.int64) for w in self.weights]
 
-    def _descend(self, which: int, rows, wrong):
+    def _descend(self, which: int, rows, wrong, norm):
+        """``norm``: the squares of each row of ``wrong`` together, the gradient's of a row of weights touched once."""
         import numpy as np
 
         shift = rows.shape[1].bit_length()
         tag = np.uint32 if len(self.weights[which]) << shift <= 1 << 32 else np.uint64
         tagged = np.sort((rows.astype(tag) << tag(shift) | np.arange(rows.shape[1], dtype=tag)).ravel())  # by row of weights, then by token
         flat, places = tagged >> tag(shift), (tagged & tag((1 << shift) - 1)).astype(np.int64)
-        start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        first = np.ones(len(flat), dtype=bool)
+        np.not_equal(flat[1:], flat[:-1], out=first[1:])
+        start = np.flatnonzero(first)
         order, size = by_size(start, len(flat))
-        start = start[order]
-        used, weights, squares = flat[start].astype(np.int64), self.weights[which], self.squares[which]
+        start = start.take(order)
+        used, weights, squares = flat.take(start).astype(np.int64), self.weights[which], self.squares[which]
         self.touched[which][used] += size
-        room = np.empty((ROWS, weights.shape[1]), dtype=np.float32)
-        for at in range(0, len(used), ROWS):  # blocks of rows stay in the cache
-            own = slice(at, at + ROWS)
-            row, grad = used[own], run_sums(wrong, places, start[own], size[own])
-            square = squares[row] + np.einsum("ij,ij->i", grad, grad) / SPREAD
-            squares[row] = square
-            grad *= (RATE / np.sqrt(square))[:, None]
-            weights[row] = np.subtract(weights.take(row, axis=0, out=room[:len(row)], mode="clip"), grad, out=grad)
+        square = squares.take(used)
+        room = np.empty((2, min(ROWS, len(used)), weights.shape[1]), dtype=np.float32)
+        several = np.count_nonzero(size > 1)
+        for at, end in [(at, min(at + ROWS, stop)) for begin, stop in ((0, several), (several, len(used)))
+                        for at in range(begin, stop, ROWS)]:  # blocks of rows stay in the cache
+            own, row, old = slice(at, end), used[at:end], room[0, :end - at]
+            if at < several:
+                grad = run_sums(wrong, places, start[own], size[own])
+                more = np.einsum("ij,ij->i", grad, grad)
+            else:
+                alone = places.take(start[own])
+                grad, more = wrong.take(alone, axis=0, out=room[1, :end - at], mode="clip"), norm.take(alone)
+            square[own] += more / SPREAD
+            grad *= (RATE / np.sqrt(square[own]))[:, None]
+            put_rows(weights, row, np.subtract(weights.take(row, axis=0, out=old, mode="clip"), grad, out=grad))
+        squares[used] = square
 
     def learn(self, number, code, features):
         lex = self.lexicon
@@ -430,7 +456,7 @@ class Trainer:
 
         weights = self.weights[which]
         wrong = np.empty((len(goal), weights.shape[1]), dtype=np.float32)
-        room = np.empty((ROWS, weights.shape[1]), dtype=np.float32)
+        room, norm = np.empty((ROWS, weights.shape[1]), dtype=np.float32), np.empty(len(goal), dtype=np.float32)
         for at in range(0, len(goal), ROWS):  # blocks of tokens stay in the cache
             own = slice(at, at + ROWS)
             z = summed(weights, rows[:, own], wrong[own], room)
@@ -438,7 +464,8 @@ class Trainer:
             np.exp(bounded(z), out=z)
             z /= z.sum(axis=1, keepdims=True)
             z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + goal[own]] -= 1
-        self._descend(which, rows, wrong)
+            np.einsum("ij,ij->i", z, z, out=norm[own])
+        self._descend(which, rows, wrong, norm)
 
 
 def _shapes(rows: int = BUCKETS):
@@ -507,22 +534,65 @@ def train_round(rows: DataFrame, lexicon, weights=None, tasks: int = TRAINERS) -
     return new
 
 
-def path_log(lex: Lexicon, outer, inner, number, code, features):
-    """The natural logarithm of each token's choices together, ``STEP`` tokens at a time."""
+def products(powers, rows, out, room):
+    """Products of the rows of ``powers`` of each token, into ``out`` by way of ``room``."""
+    powers.take(rows[0], axis=0, out=out, mode="clip")
+    for own in rows[1:]:
+        out *= powers.take(own, axis=0, out=room, mode="clip")
+    return out
+
+
+def powers_of(weights):
+    """``exp`` of weights; rows with one beyond ``FAR`` become nan."""
     import numpy as np
 
-    log_p = np.zeros(len(number))
-    room = [np.empty((STEP, w.shape[1]), dtype=w.dtype) for w in (outer, outer, inner, inner)]
+    weights = weights.astype(np.float32)
+    far = np.maximum(weights.max(axis=1), -weights.min(axis=1)) > FAR
+    weights[far] = np.nan
+    return np.exp(weights, out=weights)
+
+
+def path_log(lex: Lexicon, outer, inner, number, code, features, powers=None):
+    """The natural logarithm of each token's choices together, ``STEP`` tokens at a time. ``powers``: ``powers_of``
+    the two factors, so that a softmax takes products and no ``exp`` for each token; tokens with a row beyond
+    ``FAR`` are done again by their logits."""
+    import numpy as np
+
+    powers = powers or [powers_of(w) for w in (outer, inner)]
+    log_p, bias, inner_bias = np.zeros(len(number)), np.exp(lex.bias), np.exp(lex.inner_bias)
+    room = [np.empty((STEP, w.shape[1]), dtype=np.float32) for w in (outer, outer, inner, inner)]
+
+    def own_log(z, goal, prior, whole):
+        return np.log(z.reshape(-1).take(np.arange(0, z.size, z.shape[1]) + goal)) + prior - np.log(whole)
+
     for at in range(0, len(number), STEP):
         own = slice(at, at + STEP)
         f, goal = features[:, own], lex.group(number[own], code[own])
-        z = summed(outer, f, room[0][:len(goal)], room[1])
-        z += lex.bias
-        log_p[own] = goal_log(z, goal)
+        with np.errstate(invalid="ignore"):
+            z = products(powers[0], f, room[0][:len(goal)], room[1][:len(goal)])
+            log_p[own] = own_log(z, goal, lex.bias.take(goal), z @ bias)
+            for k, node, child in lex.choices(number[own], code[own]):
+                z = products(powers[1], lex.rows_inside(f[:, k], node), room[2][:len(k)], room[3][:len(k)])
+                prior = inner_bias.take(node, axis=0, out=room[3][:len(k)], mode="clip")
+                log_p[at + k] += own_log(z, child, lex.inner_bias[node, child], np.einsum("ij,ij->i", z, prior))
+    lost = np.flatnonzero(np.isnan(log_p))
+    if len(lost):
+        log_p[lost] = path_log_by_logits(lex, outer, inner, number[lost], code[lost], features[:, lost])
+    return log_p
+
+
+def path_log_by_logits(lex: Lexicon, outer, inner, number, code, features):
+    """``path_log`` for logits of any size."""
+    import numpy as np
+
+    log_p = np.zeros(len(number))
+    logits = lambda weights, rows, bias: sum(weights.take(r, axis=0).astype(np.float32) for r in rows) + bias
+    for at in range(0, len(number), STEP):
+        own = slice(at, at + STEP)
+        f = features[:, own]
+        log_p[own] = goal_log(logits(outer, f, lex.bias), lex.group(number[own], code[own]))
         for k, node, child in lex.choices(number[own], code[own]):
-            z = summed(inner, lex.rows_inside(f[:, k], node), room[2][:len(k)], room[3])
-            z += lex.inner_bias.take(node, axis=0, out=room[3][:len(k)], mode="clip")
-            log_p[at + k] += goal_log(z, child)
+            log_p[at + k] += goal_log(logits(inner, lex.rows_inside(f[:, k], node), lex.inner_bias[node]), child)
     return log_p
 
 
@@ -536,12 +606,13 @@ def score_rows(rows: DataFrame, lexicon, weights) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        lex, (outer, inner) = Lexicon.of(lexicon.value), (w.astype(np.float32) for w in weights.value)
+        lex, (outer, inner) = Lexicon.of(lexicon.value), weights.value
+        powers = [powers_of(w) for w in (outer, inner)]
         base = TaskContext.get().partitionId() << 33
         for b in batches:
             m = b.num_rows
             number, code, document, features, (rare, words) = lex.stream(b.column(2))
-            log_p = path_log(lex, outer, inner, number, code, features) / np.log(10)
+            log_p = path_log(lex, outer, inner, number, code, features, powers) / np.log(10)
             log_c = lex.log_c[number]
             log_p += lex.log_inside(number, code)
             n_tokens = np.bincount(document, minlength=m)
